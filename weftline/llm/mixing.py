@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         edge = found.filter((F.col("before") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
         edge = edge.groupBy("s").agg(F.min_by(F.struct("bucket", F.col("rest") - F.col("before"), "words", "n"), "bucket").alias("e"))
         edge = edge.select(F.col("s").alias("t"), F.col("e.bucket").alias("bucket"), F.col("e.col2").alias("left"), F.col("e.words").alias("words"), F.col("e.n").alias("n"))
-        plan = plan.join(edge, plan["source"].eqNullSafe(F.col("t")), "left")
+        plan = plan.drop("words", "n").join(edge, plan["source"].eqNullSafe(F.col("t")), "left")
         plan = plan.select("source", "source_size", "target", "whole", F.when(F.col("t").isNotNull(), F.col("left")).otherwise(F.lit(0.0)).alias("rest"), F.coalesce("bucket", "prefix").alias("prefix"), F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("n", F.lit(0)).alias("n"))
         plan = materialise(plan, f"plan{level}", folder)
         if plan.filter("n > 1").isEmpty():
