@@ -8,10 +8,13 @@ lower-cased (ASCII and Latin-1), with all ASCII characters but letters as spaces
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import crc_of_id, slices, text_bytes
 
@@ -121,8 +124,8 @@ def train(docs: DataFrame, texts: int = TEXTS, most: int = GRAMS) -> Model:
     return Model(langs, [filters.get(x, np.zeros(0, np.int64)) for x in langs])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every row. Null texts and texts without a letter are ``und`` with score 0; so is every text if no language was learned.
+def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, lang_pred and score (under ``names``) for every row. Null texts and texts without a letter are ``und`` with score 0; so is every text if no language was learned.
 
     The score is the likelier language's part of the corrected popcounts, between 0 and 1, times how much of the text it contains.
     """
@@ -149,11 +152,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     raw = body[offsets[k] : offsets[k + 1]]
                     if not _has_letter(raw, texts, k):
                         best[k], score[k] = -1, 0
-            names = [UNDETERMINED, *m.langs]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[b + 1] for b in best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            langs = [UNDETERMINED, *m.langs]
+            out = [*(batch.column(c) for c in keep), pa.array([langs[b + 1] for b in best], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    kinds = [docs.schema[c] for c in keep]
+    return rows.mapInArrow(run, StructType([*kinds, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def _has_letter(raw: np.ndarray, texts, k: int) -> bool:
@@ -170,4 +175,5 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def identify(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """Learn from the rows that are not held out, predict all: doc_id, held_out, lang_pred, score."""
     model = train(docs.filter(~held_out()), texts)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -50,15 +50,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per row of docs: doc_id, source, size (words), source_size, target, copies, taken.
+def _code() -> Column:
+    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
 
-    Null texts have size 0; null sources are one source, the last. Rows that repeat a doc_id are taken alike. An empty
-    table gives an empty result; other columns are ignored. The hash is of doc_id, so reruns agree.
-    """
-    folder = scratch_dir(docs.sparkSession)
-    code = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), code.alias("code")), "sizes", folder)
+
+def _sizes(docs: DataFrame, folder: str) -> DataFrame:
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _code().alias("code")), "sizes", folder)
+
+
+def thresholds(rows: DataFrame, weights: Sequence[float], share: float, most: float, folder: str) -> DataFrame:
+    """rows (doc_id, source, size, code) -> one row per source: s, source_size, target, whole, prefix, with_edge."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -86,10 +87,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
             break
         open_ = materialise(open_, f"open{level}", folder)
     # The boundary bucket is taken whole if that comes nearer to the target.
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "prefix", (F.col("rest") * 2 > F.col("words")).alias("with_edge"))
-    out = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, rows["source"].eqNullSafe(F.col("s")))
+    return plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "prefix", (F.col("rest") * 2 > F.col("words")).alias("with_edge"))
+
+
+def _copies(most: float) -> Column:
     head = F.expr("substring(code, 1, length(prefix))")
     extra = (head < F.col("prefix")) | ((F.col("prefix") != "") & (head == F.col("prefix")) & F.col("with_edge"))
-    copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    copies = F.least(copies, F.lit(int(most)))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).alias("taken"))
+    return F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(int(most))).cast("int")
+
+
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, rows["source"].eqNullSafe(plan["s"])).drop("s")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per row of docs: doc_id, source, size (words), source_size, target, copies, taken.
+
+    Null texts have size 0; null sources are one source, the last. Rows that repeat a doc_id are taken alike. An empty
+    table gives an empty result; other columns are ignored. The hash is of doc_id, so reruns agree.
+    """
+    folder = scratch_dir(docs.sparkSession)
+    rows = _sizes(docs, folder)
+    out = _joined(rows, thresholds(rows, weights, share, most, folder))
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies(most).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs themselves, each as often as the mix takes it; texts are not shuffled."""
+    folder = scratch_dir(docs.sparkSession)
+    plan = thresholds(_sizes(docs, folder), weights, share, most, folder)
+    own = F.struct(*docs.columns).alias("own")  # whatever they are called
+    rows = docs.select(own, F.col("source").cast("string").alias("source"), _code().alias("code"))
+    return _joined(rows, plan).select("own", F.explode(F.array_repeat(F.lit(0), _copies(most))).alias("k")).select("own.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, packing, quality, token_files, url_filter
+from . import exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, quality, token_files, url_filter
 from .shared import ship, table
 from .tokens import vocabulary
 
@@ -17,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json"), 2048, 0), 2048)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -48,8 +53,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, relax=1.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing, op10_nearest_neighbours)
 }
 ORACLES: dict[str, str] = {}
