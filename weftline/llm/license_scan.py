@@ -1,12 +1,14 @@
 """License scans by ordered signature rules. DataFrame functions only; every step is local to its row, so nothing is shuffled.
 
-The rules are regexes over the text's words, lower-cased and set apart by single spaces. A rule runs only if its keyword
-occurs; its detections are intervals of words. Detections are taken by priority, then length, and one that lies within
+A text is looked at only if a word of some phrase or keyword occurs in it at all, as a plain search. The rules are
+regexes over the text's words, lower-cased and set apart by single spaces. A rule runs only if its keyword occurs; its
+detections are intervals of words. Detections are taken by priority, then length, and one that lies within
 a detection taken before is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,6 +19,8 @@ from .shared import ascii_lower
 
 #: What separates words; words are runs of 0-9, a-z (after lower-casing A-Z) and non-ASCII characters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of the text as it stands, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: label, keyword, name, versions: the families whose rules are built below.
@@ -50,16 +54,19 @@ TEXTS = (
 
 
 def build_rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, regex): the texts' sentences and, for each family, its grants, names, versions and identifiers."""
+    """(priority, label, keyword, regex): the texts' sentences and, for each family, its grants, names, versions and identifiers.
+
+    Every family rule needs ``licen``.
+    """
     rules = list(TEXTS)
     for label, keyword, name, versions in FAMILIES:
         lic, short = "licen[sc]e", SHORT[label]
         for verb in ("licensed", "released", "distributed", "available", "provided", "published", "covered"):
-            rules.append((2, label, keyword, f"{verb} (?:under|by|with) (?:the terms of )?{name}(?: {lic})?"))
-        rules.append((3, label, keyword, f"(?:subject to|under) the terms (?:and conditions )?of {name}(?: {lic})?"))
+            rules.append((2, label, keyword, f"{verb} (?:under|by|with) (?:the terms of )?{name} {lic}"))
+        rules.append((3, label, keyword, f"(?:subject to|under) the terms (?:and conditions )?of {name} {lic}"))
         rules.append((3, label, keyword, f"(?:see|read) {name} {lic}"))
         for version in filter(None, versions.split(",")):
-            rules.append((2, label, keyword, f"{name}(?: {lic})? (?:version |v )?{version}"))
+            rules.append((2, label, keyword, f"{name} {lic} (?:version |v )?{version}"))
             rules.append((2, label, "spdx", f"spdx license identifier {short} v?{version}(?: only| or later)?"))
             rules.append((4, label, short, f"{short} {version} licen[sc]ed?"))
         rules.append((2, label, "spdx", f"spdx license identifier {short}"))
@@ -71,6 +78,13 @@ def build_rules() -> list[tuple[int, str, str, str]]:
 RULES = build_rules()
 
 
+def _may_match(lowered: Column, base: Sequence[tuple[str, str]], rules: Sequence[tuple[int, str, str, str]]) -> Column:
+    """Whether every word of some base phrase occurs, or a part that some rule needs: ``licen``, or its keyword's longest word."""
+    needed = {"licen" if re.search(r"licen(?!\w*\)\?)", regex) else max(keyword.split(), key=len) for _, _, keyword, regex in rules}
+    ways = [[w] for w in sorted(needed)] + [words for phrase, _ in base if not any(n in phrase for n in needed) for words in [phrase.split()]]
+    return F.coalesce(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(lowered, F.lit(w)) for w in words)) for words in ways)), F.lit(False))
+
+
 def _count_words(padded: Column) -> Column:
     """Words of a text in which each has a space on either side."""
     return ((F.length(padded) - F.length(F.replace(padded, F.lit(" ")))) / 2).cast("long")
@@ -85,13 +99,12 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequenc
     empty result; repeated rows are scanned each; other columns are ignored.
     """
     rules = RULES if rules is None else rules
-    lowered = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(lowered, GAP, "  "), F.lit(" "))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("text").alias("lowered"))
+    rows = rows.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), _may_match(F.col("lowered"), base, rules).alias("open"))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(F.col("text")), GAP, "  "), F.lit(" "))
     # Gaps at the ends leave lone spaces behind; one space on either side of each word, none elsewhere.
     spaced = F.regexp_replace(F.regexp_replace(spaced, r"^ +(?=[^ ]|$)", " "), r" +$", " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced.alias("padded"))
-    rows = rows.withColumn("padded", F.when(F.col("padded") == " ", "").otherwise(F.col("padded")))
-    rows = rows.withColumn("n_words", _count_words(F.col("padded")))
+    rows = rows.select("doc_id", "n_words", F.when(F.col("open") & (F.col("n_words") > 0), spaced).otherwise("").alias("padded"))
 
     # Base phrases: what stands between their places, cut by the phrase.
     for k, (phrase, _) in enumerate(base):
@@ -112,11 +125,9 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequenc
         F.array_compact(F.array(*(F.when(F.col(f"cut{k}").isNotNull(), F.lit(label)) for k, (_, label) in enumerate(base)))).alias("base_found"),
     )
 
-    # Signature rules: the keyword gates each, and any keyword the row.
-    keywords = sorted({keyword for _, _, keyword, _ in rules})
-    gates = [k for k in keywords if not any(o != k and o in k for o in keywords)]
+    # Signature rules: the keyword gates each.
     table = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{regex})(?= )").alias("regex")) for p, label, keyword, regex in rules))
-    single = F.when(F.col("padded").rlike("|".join(g.replace(" ", "  ") for g in gates)), F.replace("padded", F.lit("  "), F.lit(" ")))
+    single = F.when(F.col("padded") != "", F.replace("padded", F.lit("  "), F.lit(" ")))
     rows = rows.withColumn("words", single)
     kept = _taken(_detections(F.col("words"), table))
     rows = rows.withColumn("detections", F.when(F.col("words").isNotNull(), kept))
