@@ -13,7 +13,10 @@ from .registry import Registry
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 WORDS = "the of"
 
 KEYED = f"""hits AS ({views.HITS}), keyed AS (SELECT *, concat('quark:', substr(url, 9)) AS key, nullif(pwd, '') AS code FROM hits)"""
@@ -67,9 +70,9 @@ def scored(spark, sf_dir):
     best = ranking.relevance(F.col("titles"), [WORDS])
     rated = found.withColumn("best", best).withColumn("relevance", F.col("best.relevance"))
     last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
-    live = last.filter(liveness.valid(F.col("status"), F.col("checked_at"), NOW, ttl_hours=360)).select(F.col("cache_key").alias("key"), "status", "pwd_verified")
+    live = last.filter(liveness.valid(F.col("status"), F.col("checked_at"), now(), ttl_hours=360)).select(F.col("cache_key").alias("key"), "status", "pwd_verified")
     known = rated.join(live, "key", "left").withColumn("status", F.coalesce("status", F.lit("unchecked"))).withColumn("pwd_verified", F.coalesce("pwd_verified", F.lit(False)))
-    return ranking.score(known, NOW)
+    return ranking.score(known, now())
 
 
 @R.add(f"WITH {SCORED} SELECT key, relevance, status, usable, score FROM scored")
@@ -115,14 +118,14 @@ def latest_wins_upsert(spark, sf_dir):
 @R.add(f"""WITH {LAST} SELECT cache_key, status, date_diff('second', checked_at, {views.NOW}) <= CASE WHEN status = 'dead' THEN 720 ELSE 6 END * 3600 AS holds FROM last""")
 def ttl_cache(spark, sf_dir):
     last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
-    return last.select("cache_key", "status", liveness.valid(F.col("status"), F.col("checked_at"), NOW).alias("holds"))
+    return last.select("cache_key", "status", liveness.valid(F.col("status"), F.col("checked_at"), now()).alias("holds"))
 
 
 @R.add(f"""WITH {LAST} SELECT cache_key, status, round(date_diff('second', checked_at, {views.NOW}) / 3600.0, 1) AS age_hours FROM last
  WHERE date_diff('second', checked_at, {views.NOW}) / 3600.0 >= CASE WHEN status = 'dead' THEN 240 ELSE 24 END ORDER BY checked_at, cache_key LIMIT 25""")
 def stale_queue(spark, sf_dir):
     last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
-    return liveness.stale(last, NOW, 24, 240, 25).select("cache_key", "status", "age_hours")
+    return liveness.stale(last, now(), 24, 240, 25).select("cache_key", "status", "age_hours")
 
 
 @R.add(f"""WITH {LAST}, k AS (SELECT status, CAST(regexp_extract(cache_key, '[0-9]+$') AS INT) % 4 AS service FROM last)

@@ -14,7 +14,10 @@ from .registry import Registry
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 @R.add("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -166,7 +169,7 @@ def mixed_script_tokens(spark, sf_dir):
 @R.add()
 def search_end_to_end(spark, sf_dir):
     """A whole search over the hits and cache of the driver's tables."""
-    return search.search(views.hits(spark, sf_dir), "the of", cache=views.cache(spark, sf_dir).filter("event_id % 3 = 0"), now=NOW, limit=50)
+    return search.search(views.hits(spark, sf_dir), "the of", cache=views.cache(spark, sf_dir).filter("event_id % 3 = 0"), now=now(), limit=50)
 
 
 @R.add()
@@ -176,7 +179,7 @@ def response_decisions(spark, sf_dir):
         ("k4", "abcd", "115", 200, '{"state":false,"errno":4100008}'), ("k5", None, "tianyi", 200, "<shareVO><a/></shareVO>"), ("k6", None, "tianyi", 200, "<error><code>ShareInfoNotFound</code></error>"),
         ("k7", "1234", "baidu_code", 200, '{"errno":-9}'), ("k7", "1234", "baidu_liveness", 200, '{"errno":0}'), ("k8", None, "baidu_liveness", 200, '{"errno":-3}'), ("k9", None, "other", 200, "{}"),
     ]
-    return liveness.decide(spark.createDataFrame(rows, "key string, pwd string, endpoint string, http_status int, body string"), NOW).select("key", "endpoint", "status")
+    return liveness.decide(spark.createDataFrame(rows, "key string, pwd string, endpoint string, http_status int, body string"), now()).select("key", "endpoint", "status")
 
 
 @R.add()
