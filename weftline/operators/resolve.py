@@ -20,11 +20,17 @@ def with_keys(hits: DataFrame) -> DataFrame:
     return code.withColumn("key", urls.resource_key(F.col("pan_type"), F.col("url"), F.col("surl")))
 
 
-def in_order(value: Column, when: Column | None = None) -> Column:
-    """Distinct values, by their first seq. The set of (value, first seq) is bounded by what is distinct in the group."""
-    pair = F.struct(F.col("seq"), value.alias("x"))
-    kept = F.collect_list(F.when(value.isNotNull() & (value != "") & (when if when is not None else F.lit(True)), pair))
-    return F.array_distinct(F.transform(F.array_sort(kept), lambda s: s["x"]))
+def ordered_lists(keyed: DataFrame, lists: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Per key, arrays of distinct values by their first seq: lists maps a name to (value, condition).
+
+    Values are made distinct by a combining aggregation before any array is built, so a key with very many hits costs no
+    more memory than it has different values.
+    """
+    pairs = [F.struct(F.lit(name).alias("name"), F.when(when, F.nullif(value, F.lit(""))).alias("x")) for name, (value, when) in lists.items()]
+    rows = keyed.select("key", "seq", F.explode(F.array(*pairs)).alias("p")).select("key", "seq", "p.name", "p.x").filter("x is not null")
+    first = rows.groupBy("key", "name", "x").agg(F.min("seq").alias("seq"))
+    made = [F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("seq", "x")))), lambda s: s["x"]).alias(name) for name in lists]
+    return first.groupBy("key").agg(*made)
 
 
 def rrf(rank: Column) -> Column:
@@ -40,7 +46,7 @@ def fuse(hits: DataFrame) -> DataFrame:
 def resolve(hits: DataFrame) -> DataFrame:
     """hits (seq, source, kind, url, pwd, title, size, shared_at, origin, relaxed, query, rank) -> one row per key.
 
-    A first aggregation by key and source keeps the second one small for keys that very many hits have.
+    Every aggregate combines before the shuffle, so no key is too hot for a task.
     """
     keyed = with_keys(hits)
     t, size = F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("size"), F.lit(""))
@@ -56,11 +62,10 @@ def resolve(hits: DataFrame) -> DataFrame:
         F.min("shared_at").alias("shared_at"),
         F.bool_or(primary).alias("from_primary"),
         F.count(F.lit(1)).alias("hit_count"),
-        in_order(F.col("source")).alias("sources"),
-        in_order(F.col("kind")).alias("kinds"),
-        in_order(F.col("title")).alias("titles"),
-        F.slice(in_order(F.col("origin")), 1, 8).alias("origins"),
-        in_order(F.col("query"), primary).alias("queries"),
         F.min("seq").alias("first_seq"),
     )
-    return out.join(fuse(keyed), "key")
+    yes = F.lit(True)
+    lists = {"sources": (F.col("source"), yes), "kinds": (F.col("kind"), yes), "titles": (F.col("title"), yes), "origins": (F.col("origin"), yes), "queries": (F.col("query"), primary)}
+    made = ordered_lists(keyed, lists).withColumn("origins", F.slice("origins", 1, 8))
+    empty = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists]
+    return out.join(fuse(keyed), "key").join(made, "key", "left").select(*out.columns, "rrf", *empty)
