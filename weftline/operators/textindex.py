@@ -46,17 +46,22 @@ def bm25_part(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> C
 
 
 def bm25(docs: DataFrame, tokens: Column, terms: Sequence[str], every: bool = False) -> DataFrame:
-    """(doc_id, score) of the documents that have any, or every, term. Postings are filtered to the terms before anything is shuffled."""
+    """(doc_id, score) of the documents that have any, or every, term.
+
+    A document's term frequencies are counted where it is read; only the statistics, one row, are gathered and broadcast.
+    """
+    terms = list(dict.fromkeys(terms))
     wanted = F.array(*map(F.lit, terms))
-    has = docs.select("doc_id", tokens.alias("tokens")).filter(F.size("tokens") > 0)
-    stats = has.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    hits = has.filter(F.arrays_overlap("tokens", wanted)).select("doc_id", F.size("tokens").alias("dl"), F.explode(wanted).alias("term"), "tokens")
-    tf = hits.select("doc_id", "dl", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf")).filter("tf > 0")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # as many rows as terms; one row
-    part = bm25_part(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl"))
-    out = joined.groupBy("doc_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found"))
-    return out.filter(F.col("found") >= (len(set(terms)) if every else 1)).select("doc_id", "score")
+    counted = docs.select("doc_id", tokens.alias("tokens")).select(
+        "doc_id", F.size("tokens").alias("dl"), F.transform(wanted, lambda t: F.size(F.filter("tokens", lambda x: x == t))).alias("tf")
+    )
+    rows = counted.filter("dl > 0")
+    n_df = F.array(*(F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), n_df.alias("df"))
+    hit = F.array_max("tf") > 0 if not every else F.array_min("tf") > 0
+    joined = rows.filter(hit).crossJoin(F.broadcast(stats))  # one row
+    parts = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, bm25_part(tf, F.col("dl"), F.col("n"), df, F.col("avgdl"))).otherwise(0.0))
+    return joined.select("doc_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def has_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
