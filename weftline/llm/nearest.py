@@ -133,7 +133,7 @@ def _search(k: int, relax: float, top: float):
                     found = who[i][who[i] >= 0]
                     # Each vector's smallest ids: k of them besides the query's own suffice.
                     own = np.concatenate([order[firsts[f] : min(firsts[f + 1], firsts[f] + k + 1)] for f in found]) if len(found) else np.zeros(0, np.int64)
-                    sims = (distinct[found] * q[i]).sum(1)
+                    sims = np.cumsum(distinct[found] * q[i], axis=1)[:, -1]  # added from the first component to the last
                     sims = np.repeat(sims, [min(firsts[f + 1] - firsts[f], k + 1) for f in found])
                     keep = ids[own] != qids[i]
                     own, sims = ids[own[keep]], sims[keep]
