@@ -146,10 +146,10 @@ def rank_by_pair(spark, sf_dir):
 
 @R.add()
 def link_extract(spark, sf_dir):
-    """Links and codes planted in the documents' heads."""
+    """Links and codes planted at the end of whole texts."""
     ship(spark)
     n = F.col("doc_id").cast("string")
-    note = F.concat(F.substring("text", 1, 200), F.lit(" 链接：https://pan.quark.cn/s/k"), n, F.lit(" 提取码：ab"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("，备用 pan.baidu.com/s/1x"), n)
+    note = F.concat(F.coalesce("text", F.lit("")), F.lit(" 链接：https://pan.quark.cn/s/k"), n, F.lit(" 提取码：ab"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("，备用 pan.baidu.com/s/1x"), n)
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(links.share_links(note)).alias("l")).select("doc_id", "l.*")
 
 

@@ -122,7 +122,7 @@ def json_paths(spark, sf_dir):
 
 @R.add("""SELECT doc_id, CASE WHEN length(trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')), 1, 79) || '…' ELSE trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')) END AS short FROM documents""")
 def truncate_notes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.substring("text", 1, 400), 80).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text"), 80).alias("short"))
 
 
 @R.add("""WITH p AS (SELECT doc_id, position('the' IN lower(text)) AS a, position('of' IN lower(text)) AS b, text FROM documents), q AS (SELECT doc_id, text, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 1 END AS hit FROM p),
