@@ -1,9 +1,8 @@
 """Whole texts, whole caches: what stands late in a text or in a table counts too."""
 
-from pyspark.sql import functions as F
-
 from weftline.functions import links
 from weftline.plans import queries_more, queries_web
+from weftline.sources import captured
 
 
 def documents(spark, folder, texts):
@@ -27,3 +26,10 @@ def test_truncate_notes(spark, tmp_path):
     got = {r.doc_id: r.short for r in queries_web.truncate_notes(spark, documents(spark, tmp_path, texts)).collect()}
     flat = [" ".join(t.split()) for t in texts]
     assert got == {i: t[:79] + "…" if len(t) > 80 else t for i, t in enumerate(flat)}
+
+
+def test_message_pages(spark):
+    late = "字" * 5000 + " https://pan.quark.cn/s/late 提取码：ab12"
+    page = f'<div data-post="c/1"><div class="message_text">{late}</div>' + '<div data-post="c/2"><a href="https://pan.quark.cn/s/bare?pwd=zz99">x</a>' + '<div data-post="c/3"><p></p>'
+    got = captured.message_pages(spark.createDataFrame([("c", page)], "channel string, html string")).collect()
+    assert [(r.msg_id, len(r.text), [(x.url, x.pwd) for x in r.links]) for r in got] == [(1, 4000, [("https://pan.quark.cn/s/late", "ab12")]), (2, 0, [("https://pan.quark.cn/s/bare", "zz99")])]

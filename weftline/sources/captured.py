@@ -58,15 +58,21 @@ _BLOCK = re.compile(r'data-post="([^"/]+)/(\d+)"(.*?)(?=data-post="|\Z)', re.S)
 
 
 def parse_messages(page: str | None, channel: str) -> list[dict]:
-    """The messages of a channel's page; the channel that was asked for gives its name to them."""
+    """The messages of a channel's page; the channel that was asked for gives its name to them.
+
+    Links come from the whole text, and from the whole block where the text has none; what has neither is left out.
+    """
     out = []
     for m in _BLOCK.finditer(page or ""):
         body = re.search(r'<div class="[^"]*message_text[^"]*"[^>]*>(.*?)</div>', m[3], re.S)
         raw = re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<br\s*/?>", "\n", body[1])) if body else ""
         hrefs = " ".join(re.findall(r'href="(https?://[^"]+)"', body[1])) if body else ""
-        text = entities.unescape(raw).strip()[:TEXT_LIMIT]
+        text = entities.unescape(raw).strip()
+        found = links.find(text + " " + entities.unescape(hrefs)) or links.find_any(m[3])
+        if not text and not found:
+            continue
         when = re.search(r'datetime="([^"]+)"', m[3])
-        out.append({"channel": channel, "msg_id": int(m[2]), "posted_at": when[1] if when else None, "text": text, "links": links.find(text + " " + entities.unescape(hrefs))})
+        out.append({"channel": channel, "msg_id": int(m[2]), "posted_at": when[1] if when else None, "text": text[:TEXT_LIMIT], "links": found})
     return out
 
 
