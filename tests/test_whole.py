@@ -1,7 +1,7 @@
 """Whole texts, whole caches: what stands late in a text or in a table counts too."""
 
-from weftline.functions import links
-from weftline.plans import queries_more, queries_web
+from weftline.functions import links, text
+from weftline.plans import queries_more, queries_web, search
 from weftline.sources import captured
 
 
@@ -33,3 +33,16 @@ def test_message_pages(spark):
     page = f'<div data-post="c/1"><div class="message_text">{late}</div>' + '<div data-post="c/2"><a href="https://pan.quark.cn/s/bare?pwd=zz99">x</a>' + '<div data-post="c/3"><p></p>'
     got = captured.message_pages(spark.createDataFrame([("c", page)], "channel string, html string")).collect()
     assert [(r.msg_id, len(r.text), [(x.url, x.pwd) for x in r.links]) for r in got] == [(1, 4000, [("https://pan.quark.cn/s/late", "ab12")]), (2, 0, [("https://pan.quark.cn/s/bare", "zz99")])]
+    hit = search.message_hits(captured.message_pages(spark.createDataFrame([("c", page)], "channel string, html string"))).collect()
+    assert {(r.seq, r.url) for r in hit} == {(1, "https://pan.quark.cn/s/late"), (2, "https://pan.quark.cn/s/bare")}
+
+
+def test_message_hits(spark):
+    digest = "今日合集 会声会影教程 https://pan.quark.cn/s/a 提取码: ab12\nPDF Editor：https://pan.quark.cn/s/b UC https://pan.quark.cn/s/c " + "其他 " * 200 + "SolidWorks 视频教程 pan.baidu.com/s/1d"
+    got = search.message_hits(spark.createDataFrame([("c", 7, "2024-01-02", digest)], "channel string, msg_id long, posted_at string, text string"), "SolidWorks").orderBy("rank").collect()
+    assert [r.url[-3:] for r in got] == ["s/a", "s/b", "s/c", "/1d"]
+    assert got[0].title == "今日合集 会声会影教程" and got[1].title == "提取码: ab12 PDF Editor"
+    assert "SolidWorks" in got[2].title and got[2].title.startswith("…") and len(got[2].title) <= 302
+    assert "SolidWorks 视频教程" in got[3].title and "PDF" not in got[3].title
+    fillers = spark.createDataFrame([(x,) for x in ("夸克", "?pwd=8888", "UC", "备用 下载：", "Xcode 15", "Lucky", "三体")], "s string")
+    assert [r.f for r in fillers.select(text.is_filler(fillers["s"]).alias("f")).collect()] == [True, True, True, True, False, False, False]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,6 +117,23 @@ def find_any(markup: str | None) -> list[dict]:
     return list(out.values())
 
 
+def titles_before(text: str | None, urls: list[str]) -> list[str | None]:
+    """For each URL the text between the link before it and itself; null where that is empty or the URL isn't found."""
+    at = {r["url"]: r["pos"] for r in find(text)}
+    spans = sorted(m.span() for p in (LINK, MAGNET, BARE) for m in p.finditer(text or ""))
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    out = []
+    for url in urls:
+        before = bisect_left(starts, at[url]) if url in at else None
+        out.append(None if before is None else text[ends[before - 1] if before else 0 : at[url]].strip(" \t\n:：-—|｜·,，、") or None)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def link_titles(texts: pd.Series, urls: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else titles_before(t, list(u)) for t, u in zip(texts, urls)], dtype=object)
+
+
 @F.pandas_udf(SCHEMA)
 def share_links(texts: pd.Series) -> pd.Series:
     return texts.map(find)

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links
+from ..functions import text as T
 from ..operators import liveness, ranking, resolve
 from . import query as Q
 
+#: Characters of a title at most.
+TITLE = 300
 HIT = "seq bigint, source string, kind string, url string, pwd string, title string, size string, shared_at timestamp, origin string, relaxed boolean, query string, rank int"
 
 
@@ -55,9 +58,21 @@ def type_counts(resources: DataFrame) -> DataFrame:
     return resources.groupBy("pan_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def message_hits(messages: DataFrame) -> DataFrame:
-    """messages (channel, msg_id, posted_at, text) -> a hit per link."""
-    found = messages.select("channel", "msg_id", "posted_at", F.substring("text", 1, 60).alias("title"), F.posexplode(links.share_links(F.col("text"))).alias("rank", "l"))
+def message_hits(messages: DataFrame, query: str = "") -> DataFrame:
+    """messages (channel, msg_id, posted_at, text, perhaps links) -> a hit per link.
+
+    A link's title is the text between the link before it and itself; where that says nothing, an excerpt of the message
+    around the query's terms. The links are those stored with a message, which may stand beyond its text, else its text's.
+    """
+    asked = Q.analyse(query)
+    terms = F.array(*map(F.lit, asked.subjects or asked.terms)).cast("array<string>")
+    excerpt = lambda c: F.nullif(T.excerpt(c, terms, TITLE), F.lit(""))
+    stored = F.col("links") if "links" in messages.columns else links.share_links(F.col("text"))
+    flat = messages.select("channel", "msg_id", "posted_at", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"), stored.alias("links"))
+    titled = flat.withColumn("titles", links.link_titles("text", F.transform("links", lambda x: x["url"])))
+    found = titled.select("channel", "msg_id", "posted_at", "text", F.posexplode(F.arrays_zip("links", "titles")).alias("rank", "x"))
+    found = found.select("*", F.col("x.links").alias("l"), F.when(~T.is_filler(F.col("x.titles")), F.col("x.titles")).alias("own"))
+    found = found.withColumn("title", F.coalesce(excerpt(F.col("own")), excerpt(F.col("text"))))
     return found.select(F.col("msg_id").alias("seq"), F.concat(F.lit("tg:"), "channel").alias("source"), F.lit("tg").alias("kind"), "l.url", "l.pwd", "title", F.col("posted_at").cast("timestamp").alias("shared_at"), F.concat(F.lit("t.me/"), "channel").alias("origin"), "rank")
 
 
