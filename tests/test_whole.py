@@ -1,5 +1,7 @@
 """Whole texts, whole caches: what stands late in a text or in a table counts too."""
 
+import datetime
+
 from weftline.functions import links, text
 from weftline.plans import queries_more, queries_web, search
 from weftline.sources import captured
@@ -28,6 +30,16 @@ def test_truncate_notes(spark, tmp_path):
     assert got == {i: t[:79] + "…" if len(t) > 80 else t for i, t in enumerate(flat)}
 
 
+def test_search_end_to_end(spark, tmp_path):
+    """The last event of a key says its status, whatever its number."""
+    at = datetime.datetime(2024, 1, 30, 20)
+    spark.createDataFrame([(i, "the of", "s") for i in (1, 2, 4, 5)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(3, at, 1, "error"), (4, at, 1, "signup"), (2, at, 2, "error"), (6, at, 4, "signup"), (9, at, 4, "view")]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries_more.search_end_to_end(spark, str(tmp_path)).collect()
+    assert sorted((r.key[-2:], r.status) for r in got) == [("k1", "alive"), ("k4", "need_pwd"), ("k5", "unchecked")]
+
+
 def test_message_pages(spark):
     late = "字" * 5000 + " https://pan.quark.cn/s/late 提取码：ab12"
     page = f'<div data-post="c/1"><div class="message_text">{late}</div>' + '<div data-post="c/2"><a href="https://pan.quark.cn/s/bare?pwd=zz99">x</a>' + '<div data-post="c/3"><p></p>'
