@@ -38,3 +38,13 @@ def probe(pages: DataFrame) -> DataFrame:
 
 def top_pages(rows: DataFrame, group: str, most: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def merge_reports(reports: DataFrame) -> DataFrame:
+    """reports (source, seq, hits, seconds, status, error) -> one per source: all hits, the longest time, the worst status and the first error. A source with hits is at worst degraded."""
+    ranks = F.array(*map(F.lit, ("ok", "empty", "degraded", "timeout", "error")))
+    some = F.nullif(F.col("error"), F.lit(""))
+    by = reports.groupBy("source").agg(
+        F.sum("hits").alias("hits"), F.round(F.max("seconds"), 2).alias("seconds"), F.max_by("status", F.array_position(ranks, F.col("status"))).alias("status"), F.min_by(some, F.when(some.isNotNull(), F.col("seq"))).alias("error")
+    )
+    return by.withColumn("status", F.when((F.col("hits") > 0) & F.col("status").isin("error", "timeout"), "degraded").otherwise(F.col("status")))

@@ -68,6 +68,7 @@ def decide(responses: DataFrame, now: Column) -> DataFrame:
         F.when(F.col("endpoint") == "baidu_liveness", mapped(errno, X.BAIDU_LIVENESS))
         .when(F.col("endpoint") == "baidu_code", mapped(errno, X.BAIDU_CODE))
         .when(F.col("endpoint") == "quark", quark).when(F.col("endpoint") == "aliyun", aliyun).when(F.col("endpoint") == "115", p115).when(F.col("endpoint") == "tianyi", tianyi)
+        .when(F.col("endpoint") == "direct", "alive")  # nothing to ask
         .otherwise("unsupported")
     )
     return responses.withColumn("status", status)

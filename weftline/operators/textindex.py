@@ -1,7 +1,7 @@
 """An inverted index as tables: postings with positions, vocabulary, BM25, phrases, prefixes, tiers.
 
-Tables are keyed by term; a query reads its terms' postings only, so with postings bucketed by term a search touches a
-few files, and nothing but term statistics and matching documents is shuffled.
+``postings``, ``frequencies`` and ``vocabulary`` make tables keyed by term, but none is stored: ``bm25`` tokenises every
+document on each query, and gathers nothing but term statistics and matching documents.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ Nothing here asks the network: pages and payloads are rows that someone captured
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import links
 
@@ -87,6 +88,33 @@ def message_pages(pages: DataFrame) -> DataFrame:
     return pages.select("channel", "html").mapInPandas(run, MESSAGE)
 
 
+def parse_comments(body: str | None) -> list[dict]:
+    """The texts of a comments payload with their authors: pinned, top and plain ones, each followed by the replies to it, however deep."""
+    try:
+        data = json.loads(body or "")
+    except ValueError:
+        return []
+    data = data.get("data") if isinstance(data, dict) else None
+    many = lambda v: [v] if isinstance(v, dict) else v if isinstance(v, list) else []
+    tops = [c for k in ("top", "top_replies", "replies") for c in many(data.get(k))] if isinstance(data, dict) else []
+    out, stack = [], tops[::-1]
+    while stack:
+        c = stack.pop()
+        if not isinstance(c, dict):
+            continue
+        content, member = c.get("content"), c.get("member")
+        text = content.get("message") if isinstance(content, dict) else None
+        if text:
+            out.append({"text": str(text), "author": str(member.get("uname") or "") if isinstance(member, dict) else ""})
+        stack += many(c.get("replies"))[::-1]
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("author", StringType())])))
+def comment_texts(bodies: pd.Series) -> pd.Series:
+    return bodies.map(parse_comments)
+
+
 def channel_list(spark: SparkSession, path: str) -> DataFrame:
     """Names, one a line: comments and blank lines dropped, ``@`` and link forms stripped, invitations left out, once each."""
     lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
