@@ -20,8 +20,8 @@ from .shared import materialise, scratch_dir, ship
 
 #: Vectors of a shard and queries of a block; vectors of a leaf.
 SHARD, BLOCK, LEAF = 16_384, 2_048, 192
-#: Rounding of the distances, relative: what lies this near the bound is not passed over.
-SLACK = 1e-7
+#: Rounding of the distances, relative to the largest norms: what lies this near the bound is not passed over.
+SLACK = 1e-6
 
 
 class Tree:
@@ -52,29 +52,42 @@ class Tree:
         return at
 
     def search(self, q: np.ndarray, k: int, relax: float, least_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the k nearest distinct vectors: squared distances, and their numbers (-1: none). Ties go to the smaller least_id."""
-        best = np.full((len(q), k), np.inf)
+        """For each query the k distinct vectors of the largest inner product: the products, and their numbers (-1: none). Ties go to the smaller least_id.
+
+        Distances only tell which subtrees to pass over: where one norm is very large, all others' distances are equal but for rounding.
+        """
+        best = np.full((len(q), k), -np.inf)
         who = np.full((len(q), k), -1)
-        norms, qnorms = (self.x**2).sum(1), (q**2).sum(1)
+        raw, asked = self.x[:, :-1], q[:, :-1]
+        norms, qnorms = (raw**2).sum(1), (asked**2).sum(1)
+        reach = qnorms + (self.x**2).sum(1).max()
+        # What a product may be off by, and so two orders of adding up.
+        off, qoff = np.sqrt(norms), np.sqrt(qnorms) * (4 * raw.shape[1] * np.finfo(float).eps)
         stack: list[tuple] = [(self.root, np.arange(len(q)), np.zeros(len(q)))]
         while stack:
             node, some, least = stack.pop()
-            keep = relax * least <= np.sqrt(best[some, -1]) * (1 + SLACK) + SLACK
+            bound = np.sqrt(np.maximum(reach[some] - 2 * best[some, -1], 0) + SLACK**2 * reach[some]) + SLACK * np.sqrt(reach[some])
+            keep = ~(relax * least > bound)
             some, least = some[keep], least[keep]
             if len(some) == 0:
                 continue
             entry = self.nodes[node]
             if entry[0] is None:
                 own = entry[1]
-                d = np.maximum(qnorms[some, None] + norms[own][None] - 2 * (q[some] @ self.x[own].T), 0)
+                d = asked[some] @ raw[own].T
                 both, ids = np.concatenate((best[some], d), 1), np.concatenate((who[some], np.broadcast_to(own, d.shape)), 1)
-                pick = np.argpartition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(k), (len(some), k))
+                pick = np.argpartition(-both, k - 1, axis=1)[:, :k]
                 rows = np.arange(len(some))[:, None]
                 values, found = both[rows, pick], ids[rows, pick]
-                for r in np.flatnonzero((both <= values.max(1)[:, None] + 1e-12).sum(1) > k):  # ties at the end, but for rounding
-                    full = np.lexsort((np.where(ids[r] < 0, np.iinfo(np.int64).max, least_id[ids[r]]), np.round(both[r], 12)))[:k]
-                    values[r], found[r] = both[r, full], ids[r, full]
-                order = np.argsort(values, axis=1, kind="stable")
+                high = both + np.where(ids < 0, 0, off[ids]) * qoff[some, None]
+                low = (values - np.where(found < 0, 0, off[found]) * qoff[some, None]).min(1)
+                near = (ids >= 0) & (high >= low[:, None])
+                for r in np.flatnonzero(near.sum(1) > k):  # ties at the end, but for rounding
+                    some_ids = ids[r, near[r]]
+                    exact = np.cumsum(raw[some_ids] * asked[some[r]], axis=1)[:, -1]
+                    full = np.lexsort((least_id[some_ids], -exact))[:k]
+                    values[r], found[r] = exact[full], some_ids[full]
+                order = np.argsort(-values, axis=1, kind="stable")
                 best[some], who[some] = values[rows, order], found[rows, order]
                 continue
             centre, (inner, gap, outer), a, b = entry
