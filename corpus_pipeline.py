@@ -47,11 +47,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near", scratch_dir(spark))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"] == side["gone_id"], "left_anti")
+    """Of each group of near duplicates one row stays: of the smallest doc_id, null after all others, then of the smallest SHA-256.
+
+    Ids may repeat, so a row goes by a hash of (doc_id, SHA-256), under a seed for which no two of them share one.
+    """
+    folder, seed = scratch_dir(spark), 0
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    while True:
+        name = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
+        keys = docs.groupBy(name.alias("row"), "doc_id", sha.alias("sha")).agg(F.count(F.lit(1)).alias("times"))
+        keys = materialise(keys, f"rows{seed}", folder)
+        if keys.groupBy("row").count().filter("count > 1").isEmpty():
+            break
+        seed += 1
+    found = ngram_join.jaccard_components(docs.select(name.alias("doc_id"), "text"), SHINGLE, PERCENT)
+    found = materialise(found.select(F.col("doc_id").alias("row"), "component_id").distinct(), "near", folder)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "sha")
+    stays = found.join(keys, "row").groupBy("component_id").agg(F.min_by("row", first).alias("row"))
+    lost = found.join(stays.select("row"), "row", "left_anti").join(keys, "row")
+    left = _without(docs, lost.select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")))
+    if keys.filter("times > 1").isEmpty():
+        return left
+    return left.dropDuplicates(["doc_id", "text"])  # rows that repeat both
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
