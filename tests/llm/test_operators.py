@@ -1,6 +1,7 @@
 """Each operator on small tables with odd rows, against plain versions of what it computes."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weftline.llm import exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, quality, token_files, tokens, url_filter
 from weftline.llm.components import components
@@ -103,18 +105,30 @@ def test_components(spark):
     assert got == {x: c for x, c in label.items() if any(a != b and x in (a, b) for a, b in pairs)}
 
 
-PIECES = [" ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "́", "ß", "İ", "'s", "1", "%", "***", "<|endoftext|>", "\x1c", " ", "\xa0", "日本", "😀", " the", "Über,", "été."]
+PIECES = [" ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "́", "ß", "İ", "'s", "1", "%", "***", "<|endoftext|>", "<|startoftext|>", "<|end", "\x1c", " ", "\xa0", "日本", "😀", " the", "Über,", "été."]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens(name):
+    """Equal to the library's own ids from the file as loaded, spellings of special tokens included."""
     rng = random.Random(2)
     t = tokens.PieceTokenizer(tokens.vocabulary(name), keep=50)
+    assert t.known
     some = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(30))) for _ in range(1500)]
-    expected = [e.ids for e in t.tokenizer.encode_batch(some, add_special_tokens=False)]
+    expected = [e.ids for e in Tokenizer.from_file(tokens.vocabulary(name)).encode_batch(some, add_special_tokens=False)]
     assert [list(x) for x in t.ids(some)] == expected
 
 
+def test_tokens_of_another_file(tmp_path):
+    """A file of another kind goes to the library."""
+    spec = json.load(open(tokens.vocabulary("byte_bpe_50k.json")))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    t, some = tokens.PieceTokenizer(str(path)), ["a b", "", " x", "<|endoftext|> y"]
+    assert not t.known and [list(x) for x in t.ids(some)] == [e.ids for e in Tokenizer.from_file(str(path)).encode_batch(some, add_special_tokens=False)]
+
+
 def test_token_files(spark, texts, tmp_path):
     ids = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, 7] * 300, np.uint32)
     raw = token_files.to_bytes(np.array([5, 6]), np.array([0, 1000, len(ids)]), ids)
@@ -122,7 +136,7 @@ def test_token_files(spark, texts, tmp_path):
     assert all((f.ids(a, b) == ids[a:b]).all() for a, b in [(0, 0), (0, 1), (5, 6), (511, 514), (700, 2400), (0, len(ids))]) and len(f.document(1)) == 1400
     ship(spark)
     path = tokens.vocabulary("byte_bpe_50k.json")
-    t = tokens.PieceTokenizer(path).tokenizer
+    t = Tokenizer.from_file(path)
     at, expected = 0, []
     for i, text in enumerate(texts):
         x = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -132,6 +146,26 @@ def test_token_files(spark, texts, tmp_path):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_pieces(spark, texts):
+    """Pieces against plain encoding by the library: every row, repeated and null ids too."""
+    ship(spark)
+    path = tokens.vocabulary("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    some = [*texts, "a <|endoftext|> b", "x<|startoftext|>", "<|endoftext|>", None]
+    ids_of = [*range(len(some) - 2), 0, None]
+    rows = spark.createDataFrame(list(zip(ids_of, some, ["?"] * len(some), ["?"] * len(some))), "doc_id long, text string, length string, piece string")
+    expected = []
+    for i, t in zip(ids_of, some):
+        x = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expected += [(i, k, a, len(x[a : a + 256]), zlib.crc32(x[a : a + 256].tobytes())) for k, a in enumerate(range(0, len(x), 256))]
+    got = packing.pieces(rows, path, 256, 0)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    packed = packing.pack(got.withColumn("offset", F.lit("?")).withColumn("gap", F.lit("?")), 256, task_rows=50)
+    assert sorted((tuple(r)[:5] for r in packed.collect()), key=str) == sorted(expected, key=str)
+    certified = packing.pack(spark.createDataFrame([(i, 0, 0, 128, 0) for i in range(40)], packing.PIECES), 256).collect()
+    assert len({r.sequence_id for r in certified}) == 20 and {r.gap for r in certified} == {0}
+
+
 def test_packing(spark, texts):
     ship(spark)
     rows = packing.pieces(docs_of(spark, texts), tokens.vocabulary("word_bpe_49k.json"), 256, 0)

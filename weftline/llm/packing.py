@@ -3,7 +3,7 @@
 Documents are dealt over partitions; each packs its own by best-fit decreasing and compares its number of bins with
 lower bounds from dual-feasible functions. A partition that meets its bound is done, but for its emptiest bin. What has
 a gap gives up the bins that waste most; their documents are exchanged between partitions and packed anew, in fewer
-partitions each round, until the bounds are met or one partition has packed what is left.
+partitions each round, until one partition has packed what is left or an exchange leaves as many documents open as it got.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from .tokens import piece_tokenizer
 
 #: Rows that one task packs.
 TASK_ROWS = 100_000
-#: Exchanges at most; the last takes every bin as it is.
-ROUNDS = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The ids of every text and end_id, cut into pieces of capacity only where they are more: one row per piece."""
+    """The ids of every text and end_id, cut into pieces of capacity only where they are more: one row per piece.
+
+    A null or empty text is the one piece (end_id). Every row counts, null and repeated doc_ids too; an empty table gives
+    an empty result. Other columns are ignored, whatever their names. A text of any length stays within one task's memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = piece_tokenizer(vocabulary), np.array([end_id], np.uint32)
@@ -117,23 +119,28 @@ def _pack_task(capacity: int, round_: int, last: bool):
 
 
 def pack(rows: DataFrame, capacity: int = 2048, task_rows: int = TASK_ROWS) -> DataFrame:
-    """rows with PIECES' columns -> the same with sequence_id and offset. A piece of full length is a sequence of its own.
+    """rows with PIECES' columns -> the same with sequence_id, offset and gap. A piece of full length is a sequence of its own.
 
-    Rows are dealt out evenly, whatever repeats in them. An empty table gives an empty result.
+    gap: by how many sequences the partition that packed a piece is above its lower bound, 0 where it is proved to be as
+    good as any packing of the same pieces. Rows are dealt out evenly, whatever repeats in them; ties of length go by
+    doc_id and piece. Other columns of rows are ignored. An empty table gives an empty result.
     """
     folder = scratch_dir(rows.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = materialise(rows.select(*names), "pieces", folder)
-    out = rows.filter(F.col("length") == capacity).select(*names, (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo, round_ = rows.filter(F.col("length") < capacity), 0
+    zero = F.lit(0).cast("long")
+    out = rows.filter(F.col("length") == capacity).select(*names, (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), zero.alias("offset"), zero.alias("gap"))
+    todo, round_, before = rows.filter(F.col("length") < capacity), 0, None
     while True:
-        tasks = -(-todo.count() // task_rows)
+        n = todo.count()
+        tasks = -(-n // task_rows)
         if tasks == 0:
             return out
-        last = tasks == 1 or round_ == ROUNDS
+        last = tasks == 1 or n == before
+        before = n
         dealt = todo.repartition(tasks) if tasks > 1 else todo.coalesce(1)
         packed = materialise(dealt.mapInPandas(_pack_task(capacity, round_, last), PIECES + ", sequence_id long, offset long, gap long, open boolean"), f"round{round_}", folder)
-        out = out.unionByName(packed.filter("not open").select(*names, "sequence_id", "offset"))
+        out = out.unionByName(packed.filter("not open").select(*names, "sequence_id", "offset", "gap"))
         if last:
             return out
         todo, round_ = packed.filter("open").select(*names), round_ + 1

@@ -1,12 +1,14 @@
 """Exact tokenisation with the tokenizers library, with a bounded cache of what stands between two spaces.
 
-Both vocabularies' pre-tokenizers never join characters across a single space that has no white space beside it, so
-the ids of a text are the ids of its pieces between such spaces, one after another; pieces repeat far more often than
-texts. A piece that is a run of letters and then ASCII punctuation is two pre-tokens, each with ids of its own.
+The two known pre-tokenizers never join characters across a single space that has no white space beside it, so the ids
+of a text are the ids of its pieces between such spaces, one after another; pieces repeat far more often than texts. A
+piece that is a run of letters and then ASCII punctuation is two pre-tokens, each with ids of its own. Spellings of added
+tokens are what the file says of them: a text is split at them first. Any other kind of file goes to the library as it is.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -29,6 +31,37 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = _byte_letters()
+#: The two kinds of files that are cut at spaces, by their normalizers' and pre-tokenizers' settings.
+_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN = (
+    (["NFC", ["Replace", r"\s+", " "], "Lowercase"], [["Split", _WORD_RULE, "Removed", True], ["ByteLevel", False, False]]),
+    ([], [["ByteLevel", False, True]]),
+)
+
+
+def _settings(step: dict | None) -> list:
+    """A normalizer or pre-tokenizer as a list of its steps and what they depend on."""
+    if step is None:
+        return []
+    kind, pattern = step["type"], (step.get("pattern") or {}).get("Regex")
+    if kind == "Sequence":
+        return [x for part in step.get("normalizers") or step.get("pretokenizers") for x in _settings(part)]
+    if kind == "Replace":
+        return [[kind, pattern, step["content"]]]
+    if kind == "Split":
+        return [[kind, pattern, step["behavior"], step["invert"]]]
+    if kind == "ByteLevel":
+        return [[kind, step["add_prefix_space"], step["use_regex"]]]
+    return [kind]
+
+
+def _known(spec: dict) -> bool:
+    """Whether a file's pieces between spaces can be encoded on their own, and letters by the model alone."""
+    model, added = spec["model"], spec["added_tokens"]
+    plain = model["type"] == "BPE" and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model.get("ignore_merges"))
+    fixed = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in added)
+    steps = (_settings(spec["normalizer"]), _settings(spec["pre_tokenizer"]))
+    return plain and fixed and spec["truncation"] is None and spec["padding"] is None and spec["post_processor"] is None and steps in _KNOWN
 
 
 def _odd(text: str) -> bool:
@@ -46,7 +79,12 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known = _known(spec)
+        #: Spellings of added tokens, the longest first, and their ids.
+        self.added = {a["content"]: array("I", [a["id"]]).tobytes() for a in sorted(spec["added_tokens"], key=lambda a: -len(a["content"]))}
+        self.spelt = re.compile(f"({'|'.join(map(re.escape, self.added))})") if self.added else None
         self.model, self.keep, self.longest = t.model, keep, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -96,20 +134,31 @@ class PieceTokenizer:
             self.young[word] = got
         return got
 
+    def _stretch(self, text: str) -> list[bytes]:
+        """The ids of a text without spellings of added tokens, piece by piece."""
+        if _odd(text):
+            first, *words = _CUT.split(text)
+            words = [w[1:] for w in words]
+        else:
+            first, *words = text.split(" ")
+        young, piece = self.young, self._piece
+        found = [self._whole(first)]
+        found += [young[w] if w in young else piece(w) for w in words]
+        if len(young) > self.keep:
+            self.young, self.old = {}, young
+        return found
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.known:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out = []
         for text in texts:
-            if _odd(text):
-                first, *words = _CUT.split(text)
-                words = [w[1:] for w in words]
+            if self.spelt is not None and self.spelt.search(text):
+                parts = [[self.added[x]] if x in self.added else self._stretch(x) for x in self.spelt.split(text) if x]
+                found = [b for part in parts for b in part]
             else:
-                first, *words = text.split(" ")
-            young, piece = self.young, self._piece
-            found = [self._whole(first)]
-            found += [young[w] if w in young else piece(w) for w in words]
+                found = self._stretch(text)
             out.append(np.frombuffer(b"".join(found), np.uint32))
-            if len(young) > self.keep:
-                self.young, self.old = {}, young
         return out
 
 
