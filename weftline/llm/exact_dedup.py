@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, scratch_dir, slices, text_bytes
+from .shared import hot_join, materialise, scratch_dir, slices, text_bytes
 
 #: Two primes under 2^31, and the base of the polynomial.
 PRIMES = (2147483647, 2147483629)
@@ -21,7 +21,7 @@ BASE = 1_000_003
 #: Bytes of a chunk of the vectorised pass.
 CHUNK = 4096
 #: Members of a group that one salt takes.
-SALT_ROWS = 512
+SALT_ROWS = 128
 
 
 def _power_table(prime: int, step: int, n: int) -> np.ndarray:
@@ -116,12 +116,13 @@ def fingerprint_table(docs: DataFrame, segment: int = 1 << 20, primes: tuple[int
     return short.select(*names).unionByName(long.select(*names))
 
 
-def exact_dedup(docs: DataFrame, segment: int = 1 << 20, primes: tuple[int, int] = PRIMES, broadcast_rows: int = 500_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, segment: int = 1 << 20, primes: tuple[int, int] = PRIMES, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, null counting as empty. The largest doc_id of a group stays (null ids are the
     smallest); of rows that repeat both text and doc_id one is kept. An empty table gives an empty result; other columns
-    are ignored. broadcast_rows: up to so many candidate rows are broadcast to find their texts; more are shuffled.
+    are ignored, whatever their names. broadcast_rows: the ids of up to so many candidate rows, 32 MB, are broadcast to
+    find their texts; beyond it all texts are shuffled.
     """
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession)
     prints = materialise(fingerprint_table(docs, segment, primes).withColumn("class", F.lit(0)), "prints", folder)
@@ -130,7 +131,7 @@ def exact_dedup(docs: DataFrame, segment: int = 1 << 20, primes: tuple[int, int]
     settled, todo, level = None, prints, 0
     while True:
         groups = todo.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("text_sha256", F.struct("doc_id", "text_sha256")).alias("keep_sha"))
-        rows = todo.join(groups, key)
+        rows = hot_join(todo, materialise(groups, f"groups{level}", folder), key, "group_size")
         wrong = _differing(rows.filter("group_size > 1"), texts, segment, key, broadcast_rows, folder, level)
         if wrong is None:
             done = rows
@@ -138,9 +139,9 @@ def exact_dedup(docs: DataFrame, segment: int = 1 << 20, primes: tuple[int, int]
         # A collision: rows that differ from the one that stays form groups of their own, among each other.
         marked = materialise(todo.join(wrong.withColumn("differs", F.lit(True)), [*key, "doc_id", "text_sha256"], "left"), f"marked{level}", folder)
         same = marked.filter("differs is null").drop("differs")
-        todo, level = marked.filter("differs").drop("differs").withColumn("class", F.lit(level + 1)), level + 1
+        todo, level = materialise(marked.filter("differs").drop("differs").withColumn("class", F.lit(level + 1)), f"todo{level}", folder), level + 1
         sized = same.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("text_sha256").alias("keep_sha"))
-        part = same.join(sized, key)
+        part = hot_join(same, materialise(sized, f"sized{level}", folder), key, "group_size")
         settled = part if settled is None else settled.unionByName(part)
     out = done if settled is None else settled.unionByName(done)
     out = out.select("doc_id", "keep_id", "group_size", "text_sha256")
@@ -161,9 +162,11 @@ def _differing(members: DataFrame, texts: DataFrame, segment: int, key: list[str
     found = materialise(found, f"candidates{level}", folder)
     if found.isEmpty():
         return None
-    side = F.broadcast(found) if found.count() <= broadcast_rows else found
-    own = texts.join(side, texts["doc_id"].eqNullSafe(side["doc_id"])).drop(texts["doc_id"])
-    own = own.filter(F.sha2("text", 256) == F.col("text_sha256"))
+    if found.count() <= broadcast_rows:  # only candidates' texts are shuffled
+        ids = F.broadcast(found.filter("doc_id is not null").select("doc_id").distinct())
+        texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null"))
+    texts = texts.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), "text")
+    own = texts.join(found.hint("merge"), texts["id"].eqNullSafe(found["doc_id"]) & (texts["sha"] == found["text_sha256"])).drop("id", "sha")
     chunks = own.select("*", F.posexplode(_segments(F.col("text"), segment)).alias("k", "chunk")).drop("text")
     theirs = (
         chunks.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha")))

@@ -49,6 +49,30 @@ def materialise(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Groups that ``hot_join`` broadcasts at most.
+HOT_GROUPS = 20_000
+
+
+def large_group(total: int, most: int = HOT_GROUPS) -> int:
+    """The size beyond which a group of ``total`` rows is hot: there can't be more than ``most`` of these."""
+    return max(256, -(-total // most))
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most: int = HOT_GROUPS) -> DataFrame:
+    """rows joined with their groups, one row per key, of which ``size`` counts the rows. Both should be stored tables.
+
+    Hot groups, of which there are few whatever the size of the table, are broadcast to their rows; only the rest is
+    shuffled by key, so no task gets a large group.
+    """
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    large = large_group(total or 0, most)
+    if (largest or 0) <= large:
+        return rows.join(groups, keys)
+    known = F.broadcast(groups.filter(F.col(size) > large))
+    others = rows.join(F.broadcast(groups.filter(F.col(size) > large).select(*keys)), keys, "left_anti")
+    return rows.join(known, keys).unionByName(others.join(groups.filter(F.col(size) <= large), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
