@@ -2,8 +2,8 @@
 
 A vector x gets a coordinate more, sqrt(M^2 - |x|^2) with M the largest norm, and a query a zero: then |q - x|^2 is
 |q|^2 + M^2 - 2 q.x, so the nearest by distance are those of the largest inner product, and the triangle inequality
-holds. Vectors are dealt over shards of bounded size; each builds a tree, and blocks of queries search every tree. A
-subtree is passed over if ``relax`` times the query's distance from the ball or shell that holds it exceeds the k-th
+holds. Vectors are dealt over shards of bounded size; a task builds its shard's tree once and streams blocks of queries
+through it. A subtree is passed over if ``relax`` times the query's distance from the ball or shell that holds it exceeds the k-th
 distance so far; a factor of one is the exact search, more prunes more.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import materialise, scratch_dir, ship
 
 #: Vectors of a shard and queries of a block; vectors of a leaf.
-SHARD, BLOCK, LEAF = 16_384, 2_048, 192
+SHARD, BLOCK, LEAF = 65_536, 2_048, 256
 #: Rounding of the distances, relative to the largest norms: what lies this near the bound is not passed over.
 SLACK = 1e-6
 
@@ -63,6 +63,7 @@ class Tree:
         reach = qnorms + (self.x**2).sum(1).max()
         # What a product may be off by, and so two orders of adding up.
         off, qoff = np.sqrt(norms), np.sqrt(qnorms) * (4 * raw.shape[1] * np.finfo(float).eps)
+        top = off.max()
         stack: list[tuple] = [(self.root, np.arange(len(q)), np.zeros(len(q)))]
         while stack:
             node, some, least = stack.pop()
@@ -75,6 +76,12 @@ class Tree:
             if entry[0] is None:
                 own = entry[1]
                 d = asked[some] @ raw[own].T
+                # Only queries that the leaf may bring something, rounding allowed for.
+                hope = np.flatnonzero(d.max(1) + (off[own].max() + top) * qoff[some] >= best[some, -1])
+                if len(hope) < len(some):
+                    some, d = some[hope], d[hope]
+                if len(some) == 0:
+                    continue
                 both, ids = np.concatenate((best[some], d), 1), np.concatenate((who[some], np.broadcast_to(own, d.shape)), 1)
                 pick = np.argpartition(-both, k - 1, axis=1)[:, :k]
                 rows = np.arange(len(some))[:, None]
@@ -105,8 +112,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def _packs(rows: DataFrame, number: str, size: int, n: int) -> DataFrame:
-    """Rows dealt evenly into n packs of about ``size``, each one row: number, ids, vectors (float64, end to end), dim."""
+def _packs(rows: DataFrame, number: str, n: int) -> DataFrame:
+    """Rows dealt evenly into n packs, each one row: number, ids, vectors (float64, end to end), dim."""
 
     def run(key, table):
         order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
@@ -123,38 +130,45 @@ def _packs(rows: DataFrame, number: str, size: int, n: int) -> DataFrame:
     return numbered.groupBy(number).applyInArrow(run, f"{number} int, ids binary, vectors binary, dim int")
 
 
+def _searched(row: dict, k: int, relax: float, held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id, score of a block of queries against the tree that is held."""
+    ids, distinct, order, firsts, tree = held
+    qids, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+    _, who = tree.search(np.column_stack((q, np.zeros(len(q)))), min(k + 1, len(distinct)), relax, ids[order[firsts[:-1]]])
+    out_q, out_v, out_s = [], [], []
+    for i in range(len(q)):
+        found = who[i][who[i] >= 0]
+        # Each vector's smallest ids: k of them besides the query's own suffice.
+        own = np.concatenate([order[firsts[f] : min(firsts[f + 1], firsts[f] + k + 1)] for f in found]) if len(found) else np.zeros(0, np.int64)
+        sims = np.cumsum(distinct[found] * q[i], axis=1)[:, -1]  # added from the first component to the last
+        sims = np.repeat(sims, [min(firsts[f + 1] - firsts[f], k + 1) for f in found])
+        keep = ids[own] != qids[i]
+        own, sims = ids[own[keep]], sims[keep]
+        first = np.lexsort((own, -sims))[:k]
+        out_q.append(np.full(len(first), qids[i]))
+        out_v.append(own[first])
+        out_s.append(sims[first])
+    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+
+
 def _search(k: int, relax: float, top: float):
+    """Rows (shard, part, block, ids, vectors, dim) in this order: a shard's vectors, block -1, and then blocks of queries."""
+
     def run(batches):
-        held: tuple = (None,)
+        held: tuple = ()
         for batch in batches:
-            for row in batch.to_pylist():
-                if held[0] != row["shard"]:
-                    ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-                    distinct, inverse = np.unique(x, axis=0, return_inverse=True)
-                    inverse = inverse.ravel()
-                    order = np.lexsort((ids, inverse))
-                    firsts = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
-                    extra = np.sqrt(np.maximum(top**2 - (distinct**2).sum(1), 0))
-                    held = (row["shard"], ids, distinct, order, firsts, Tree(np.column_stack((distinct, extra))))
-                _, ids, distinct, order, firsts, tree = held
-                qids, q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, row["q_dim"])
-                if q.shape[1] != distinct.shape[1]:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                if row["block"] >= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _searched(row, k, relax, held)], names=["query_id", "vec_id", "score"])
                     continue
-                _, who = tree.search(np.column_stack((q, np.zeros(len(q)))), min(k + 1, len(distinct)), relax, ids[order[firsts[:-1]]])
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(q)):
-                    found = who[i][who[i] >= 0]
-                    # Each vector's smallest ids: k of them besides the query's own suffice.
-                    own = np.concatenate([order[firsts[f] : min(firsts[f + 1], firsts[f] + k + 1)] for f in found]) if len(found) else np.zeros(0, np.int64)
-                    sims = np.cumsum(distinct[found] * q[i], axis=1)[:, -1]  # added from the first component to the last
-                    sims = np.repeat(sims, [min(firsts[f + 1] - firsts[f], k + 1) for f in found])
-                    keep = ids[own] != qids[i]
-                    own, sims = ids[own[keep]], sims[keep]
-                    first = np.lexsort((own, -sims))[:k]
-                    out_q.append(np.full(len(first), qids[i]))
-                    out_v.append(own[first])
-                    out_s.append(sims[first])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                distinct, inverse = np.unique(x, axis=0, return_inverse=True)
+                inverse = inverse.ravel()
+                order = np.lexsort((ids, inverse))
+                firsts = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
+                extra = np.sqrt(np.maximum(top**2 - (distinct**2).sum(1), 0))
+                held = (ids, distinct, order, firsts, Tree(np.column_stack((distinct, extra))))
 
     return run
 
@@ -164,7 +178,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, relax: float = 1.0
     other ids with the largest inner product in double precision, ties to the smaller vec_id; all, if there are fewer.
 
     Vectors null, zero, or with a null or non-finite component take no part, nor do pairs of different lengths, nor null
-    ids. Queries that repeat an id give one result. An empty table gives an empty result; other columns are ignored.
+    ids. Queries that repeat an id give one result; rows that repeat an id and a vector are candidates each. An empty table
+    gives an empty result; other columns are ignored, whatever their names. relax 1 is exact; more passes over subtrees
+    that may hold some of the k.
     """
     spark, folder = vectors.sparkSession, scratch_dir(vectors.sparkSession)
     ship(spark)
@@ -176,13 +192,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, relax: float = 1.0
         if not asks:
             continue
         own, shards, blocks = rows.filter(F.col("dim") == dim), -(-n // shard), -(-asks // block)
-        packed = materialise(_packs(own.select("vec_id", "vector"), "shard", shard, shards), f"shards{dim}", folder)
-        asked = _packs(own.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vector"), "block", block, blocks)
-        asked = materialise(asked.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim")), f"blocks{dim}", folder)
-        # Every block of the stated queries meets every shard, as a join on the shard's number.
-        pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(packed.hint("shuffle_hash"), "shard")
-        pairs = pairs.repartition(max(1, min(shards * blocks, 4 * spark.sparkContext.defaultParallelism)), "shard", "block").sortWithinPartitions("shard", "block")
-        parts.append(pairs.mapInArrow(_search(k, relax, math.sqrt(top)), "query_id long, vec_id long, score double"))
+        packed = materialise(_packs(own.select("vec_id", "vector"), "shard", shards), f"shards{dim}", folder)
+        asked = materialise(_packs(own.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "vector"), "block", blocks), f"blocks{dim}", folder)
+        # Every block of the stated queries meets every shard: as rows that follow it. Where there are fewer shards than
+        # tasks, a shard's blocks are dealt over several.
+        tasks = spark.sparkContext.defaultParallelism
+        shares = min(blocks, -(-tasks // shards))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        data = ["ids", "vectors", "dim"]
+        trees = packed.select("shard", every(shares).alias("part"), F.lit(-1).alias("block"), *data)
+        asking = asked.select(every(shards).alias("shard"), F.pmod(F.col("block"), F.lit(shares)).alias("part"), "block", *data)
+        runs = trees.unionByName(asking).repartition(min(shards * shares, 16 * tasks), "shard", "part").sortWithinPartitions("shard", "part", "block")
+        parts.append(runs.mapInArrow(_search(k, relax, math.sqrt(top)), "query_id long, vec_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
