@@ -1,21 +1,23 @@
-"""License scans by ordered signature rules. DataFrame functions only; every step is local to its row, so nothing is shuffled.
+"""License scans by ordered signature rules. DataFrame functions only; texts are never shuffled.
 
-A text is looked at only if a word of some phrase or keyword occurs in it at all, as a plain search. The rules are
+A text is looked at only if a stem of some phrase or keyword occurs in it at all, as a plain search. The rules are
 regexes over the text's words, lower-cased and set apart by single spaces. A rule runs only if its keyword occurs; its
-detections are intervals of words. Detections are taken by priority, then length, and one that lies within
-a detection taken before is suppressed.
+detections are intervals of words. Detections are taken by priority, then length, and one that lies within a detection
+taken before is suppressed: that is, one that lies within any other of an earlier place in this order, as what holds a
+suppressed one holds the other too. So one pass over the intervals by start, with the farthest end so far of each
+priority, tells which stay. Intervals are rows, in windows by text: their cost grows with their number, not its square.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, materialise, scratch_dir
+from .signatures import STEMS, build_rules
 
 #: What separates words; words are runs of 0-9, a-z (after lower-casing A-Z) and non-ASCII characters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,65 +25,15 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: label, keyword, name, versions: the families whose rules are built below.
-FAMILIES = (
-    ("mit", "mit", "(?:the )?mit", ""), ("apache", "apache", "(?:the )?apache(?: software)?", "1 0,1 1,2 0"),
-    ("gpl", "general public", "(?:the )?(?:gnu )?general public", "1,2,2 0,3,3 0"), ("lgpl", "lesser general", "(?:the )?(?:gnu )?lesser general public", "2 1,3,3 0"),
-    ("agpl", "affero", "(?:the )?(?:gnu )?affero general public", "1,3,3 0"), ("bsd", "bsd", "(?:the )?(?:new |modified |simplified |revised )?bsd", "2 clause,3 clause,4 clause"),
-    ("mpl", "mozilla", "(?:the )?mozilla public", "1 0,1 1,2 0"), ("epl", "eclipse", "(?:the )?eclipse public", "1 0,2 0"), ("cddl", "common development", "(?:the )?common development and distribution", "1 0,1 1"),
-    ("cc by", "creative commons", "(?:a |the )?creative commons attribution", "1 0,2 0,2 5,3 0,4 0"), ("cc0", "cc0", "(?:the )?cc0", "1 0"),
-    ("isc", "isc", "(?:the )?isc", ""), ("zlib", "zlib", "(?:the )?zlib(?: libpng)?", ""), ("boost", "boost", "(?:the )?boost software", "1 0"), ("artistic", "artistic", "(?:the )?artistic", "1 0,2 0"),
-    ("python", "python software", "(?:the )?python software foundation", "2"), ("php", "php", "(?:the )?php", "3 0,3 01"), ("unlicense", "unlicense", "(?:the )?unlicense", ""),
-    ("wtfpl", "wtfpl", "(?:the )?wtfpl", "2"), ("ofl", "sil open", "(?:the )?sil open font", "1 0,1 1"), ("eupl", "european union public", "(?:the )?european union public", "1 1,1 2"), ("msl", "microsoft public", "(?:the )?microsoft public", ""),
-)
-#: Short names, as in SPDX identifiers, by label.
-SHORT = {"apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "cddl": "cddl", "cc by": "cc by", "cc0": "cc0", "isc": "isc", "zlib": "zlib", "boost": "bsl", "artistic": "artistic", "mit": "mit", "ofl": "ofl", "eupl": "eupl", "unlicense": "unlicense", "wtfpl": "wtfpl", "php": "php", "python": "psf", "msl": "ms pl"}
-#: Sentences of license texts: priority, label, keyword, regex.
-TEXTS = (
-    (1, "mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    (1, "isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    (1, "bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    (1, "apache", "compliance with the license", r"you may not use this file except in compliance with the license"),
-    (1, "gpl", "free software you can", r"this program is free software you can redistribute it and or modify it under the terms"),
-    (1, "lgpl", "free software you can", r"this library is free software you can redistribute it and or modify it under the terms"),
-    (1, "mpl", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
-    (1, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    (1, "zlib", "provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    (6, "public domain", "public domain", r"(?:released into|dedicated to|placed in|in) the public domain"),
-    (7, "proprietary", "all rights reserved", r"all rights reserved"), (7, "proprietary", "confidential", r"proprietary and confidential"),
-    (8, "notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), (9, "unknown", "licen", r"licen[sc]e[ds]?"),
-)
-
-
-def build_rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, regex): the texts' sentences and, for each family, its grants, names, versions and identifiers.
-
-    Every family rule needs ``licen``.
-    """
-    rules = list(TEXTS)
-    for label, keyword, name, versions in FAMILIES:
-        lic, short = "licen[sc]e", SHORT[label]
-        for verb in ("licensed", "released", "distributed", "available", "provided", "published", "covered"):
-            rules.append((2, label, keyword, f"{verb} (?:under|by|with) (?:the terms of )?{name} {lic}"))
-        rules.append((3, label, keyword, f"(?:subject to|under) the terms (?:and conditions )?of {name} {lic}"))
-        rules.append((3, label, keyword, f"(?:see|read) {name} {lic}"))
-        for version in filter(None, versions.split(",")):
-            rules.append((2, label, keyword, f"{name} {lic} (?:version |v )?{version}"))
-            rules.append((2, label, "spdx", f"spdx license identifier {short} v?{version}(?: only| or later)?"))
-            rules.append((4, label, short, f"{short} {version} licen[sc]ed?"))
-        rules.append((2, label, "spdx", f"spdx license identifier {short}"))
-        rules.append((4, label, keyword, f"{name} {lic}"))
-        rules.append((5, label, short, f"{short} licensed"))
-    return rules
-
-
 RULES = build_rules()
 
 
-def _may_match(lowered: Column, base: Sequence[tuple[str, str]], rules: Sequence[tuple[int, str, str, str]]) -> Column:
-    """Whether every word of some base phrase occurs, or a part that some rule needs: ``licen``, or its keyword's longest word."""
-    needed = {"licen" if re.search(r"licen(?!\w*\)\?)", regex) else max(keyword.split(), key=len) for _, _, keyword, regex in rules}
-    ways = [[w] for w in sorted(needed)] + [words for phrase, _ in base if not any(n in phrase for n in needed) for words in [phrase.split()]]
+def _may_match(lowered: Column, base: Sequence[tuple[str, str]], rules: Sequence[tuple[int, str, str, str]], stems: Sequence[str]) -> Column:
+    """Whether a stem that every rule's keyword holds occurs, or every word of some base phrase."""
+    if odd := [keyword for _, _, keyword, _ in rules if not any(x in keyword for x in stems)]:
+        raise ValueError(f"keywords without a stem: {odd}")
+    used = [x for x in stems if any(x in keyword for _, _, keyword, _ in rules)]
+    ways = [[x] for x in used] + [words for phrase, _ in base if not any(x in phrase for x in used) for words in [phrase.split()]]
     return F.coalesce(reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(lowered, F.lit(w)) for w in words)) for words in ways)), F.lit(False))
 
 
@@ -90,17 +42,22 @@ def _count_words(padded: Column) -> Column:
     return ((F.length(padded) - F.length(F.replace(padded, F.lit(" ")))) / 2).cast("long")
 
 
-def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequence[tuple[int, str, str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequence[tuple[int, str, str, str]] | None = None, stems: Sequence[str] = STEMS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
+    detections are structs (p, size, start, stop, label) of what stays, by priority, then length (size is its negative),
+    start, stop and label; of equal ones, one. rules: (priority, label, keyword, regex), the keyword standing in every
+    match and holding one of ``stems``.
+
     n_base counts the places of base phrases; first_word and last_word are their smallest and largest start. labels are
     the base labels and those of the detections that stay; ``unknown`` is named only where nothing else is. score is
     1 for a license text or grant, less for weaker signs, 0 for none. Null texts are empty; an empty table gives an
-    empty result; repeated rows are scanned each; other columns are ignored.
+    empty result; repeated rows and ids are scanned each; other columns are ignored, whatever their names.
     """
     rules = RULES if rules is None else rules
+    folder = scratch_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lower("text").alias("lowered"))
-    rows = rows.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), _may_match(F.col("lowered"), base, rules).alias("open"))
+    rows = rows.select("doc_id", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), _may_match(F.col("lowered"), base, rules, stems).alias("open"))
     spaced = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(F.col("text")), GAP, "  "), F.lit(" "))
     # Gaps at the ends leave lone spaces behind; one space on either side of each word, none elsewhere.
     spaced = F.regexp_replace(F.regexp_replace(spaced, r"^ +(?=[^ ]|$)", " "), r" +$", " ")
@@ -125,12 +82,14 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequenc
         F.array_compact(F.array(*(F.when(F.col(f"cut{k}").isNotNull(), F.lit(label)) for k, (_, label) in enumerate(base)))).alias("base_found"),
     )
 
-    # Signature rules: the keyword gates each.
-    table = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{regex})(?= )").alias("regex")) for p, label, keyword, regex in rules))
-    single = F.when(F.col("padded") != "", F.replace("padded", F.lit("  "), F.lit(" ")))
-    rows = rows.withColumn("words", single)
-    kept = _taken(_detections(F.col("words"), table))
-    rows = rows.withColumn("detections", F.when(F.col("words").isNotNull(), kept))
+    # Signature rules: the keyword gates each. Nothing of the text goes on, only its intervals.
+    table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{regex})(?= )").alias("regex")) for k, (p, label, keyword, regex) in enumerate(rules)))
+    rows = rows.withColumn("words", F.when(F.col("padded") != "", F.replace("padded", F.lit("  "), F.lit(" "))))
+    rows = rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_found", _hits(F.col("words"), table).alias("hits"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "scanned", folder)
+    found = _kept(rows.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*"), sorted({r[0] for r in rules}))
+    kept = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "size", "start", "stop", "label"))).alias("detections"))
+    rows = rows.drop("hits").join(kept, "row", "left")
     named = F.transform("detections", lambda d: d["label"])
     clear = F.filter(named, lambda x: x != "unknown")
     found = F.array_sort(F.array_distinct(F.concat("base_found", F.coalesce(F.when(F.size(clear) + F.size("base_found") > 0, clear).otherwise(named), F.array().cast("array<string>")))))
@@ -142,28 +101,34 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, rules: Sequenc
     )
 
 
-def _detections(words: Column, table: Column) -> Column:
-    """array<struct<p, size, start, stop, label>>: every match of every rule whose keyword occurs, as words start to stop."""
+def _blanks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
-    def of(rule: Column) -> Column:
-        pieces, hits = F.split(words, rule["regex"], -1), F.regexp_extract_all(words, rule["regex"], F.lit(0))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:int,size:int,start:int,stop:int,label:string>>").alias("out"))
 
-        def step(a: Column, x: Column) -> Column:
-            blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" ")))
-            began = a["at"] + blanks(x["piece"])
-            size = blanks(x["hit"]) + 1
-            hit = F.struct(rule["p"].alias("p"), (-size).alias("size"), (began - 1).alias("start"), (began - 1 + size).alias("stop"), rule["label"].alias("label"))
-            return F.struct((began + size - 1).alias("at"), F.concat(a["out"], F.array(hit)).alias("out"))
+def _hits(words: Column, table: Column) -> Column:
+    """array<struct<rule, p, label, k, gap, size>>: every match of every rule whose keyword occurs. A rule's k-th match has
+    ``size`` words, and ``gap`` spaces before it from the match before (from the start of words)."""
 
-        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def of(rule: Column) -> Column:
+        pieces, hits = F.split(words, rule["regex"], -1), F.regexp_extract_all(words, rule["regex"], F.lit(0))
+        pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(_blanks(p).alias("gap"), (_blanks(h) + 1).alias("size")))
+        return F.transform(pairs, lambda x, k: F.struct(rule["rule"].alias("rule"), rule["p"].alias("p"), rule["label"].alias("label"), k.alias("k"), x["gap"].alias("gap"), x["size"].alias("size")))
 
     live = F.filter(table, lambda r: F.contains(words, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(live, of)))
+    return F.flatten(F.transform(live, of))
 
 
-def _taken(detections: Column) -> Column:
-    """By priority, then length: those that lie within none taken before."""
-    empty = F.array().cast("array<struct<p:int,size:int,start:int,stop:int,label:string>>")
-    return F.aggregate(detections, empty, lambda out, d: F.when(F.exists(out, lambda o: (o["start"] <= d["start"]) & (o["stop"] >= d["stop"])), out).otherwise(F.concat(out, F.array(d))))
+def _kept(hits: DataFrame, priorities: Sequence[int]) -> DataFrame:
+    """hits (row, rule, p, label, k, gap, size) -> row, p, size, start, stop, label of those that lie within none that goes before.
+
+    A match starts after all spaces before it but its own: those of gaps, and those within earlier matches of its rule.
+    """
+    hits = hits.repartition("row")
+    order = Window.partitionBy("row", "rule").orderBy("k")
+    start = F.sum(F.col("gap") + F.col("size") - 1).over(order) - F.col("size")
+    placed = hits.withColumn("start", start.cast("int")).select("row", "p", "label", (-F.col("size")).alias("size"), "start", (F.col("start") + F.col("size")).alias("stop"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("stop"), "p", "label").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.lit(False)
+    for level in priorities:
+        held = held | ((F.col("p") == level) & (F.coalesce(F.max(F.when(F.col("p") <= level, F.col("stop"))).over(before), F.lit(-1)) >= F.col("stop")))
+    return placed.withColumn("held", held).filter("not held").select("row", "p", "size", "start", "stop", "label")
