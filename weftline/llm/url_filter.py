@@ -19,28 +19,40 @@ BUCKETS = 4096
 LENGTHS = (3, 4)
 #: (rule, verdict), rule being host/path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: The labelled table: URLs to keep, and URLs to block.
-GOOD = """
-https://www.city-library.org/en/catalogue/history https://blog.gardeners.com/en/2021/tomatoes
-https://docs.northwind.dev/guide/install.html http://news.harbour.co.uk/world/1234 https://m.railways.fr/fr/horaires/paris
-https://www.museum.de/de/ausstellung/55 https://university.edu/research/papers/77 https://www.weather.es/es/madrid/482
-https://recipes.kitchen.net/soups/onion https://forum.cyclists.org/thread/9012?page=2 https://example.com/en/853/
-https://blog.example.org/fr/960 https://m.example.com/es/474.html https://www.example.org/de/39547.html http://shop.books.com/item/8841
-https://stories.example.com/en/12440#top https://archive.example.org/en/7198 http://maps.example.com/fr/825 https://wiki.science.org/article/Gravity
-https://www.hospital.org/departments/eyes https://school.example.com/es/26123?ref=x https://en.travel.com/guide/rome
-https://blog.painters.fr/atelier/35332/ https://www.parliament.org/en/debates/2019/1 https://lab.chemistry.edu/notes/12 https://theatre.example.org/en/369
-https://code.example.com/repo/readme.html https://m.sports.com/results/533/ https://thenation.example.com/en/671 https://there.example.org/es/990/
-https://blog.notion.example.com/fr/44.html http://www.thing.example.org/en/728 https://radio.example.org/en/podcast/5 https://tools.example.com/en/201
-""".split()
-BAD = """
-http://spam-farm.biz/en/1?utm_source=feed https://spam-links.example.com/de/55 http://link-farm.info/cheap/pills https://www.spam-site.org/en/900
-http://seo-farm.example.org/page/77 https://casino-bonus.win/play/now http://free-pills-online.biz/buy/viagra https://best-casino.example.org/en/slots
-http://click-farm.example.com/fr/88 https://spamfarm.net/es/12 http://cheap-loans-fast.biz/apply https://win-free-prize.click/claim/now
-http://adult-cams.xxx/live/1 https://hot-adult-chat.example.com/en/4 http://replica-watches-shop.biz/buy https://download-crack-free.info/keygen
-http://spam.example.org/en/728 https://farm-spam.example.net/de/3 http://content-farm.example.org/en/685?utm_source=feed https://bet-casino-spam.com/bonus
-http://buy-followers-cheap.click/now https://free-money-spam.win/en/1 http://pills-farm.example.com/en/676 https://spam-farm.example.com/fr/12.html
-http://porn-spam.example.org/x https://link-spam-farm.example.org/es/17/ http://crypto-giveaway-win.click/double https://ad-farm.example.org/en/25#top
-""".split()
+#: Rows of the labelled table of each class.
+TABLE_ROWS = 360
+#: What the labelled table is made of: parts of site names by class, subdomains, top levels, and paths by class.
+GOOD_NAMES = """library museum garden weather railway harbour recipe kitchen cycling science history theatre hospital school university painter
+chemistry parliament radio archive village mountain river coffee bakery cinema orchestra poetry novel atlas planet telescope insect bird forest
+farmhouse bookshop teacher engineer carpenter physics geology language grammar dictionary newspaper gazette tribune chronicle economy council
+climate energy housing transport nursing medicine dentist pharmacy veterinary sailing climbing running football chess piano guitar knitting
+pottery photography camera drawing software compiler database network protocol kernel tutorial handbook forum wiki notes journal letters""".split()
+BAD_NAMES = """casino poker slots roulette betting bets jackpot lottery adult porn xxx cams escort dating pills viagra pharma steroid loans payday
+credit crypto giveaway airdrop replica watches crack keygen warez spam seo backlinks linkfarm followers likes prize sweepstake freebie
+clickbait traffic popup toolbar malware phishing""".split()
+BAD_HINTS = "free cheap best hot win fast easy buy online bonus farm club vip x money".split()
+SUBDOMAINS = ("", "www.", "blog.", "m.", "shop.", "news.", "en.", "forum.")
+GOOD_ENDS = ("com", "org", "net", "edu", "de", "fr", "co.uk", "info", "dev", "example.com", "example.org", "example.net")
+BAD_ENDS = ("com", "biz", "net", "win", "click", "info", "top", "org", "xyz", "example.com", "example.org", "example.net")
+GOOD_PATHS = ("/en/{0}", "/fr/{0}.html", "/de/{0}/", "/es/{0}", "/article/{0}", "/news/2021/{0}", "/wiki/topic_{0}", "/", "/guide/install.html", "/thread/{0}?page=2", "/en/{0}#top", "/about")
+BAD_PATHS = ("/en/{0}", "/fr/{0}.html", "/de/{0}/", "/es/{0}", "/play/now", "/buy?id={0}", "/claim/bonus", "/", "/signup/free", "/en/{0}?utm_source=feed", "/go/{0}", "/offer/{0}")
+
+
+def labelled_urls(rows: int = TABLE_ROWS) -> tuple[list[str], list[str]]:
+    """The labelled table: URLs to keep and URLs to block, ``rows`` of each, by a fixed rule over the parts above.
+
+    Names, ends and paths are taken in steps without a common divisor with their number, so each meets many others.
+    """
+    good, bad = [], []
+    for k in range(rows):
+        number = 7 + 131 * k % 9973
+        two = GOOD_NAMES[(7 * k + 3 + k // len(GOOD_NAMES)) % len(GOOD_NAMES)]
+        name = GOOD_NAMES[k % len(GOOD_NAMES)] + ("", two, "-" + two)[k % 3]
+        good.append(f"https://{SUBDOMAINS[5 * k % 8]}{name}.{GOOD_ENDS[(7 * k + k // 12) % 12]}{GOOD_PATHS[(5 * k + k // 7) % 12].format(number)}")
+        hint, word = BAD_HINTS[(4 * k + k // 15) % len(BAD_HINTS)], BAD_NAMES[k % len(BAD_NAMES)]
+        name = (f"{word}-{hint}", f"{hint}-{word}", f"{word}{hint}", f"{hint}{word}")[(k + k // len(BAD_NAMES)) % 4]
+        bad.append(f"http://{SUBDOMAINS[3 * k % 8]}{name}.{BAD_ENDS[(5 * k + k // 12) % 12]}{BAD_PATHS[(7 * k + k // 7) % 12].format(number)}")
+    return good, bad
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -53,7 +65,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null. A rule fits its host and all subdomains, if the path starts with the rule's."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda r: len(r[0])):
+    for rule, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):
         own, slash, under = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(slash + under)
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -69,8 +81,13 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(F.concat(F.lit("^"), text, F.lit("$")), salt, n) for salt, text in ((1, host), (2, path)) for n in LENGTHS))
 
 
-def train(spark: SparkSession, good: Sequence[str] = GOOD, bad: Sequence[str] = BAD, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> list[float]:
-    """Weights of the buckets, the last the bias, by stochastic gradient steps over the labelled table, in a fixed order."""
+def train(spark: SparkSession, good: Sequence[str] | None = None, bad: Sequence[str] | None = None, rounds: int = 20, rate: float = 0.5, ridge: float = 1e-4) -> list[float]:
+    """Weights of the buckets, the last the bias, by stochastic gradient steps over the labelled table, in a fixed order.
+
+    Without URLs of its own it learns from ``labelled_urls``, which doesn't grow with the pages.
+    """
+    if good is None or bad is None:
+        good, bad = labelled_urls()
     table = spark.createDataFrame([(k, u, y) for k, (u, y) in enumerate([*((u, 0) for u in good), *((u, 1) for u in bad)])], "k int, url string, y int")
     host, path = url_parts(F.col("url"))
     rows = [(r["y"], sorted(set(r["g"]))) for r in table.select("k", "y", host.alias("h"), path.alias("p")).select("k", "y", grams(F.col("h"), F.col("p")).alias("g")).orderBy("k").collect()]
@@ -92,8 +109,10 @@ def train(spark: SparkSession, good: Sequence[str] = GOOD, bad: Sequence[str] =
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, weights: list[float] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row; the score is the model's likelihood of ``block``.
 
-    The longest rule that fits decides, else the model. An empty host is scored as such (and allowed by the model that
-    is trained here). An empty table gives an empty result; repeated rows are judged each; other columns are ignored.
+    The longest rule that fits decides (of equally long ones the first of ``rules``), else the model: a score over 0.5 is
+    ``block``, one of exactly 0.5 ``allow``. A null URL or one without ``://`` has an empty host and path and is scored as
+    such. URLs of any length are scored whole. An empty table gives an empty result; repeated rows are judged each; other
+    columns are ignored, whatever their names.
     """
     w = weights or train(pages.sparkSession)
     literal = F.lit(",".join(f"{x:.9g}" for x in w[:BUCKETS]))
