@@ -1,8 +1,4 @@
-"""An inverted index as tables: postings with positions, vocabulary, BM25, phrases, prefixes, tiers.
-
-``postings``, ``frequencies`` and ``vocabulary`` make tables keyed by term, but none is stored: ``bm25`` tokenises every
-document on each query, and gathers nothing but term statistics and matching documents.
-"""
+"""What a text index rests on: postings, vocabulary, rarity, the parts of BM25; and the search without an index."""
 
 from __future__ import annotations
 
@@ -19,11 +15,6 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
 
 
-def frequencies(post: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl): what BM25 and boolean queries need, much smaller than postings."""
-    return post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
 def vocabulary(post: DataFrame) -> DataFrame:
     tf = post.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
@@ -41,51 +32,11 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25_part(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column) -> Column:
+    """What one term adds to a document's score."""
     weight = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, tokens: Column, terms: Sequence[str], every: bool = False) -> DataFrame:
-    """(doc_id, score) of the documents that have any, or every, term.
-
-    A document's term frequencies are counted where it is read; only the statistics, one row, are gathered and broadcast.
-    """
-    terms = list(dict.fromkeys(terms))
-    wanted = F.array(*map(F.lit, terms))
-    counted = docs.select("doc_id", tokens.alias("tokens")).select(
-        "doc_id", F.size("tokens").alias("dl"), F.transform(wanted, lambda t: F.size(F.filter("tokens", lambda x: x == t))).alias("tf")
-    )
-    rows = counted.filter("dl > 0")
-    n_df = F.array(*(F.count_if(F.col("tf")[k] > 0) for k in range(len(terms))))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), n_df.alias("df"))
-    hit = F.array_max("tf") > 0 if not every else F.array_min("tf") > 0
-    joined = rows.filter(hit).crossJoin(F.broadcast(stats))  # one row
-    parts = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, bm25_part(tf, F.col("dl"), F.col("n"), df, F.col("avgdl"))).otherwise(0.0))
-    return joined.select("doc_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"))
-
-
-def has_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
-    """Whether the tokens of a phrase stand one after another."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
-
-
-def has_prefix(tokens: Column, prefix: str) -> Column:
-    return F.exists(tokens, lambda t: t.startswith(prefix))
-
-
-def tier(tokens: Column, terms: Sequence[str], subjects: Sequence[str]) -> Column:
-    """1: all terms; 2: all subjects; 3: any subject; else null."""
-    have = lambda words: F.size(F.array_intersect(tokens, F.array(*map(F.lit, words))))
-    return F.when(have(terms) == len(set(terms)), 1).when(have(subjects) == len(set(subjects)), 2).when(have(subjects) > 0, 3)
-
-
-def tiered(docs: DataFrame, tokens: Column, terms: Sequence[str], subjects: Sequence[str], limit: int) -> DataFrame:
-    """Top ``limit`` documents by tier, then BM25, in one pass rather than one job per tier."""
-    scored = bm25(docs, tokens, terms)
-    placed = docs.select("doc_id", tier(tokens, terms, subjects).alias("tier")).filter("tier is not null")
-    return placed.join(scored, "doc_id").orderBy("tier", F.desc(F.round("score", 9)), "doc_id").limit(limit)
-
-
 def substring_hits(text: Column, terms: Sequence[str]) -> Column:
     """The fallback without an index: how many terms occur anywhere, case ignored."""
     return sum((F.contains(F.lower(text), F.lit(t)).cast("int") for t in terms), F.lit(0))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions import text
-from ..operators import evaluation, textindex
-from ..session import table
+from ..operators import evaluation, keptindex, textindex
+from ..operators.keptindex import Unit
+from ..session import scratch, ship, table
 from . import views
 from .registry import Registry
 
@@ -30,16 +31,37 @@ def tokens():
     return text.words(F.col("text"))
 
 
+_KEPT: dict[tuple, keptindex.Index] = {}
+
+
+def kept(spark, sf_dir, kind="words"):
+    """The kept index of a folder's documents, built on first use and used from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _KEPT:
+        rows = docs(spark, sf_dir)
+        made = tokens() if kind == "words" else text.mixed_tokens(mixed(F.col("text")))
+        _KEPT[key] = keptindex.Index.build(rows, made, scratch(spark, f"index-{kind}"))
+    return _KEPT[key]
+
+
+#: Letters that become CJK characters, so that texts are of mixed script.
+LATIN, CJK = "aeiou", "三体小说电"
+
+
+def mixed(c):
+    return F.translate(F.lower(c), LATIN, CJK)
+
+
 @R.add(f"WITH {POST} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM toks GROUP BY 1")
 def doc_freq(spark, sf_dir):
-    return textindex.vocabulary(textindex.postings(docs(spark, sf_dir), tokens()))
+    return kept(spark, sf_dir).vocabulary()
 
 
 @R.add(f"WITH {POST}, n AS (SELECT count(*) AS n FROM documents) SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY 1), n")
 def idf(spark, sf_dir):
     d = docs(spark, sf_dir)
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    return textindex.vocabulary(textindex.postings(d, tokens())).crossJoin(F.broadcast(n)).select("term", F.round(textindex.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return kept(spark, sf_dir).vocabulary().crossJoin(F.broadcast(n)).select("term", F.round(textindex.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @R.add(f"SELECT doc_id, md5(array_to_string({TOK}, ' ')) AS tokens, len({TOK}) AS dl FROM documents")
@@ -49,35 +71,38 @@ def index_tokens(spark, sf_dir):
 
 @R.add(f"WITH {TF} SELECT doc_id, term, tf FROM tf WHERE term IN ('the', 'of', 'and')")
 def postings_of_terms(spark, sf_dir):
-    rows = textindex.frequencies(textindex.postings(docs(spark, sf_dir), F.filter(tokens(), lambda t: t.isin(TERMS))))
-    return rows.select("doc_id", "term", "tf")
+    return kept(spark, sf_dir).postings(*TERMS).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @R.add(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
 def bm25_topk(spark, sf_dir):
-    scores = textindex.bm25(docs(spark, sf_dir), tokens(), TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    scores = kept(spark, sf_dir).scored([Unit((t,)) for t in TERMS]).select("doc_id", F.round("score", 6).alias("score"))
     return scores.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @R.add(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the ')")
 def phrase_match(spark, sf_dir):
-    return docs(spark, sf_dir).filter(textindex.has_phrase(tokens(), ["of", "the"])).select("doc_id")
+    return kept(spark, sf_dir).matches(Unit(("of", "the"))).select("doc_id")
 
 
 @R.add(f"SELECT doc_id FROM documents WHERE len(list_filter({TOK}, lambda t: starts_with(t, 'tion'))) > 0")
 def prefix_match(spark, sf_dir):
-    return docs(spark, sf_dir).filter(textindex.has_prefix(tokens(), "tion")).select("doc_id")
+    return kept(spark, sf_dir).matches(Unit(("tion",), prefix=True)).select("doc_id")
+
+
+def tiers(spark, sf_dir):
+    return kept(spark, sf_dir).tiered([Unit((t,)) for t in TERMS], [Unit(("the",)), Unit(("of",))])
 
 
 @R.add(f"SELECT doc_id, CASE WHEN a AND b AND c THEN 1 WHEN a AND b THEN 2 WHEN a OR b THEN 3 END AS tier FROM (SELECT doc_id, list_contains({TOK}, 'the') AS a, list_contains({TOK}, 'of') AS b, list_contains({TOK}, 'and') AS c FROM documents) WHERE a OR b")
 def recall_tiers(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", textindex.tier(tokens(), TERMS, ["the", "of"]).alias("tier")).filter("tier is not null")
+    return tiers(spark, sf_dir).select("doc_id", "tier")
 
 
 @R.add(f"""WITH {BM25}, t AS (SELECT doc_id, CASE WHEN a AND b AND c THEN 1 WHEN a AND b THEN 2 WHEN a OR b THEN 3 END AS tier FROM (SELECT doc_id, list_contains({TOK}, 'the') AS a, list_contains({TOK}, 'of') AS b, list_contains({TOK}, 'and') AS c FROM documents) WHERE a OR b)
 SELECT doc_id, tier FROM t JOIN bm USING (doc_id) ORDER BY tier, round(score, 9) DESC, doc_id LIMIT 40""")
 def tiered_recall(spark, sf_dir):
-    return textindex.tiered(docs(spark, sf_dir), tokens(), TERMS, ["the", "of"], 40).select("doc_id", "tier")
+    return tiers(spark, sf_dir).orderBy("tier", F.desc(F.round("score", 9)), "doc_id").limit(40).select("doc_id", "tier")
 
 
 @R.add("SELECT doc_id, CAST(contains(lower(text), 'thou') AS INT) + CAST(contains(lower(text), 'edha') AS INT) AS hits FROM documents WHERE contains(lower(text), 'thou') OR contains(lower(text), 'edha')")
@@ -88,8 +113,66 @@ def like_fallback(spark, sf_dir):
 
 @R.add(f"WITH {TF} SELECT doc_id FROM tf WHERE term IN ('the', 'of', 'and') GROUP BY 1 HAVING count(*) >= 2")
 def boolean_two_of_three(spark, sf_dir):
-    wanted = F.array(*map(F.lit, TERMS))
-    return docs(spark, sf_dir).filter(F.size(F.array_intersect(tokens(), wanted)) >= 2).select("doc_id")
+    found = kept(spark, sf_dir).scored([Unit((t,)) for t in TERMS])
+    return found.filter(F.size(F.filter("has", lambda x: x)) >= 2).select("doc_id")
+
+
+# Texts of mixed script: letters become CJK characters, which are indexed as overlapping pairs.
+CJK_CLASS = "㐀-鿿"
+JOINED = f"lower(translate(lower(text), '{LATIN}', '{CJK}'))"
+for _ in range(2):  # separators between CJK characters go; twice, as what is joined may be a single character
+    JOINED = f"regexp_replace({JOINED}, '([{CJK_CLASS}])[^a-z0-9{CJK_CLASS}]+([{CJK_CLASS}])', '\\1\\2', 'g')"
+MIXED = f"""runs AS (SELECT doc_id, regexp_extract_all({JOINED}, '[a-z0-9]+|[{CJK_CLASS}]+') AS r FROM documents),
+mt AS (SELECT doc_id, flatten(list_transform(r, lambda x: CASE WHEN regexp_matches(x, '^[a-z0-9]') THEN [x] ELSE list_transform(range(1, greatest(length(x) - 1, 1) + 1), lambda i: substr(x, i, 2)) END)) AS t FROM runs)"""
+
+
+@R.add(f"WITH {MIXED}, f AS (SELECT doc_id, unnest(t) AS term FROM mt) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM f GROUP BY 1")
+def mixed_vocabulary(spark, sf_dir):
+    """Terms of the index of mixed-script texts."""
+    return kept(spark, sf_dir, "mixed").vocabulary()
+
+
+#: A term of three CJK characters, as its two pairs one after another.
+TRIPLE = "三体三"
+PHRASE_TF = "len(list_filter(range(1, len(t)), lambda i: t[i] = '三体' AND t[i + 1] = '体三'))"
+
+
+@R.add(f"WITH {MIXED} SELECT doc_id, CAST({PHRASE_TF} AS INT) AS tf FROM mt WHERE {PHRASE_TF} > 0")
+def cjk_phrase(spark, sf_dir):
+    """A CJK term's places, by positions of its pairs."""
+    return kept(spark, sf_dir, "mixed").matches(keptindex.unit_of(TRIPLE)).select("doc_id", "tf")
+
+
+@R.add(f"WITH {MIXED} SELECT doc_id, CAST(len(list_filter(t, lambda x: starts_with(x, '电'))) AS INT) AS tf FROM mt WHERE len(list_filter(t, lambda x: starts_with(x, '电'))) > 0")
+def cjk_prefix(spark, sf_dir):
+    """A lone CJK character, by the range of pairs that begin with it."""
+    return kept(spark, sf_dir, "mixed").matches(keptindex.unit_of("电")).select("doc_id", "tf")
+
+
+@R.add(f"""WITH {MIXED}, x AS (SELECT doc_id, len(t) AS dl, {PHRASE_TF} AS a, len(list_filter(t, lambda x: x = '小说')) AS b, len(list_filter(t, lambda x: starts_with(x, 'thth'))) AS c FROM mt WHERE len(t) > 0),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM x),
+s AS (SELECT doc_id, {' + '.join(f"CASE WHEN {u} > 0 THEN greatest(ln((n - d{u} + 0.5) / (d{u} + 0.5)), 1e-6) * {u} * 2.2 / ({u} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for u in "abc")} AS score,
+ CASE WHEN a > 0 AND b > 0 AND c > 0 THEN 1 WHEN a > 0 AND b > 0 THEN 2 WHEN a > 0 OR b > 0 THEN 3 END AS tier FROM x, st)
+SELECT doc_id, tier, round(score, 6) AS score FROM s WHERE tier IS NOT NULL ORDER BY tier, round(score, 9) DESC, doc_id DESC LIMIT 30""")
+def mixed_search(spark, sf_dir):
+    """A search of units of all three kinds by tiers: a phrase of pairs, a pair, a prefix. Subjects are the first two."""
+    found = kept(spark, sf_dir, "mixed").tiered([keptindex.unit_of(t) for t in (TRIPLE, "小说", "thth")], [keptindex.unit_of(t) for t in (TRIPLE, "小说")])
+    return found.orderBy("tier", F.desc(F.round("score", 9)), F.desc("doc_id")).limit(30).select("doc_id", "tier", F.round("score", 6).alias("score"))
+
+
+@R.add(f"""WITH {MIXED}, x AS (SELECT mt.doc_id, list_has_any(list_transform(t, lambda y: y[1:4]), ['thth']) AS c, {PHRASE_TF} > 0 AS a FROM mt)
+SELECT x.doc_id FROM x JOIN documents d ON d.doc_id = x.doc_id WHERE a AND NOT c""")
+def cjk_without_latin(spark, sf_dir):
+    """Boolean: one unit and not another."""
+    found = kept(spark, sf_dir, "mixed").scored([keptindex.unit_of(TRIPLE), keptindex.unit_of("thth")])
+    return found.filter(F.get("has", F.lit(0)) & ~F.get("has", F.lit(1))).select("doc_id")
+
+
+@R.add()
+def indexed_search(spark, sf_dir):
+    """A whole search by the kept index, held against the texts, of a query with a common word."""
+    texts = docs(spark, sf_dir).select("doc_id", text.folded(mixed(F.col("text"))).alias("text"))
+    return kept(spark, sf_dir, "mixed").search([TRIPLE, "小说", "thth"], [TRIPLE, "小说"], texts, 20)
 
 
 VERT = "SELECT doc_id, " + ", ".join(f"round({' + '.join(f'''CASE WHEN contains(lower(text), '{w}') THEN {1 + len(w) / 10} ELSE 0 END''' for w in sorted(set(X.VERTICALS[v])))}, 4) AS s{k}" for k, v in enumerate(("game", "academic", "design"))) + " FROM documents"

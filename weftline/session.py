@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,3 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table with its timestamps in the session's zone, UTC."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in df.dtypes))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors see, in ``spark.checkpoint.dir``; where that is unset, on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or "file://" + os.path.join(tempfile.gettempdir(), "weftline-scratch")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
