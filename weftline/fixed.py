@@ -37,6 +37,24 @@ ALIYUN_CONTAINS = {"NotFound": "not_found", "Cancelled": "dead", "Expired": "dea
 P115_CODE = {"0": "alive", "4100012": "need_pwd", "4100008": "wrong_pwd", "990002": "not_found"}
 TIANYI_XML = {"ShareInfoNotFound": "not_found", "ShareInfoInvalid": "dead"}
 
+# --- fixed values: patterns (bodies of character classes and regexes that Python and Java both read)
+#: What separates the words of a query, and may stand between the characters of a CJK name.
+SEPARATORS = r"\s,，、/|·:：;；!！?？.。…—–～~()（）\[\]【】{}｛｝<>《》〈〉「」『』“”‘’\"'`^_-"
+#: Characters that aren't seen.
+INVISIBLE = r"\u00ad\u180e\u200b-\u200f\u2028\u2029\u202a-\u202e\u2060-\u2064\ufeff"
+#: What may stand between a name and its number.
+NUMBER_GAP = r"[\s:：._-]*"
+#: A season at the end of a name.
+SEASON = r"(?:第[一二三四五六七八九十百\d]+季|s\d{1,2})"
+#: A keyword and the code of four characters after it; a code alone in brackets.
+CODE = r"(?:pwd|passwd|password|passcode|code|提取码|提取碼|访问码|訪問碼|提取密码|訪問密碼|访问密码|密码|密碼)\s*(?:是|为|：|:|＝|=)?\s*[「『\"'（(【\[]?\s*([A-Za-z0-9]{4})(?![A-Za-z0-9_])"
+BARE_CODE = r"[（(【\[]\s*([A-Za-z0-9]{4})\s*[）)】\]]"
+#: Characters at which a link ends, and those cut from its end.
+LINK_STOP = r"\s\"'<>()（）【】「」『』《》，,、。；;：:！!？?\]\[{}|\\^`一-鿿㐀-䶿　-〿＀-￯"
+LINK_TAIL = "。，、；;!！?？'\""
+#: A magnet link, whose parameters go on to a character at which it ends.
+MAGNET = r"magnet:\?xt=urn:btih:[A-Za-z0-9]{32,40}(?:&[^\s\"'<>()（）【】「」『』《》，,、。；;\]\[]+)*"
+
 # --- fixed values: words of queries
 QUALIFIERS = """4k 8k 2160p 1080p 720p hd hdr hdr10 dv 杜比 dolby atmos 全景声 高码 高码率 remux 原盘 蓝光 bluray webrip webdl bdrip hdtv
 中字 中文字幕 字幕 国语 粤语 双语 简中 繁中 内嵌 全集 完整版 完结 未删减 导演剪辑版 加长版 高清 超清 无损 hires hi-res 母带 原抓 整轨 分轨
@@ -56,10 +74,19 @@ VERTICALS = {
     "ebook": "电子书 小说 图书 书籍 教程书 pdf epub mobi azw3 txt ebook 杂志 期刊下载 书单 阅读".split(),
     "course": "教程 课程 网课 培训 教学 视频教程 公开课 训练营 课件 讲义 course tutorial lecture".split(),
     "software": "软件 破解 激活 注册机 绿色版 便携版 免安装 office adobe photoshop windows mac 工具 效率 app 工具包".split(),
-    "audio-tool": [*"vst vst3 音源 合成器 采样 kontakt serum omnisphere 宿主 daw cubase".split(), "fl studio", *"ableton logic 插件 混音 母带 效果器 preset 音色 soundbank 大气合成器".split()],
+    "audio-tool": [
+        "vst", "vst3", "音源", "合成器", "采样", "kontakt", "serum", "omnisphere", "宿主", "daw", "cubase", "fl studio", "ableton", "logic", "插件", "混音", "母带",
+        "效果器", "preset", "音色", "soundbank", "大气合成器",
+    ],
     "game": "游戏 steam switch ps5 ps4 xbox 汉化 免安装 模拟器 rom 单机 手游 游戏下载 game repack".split(),
-    "design": [*"素材 模板 psd 笔刷 字体 设计 ui icon mockup 预设 调色".split(), "ae 模板", "pr 模板", "素材包"],
-    "academic": [*"论文 文献 sci sci-hub 期刊 arxiv 知网 万方 学位 考研资料 paper journal research preprint thesis dissertation citation doi study scholar physics chemistry biology mathematics".split(), "machine learning", *"neural quantum algorithm".split()],
+    "design": [
+        "素材", "模板", "psd", "笔刷", "字体", "设计", "ui", "icon", "mockup", "预设", "调色", "ae 模板", "pr 模板", "素材包",
+    ],
+    "academic": [
+        "论文", "文献", "sci", "sci-hub", "期刊", "arxiv", "知网", "万方", "学位", "考研资料", "paper", "journal", "research", "preprint", "thesis", "dissertation",
+        "citation", "doi", "study", "scholar", "physics", "chemistry", "biology", "mathematics", "machine learning", "neural", "quantum",
+        "algorithm",
+    ],
     "comic": "漫画 条漫 汉化组 comic cbr cbz manga manhwa manhua webtoon doujin".split(),
 }
 # --- fixed values: name -> other names that a search also asks for

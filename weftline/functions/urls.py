@@ -169,3 +169,17 @@ def detail_likeness(shape: Column) -> Column:
     has = lambda text: F.contains(shape, F.lit(text)).cast("int")
     deep = (F.length(shape) - F.length(F.replace(shape, F.lit("/"))) >= 4).cast("int")
     return 3 * F.greatest(has(".html"), has(".htm"), has(".php")) + 2 * has("_") + has(r"\d") + deep
+
+
+def is_chinese_site(name: Column) -> Column:
+    """Whether a host is under a top-level domain that Chinese sites use."""
+    return name.rlike(r"\.(?:cn|cc|me|top|xyz)$")
+
+
+def is_noise(name: Column, hosts: list[str], but: list[str] = []) -> Column:
+    """Whether a host is one of a list or under it; an entry that ends in a dot, or has none, is looked for anywhere."""
+    out = F.lit(False)
+    for h in hosts:
+        anywhere = h.endswith(".") or "." not in h
+        out = out | (F.contains(name, F.lit(h)) if anywhere else (name == h) | name.endswith("." + h))
+    return out & ~name.isin(but) if but else out

@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..plans import query as Q
+from . import ranking
+
+#: Relevance under which a shown resource is a poor one; shares that a regression run must reach.
+POOR, LEAST_OK, MOST_ABSENT = 0.4, 0.95, 0.01
+
 
 def metrics(judged: DataFrame, k: int) -> DataFrame:
     """judged (query, doc_id, grade, pos from 1) -> precision, recall and NDCG at k per query that has something relevant."""
@@ -62,3 +70,79 @@ def equidistant(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / n))
     placed = rows.withColumn("pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("step", step)
     return placed.filter((F.col("pos") % F.col("step") == 0) & (F.floor(F.col("pos") / F.col("step")) < n)).drop("pos", "step")
+
+
+def query_file(spark: SparkSession, path: str) -> DataFrame:
+    """vertical, keyword, subject of a file of tab-separated queries; comments and lines of another form are left out."""
+    parts = F.split(F.trim(F.regexp_replace("value", "#.*$", "")), "\t")
+    lines = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") == 2)
+    return lines.select(F.trim(F.get("p", F.lit(0))).alias("vertical"), F.trim(F.get("p", F.lit(1))).alias("keyword"))
+
+
+def subject_of(keyword: str) -> str:
+    return " ".join(Q.analyse(keyword).required)
+
+
+def source_group(adapter: Column, kind: Column) -> Column:
+    """The groups of independent sources that coverage is estimated from; null for those that give no shares."""
+    return (
+        F.when(adapter == "telegram", "tg_local")
+        .when(adapter == "pansou", F.when(kind == "tg", "pansou_tg").otherwise("pansou_plugin"))
+        .when(adapter.isin("websearch", "sitesearch", "bilibili"), "open_web")
+    )
+
+
+def lexical(shown: DataFrame, keyword: str, k: int) -> DataFrame:
+    """shown (query, pos from 1, url, key, title, titles, kinds, relevance), the results of queries that ask for ``keyword``
+    -> per query how many lack its subject, are poor, have no title, or repeat.
+
+    Links of interfaces, and resources whose titles say nothing, are exempt from what is said of subjects.
+    """
+    asked = [Q.analyse(q).required for q in (keyword, *Q.aliases(keyword))]
+    names = F.transform(F.concat(F.array("title"), F.coalesce("titles", F.array().cast("array<string>"))), lambda t: T.evidence(F.lower(F.coalesce(t, F.lit("")))))
+
+    def every(t: Column, *, required: Sequence[str]) -> Column:
+        out = F.lit(True)
+        for term in required:
+            out = out & ranking.term_present(t, term)
+        return out
+
+    def dull(t: Column) -> Column:
+        return F.length(F.regexp_replace(t, r"[\s\d\p{Punct}]+", "")) == 0
+
+    anchored = F.lit(False)
+    for required in asked:
+        anchored = anchored | F.exists(names, partial(every, required=required))
+    exempt = F.coalesce(F.array_contains("kinds", "api"), F.lit(False)) | F.exists(names, dull)
+    rows = shown.withColumn("exempt", exempt).withColumn("absent", ~F.col("exempt") & ~anchored).withColumn("poor", ~F.col("exempt") & (F.col("relevance") < POOR))
+    top = F.col("pos") <= k
+    by = rows.groupBy("query").agg(
+        F.count(F.lit(1)).alias("shown"), F.count_if("absent").alias("absent_all"), F.count_if("poor").alias("low_all"),
+        F.count_if(top & F.col("absent")).alias("absent_top"), F.count_if(top & F.col("poor")).alias("low_top"), F.count_if(top & ~F.col("exempt")).alias("evaluated_top"), F.count_if(top & F.col("exempt")).alias("exempt_top"),
+        F.count_if(top & ~F.col("exempt") & (F.trim(F.coalesce("title", F.lit(""))) == "")).alias("untitled_top"),
+        F.countDistinct("url").alias("urls"), F.countDistinct("key").alias("keys"),
+    )
+    ratio = F.when(F.col("evaluated_top") > 0, F.round(F.col("absent_top") / F.col("evaluated_top"), 3)).otherwise(0.0)
+    return by.select("*", ratio.alias("absent_ratio"), (F.col("shown") - F.col("urls")).alias("dupe_urls"), (F.col("shown") - F.col("keys")).alias("dupe_keys")).drop("urls", "keys")
+
+
+def regression(results: DataFrame) -> DataFrame:
+    """results (vertical, keyword, status: ok, empty or error, and lexical's columns) -> one row: totals, ratios and whether the run passes."""
+    ok = F.col("status") == "ok"
+    total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).alias(c)
+    sums = ("shown", "absent_top", "low_top", "evaluated_top", "exempt_top", "dupe_urls", "untitled_top")
+    by = results.agg(F.count(F.lit(1)).alias("queries"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "empty").alias("empty"), F.count_if(F.col("status") == "error").alias("errors"), *map(total, sums))
+    share = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    good, absent = share("ok", "queries"), share("absent_top", "evaluated_top")
+    passed = (good >= LEAST_OK) & (absent <= MOST_ABSENT) & (F.col("errors") == 0)
+    return by.select("*", F.round(good, 4).alias("ok_ratio"), F.round(absent, 4).alias("absent_ratio"), passed.alias("passed"))
+
+
+def worst(results: DataFrame, n: int = 25) -> DataFrame:
+    """The queries of which most lack their subject."""
+    some = results.filter((F.col("status") == "ok") & (F.col("absent_top") > 0))
+    return some.orderBy(F.desc("absent_top"), F.desc("absent_ratio"), "keyword").limit(n)
+
+
+def by_vertical(results: DataFrame) -> DataFrame:
+    return results.filter("status = 'ok'").groupBy("vertical").agg(F.count(F.lit(1)).alias("queries"), F.sum("shown").alias("shown"), F.sum("absent_top").alias("absent_top"))

@@ -34,8 +34,14 @@ def valid(status: Column, checked_at: Column, now: Column, ttl_hours: float = X.
 
 
 def annotate(resources: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """Resources with the cached status of (key, pwd) where it still holds, else ``unchecked``."""
-    fresh = cache.filter(valid(F.col("status"), F.col("checked_at"), now)).select(F.col("cache_key").alias("k"), F.col("pwd").alias("p"), "status", "pwd_verified", "title_hint")
+    """Resources with the cached status of (key, pwd) where it still holds, else ``unchecked``: one row for each.
+
+    Of several cached rows of a key the one that was checked last counts (of these, that of the largest event_id, if the
+    cache has one).
+    """
+    by = ["checked_at", *(c for c in ("event_id",) if c in cache.columns)]
+    last = latest(cache.select("cache_key", "pwd", "status", "pwd_verified", "title_hint", *by), ["cache_key", "pwd"], *by)
+    fresh = last.filter(valid(F.col("status"), F.col("checked_at"), now)).select(F.col("cache_key").alias("k"), F.col("pwd").alias("p"), "status", "pwd_verified", "title_hint")
     out = resources.join(fresh, (F.col("key") == F.col("k")) & F.col("pwd").eqNullSafe(F.col("p")), "left").drop("k", "p")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("title_hint"))
     return out.withColumn("title", title).withColumn("status", F.coalesce("status", F.lit("unchecked"))).withColumn("pwd_verified", F.coalesce("pwd_verified", F.lit(False))).drop("title_hint")
@@ -53,8 +59,9 @@ def contained(value: Column, table: dict[str, str]) -> Column:
     return out
 
 
-def decide(responses: DataFrame, now: Column) -> DataFrame:
-    """responses (key, pwd, endpoint, http_status, body) -> with status, by each endpoint's table of answers."""
+def decide(responses: DataFrame, now: Column, direct: str = "alive") -> DataFrame:
+    """responses (key, pwd, endpoint, http_status, body) -> with status, by each endpoint's table of answers. Direct links
+    have nothing to ask: ``direct`` says what they are, alive in a search and unsupported in a batch."""
     body, http = F.col("body"), F.col("http_status").cast("string")
     errno, code = F.get_json_object(body, "$.errno"), F.get_json_object(body, "$.code")
     state = F.get_json_object(body, "$.state")
@@ -68,7 +75,7 @@ def decide(responses: DataFrame, now: Column) -> DataFrame:
         F.when(F.col("endpoint") == "baidu_liveness", mapped(errno, X.BAIDU_LIVENESS))
         .when(F.col("endpoint") == "baidu_code", mapped(errno, X.BAIDU_CODE))
         .when(F.col("endpoint") == "quark", quark).when(F.col("endpoint") == "aliyun", aliyun).when(F.col("endpoint") == "115", p115).when(F.col("endpoint") == "tianyi", tianyi)
-        .when(F.col("endpoint") == "direct", "alive")  # nothing to ask
+        .when(F.col("endpoint") == "direct", direct)
         .otherwise("unsupported")
     )
     return responses.withColumn("status", status)
@@ -92,10 +99,10 @@ def budgeted(rows: DataFrame, budget: int = X.BUDGET, early_share: float = X.EAR
     early_n = int(budget * early_share) if budget > 0 else 0
     first = [F.desc("relevance"), F.desc("score"), F.col("first_seq")]
     early = rows.filter(F.col("relevance") >= X.HIGH).orderBy(*first).limit(early_n).select("key", F.lit("early").alias("phase"))
-    late = rows.join(early, "key", "left_anti").orderBy(*first).limit(max(0, budget)).select("key")
+    late = rows.join(early, "key", "left_anti").orderBy(*first).limit(max(0, budget)).select("key", "relevance", "score", "first_seq")
     left = late.crossJoin(early.agg(F.count(F.lit(1)).alias("used")))  # one row
-    rank = F.row_number().over(Window.orderBy(F.lit(1)))
-    late = left.withColumn("n", rank).filter(F.col("n") + F.col("used") <= budget).select("key", F.lit("late").alias("phase"))
+    place = F.row_number().over(Window.orderBy(*first))  # over the budget's rows at most
+    late = left.withColumn("n", place).filter(F.col("n") + F.col("used") <= budget).select("key", F.lit("late").alias("phase"))
     return rows.join(early.unionByName(late), "key", "left").withColumn("phase", F.coalesce("phase", F.lit("unchecked")))
 
 

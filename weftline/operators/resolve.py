@@ -20,19 +20,6 @@ def with_keys(hits: DataFrame) -> DataFrame:
     return code.withColumn("key", urls.resource_key(F.col("pan_type"), F.col("url"), F.col("surl")))
 
 
-def ordered_lists(keyed: DataFrame, lists: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Per key, arrays of distinct values by their first seq: lists maps a name to (value, condition).
-
-    Values are made distinct by a combining aggregation before any array is built, so a key with very many hits costs no
-    more memory than it has different values.
-    """
-    pairs = [F.struct(F.lit(name).alias("name"), F.when(when, F.nullif(value, F.lit(""))).alias("x")) for name, (value, when) in lists.items()]
-    rows = keyed.select("key", "seq", F.explode(F.array(*pairs)).alias("p")).select("key", "seq", "p.name", "p.x").filter("x is not null")
-    first = rows.groupBy("key", "name", "x").agg(F.min("seq").alias("seq"))
-    made = [F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("seq", "x")))), lambda s: s["x"]).alias(name) for name in lists]
-    return first.groupBy("key").agg(*made)
-
-
 def rrf(rank: Column) -> Column:
     return F.when(rank >= 0, 1.0 / (F.lit(float(RRF_K)) + rank)).otherwise(0.0)
 
@@ -43,29 +30,40 @@ def fuse(hits: DataFrame) -> DataFrame:
     return best.groupBy("key").agg(F.sum("best").alias("rrf"))
 
 
+#: What tells hits of a key apart; hits that agree in all of it are one row from the first exchange on.
+CLASS = ("source", "kind", "origin", "query", "title", "relaxed")
+
+
 def resolve(hits: DataFrame) -> DataFrame:
     """hits (seq, source, kind, url, pwd, title, size, shared_at, origin, relaxed, query, rank) -> one row per key.
 
-    Every aggregate combines before the shuffle, so no key is too hot for a task.
+    Two exchanges. In the first, hits of a key that agree in all that is listed become one row, counted where they are
+    read, so a key of very many hits is spread over its classes. In the second, a key's classes, of which its lists are
+    made anyway, come together: the arrays are as long as the key has different values.
     """
     keyed = with_keys(hits)
-    t, size = F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("size"), F.lit(""))
-    primary = ~F.coalesce(F.col("relaxed"), F.lit(False))
-    shown = urls.canonical(F.col("pan_type"), F.col("url"), F.col("surl"))
-    out = keyed.groupBy("key").agg(
-        F.min_by("pan_type", "seq").alias("pan_type"),
-        F.coalesce(F.min_by(shown, F.when(F.col("code").isNotNull(), F.col("seq"))), F.min_by(shown, "seq")).alias("url"),
-        F.min_by("surl", "seq").alias("surl"),
-        F.min_by("code", F.when(F.col("code").isNotNull(), F.col("seq"))).alias("pwd"),
-        F.max_by(t, F.when(t.isNotNull(), F.struct(F.length(t), -F.col("seq")))).alias("title"),
-        F.min_by(size, F.when(size.isNotNull(), F.col("seq"))).alias("size"),
-        F.min("shared_at").alias("shared_at"),
-        F.bool_or(primary).alias("from_primary"),
-        F.count(F.lit(1)).alias("hit_count"),
-        F.min("seq").alias("first_seq"),
-    )
-    yes = F.lit(True)
-    lists = {"sources": (F.col("source"), yes), "kinds": (F.col("kind"), yes), "titles": (F.col("title"), yes), "origins": (F.col("origin"), yes), "queries": (F.col("query"), primary)}
-    made = ordered_lists(keyed, lists).withColumn("origins", F.slice("origins", 1, 8))
-    empty = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists]
-    return out.join(fuse(keyed), "key").join(made, "key", "left").select(*out.columns, "rrf", *empty)
+    size, shown = F.nullif(F.col("size"), F.lit("")), urls.canonical(F.col("pan_type"), F.col("url"), F.col("surl"))
+    coded, sized = (F.when(c.isNotNull(), F.col("seq")) for c in (F.col("code"), size))
+    classes = keyed.groupBy("key", *CLASS).agg(
+        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.max(rrf(F.col("rank"))).alias("best"), F.min("shared_at").alias("shared_at"),
+        F.min_by(F.struct("pan_type", "surl", shown.alias("url")), "seq").alias("first"),
+        F.min(coded).alias("code_seq"), F.min_by(F.struct(F.col("code"), shown.alias("url")), coded).alias("coded"),
+        F.min(sized).alias("size_seq"), F.min_by(size, sized).alias("size"),
+    )
+    t, primary = F.nullif(F.col("title"), F.lit("")), ~F.coalesce(F.col("relaxed"), F.lit(False))
+    value = lambda c, when=None: (F.nullif(F.col(c), F.lit("")) if when is None else F.when(when, F.nullif(F.col(c), F.lit("")))).alias(c)
+    row = F.struct("seq", value("source"), value("kind"), value("title"), value("origin"), value("query", primary), "best", F.col("source").alias("of"))
+    by = classes.groupBy("key").agg(
+        F.min_by("first", "seq").alias("first"), F.min_by("coded", "code_seq").alias("coded"), F.max_by(t, F.when(t.isNotNull(), F.struct(F.length(t), -F.col("seq")))).alias("title"),
+        F.min_by("size", "size_seq").alias("size"), F.min("shared_at").alias("shared_at"), F.bool_or(primary).alias("from_primary"),
+        F.sum("n").alias("hit_count"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list(row)).alias("rows"),
+    )
+    listed = lambda name: F.array_distinct(F.array_compact(F.transform("rows", lambda r: r[name])))
+    of = F.array_distinct(F.transform("rows", lambda r: r["of"]))
+    best = F.transform(of, lambda s: F.array_max(F.transform(F.filter("rows", lambda r: r["of"].eqNullSafe(s)), lambda r: r["best"])))
+    fused = F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+    return by.select(
+        "key", F.col("first.pan_type").alias("pan_type"), F.coalesce("coded.url", "first.url").alias("url"), F.col("first.surl").alias("surl"), F.col("coded.code").alias("pwd"),
+        "title", "size", "shared_at", "from_primary", "hit_count", "first_seq", fused.alias("rrf"),
+        listed("source").alias("sources"), listed("kind").alias("kinds"), listed("title").alias("titles"), F.slice(listed("origin"), 1, 8).alias("origins"), listed("query").alias("queries"),
+    )

@@ -97,34 +97,31 @@ def prune_strict(spark, sf_dir):
     return liveness.prune(scored(spark, sf_dir), strict=True).select("key", "status")
 
 
-EARLY = f"""WITH {SCORED}, early AS (SELECT key FROM scored WHERE relevance >= 0.85 ORDER BY relevance DESC, score DESC, first_seq LIMIT 37),
+@R.add(f"""WITH {SCORED}, early AS (SELECT key FROM scored WHERE relevance >= 0.85 ORDER BY relevance DESC, score DESC, first_seq LIMIT 37),
 late AS (SELECT key FROM scored WHERE key NOT IN (SELECT key FROM early) ORDER BY relevance DESC, score DESC, first_seq LIMIT (50 - (SELECT count(*) FROM early)))
-SELECT CASE WHEN key IN (SELECT key FROM early) THEN 'early' WHEN key IN (SELECT key FROM late) THEN 'late' ELSE 'unchecked' END AS phase, count(*) AS n FROM scored GROUP BY 1"""
-
-
-@R.add(EARLY)
+SELECT key, CASE WHEN key IN (SELECT key FROM early) THEN 'early' WHEN key IN (SELECT key FROM late) THEN 'late' ELSE 'unchecked' END AS phase FROM scored""")
 def budget_phases(spark, sf_dir):
-    return liveness.budgeted(scored(spark, sf_dir), 50, 0.75).groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+    return liveness.budgeted(scored(spark, sf_dir), 50, 0.75).select("key", "phase")
 
 
-LAST = f"cache AS ({views.CACHE}), last AS (SELECT cache_key, arg_max(status, event_id) AS status, arg_max(checked_at, event_id) AS checked_at, max(event_id) AS event_id FROM cache GROUP BY 1)"
+LAST = f"cache AS ({views.STATES}), last AS (SELECT cache_key, arg_max(status, event_id) AS status, arg_max(checked_at, event_id) AS checked_at, max(event_id) AS event_id FROM cache GROUP BY 1)"
 
 
 @R.add(f"WITH {LAST} SELECT cache_key, status, event_id FROM last")
 def latest_wins_upsert(spark, sf_dir):
-    return liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id").select("cache_key", "status", "event_id")
+    return liveness.latest(views.states(spark, sf_dir), ["cache_key"], "event_id").select("cache_key", "status", "event_id")
 
 
 @R.add(f"""WITH {LAST} SELECT cache_key, status, date_diff('second', checked_at, {views.NOW}) <= CASE WHEN status = 'dead' THEN 720 ELSE 6 END * 3600 AS holds FROM last""")
 def ttl_cache(spark, sf_dir):
-    last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
+    last = liveness.latest(views.states(spark, sf_dir), ["cache_key"], "event_id")
     return last.select("cache_key", "status", liveness.valid(F.col("status"), F.col("checked_at"), now()).alias("holds"))
 
 
 @R.add(f"""WITH {LAST} SELECT cache_key, status, round(date_diff('second', checked_at, {views.NOW}) / 3600.0, 1) AS age_hours FROM last
  WHERE date_diff('second', checked_at, {views.NOW}) / 3600.0 >= CASE WHEN status = 'dead' THEN 240 ELSE 24 END ORDER BY checked_at, cache_key LIMIT 25""")
 def stale_queue(spark, sf_dir):
-    last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
+    last = liveness.latest(views.states(spark, sf_dir), ["cache_key"], "event_id")
     return liveness.stale(last, now(), 24, 240, 25).select("cache_key", "status", "age_hours")
 
 
@@ -132,7 +129,7 @@ def stale_queue(spark, sf_dir):
  SELECT coalesce(CAST(service AS VARCHAR), 'all') AS service, count(*) AS checked, count(*) FILTER (status IN ('alive', 'need_pwd', 'wrong_pwd')) AS alive, count(*) FILTER (status IN ('dead', 'not_found')) AS dead,
  count(*) FILTER (status = 'unknown') AS other FROM k GROUP BY ROLLUP (service)""")
 def verify_summary(spark, sf_dir):
-    last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
+    last = liveness.latest(views.states(spark, sf_dir), ["cache_key"], "event_id")
     rows = last.withColumn("service", (F.regexp_extract("cache_key", "[0-9]+$", 0).cast("int") % 4).cast("string"))
     known = rows.join(F.broadcast(liveness.status_table(spark).select("status", "is_alive", "is_dead")), "status")
     counts = (F.count(F.lit(1)).alias("checked"), F.count_if("is_alive").alias("alive"), F.count_if("is_dead").alias("dead"), F.count_if(~F.col("is_alive") & ~F.col("is_dead")).alias("other"))
@@ -141,7 +138,7 @@ def verify_summary(spark, sf_dir):
 
 @R.add(f"""WITH {LAST} SELECT CASE WHEN status IN ('alive', 'need_pwd') THEN 'alive' WHEN status IN ('dead', 'not_found') THEN 'dead' ELSE status END AS bucket, count(*) AS n FROM last GROUP BY 1""")
 def batch_buckets(spark, sf_dir):
-    last = liveness.latest(views.cache(spark, sf_dir), ["cache_key"], "event_id")
+    last = liveness.latest(views.states(spark, sf_dir), ["cache_key"], "event_id")
     return last.join(F.broadcast(liveness.status_table(spark)), "status").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

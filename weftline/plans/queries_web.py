@@ -48,8 +48,14 @@ def host_cap2(spark, sf_dir):
     return rows.filter(~F.col("path").isin("", "/") & ~noise).withColumn("rn", F.row_number().over(own)).filter("rn <= 2").select("page_id", "host")
 
 
-@R.add("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')), '') AS title FROM pages")
+TITLE = "regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')"
+for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):  # those that the pages have
+    TITLE = f"replace({TITLE}, '{entity}', '{sign}')"
+
+
+@R.add(f"SELECT page_id, nullif(trim({TITLE}), '') AS title FROM pages")
 def page_title(spark, sf_dir):
+    ship(spark)
     return pages(spark, sf_dir).select("page_id", html.title(F.col("html")).alias("title"))
 
 
@@ -120,13 +126,16 @@ def json_paths(spark, sf_dir):
     return rows.withColumn("link", F.when(F.col("k") % 2 == 0, F.concat(F.lit("https://api.example/"), F.col("k").cast("string"))))
 
 
-@R.add("""SELECT doc_id, CASE WHEN length(trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')), 1, 79) || '…' ELSE trim(regexp_replace(substr(text, 1, 400), '\\s+', ' ', 'g')) END AS short FROM documents""")
+LINE = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@R.add(f"""SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 79) || '…' ELSE t END AS short FROM (SELECT doc_id, {LINE} AS t FROM documents)""")
 def truncate_notes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text"), 80).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.coalesce("text", F.lit("")), 80).alias("short"))
 
 
-@R.add("""WITH p AS (SELECT doc_id, position('the' IN lower(text)) AS a, position('of' IN lower(text)) AS b, text FROM documents), q AS (SELECT doc_id, text, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 1 END AS hit FROM p),
-r AS (SELECT doc_id, text, greatest(1, least(hit - 30, length(text) - 60 + 1)) AS st FROM q) SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(text, st, 60) || CASE WHEN st + 59 < length(text) THEN '…' ELSE '' END AS excerpt FROM r""")
+@R.add(f"""WITH p AS (SELECT doc_id, {LINE} AS t FROM documents), q AS (SELECT doc_id, t, CASE WHEN contains(lower(t), 'the') THEN position('the' IN lower(t)) WHEN contains(lower(t), 'of') THEN position('of' IN lower(t)) ELSE 1 END AS hit FROM p),
+r AS (SELECT doc_id, t, greatest(1, least(hit - 30, length(t) - 60 + 1)) AS st FROM q) SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE CASE WHEN st > 1 THEN '…' ELSE '' END || substr(t, st, 60) || CASE WHEN st + 59 < length(t) THEN '…' ELSE '' END END AS excerpt FROM r""")
 def excerpt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), F.array(F.lit("the"), F.lit("of")), 60).alias("excerpt"))
 

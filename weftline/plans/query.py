@@ -10,9 +10,12 @@ from dataclasses import dataclass
 from .. import fixed as X
 from ..functions.text import UNSEEN
 
-_GAP = re.compile(r"[\s,，、。.;；:：!！?？|/\\()（）\[\]【】《》<>「」『』\"'“”‘’~～·_\-—]+")
-_SEASON = re.compile(r"(?:第[一二三四五六七八九十百\d]+季|s\d{1,2})$")
-_PEEL = sorted({w for w in [*X.GENERIC, *X.PEELABLE_TOO] if len(w) > 1}, key=lambda w: (-len(w), w))
+_GAP = re.compile(f"[{X.SEPARATORS}]+")
+_COMMON = frozenset([*X.QUALIFIERS, *X.GENERIC])
+_DULL = sorted({w for w in [*X.GENERIC, *X.PEELABLE_TOO] if len(w) > 1}, key=lambda w: (-len(w), w))
+#: A common word at the start of a token of which two characters more are left; the same for what is read backwards.
+_AHEAD = re.compile(f"({'|'.join(map(re.escape, _DULL))})(?=..)", re.DOTALL)
+_BEHIND = re.compile(f"({'|'.join(re.escape(w[::-1]) for w in _DULL)})(?=..)", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -28,31 +31,41 @@ def distinct(items: Iterable[str]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(items))
 
 
+def _eat(pattern: re.Pattern, token: str) -> tuple[list[str], str]:
+    """The words that a pattern takes from the start of a token one by one, and what is left."""
+    words = []
+    while found := pattern.match(token):
+        words.append(found[1])
+        token = token[found.end() :]
+    return words, token
+
+
 def peel(token: str) -> list[str]:
-    """Common words at either end of a token, cut off while a stem of two characters is left."""
-    if token in X.QUALIFIERS or token in X.GENERIC:
+    """A token as common words, stem, common words. The stem has two characters at least; a common word is its own stem."""
+    if token in _COMMON:
         return [token]
-    before: list[str] = []
-    after: list[str] = []
-    while cut := next((w for w in _PEEL if token.startswith(w) and len(token) >= len(w) + 2), ""):
-        before, token = [*before, cut], token[len(cut) :]
-    while cut := next((w for w in _PEEL if token.endswith(w) and len(token) >= len(w) + 2), ""):
-        after, token = [cut, *after], token[: -len(cut)]
-    return [*before, token, *after]
+    first, rest = _eat(_AHEAD, token)
+    last, stem = _eat(_BEHIND, rest[::-1])
+    return first + [x[::-1] for x in [stem, *reversed(last)]]
+
+
+def says_something(word: str) -> bool:
+    return any(c.isalnum() for c in word)
 
 
 def split(text: str) -> list[str]:
-    """The tokens of a query, case kept; what has no letter or digit is dropped."""
-    clean = unicodedata.normalize("NFKC", UNSEEN.sub("", text)).strip()
-    parts = [p for token in _GAP.split(clean) if any(map(str.isalnum, token)) for p in peel(token)]
-    return [p for p in parts if any(map(str.isalnum, p))]
+    """The words of a query as they are written; marks alone are none."""
+    seen = unicodedata.normalize("NFKC", UNSEEN.sub("", text))
+    return [word for part in _GAP.split(seen.strip()) if says_something(part) for word in peel(part) if says_something(word)]
 
 
 def analyse(text: str) -> Query:
-    terms = distinct(t.casefold() for t in split(text))
-    subjects = tuple(t for t in terms if t not in X.QUALIFIERS and t not in X.GENERIC and not t.isdigit())
-    required = tuple(t for t in subjects if t not in X.CATEGORIES and not _SEASON.fullmatch(t))
-    return Query(terms, subjects, required or subjects)
+    roles: dict[str, int] = {}  # 0: common or a number, 1: a kind or a season of something, 2: its name
+    for word in map(str.casefold, split(text)):
+        common = word in _COMMON or word.isdigit()
+        roles[word] = 0 if common else 1 if word in X.CATEGORIES or re.fullmatch(X.SEASON, word) else 2
+    at_least = lambda role: tuple(w for w, r in roles.items() if r >= role)
+    return Query(at_least(0), at_least(1), at_least(2) or at_least(1))
 
 
 def relaxed(text: str) -> list[str]:
@@ -60,7 +73,7 @@ def relaxed(text: str) -> list[str]:
     tokens = split(text)
     if len(tokens) < 2:
         return []
-    good = [t for t in tokens if len(t) > 1 and any(map(str.isalnum, t)) and not t.isdigit() and t.casefold() not in X.QUALIFIERS and t.casefold() not in X.GENERIC]
+    good = [t for t in tokens if len(t) > 1 and says_something(t) and not t.isdigit() and t.casefold() not in _COMMON]
     tail = " ".join(t for t in good[1:])
     return [q for q in distinct([*good[:1], tail]) if q and q != text]
 

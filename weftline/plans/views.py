@@ -15,9 +15,15 @@ HITS = """SELECT doc_id AS seq, source,
  substr(text, 1, 60) AS title, CASE WHEN doc_id % 7 = 0 THEN concat(CAST(doc_id % 50 AS VARCHAR(20)), ' MB') END AS size,
  CAST(NULL AS TIMESTAMP) AS shared_at, concat('o', CAST(doc_id % 13 AS VARCHAR(20))) AS origin,
  (doc_id % 5 = 0) AS relaxed, CASE WHEN doc_id % 5 = 0 THEN 'rest' ELSE concat('q', CAST(doc_id % 3 AS VARCHAR(20))) END AS query,
- row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank
+ doc_id % 97 AS rank
  FROM documents"""
 
+#: Cached states by user, one key each: tables of states grow with the events.
+STATES = """SELECT CAST(user_id AS VARCHAR(20)) AS cache_key, CAST(NULL AS VARCHAR(10)) AS pwd,
+ CASE event_type WHEN 'signup' THEN 'alive' WHEN 'view' THEN 'need_pwd' WHEN 'click' THEN 'wrong_pwd' WHEN 'error' THEN 'dead' ELSE 'unknown' END AS status,
+ ts AS checked_at, event_id FROM events"""
+
+#: The same for the keys of hits.
 CACHE = """SELECT concat('quark:pan.quark.cn/s/k', CAST(user_id % 400 AS VARCHAR(20))) AS cache_key, CAST(NULL AS VARCHAR(10)) AS pwd,
  CASE event_type WHEN 'signup' THEN 'alive' WHEN 'view' THEN 'need_pwd' WHEN 'click' THEN 'wrong_pwd' WHEN 'error' THEN 'dead' ELSE 'unknown' END AS status,
  ts AS checked_at, event_id, (event_id % 2 = 0) AS pwd_verified, CAST(NULL AS VARCHAR(10)) AS title_hint FROM events"""
@@ -39,5 +45,9 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CACHE, "events")
 
 
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, STATES, "events")
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, RUNS, "events")

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import links
+from ..functions.text import csv_plain
 
 MESSAGE = StructType([StructField("channel", StringType()), StructField("msg_id", LongType()), StructField("posted_at", StringType()), StructField("text", StringType()), StructField("links", links.SCHEMA)])
 #: Characters of a message's text that are kept.
@@ -134,13 +135,14 @@ def batch_json(spark: SparkSession, text: str) -> DataFrame:
 
 
 def batch_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A batch as CSV with the columns 链接, 提取码 and perhaps 标题, or url, pwd and title."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
+    """A batch as CSV with the columns 链接, 提取码 and perhaps 标题, or url, pwd and title; guards against formulas are undone."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     named = rows.select(*(F.col(f"`{c}`").alias({"链接": "url", "提取码": "pwd", "标题": "title"}.get(c.lstrip("﻿"), c.lstrip("﻿"))) for c in rows.columns))
     missing = {"url", "pwd"} - set(named.columns)
     if missing:
         raise ValueError(f"no column {', '.join(sorted(missing))}")
-    return named.filter(F.trim("url") != "")
+    texts = [csv_plain(F.col(c)).alias(c) if c in ("url", "pwd", "title") else F.col(c) for c in named.columns]
+    return named.select(*texts).filter(F.trim("url") != "")
 
 
 def sniff(text: str) -> str:
