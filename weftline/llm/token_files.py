@@ -11,7 +11,6 @@ their end (uint64); for each level its number of chunks (uint64), the chunks, th
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -121,13 +120,11 @@ def open_file(path: str) -> TokenFile:
 
 
 def _write(path: str, body: bytes) -> None:
-    """Under a name of its own, then renamed: a repeated or cut-off task leaves one whole file."""
+    """In one piece. The name holds the task's attempt, so a repeated task writes another file; a cut-off one's isn't in the table."""
     fs, inner = pafs.FileSystem.from_uri(path)
     fs.create_dir(inner.rpartition("/")[0], recursive=True)
-    part = f"{inner}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(inner) as out:
         out.write(body)
-    fs.move(part, inner)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
@@ -135,7 +132,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
 
     Columns: path, shard, part, n_docs, n_ids, start (ids in all files before). Documents are dealt by ranges of doc_id
     (rows that repeat an id by their text's hash), each range a shard that is written as it is read, in files of at
-    most about file_ids ids; null ids come first, null texts are empty.
+    most about file_ids ids; null ids come first, null texts are empty. Every row counts, however often it repeats. An empty
+    table gives no files; other columns are ignored. A null id is kept as the smallest long, so that this number, as an id,
+    is read back as null.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -147,7 +146,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         def flush():
             nonlocal part, docs_, ids, count
             starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            path = f"{folder}/shard-{shard:06d}-{part:04d}.dac"
+            path = f"{folder}/shard-{shard:06d}-{part:04d}-{TaskContext.get().taskAttemptId():x}.dac"
             null = np.iinfo(np.int64).min
             _write(path, to_bytes(np.array([null if d is None else d for d in docs_], np.int64), starts, np.concatenate(ids)))
             row = pa.RecordBatch.from_pydict({"path": [path], "shard": [shard], "part": [part], "n_docs": [len(docs_)], "n_ids": [int(starts[-1])]})
