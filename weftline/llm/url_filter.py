@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower
 
 #: Buckets of the hashed n-grams, and the lengths of these.
-BUCKETS = 4096
+BUCKETS = 16384
 LENGTHS = (3, 4)
 #: (rule, verdict), rule being host/path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Rows of the labelled table of each class.
-TABLE_ROWS = 360
+TABLE_ROWS = 600
 #: What the labelled table is made of: parts of site names by class, subdomains, top levels, and paths by class.
 GOOD_NAMES = """library museum garden weather railway harbour recipe kitchen cycling science history theatre hospital school university painter
 chemistry parliament radio archive village mountain river coffee bakery cinema orchestra poetry novel atlas planet telescope insect bird forest
@@ -29,8 +29,10 @@ climate energy housing transport nursing medicine dentist pharmacy veterinary sa
 pottery photography camera drawing software compiler database network protocol kernel tutorial handbook forum wiki notes journal letters""".split()
 BAD_NAMES = """casino poker slots roulette betting bets jackpot lottery adult porn xxx cams escort dating pills viagra pharma steroid loans payday
 credit crypto giveaway airdrop replica watches crack keygen warez spam seo backlinks linkfarm followers likes prize sweepstake freebie
-clickbait traffic popup toolbar malware phishing""".split()
+clickbait traffic popup toolbar malware phishing ads adserver track tracker banner doorway""".split()
 BAD_HINTS = "free cheap best hot win fast easy buy online bonus farm club vip x money".split()
+#: Syllables of invented names: most sites' names are no words.
+SYLLABLES = "an ber con den er fin gar hal ing jor kel lin mon nor on per quin ren ston ther tion ul ver wen ly ble sh nd".split()
 SUBDOMAINS = ("", "www.", "blog.", "m.", "shop.", "news.", "en.", "forum.")
 GOOD_ENDS = ("com", "org", "net", "edu", "de", "fr", "co.uk", "info", "dev", "example.com", "example.org", "example.net")
 BAD_ENDS = ("com", "biz", "net", "win", "click", "info", "top", "org", "xyz", "example.com", "example.org", "example.net")
@@ -47,7 +49,8 @@ def labelled_urls(rows: int = TABLE_ROWS) -> tuple[list[str], list[str]]:
     for k in range(rows):
         number = 7 + 131 * k % 9973
         two = GOOD_NAMES[(7 * k + 3 + k // len(GOOD_NAMES)) % len(GOOD_NAMES)]
-        name = GOOD_NAMES[k % len(GOOD_NAMES)] + ("", two, "-" + two)[k % 3]
+        made = "".join(SYLLABLES[(k * step + k // step) % len(SYLLABLES)] for step in (3, 5, 11))
+        name = (GOOD_NAMES[k % len(GOOD_NAMES)] + ("", two, "-" + two)[k // 2 % 3], made)[k % 2]
         good.append(f"https://{SUBDOMAINS[5 * k % 8]}{name}.{GOOD_ENDS[(7 * k + k // 12) % 12]}{GOOD_PATHS[(5 * k + k // 7) % 12].format(number)}")
         hint, word = BAD_HINTS[(4 * k + k // 15) % len(BAD_HINTS)], BAD_NAMES[k % len(BAD_NAMES)]
         name = (f"{word}-{hint}", f"{hint}-{word}", f"{word}{hint}", f"{hint}{word}")[(k + k // len(BAD_NAMES)) % 4]
@@ -81,7 +84,7 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(F.concat(F.lit("^"), text, F.lit("$")), salt, n) for salt, text in ((1, host), (2, path)) for n in LENGTHS))
 
 
-def train(spark: SparkSession, good: Sequence[str] | None = None, bad: Sequence[str] | None = None, rounds: int = 20, rate: float = 0.5, ridge: float = 1e-4) -> list[float]:
+def train(spark: SparkSession, good: Sequence[str] | None = None, bad: Sequence[str] | None = None, rounds: int = 20, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
     """Weights of the buckets, the last the bias, by stochastic gradient steps over the labelled table, in a fixed order.
 
     Without URLs of its own it learns from ``labelled_urls``, which doesn't grow with the pages.
