@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -69,7 +69,7 @@ def _count(batches):
 
 
 class Model:
-    """langs; table: (slots, words of 64 languages); false: each language's false positive rate."""
+    """langs; table: (slots, bytes of masks of 8 languages); false: each language's false positive rate."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray]):
         self.langs, words = langs, max(1, -(-len(langs) // 8))
@@ -105,7 +105,11 @@ class Model:
 
 
 def train(docs: DataFrame, texts: int = TEXTS, most: int = GRAMS) -> Model:
-    """Fit on at most about ``texts`` labelled texts of each language, chosen by a hash of the id; rows with null text or lang are left out."""
+    """Fit on at most about ``texts`` labelled texts of each language, chosen by a hash of the id; rows with null text or lang are left out.
+
+    most: n-grams of a language's filter at most, the likelier first. It bounds the filters' size and so their false
+    positives; what is scored is every n-gram of a text.
+    """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not totals:
@@ -118,16 +122,17 @@ def train(docs: DataFrame, texts: int = TEXTS, most: int = GRAMS) -> Model:
     rates = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
     own = rates.join(best, "gram").filter((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= 2))
-    top = own.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("rate", "gram")), False), 1, most).alias("g"))
-    filters = {r["lang"]: np.array([x["gram"] for x in r["g"]], np.int64) for r in top.collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))  # the sample's grams, bounded by its texts
+    top = own.withColumn("place", place).filter(F.col("place") <= most).groupBy("lang").agg(F.collect_list("gram").alias("g"))
+    filters = {r["lang"]: np.array(r["g"], np.int64) for r in top.collect()}
     langs = sorted(totals)
     return Model(langs, [filters.get(x, np.zeros(0, np.int64)) for x in langs])
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep``, lang_pred and score (under ``names``) for every row. Null texts and texts without a letter are ``und`` with score 0; so is every text if no language was learned.
+    """The columns ``keep``, lang_pred and score (under ``names``) for every row, rows that repeat an id each. Null texts and texts without a letter are ``und`` with score 0; so is every text if no language was learned.
 
-    The score is the likelier language's part of the corrected popcounts, between 0 and 1, times how much of the text it contains.
+    Ties go to the first language by name. Whole texts of any length; an empty table gives an empty result. The score is the likelier language's part of the corrected popcounts, between 0 and 1, times how much of the text it contains.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 bytes for each 8 languages
 
@@ -173,7 +178,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
-    """Learn from the rows that are not held out, predict all: doc_id, held_out, lang_pred, score."""
+    """Learn from the rows that are not held out, predict all: doc_id, held_out, lang_pred, score. Null ids are not held out
+    and take part; other columns are ignored, whatever their names."""
     model = train(docs.filter(~held_out()), texts)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -103,8 +103,10 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row per row of docs: doc_id, source, size (words), source_size, target, copies, taken.
 
-    Null texts have size 0; null sources are one source, the last. Rows that repeat a doc_id are taken alike. An empty
-    table gives an empty result; other columns are ignored. The hash is of doc_id, so reruns agree.
+    Null texts have size 0; null sources are one source, the last. The hash is of doc_id, so reruns agree, and rows that
+    repeat a doc_id are taken alike: a source that is mostly one id gets within that id's words of its target. Documents
+    are taken whole, so of ``most`` only whole copies count. An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     folder = scratch_dir(docs.sparkSession)
     rows = _sizes(docs, folder)

@@ -84,7 +84,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 20, cost: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
-    """Fit on at most about ``texts`` labelled texts of each class, chosen by a hash of the id. Rows without a label of 0 or 1 are left out; of several the larger counts."""
+    """Fit on at most about ``texts`` labelled texts of each class, chosen by a hash of the id. Labels other than 0
+    and 1, and null ids, are left out; of several labels of an id the larger counts, and of several texts the one of the
+    largest feature set. Without labels, or with those of one class only, the score is the same for every text."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not totals:
@@ -100,12 +102,18 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "f"])
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, y int, f binary")
+    # One text of an id, however many rows repeat it: the driver gets at most a set of 2^16 buckets for each chosen label.
+    sample = sample.groupBy("doc_id", "y").agg(F.max("f").alias("f"))
     rows = sorted(((r["doc_id"], r["y"], bytes(r["f"])) for r in sample.toLocalIterator()), key=lambda r: r)
     return fit([np.frombuffer(f, "<u2").astype(np.int64) for _, _, f in rows], np.array([y for _, y, _ in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted for every row; null texts count as empty."""
+    """doc_id, score, predicted for every row; null texts count as empty, and empty ones get the score of the bias alone.
+
+    Whole texts of any length. A score of exactly 0.5 predicts 1. Rows that repeat an id are scored each; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 doubles
 
     def run(batches):
@@ -124,6 +132,6 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> DataFrame:
-    """Learn from the labels that are not held out, score all: doc_id, held_out, score, predicted."""
+    """Learn from the labels that are not held out, score all: doc_id, held_out, score, predicted. Null ids are not held out."""
     model = train(docs, labels.filter(~held_out()), texts)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
