@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what a stage returns is written as Parquet and reread as
 the next one's docs. All but the last return the columns of documents.
+
+An empty table passes through every stage. Null texts count as empty; null ids and rows that repeat an id are documents
+of their own, told apart by their texts; of rows that repeat both, filters keep one. Extra columns stay as they are,
+whatever their names. Ties are broken as each stage says.
 """
 
 from __future__ import annotations
@@ -13,30 +17,40 @@ from weftline.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from weftline.llm.shared import materialise, scratch_dir, ship, table
 from weftline.llm.tokens import vocabulary
 
-#: Rows to be dropped up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Ids of rows to be dropped up to which they are broadcast, 32 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Names that no column of the documents has.
+TOLD, SCORE = "\x00predicted language", "\x00its score"
 #: Word shingles and percent of similarity of near duplicates; weights, share and limit of the mix; ids of a sequence.
 SHINGLE, PERCENT, WEIGHTS, SHARE, MOST, CAPACITY = 5, 80, (3, 1, 2), 1.5, 2.0, 2048
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose (doc_id, text_sha256) is in gone."""
+    """docs without the rows whose (doc_id, text_sha256) is in gone.
+
+    Ids alone are broadcast, to tell the rows that may go; only the texts of these are shuffled. Null ids are looked up too.
+    """
     gone = materialise(gone, "gone", scratch_dir(docs.sparkSession))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]) & (sha == side["gone_sha"]), "left_anti")
+    ids = gone.filter("gone_id is not null").select("gone_id").distinct()
+    ids = F.broadcast(ids) if gone.count() <= BROADCAST_ROWS else ids
+    own = docs["doc_id"] == ids["gone_id"]
+    safe = docs.filter("doc_id is not null").join(ids, own, "left_anti")
+    asked = docs.join(ids, own, "left_semi").unionByName(docs.filter("doc_id is null"))
+    sha = F.sha2(F.coalesce(asked["text"], F.lit("")), 256)
+    return safe.unionByName(asked.join(gone.hint("merge"), asked["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no letter in any language: no language can be told."""
+    """Drops what has no letter in any language, null and empty texts among it: no language can be told. Of the rest,
+    rows without a lang get the language that is told."""
     ship(spark)
     model = language_id.train(docs.filter(~language_id.held_out()))
-    told = language_id.predict(docs, model, docs.columns, ("predicted language", "its score"))
-    return told.filter(F.col("predicted language") != language_id.UNDETERMINED).select(*docs.columns)
+    told = language_id.predict(docs, model, docs.columns, (TOLD, SCORE)).filter(F.col(TOLD) != language_id.UNDETERMINED)
+    return told.select(*(F.coalesce("lang", TOLD).alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, null ids being the smallest; of rows that repeat both, one."""
     verdict = materialise(exact_dedup.exact_dedup(docs.select("doc_id", "text")), "verdict", scratch_dir(spark))
     lost = verdict.filter("not kept")
     other = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -72,12 +86,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: not at all, once or twice. Ties of the order within a source go by doc_id."""
     return mixing.mixed_rows(docs, WEIGHTS, SHARE, MOST)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap. A document that the mix repeats is packed each time."""
     ship(spark)
     return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"), CAPACITY, 0), CAPACITY)
 
