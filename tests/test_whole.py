@@ -18,7 +18,7 @@ def test_link_extract(spark, tmp_path):
     got = queries_more.link_extract(spark, documents(spark, tmp_path, texts)).collect()
     expected = set()
     for i, t in enumerate(texts):
-        note = f"{t or ''} 链接：https://pan.quark.cn/s/k{i} 提取码：ab{i:02d}，备用 pan.baidu.com/s/1x{i}"
+        note = f"{t or ''} 链接 https://pan.quark.cn/s/k{i} 密码ab{i:02d} pan.baidu.com/s/1x{i} pwd 9x8y"
         expected |= {(i, r["pos"], r["url"], r["pan_type"], r["pwd"]) for r in links.find(note)}
     assert set(map(tuple, got)) == expected and (0, "https://pan.quark.cn/s/late", "zz99") in {(r.doc_id, r.url, r.pwd) for r in got}
 

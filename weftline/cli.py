@@ -1,4 +1,4 @@
-"""Command line: python -m weftline.cli search|verify|queries ... over captured tables."""
+"""Command line: python -m weftline.cli search|verify|query|index|sites|channels|stats|maintain ... over captured tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftline")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search", help="rank the hits of a table for a query")
@@ -17,30 +17,100 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--type", action="append", default=[])
     s.add_argument("--strict", action="store_true")
     s.add_argument("-n", type=int, default=20)
+    s.add_argument("--csv")
     v = sub.add_parser("verify", help="links and codes of a text file, and the lines without any")
     v.add_argument("file")
     q = sub.add_parser("query", help="run a registered query")
     q.add_argument("name")
     q.add_argument("folder")
-    a = p.parse_args(argv)
+    i = sub.add_parser("index", help="the kept text index")
+    i.add_argument("action", choices=["build", "search", "stats", "compact"])
+    i.add_argument("path")
+    i.add_argument("--documents", help="a table with doc_id and text")
+    i.add_argument("--text", default="")
+    i.add_argument("--to", help="the folder of the compacted index")
+    i.add_argument("-n", type=int, default=20)
+    t = sub.add_parser("sites", help="sites of a table: listed, routed, or the search forms of captured pages")
+    t.add_argument("action", choices=["list", "route", "forms"])
+    t.add_argument("table")
+    t.add_argument("--text", default="")
+    c = sub.add_parser("channels", help="statistics of messages by channel, or new channels by vertical")
+    c.add_argument("action", choices=["stats", "new"])
+    c.add_argument("table")
+    c.add_argument("--known")
+    a = sub.add_parser("stats", help="what a cache of states holds")
+    a.add_argument("cache")
+    m = sub.add_parser("maintain", help="the queue of links to be checked again, unless a run was a short time ago")
+    m.add_argument("cache")
+    m.add_argument("--state", required=True, help="a folder for the state and the lock")
+    m.add_argument("--force", action="store_true")
+    m.add_argument("-n", type=int, default=150)
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
 
     from . import catalogue
-    from .plans import search
+    from .functions import html
+    from .functions import text as T
+    from .operators import catalog, keptindex, liveness, maintain
+    from .plans import query, search
     from .session import session, ship
+    from .sources import sinks
 
     spark = session()
     ship(spark)
+    read = spark.read.parquet
     if a.command == "search":
-        cache = spark.read.parquet(a.cache) if a.cache else None
-        search.search(spark.read.parquet(a.hits), a.text, cache, types=a.type, strict=a.strict, limit=a.n).show(a.n, False)
-        return 0
-    if a.command == "verify":
+        found = search.search(read(a.hits), a.text, read(a.cache) if a.cache else None, types=a.type, strict=a.strict, limit=a.n)
+        if a.csv:
+            sinks.write_csv(sinks.export_rows(found), a.csv)
+        found.show(a.n, False)
+    elif a.command == "verify":
         lines = spark.read.text(a.file).select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
         hits, rejects = search.batch_text(lines)
         hits.show(1000, False)
         rejects.show(1000, False)
         return 0 if rejects.isEmpty() else 1
-    catalogue.QUERIES[a.name](spark, a.folder).show(100, False)
+    elif a.command == "query":
+        catalogue.QUERIES[a.name](spark, a.folder).show(100, False)
+    elif a.command == "index":
+        folded = lambda: read(a.documents).select("doc_id", T.folded(F.col("text")).alias("text"))
+        if a.action == "build":
+            index = keptindex.Index.build(folded(), T.mixed_tokens(F.col("text")), a.path)
+        else:
+            index = keptindex.Index(spark, a.path)
+        if a.action == "search":
+            asked = query.analyse(a.text)
+            index.search(asked.terms, asked.required, folded(), a.n).show(a.n, False)
+        elif a.action == "compact":
+            index.compact(a.to)
+        else:
+            print(f"{index.n} documents, {index.avgdl:.1f} tokens each, {index.segments} segments, {index.vocabulary().count()} terms")
+    elif a.command == "sites":
+        rows = read(a.table)
+        if a.action == "route":
+            rows = catalog.route(rows, query.verticals(a.text), 12)
+        elif a.action == "forms":
+            rows = rows.select("url", html.search_forms("html", F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("templates"))
+        rows.show(100, False)
+    elif a.command == "channels":
+        rows = read(a.table)
+        (catalog.channel_stats(rows) if a.action == "stats" else maintain.new_channels(rows, read(a.known))).show(1000, False)
+    elif a.command == "stats":
+        cache = liveness.latest(read(a.cache), ["cache_key", "pwd"], "checked_at")
+        cache.groupBy("status").agg(F.count(F.lit(1)).alias("n")).show()
+        maintain.pending(cache, F.current_timestamp(), 6).show()
+    else:
+
+        def work() -> dict:
+            cache = liveness.latest(read(a.cache), ["cache_key", "pwd"], "checked_at")
+            due = maintain.recheck_queue(cache, F.current_timestamp(), 6, 720, a.n)
+            due.show(a.n, False)
+            return maintain.counters(cache).first().asDict()
+
+        print(maintain.run(maintain.Files(spark, a.state), work, a.force))
     return 0
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,18 +100,21 @@ def lexical(shown: DataFrame, keyword: str, k: int) -> DataFrame:
     asked = [Q.analyse(q).required for q in (keyword, *Q.aliases(keyword))]
     names = F.transform(F.concat(F.array("title"), F.coalesce("titles", F.array().cast("array<string>"))), lambda t: T.evidence(F.lower(F.coalesce(t, F.lit("")))))
 
-    def every(t: Column, *, required: Sequence[str]) -> Column:
-        out = F.lit(True)
-        for term in required:
-            out = out & ranking.term_present(t, term)
-        return out
+    def has(required: Sequence[str]) -> Callable[[Column], Column]:
+        def every(t: Column) -> Column:
+            out = F.lit(True)
+            for term in required:
+                out = out & ranking.term_present(t, term)
+            return out
+
+        return every
 
     def dull(t: Column) -> Column:
         return F.length(F.regexp_replace(t, r"[\s\d\p{Punct}]+", "")) == 0
 
     anchored = F.lit(False)
     for required in asked:
-        anchored = anchored | F.exists(names, partial(every, required=required))
+        anchored = anchored | F.exists(names, has(required))
     exempt = F.coalesce(F.array_contains("kinds", "api"), F.lit(False)) | F.exists(names, dull)
     rows = shown.withColumn("exempt", exempt).withColumn("absent", ~F.col("exempt") & ~anchored).withColumn("poor", ~F.col("exempt") & (F.col("relevance") < POOR))
     top = F.col("pos") <= k

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions import urls
-from ..operators import liveness, ranking, resolve
+from ..operators import catalog, liveness, ranking, resolve
 from ..session import table
 from . import views
 from .registry import Registry
@@ -28,21 +28,36 @@ def ordered(column: str, where: str = "true", cap: int | None = None) -> str:
     return f"(SELECT key, array_to_string((list(x ORDER BY s)){cut}, '|') AS {column}s FROM (SELECT key, {column} AS x, min(seq) AS s FROM keyed WHERE {column} IS NOT NULL AND {column} <> '' AND {where} GROUP BY 1, 2) GROUP BY key)"
 
 
-RESOLVED = f"""{KEYED}, best AS (SELECT key, source, max(1.0 / (60 + rank)) AS b FROM keyed GROUP BY 1, 2), fused AS (SELECT key, sum(b) AS rrf FROM best GROUP BY 1),
+AFTER_KEYS = """best AS (SELECT key, source, max(1.0 / (60 + rank)) AS b FROM keyed GROUP BY 1, 2), fused AS (SELECT key, sum(b) AS rrf FROM best GROUP BY 1),
 res AS (SELECT key, coalesce(arg_min(url, seq) FILTER (code IS NOT NULL), arg_min(url, seq)) AS url, arg_min(code, seq) FILTER (code IS NOT NULL) AS pwd,
  arg_max(title, length(title) * 1000000000 - seq) FILTER (title <> '') AS title, arg_min(size, seq) FILTER (size <> '') AS size, bool_or(NOT relaxed) AS from_primary,
  count(*) AS hit_count, min(seq) AS first_seq FROM keyed GROUP BY key)"""
+RESOLVED = f"{KEYED}, {AFTER_KEYS}"
+LISTED = f"""SELECT res.*, sources, kinds, origins, querys AS queries, round(rrf, 9) AS rrf FROM res JOIN fused USING (key)
+ LEFT JOIN {ordered("source")} USING (key) LEFT JOIN {ordered("kind")} USING (key) LEFT JOIN {ordered("origin", cap=8)} USING (key)
+ LEFT JOIN {ordered("query", "NOT relaxed")} USING (key)"""
 
 
-@R.add(f"""WITH {RESOLVED} SELECT res.*, sources, kinds, origins, querys AS queries, round(rrf, 9) AS rrf FROM res JOIN fused USING (key)
- LEFT JOIN {ordered("source")} USING (key) LEFT JOIN {ordered("kind")} USING (key) LEFT JOIN {ordered("origin", cap=8)} USING (key)
- LEFT JOIN {ordered("query", "NOT relaxed")} USING (key)""")
-def resolve_hits(spark, sf_dir):
-    out = resolve.resolve(views.hits(spark, sf_dir))
+def listed(hits):
+    out = resolve.resolve(hits)
     lists = (F.nullif(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("sources", "kinds", "origins", "queries"))
     return out.select("key", "url", "pwd", "title", "size", "from_primary", "hit_count", "first_seq", *lists, F.round("rrf", 9).alias("rrf"))
 
 
+@R.add(f"WITH {RESOLVED} {LISTED}")
+def resolve_hits(spark, sf_dir):
+    return listed(views.hits(spark, sf_dir))
+
+
+@R.add(f"""WITH hits AS ({views.MIXED_HITS}), keyed AS (SELECT * REPLACE (CASE doc % 6 WHEN 0 THEN 'https://pan.baidu.com/s/1T' || CAST(doc % 90 AS VARCHAR) WHEN 2 THEN regexp_replace(url, '&dn=.*$', '') ELSE regexp_extract(url, '^([^?#]*)', 1) END AS url),
+ CASE doc % 6 WHEN 0 THEN 'baidu:1T' || CAST(doc % 90 AS VARCHAR) WHEN 1 THEN 'quark:pan.quark.cn/s/k' || CAST(doc % 80 AS VARCHAR) WHEN 2 THEN 'magnet:' || lower(regexp_extract(url, 'btih:([A-Za-z0-9]+)', 1))
+ WHEN 3 THEN 'aliyun:www.alipan.com/s/a' || CAST(doc % 60 AS VARCHAR) ELSE '123:www.123pan.com/s/z' || CAST(doc % 50 AS VARCHAR) END AS key,
+ coalesce(nullif(pwd, ''), CASE doc % 6 WHEN 0 THEN regexp_extract(url, 'pwd=(....)', 1) WHEN 1 THEN regexp_extract(url, '#(....)$', 1) END) AS code FROM (SELECT *, seq AS doc FROM hits) WHERE doc % 6 <> 4), {AFTER_KEYS} {LISTED}""")
+def resolve_providers(spark, sf_dir):
+    """Hits of five providers, codes in queries and fragments, magnets with names, and hosts that nobody knows."""
+    return listed(views.mixed_hits(spark, sf_dir))
+
+
 @R.add(f"WITH {KEYED}, best AS (SELECT key, source, max(1.0 / (60 + rank)) AS b FROM keyed GROUP BY 1, 2) SELECT key, round(sum(b), 9) AS rrf FROM best GROUP BY 1")
 def rrf_fusion(spark, sf_dir):
     return resolve.fuse(resolve.with_keys(views.hits(spark, sf_dir))).select("key", F.round("rrf", 9).alias("rrf"))
@@ -176,11 +191,15 @@ def kind_weights(spark, sf_dir):
     return by.withColumn("weight", ranking.lookup(F.col("kind"), X.KIND_WEIGHTS, X.KIND_DEFAULT))
 
 
-@R.add(f"""WITH h AS ({views.HITS}) SELECT source, count(*) AS hits, count(*) FILTER (relaxed) AS relaxed, min(rank) AS first_rank, CASE WHEN max(doc) > 0 THEN 'ok' END AS status
- FROM (SELECT *, seq + 1 AS doc FROM h) GROUP BY 1""")
+REPORTS = """SELECT concat(CAST(user_id AS VARCHAR(20)), '-', CAST(day(ts) AS VARCHAR(20))) AS source, event_id AS seq, CASE event_type WHEN 'view' THEN 3 WHEN 'purchase' THEN 1 ELSE 0 END AS hits, value AS seconds,
+ CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'timeout' WHEN 'signup' THEN 'empty' ELSE 'ok' END AS status, CASE WHEN event_type IN ('error', 'click') THEN concat('E', CAST(event_id AS VARCHAR(20))) END AS error FROM events"""
+
+
+@R.add(f"""WITH r AS ({REPORTS}), m AS (SELECT source, sum(hits) AS hits, round(max(seconds), 2) AS seconds, max(CASE status WHEN 'ok' THEN 1 WHEN 'empty' THEN 2 WHEN 'timeout' THEN 4 ELSE 5 END) AS w, arg_min(error, seq) FILTER (error IS NOT NULL) AS error FROM r GROUP BY 1)
+SELECT source, CAST(hits AS BIGINT) AS hits, seconds, CASE WHEN hits > 0 AND w >= 4 THEN 'degraded' WHEN w = 1 THEN 'ok' WHEN w = 2 THEN 'empty' WHEN w = 4 THEN 'timeout' ELSE 'error' END AS status, error FROM m""")
 def source_report(spark, sf_dir):
-    by = views.hits(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.count_if("relaxed").alias("relaxed"), F.min("rank").cast("long").alias("first_rank"))
-    return by.withColumn("status", F.when(F.col("hits") > 0, "ok"))
+    """Reports of a source's jobs as one: what failed shows, and what failed but brought hits is degraded."""
+    return catalog.merge_reports(views.view(spark, sf_dir, REPORTS, "events"))
 
 
 @R.add("""SELECT 'u' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 6 = 0 THEN 'baidu' WHEN doc_id % 6 = 1 THEN 'quark' WHEN doc_id % 6 = 2 THEN 'magnet' WHEN doc_id % 6 = 3 THEN 'direct' WHEN doc_id % 6 = 4 THEN '123' ELSE 'other' END AS pan_type,

@@ -9,7 +9,7 @@ from ..functions import links, text
 from ..operators import catalog, liveness, tables
 from ..session import ship, table
 from ..streaming import windows
-from . import search, views
+from . import queries_core, search, views
 from .registry import Registry
 
 R = Registry()
@@ -25,9 +25,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
 
 
-@R.add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@R.add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @R.add("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
@@ -51,10 +51,10 @@ def cross_plan(spark, sf_dir):
     return search.jobs(asked, kinds).select("query", "kind", "relaxed")
 
 
-@R.add("SELECT lang, source FROM documents INTERSECT SELECT lang, source FROM documents WHERE doc_id % 3 = 0")
+@R.add("SELECT lang, source FROM documents INTERSECT SELECT lang, source FROM documents WHERE n_chars > 2000")
 def set_intersect(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return d.drop("doc_id").intersect(d.filter("doc_id % 3 = 0").drop("doc_id"))
+    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars")
+    return d.drop("n_chars").intersect(d.filter("n_chars > 2000").drop("n_chars"))
 
 
 @R.add("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -139,17 +139,13 @@ def stream_tumbling(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@R.add("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def rank_by_pair(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@R.add()
+@R.add("""SELECT doc_id, CAST(length(coalesce(text, '')) + CASE k WHEN 1 THEN 4 ELSE 36 + length(n) END AS INT) AS pos, CASE k WHEN 1 THEN 'https://pan.quark.cn/s/k' || n ELSE 'https://pan.baidu.com/s/1x' || n END AS url,
+ CASE k WHEN 1 THEN 'quark' ELSE 'baidu' END AS pan_type, CASE k WHEN 1 THEN 'ab' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') ELSE '9x8y' END AS pwd FROM (SELECT doc_id, text, CAST(doc_id AS VARCHAR) AS n FROM documents), (VALUES (1), (2)) v(k)""")
 def link_extract(spark, sf_dir):
-    """Links and codes planted at the end of whole texts."""
+    """Links and codes planted at the end of whole texts, which have none of their own."""
     ship(spark)
     n = F.col("doc_id").cast("string")
-    note = F.concat(F.coalesce("text", F.lit("")), F.lit(" 链接：https://pan.quark.cn/s/k"), n, F.lit(" 提取码：ab"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("，备用 pan.baidu.com/s/1x"), n)
+    note = F.concat(F.coalesce("text", F.lit("")), F.lit(" 链接 https://pan.quark.cn/s/k"), n, F.lit(" 密码ab"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" pan.baidu.com/s/1x"), n, F.lit(" pwd 9x8y"))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(links.share_links(note)).alias("l")).select("doc_id", "l.*")
 
 
@@ -166,26 +162,61 @@ def mixed_script_tokens(spark, sf_dir):
     return rows.select("id", text.mixed_tokens(F.col("text")).alias("tokens"))
 
 
-@R.add()
-def search_end_to_end(spark, sf_dir):
-    """A whole search over the hits and cache of the driver's tables."""
-    last = liveness.latest(views.cache(spark, sf_dir), ["cache_key", "pwd"], "event_id")
-    return search.search(views.hits(spark, sf_dir), "the of", cache=last, now=now(), limit=50)
+BOTH = "regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z+#])') AND regexp_matches(t, '(^|[^a-z0-9])of($|[^a-z+#])')"
 
 
-@R.add()
+@R.add(f"""WITH {queries_core.RESOLVED}, titled AS (SELECT key, title, min(seq) AS s, trim(lower(title)) AS t FROM keyed WHERE title <> '' GROUP BY key, title),
+told AS (SELECT key, bool_or({BOTH}) AS answers, bool_or(length(regexp_replace(t, '[\\s\\d[:punct:]]+', '', 'g')) > 0) AS known FROM titled GROUP BY 1),
+rated AS (SELECT *, CAST(regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z+#])') AS INT) + CAST(regexp_matches(t, '(^|[^a-z0-9])of($|[^a-z+#])') AS INT) AS m FROM titled),
+rel AS (SELECT *, CAST({queries_core.REL} AS DOUBLE) AS r FROM rated), top AS (SELECT key, max(r) AS relevance, first(title ORDER BY r DESC, length(title) DESC, s) AS best FROM rel GROUP BY 1),
+kw AS (SELECT key, max(CASE kind WHEN 'api' THEN 0.95 WHEN 'tg' THEN 0.9 WHEN 'forum' THEN 0.8 ELSE 0.6 END)::DOUBLE AS kw, count(DISTINCT source) AS ns FROM keyed GROUP BY 1),
+cache AS ({views.CACHE}), last AS (SELECT cache_key, arg_max(status, (checked_at, event_id)) AS status, arg_max(checked_at, (checked_at, event_id)) AS checked_at, arg_max(pwd_verified, (checked_at, event_id)) AS verified FROM cache GROUP BY 1),
+live AS (SELECT cache_key AS key, status, verified FROM last WHERE date_diff('second', checked_at, {views.NOW}) <= CASE WHEN status IN ('dead', 'not_found') THEN 720 ELSE 6 END * 3600),
+st AS (SELECT res.key, res.pwd, coalesce(best, res.title) AS title, from_primary, hit_count, first_seq, rrf, coalesce(relevance, 0.3) AS relevance, kw, ns, coalesce(status, 'unchecked') AS status, coalesce(verified, false) AS verified
+ FROM res JOIN fused USING (key) JOIN kw USING (key) LEFT JOIN top USING (key) LEFT JOIN told USING (key) LEFT JOIN live ON live.key = res.key AND res.pwd IS NULL WHERE coalesce(answers, false) OR NOT coalesce(known, false)),
+us AS (SELECT *, status = 'alive' OR (status = 'need_pwd' AND pwd IS NOT NULL AND verified) AS usable FROM st),
+sc AS (SELECT *, round(relevance * relevance * kw * (1 + least(0.35, (ns - 1) * 0.12)) * (1 + least(0.30, rrf)) * CASE WHEN pwd IS NOT NULL AND usable THEN 1.1 ELSE 1 END
+ * CASE WHEN NOT from_primary AND relevance < 0.85 THEN 0.5 ELSE 1 END * CASE status WHEN 'alive' THEN 1.0 WHEN 'need_pwd' THEN 0.8 WHEN 'wrong_pwd' THEN 0.5 WHEN 'unchecked' THEN 0.6 WHEN 'unknown' THEN 0.3 WHEN 'dead' THEN 0.02 ELSE 0.5 END, 6) AS score FROM us)
+SELECT key, title, status, relevance, score, hit_count, first_seq FROM sc WHERE status NOT IN ('dead', 'not_found') ORDER BY CASE WHEN relevance >= 0.85 THEN 0 WHEN relevance >= 0.45 THEN 1 ELSE 2 END,
+ CASE WHEN status = 'alive' THEN 0 WHEN status IN ('need_pwd', 'wrong_pwd') THEN 1 ELSE 2 END, score DESC, CAST(NOT usable AS INT), first_seq LIMIT 50""")
+def search_end_to_end(spark, sf_dir):
+    """A whole search over the hits and cache of the driver's tables."""
+    found = search.search(views.hits(spark, sf_dir), "the of", cache=views.cache(spark, sf_dir), now=now(), limit=50)
+    return found.select("key", "title", "status", "relevance", "score", "hit_count", "first_seq")
+
+
+#: Captured answers of six endpoints, made from events.
+ANSWERS = """SELECT concat('k', CAST(event_id AS VARCHAR(20))) AS key, CASE WHEN event_id % 2 = 0 THEN 'abcd' END AS pwd,
+ CASE event_id % 7 WHEN 0 THEN 'baidu_liveness' WHEN 1 THEN 'baidu_code' WHEN 2 THEN 'quark' WHEN 3 THEN 'aliyun' WHEN 4 THEN '115' WHEN 5 THEN 'tianyi' ELSE 'other' END AS endpoint,
+ CASE WHEN event_type = 'error' THEN 404 WHEN event_type = 'click' THEN 400 ELSE 200 END AS http_status,
+ CASE event_id % 7 WHEN 0 THEN concat('{"errno":', CASE event_type WHEN 'view' THEN '0' WHEN 'click' THEN '-9' WHEN 'error' THEN '140' WHEN 'signup' THEN '-3' ELSE '7' END, '}')
+ WHEN 1 THEN concat('{"errno":', CASE event_type WHEN 'view' THEN '0' WHEN 'click' THEN '-12' WHEN 'error' THEN '105' WHEN 'signup' THEN '-62' ELSE '7' END, '}')
+ WHEN 2 THEN CASE event_type WHEN 'view' THEN '{"code":0,"status":200}' WHEN 'signup' THEN '{"code":41006}' WHEN 'purchase' THEN '{"status":200}' ELSE '{}' END
+ WHEN 3 THEN CASE event_type WHEN 'view' THEN '{"share_name":"a"}' WHEN 'signup' THEN '{"code":"ShareLink.Cancelled"}' WHEN 'purchase' THEN '{"code":"Odd.NotFound"}' WHEN 'click' THEN '{"x":1}' ELSE '{}' END
+ WHEN 4 THEN CASE event_type WHEN 'view' THEN '{"state":true,"errno":0}' WHEN 'signup' THEN '{"state":false,"errno":4100012}' WHEN 'purchase' THEN '{"state":false,"errno":9}' WHEN 'click' THEN '{"state":false,"errno":4100008}' ELSE 'not json' END
+ WHEN 5 THEN CASE event_type WHEN 'view' THEN '<shareVO><a/></shareVO>' WHEN 'signup' THEN '<error><code>ShareInfoInvalid</code></error>' WHEN 'purchase' THEN '<error><code>Other</code></error>' ELSE '' END ELSE '{}' END AS body FROM events"""
+
+
+@R.add("""SELECT 'k' || CAST(event_id AS VARCHAR) AS key, CASE event_id % 7
+ WHEN 0 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'click' THEN 'need_pwd' WHEN 'error' THEN 'not_found' WHEN 'signup' THEN 'dead' ELSE 'unknown' END
+ WHEN 1 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'click' THEN 'wrong_pwd' WHEN 'error' THEN 'not_found' WHEN 'signup' THEN 'unknown' ELSE 'unknown' END
+ WHEN 2 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'signup' THEN 'not_found' WHEN 'purchase' THEN 'alive' WHEN 'error' THEN 'not_found' ELSE 'unknown' END
+ WHEN 3 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'signup' THEN 'dead' WHEN 'purchase' THEN 'not_found' WHEN 'click' THEN 'unknown' ELSE 'not_found' END
+ WHEN 4 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'signup' THEN 'need_pwd' WHEN 'purchase' THEN 'not_found' WHEN 'click' THEN 'wrong_pwd' ELSE 'unknown' END
+ WHEN 5 THEN CASE event_type WHEN 'view' THEN 'alive' WHEN 'signup' THEN 'dead' WHEN 'click' THEN 'not_found' ELSE 'unknown' END ELSE 'unsupported' END AS status FROM events""")
 def response_decisions(spark, sf_dir):
-    rows = [
-        ("k1", None, "quark", 200, '{"code":0,"status":200}'), ("k2", None, "quark", 404, '{"code":41006}'), ("k3", None, "aliyun", 400, '{"code":"ShareLink.Cancelled"}'),
-        ("k4", "abcd", "115", 200, '{"state":false,"errno":4100008}'), ("k5", None, "tianyi", 200, "<shareVO><a/></shareVO>"), ("k6", None, "tianyi", 200, "<error><code>ShareInfoNotFound</code></error>"),
-        ("k7", "1234", "baidu_code", 200, '{"errno":-9}'), ("k7", "1234", "baidu_liveness", 200, '{"errno":0}'), ("k8", None, "baidu_liveness", 200, '{"errno":-3}'), ("k9", None, "other", 200, "{}"),
-    ]
-    return liveness.decide(spark.createDataFrame(rows, "key string, pwd string, endpoint string, http_status int, body string"), now()).select("key", "endpoint", "status")
+    """Answers of every endpoint, decided by tables."""
+    return liveness.decide(views.view(spark, sf_dir, ANSWERS, "events"), now()).select("key", "status")
 
 
-@R.add()
+@R.add("""SELECT doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'https://pan.quark.cn/s/b' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'https://pan.baidu.com/share/init?surl=T' || CAST(doc_id AS VARCHAR) || '&pwd=12ab' END AS url,
+ CASE doc_id % 3 WHEN 0 THEN '12xy' WHEN 1 THEN '12ab' END AS pwd FROM documents WHERE doc_id % 3 <> 2 OR trim(text) <> ''""")
 def batch_lines(spark, sf_dir):
+    """A batch of lines: links with codes, lone links that keep their query, and lines that have none."""
     ship(spark)
-    rows = spark.createDataFrame([(1, "https://pan.quark.cn/s/abc 提取码 1234"), (2, "没有链接"), (3, "pan.baidu.com/s/1zz 密码: 9x8y")], "line int, text string")
+    n = F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://pan.quark.cn/s/b"), n, F.lit(" 提取码 12xy"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("https://pan.baidu.com/share/init?surl=T"), n, F.lit("&pwd=12ab")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), F.coalesce(line, F.col("text")).alias("text"))
     hits, rejects = search.batch_text(rows)
-    return hits.select("line", "url", "pwd").unionByName(rejects.select("line", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("pwd")))
+    none = F.lit(None).cast("string")
+    return hits.select("line", "url", "pwd").unionByName(rejects.select("line", none.alias("url"), none.alias("pwd")))

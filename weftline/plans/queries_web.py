@@ -106,9 +106,9 @@ def link_yield(spark, sf_dir):
     return first.groupBy("site").agg(F.sum("links").alias("yield"))
 
 
-@R.add(f"SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || p AS link FROM (SELECT page_id, url, unnest({HREFS}) AS p FROM pages) WHERE regexp_matches(p, '/[0-9]+')")
+@R.add(f"SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || p AS link FROM (SELECT page_id, url, unnest({HREFS}) AS p FROM pages) WHERE regexp_matches(p, '^/[a-z]{{4,}}$')")
 def detail_urls(spark, sf_dir):
-    rows = pages(spark, sf_dir).select("page_id", "url", F.explode(html.local_links(F.col("html"))).alias("p")).filter(F.col("p").rlike("/[0-9]+"))
+    rows = pages(spark, sf_dir).select("page_id", "url", F.explode(html.local_links(F.col("html"))).alias("p")).filter(F.col("p").rlike("^/[a-z]{4,}$"))
     return rows.select("page_id", html.absolute(F.col("url"), F.col("p")).alias("link"))
 
 

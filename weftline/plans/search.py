@@ -77,7 +77,7 @@ def message_hits(messages: DataFrame, query: str = "") -> DataFrame:
 
 
 def batch_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Free text (line, text): the links, and the lines that have none."""
-    found = lines.select("line", "text", links.share_links(F.col("text")).alias("found"))
+    """Free text (line, text): the links, lone ones with their query kept, and the lines that have none."""
+    found = lines.select("line", "text", links.pasted_links(F.col("text")).alias("found"))
     hits = found.select("line", F.explode("found").alias("l")).select("line", "l.*")
     return hits, found.filter((F.size("found") == 0) & (F.trim("text") != "")).select("line", "text")

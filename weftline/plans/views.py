@@ -18,6 +18,17 @@ HITS = """SELECT doc_id AS seq, source,
  doc_id % 97 AS rank
  FROM documents"""
 
+#: Hits of several providers.
+MIXED_HITS = """SELECT doc_id AS seq, source, CASE doc_id % 4 WHEN 0 THEN 'tg' WHEN 1 THEN 'forum' WHEN 2 THEN 'api' ELSE 'websearch' END AS kind,
+ CASE doc_id % 6 WHEN 0 THEN concat('https://pan.baidu.com/s/1T', CAST(doc_id % 90 AS VARCHAR(20)), '?pwd=', lpad(CAST(doc_id % 10000 AS VARCHAR(20)), 4, '0'))
+ WHEN 1 THEN concat('https://pan.quark.cn/s/k', CAST(doc_id % 80 AS VARCHAR(20)), '#', lpad(CAST(doc_id % 10000 AS VARCHAR(20)), 4, '0'))
+ WHEN 2 THEN concat('magnet:?xt=urn:btih:', upper(md5(CAST(doc_id % 70 AS VARCHAR(20)))), '&dn=name')
+ WHEN 3 THEN concat('https://www.alipan.com/s/a', CAST(doc_id % 60 AS VARCHAR(20)), '?x=1') WHEN 4 THEN concat('https://example.com/s/', CAST(doc_id AS VARCHAR(20)))
+ ELSE concat('https://www.123pan.com/s/z', CAST(doc_id % 50 AS VARCHAR(20))) END AS url,
+ CASE WHEN doc_id % 7 = 0 THEN 'own1' END AS pwd, substr(text, 1, 60) AS title, CASE WHEN doc_id % 7 = 0 THEN concat(CAST(doc_id % 50 AS VARCHAR(20)), ' MB') END AS size,
+ CAST(NULL AS TIMESTAMP) AS shared_at, concat('o', CAST(doc_id % 13 AS VARCHAR(20))) AS origin, (doc_id % 5 = 0) AS relaxed, CASE WHEN doc_id % 5 = 0 THEN 'rest' ELSE concat('q', CAST(doc_id % 3 AS VARCHAR(20))) END AS query,
+ doc_id % 97 AS rank FROM documents"""
+
 #: Cached states by user, one key each: tables of states grow with the events.
 STATES = """SELECT CAST(user_id AS VARCHAR(20)) AS cache_key, CAST(NULL AS VARCHAR(10)) AS pwd,
  CASE event_type WHEN 'signup' THEN 'alive' WHEN 'view' THEN 'need_pwd' WHEN 'click' THEN 'wrong_pwd' WHEN 'error' THEN 'dead' ELSE 'unknown' END AS status,
@@ -34,13 +45,20 @@ RUNS = """SELECT CAST(user_id % 20 AS VARCHAR(20)) AS domain, ts AS run_at, even
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """A view's rows; the tables are handed over by name, so sessions and folders don't mix."""
-    return spark.sql(sql.replace("FROM documents", "FROM {documents}").replace("FROM events", "FROM {events}"), **{t: table(spark, sf_dir, t) for t in tables})
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, HITS, "documents")
 
 
+def mixed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, MIXED_HITS, "documents")
+
+
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CACHE, "events")
 

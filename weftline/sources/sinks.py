@@ -60,8 +60,12 @@ def read_log(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 def catalogue_lines(sites: DataFrame) -> DataFrame:
     """sites (name, domain, verticals, ...) as lines of JSON, which YAML is too, empty fields left out, by first vertical and domain."""
-    some = sites.select(F.coalesce(F.get("verticals", F.lit(0)), F.lit("")).alias("_first"), F.col("domain").alias("_domain"), F.to_json(F.struct(*sites.columns)).alias("line"))
-    return some.orderBy("_first", "_domain").select(F.regexp_replace("line", r'"[^"]+":(?:""|\[\]),?', "").alias("line"))
+    some = []
+    for name, kind in sites.dtypes:
+        c = F.col(name)
+        some.append((F.when(F.size(c) > 0, c) if kind.startswith("array") else F.nullif(c, F.lit("")) if kind == "string" else c).alias(name))
+    rows = sites.select(F.coalesce(F.get("verticals", F.lit(0)), F.lit("")).alias("_first"), F.col("domain").alias("_domain"), F.to_json(F.struct(*some)).alias("line"))
+    return rows.orderBy("_first", "_domain").select("line")
 
 
 def write_text(spark: SparkSession, path: str, value: dict | list) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def tumbling(events: DataFrame, length: str) -> DataFrame:
     by = events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -31,18 +32,17 @@ def read(spark: SparkSession, path: str, late: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/weftline-stream-{uuid.uuid4().hex}"
+def run_tumbling(spark: SparkSession, path: str, length: str, late: str = "1 day") -> DataFrame:
+    """Everything that is there, through the streaming engine: state to the end, then the result, a table in the shared folder."""
+    folder, last = scratch(spark, "stream"), []
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v{number}")  # the whole result so far
+        last[:] = [number]
 
-def run_tumbling(spark: SparkSession, path: str, length: str, late: str = "1 day") -> DataFrame:
-    """Everything that is there, through the streaming engine: state to the end, then the result as a table."""
-    name = f"tumbling_{uuid.uuid4().hex[:12]}"
     stream = tumbling(read(spark, path, late), length)
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint_folder(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/v{last[0]}") if last else tumbling(spark.read.parquet(path).limit(0), length)
 
 
 def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,13 +51,34 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upserts(events: DataFrame, target: str, keys: list[str], by: str, checkpoint: str):
-    """Latest-wins merge of a stream into a Parquet table, batch by batch."""
+    """Latest-wins merge of a stream into a Parquet table: a batch writes its own keys' latest rows and nothing else. A
+    replayed batch overwrites its own folder. ``upserted`` reads the table, ``compact_upserts`` writes it as one batch."""
     from ..operators.liveness import latest
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = f"{target}/v{number}"
-        rows = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{target}/v{number - 1}"))
-        latest(rows, keys, by).write.mode("overwrite").parquet(new)  # a replayed batch overwrites its own version
+        latest(batch, keys, by).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def upserted(spark: SparkSession, target: str, keys: list[str], by: str) -> DataFrame:
+    from ..operators.liveness import latest
+
+    return latest(spark.read.parquet(target).drop("batch"), keys, by)
+
+
+def compact_upserts(spark: SparkSession, target: str, other: str, keys: list[str], by: str) -> None:
+    """The table's present rows, in another folder, as what comes before any batch."""
+    upserted(spark, target, keys, by).write.mode("overwrite").parquet(f"{other}/batch=-1")
+
+
+def progress(hits: DataFrame, folder: str, ranked: Callable[[DataFrame], DataFrame]):
+    """A stream of hits as frames: after each batch the ranking of all hits so far, as JSON lines in frames/<batch>. What a
+    batch brought is kept in hits/batch=<batch>, so a replay changes nothing; the newest frame is the one to show."""
+
+    def show(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/hits/batch={number}")
+        ranked(spark.read.parquet(f"{folder}/hits").filter(F.col("batch") <= number).drop("batch")).write.mode("overwrite").json(f"{folder}/frames/{number}")
+
+    return hits.writeStream.foreachBatch(show).option("checkpointLocation", f"{folder}/checkpoint")
