@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..operators import evaluation, liveness, maintain
+from ..operators import collect, evaluation, liveness, maintain, tables
 from ..session import ship, table
 from . import federation, views
 from .registry import Registry
@@ -230,3 +230,48 @@ def checked_ahead(spark, sf_dir):
     early = last(spark, sf_dir).select(F.col("cache_key").alias("key"), F.lit(None).cast("string").alias("pwd"), "status", "checked_at")
     rows = views.hits(spark, sf_dir).select("seq", F.concat(F.lit("quark:"), F.regexp_replace("url", "^https://", "")).alias("key"), F.lit(None).cast("string").alias("pwd"))
     return federation.with_early(rows, early).select("seq", "early_status")
+
+
+# --- channels read back to their marks, mirrors, directories
+
+CRAWL = """m AS (SELECT user_id AS channel, event_id AS msg_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1) // 20 AS page FROM events), k AS (SELECT user_id AS channel, max(event_id) AS newest FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1),
+p AS (SELECT channel, page, min(msg_id) AS low, max(msg_id) AS high, count(*) AS n FROM m GROUP BY 1, 2), t AS (SELECT p.*, newest, coalesce(low <= newest, false) AS reached FROM p LEFT JOIN k USING (channel)),
+r AS (SELECT *, coalesce(bool_or(reached) OVER (PARTITION BY channel ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM t), x AS (SELECT * FROM r WHERE NOT done AND page < 3)"""
+
+
+def _crawl(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    page = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))) - 1) / 20)
+    messages = e.select(F.col("user_id").alias("channel"), F.col("event_id").alias("msg_id"), page.alias("page"))
+    marks = e.filter("event_type = 'error' AND value > 40").groupBy(F.col("user_id").alias("channel")).agg(F.max("event_id").alias("newest"))
+    return collect.crawl(messages, marks, 3), marks
+
+
+@R.add(f"WITH {CRAWL} SELECT m.channel, m.msg_id FROM m JOIN x USING (channel, page) WHERE newest IS NULL OR msg_id > newest")
+def crawl_new(spark, sf_dir):
+    """The new messages of channels, page by page back to the mark of the last time."""
+    return _crawl(spark, sf_dir)[0][0].select("channel", "msg_id")
+
+
+@R.add(f"WITH {CRAWL}, s AS (SELECT channel, max(high) AS newest, min(low) AS oldest, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1), b AS (SELECT channel, newest, newest AS oldest, 0 AS n FROM k UNION ALL SELECT * FROM s) SELECT channel, max(newest) AS newest, min(oldest) AS oldest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1")
+def crawl_marks(spark, sf_dir):
+    (_, state), marks = _crawl(spark, sf_dir)
+    old = marks.select("channel", "newest", F.col("newest").alias("oldest"), F.lit(0).cast("long").alias("n"))
+    return tables.merge_marks(old, state.select("channel", "newest", "oldest", "n"))
+
+
+ANSWERS = """SELECT user_id AS query, concat('m', CAST(event_id % 3 AS VARCHAR(20))) AS mirror, CAST(event_id % 3 AS INT) AS turn, CAST(floor(value * 20) AS INT) AS latency_ms, event_type <> 'error' AS ok FROM events"""
+
+
+@R.add(f"WITH a AS ({ANSWERS}), c AS (SELECT *, turn * 800 + latency_ms AS came_ms FROM a WHERE ok) SELECT query, min(came_ms) AS came_ms FROM c GROUP BY 1")
+def hedged_answers(spark, sf_dir):
+    """The first of several mirrors' answers, each asked when those before it had their time."""
+    return collect.hedged(views.view(spark, sf_dir, ANSWERS, "events")).select("query", "came_ms")
+
+
+@R.add("""WITH f AS (SELECT CASE lang WHEN 'en' THEN 'movie' WHEN 'fr' THEN 'ebook' END AS vertical, 'Chan_' || CAST(doc_id % 50 AS VARCHAR) AS channel FROM documents WHERE lang IN ('en', 'fr')) SELECT min(vertical) AS vertical, channel FROM f GROUP BY channel""")
+def harvested_channels(spark, sf_dir):
+    """Channels named at the end of whole pages of a directory, by category."""
+    categories = spark.createDataFrame([("en", "movie"), ("fr", "ebook")], "category string, vertical string")
+    named = F.concat(F.coalesce("text", F.lit("")), F.lit(" <a href='https://t.me/s/Chan_"), (F.col("doc_id") % 50).cast("string"), F.lit("'>x</a>"))
+    return collect.harvest(table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), named.alias("html")), categories)
