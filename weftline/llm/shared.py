@@ -33,8 +33,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch of rows that Python workers get at most (a row more, where one alone has more).
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it (on a cluster: the same path, or --py-files)."""
+    """Let Python workers import this library from where the driver has it (on a cluster: the same path, or --py-files), and
+    bound the batches that they get by bytes: rows are texts of any length."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not size.rstrip("b").isdigit() or int(size.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -49,24 +57,22 @@ def materialise(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Groups that ``hot_join`` broadcasts at most.
-HOT_GROUPS = 20_000
-
-
-def large_group(total: int, most: int = HOT_GROUPS) -> int:
-    """The size beyond which a group of ``total`` rows is hot: there can't be more than ``most`` of these."""
-    return max(256, -(-total // most))
+#: Groups that ``hot_join`` broadcasts at most because they are large, and rows of small tables that are broadcast whole.
+HOT_GROUPS, SMALL_ROWS = 20_000, 100_000
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most: int = HOT_GROUPS) -> DataFrame:
-    """rows joined with their groups, one row per key, of which ``size`` counts the rows. Both should be stored tables.
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most: int = HOT_GROUPS, small: int = SMALL_ROWS) -> DataFrame:
+    """rows joined with their groups, one row per key, of which ``size`` counts the rows; groups should be a stored table.
 
-    Hot groups, of which there are few whatever the size of the table, are broadcast to their rows; only the rest is
-    shuffled by key, so no task gets a large group.
+    A few groups are broadcast. Of many, those of over 1 / most of all rows (and over 256), of which there can't be more
+    than ``most`` whatever the size of the table, are broadcast to their rows; only the rest is shuffled by key, so no
+    task gets a large group. Groups are rows of a few numbers, or a digest.
     """
-    total, largest = groups.agg(F.sum(size), F.max(size)).first()
-    large = large_group(total or 0, most)
-    if (largest or 0) <= large:
+    total, largest, n = groups.agg(F.sum(size), F.max(size), F.count(F.lit(1))).first()
+    if n <= small:
+        return rows.join(F.broadcast(groups), keys)
+    large = max(256, -(-total // most))
+    if largest <= large:
         return rows.join(groups, keys)
     known = F.broadcast(groups.filter(F.col(size) > large))
     others = rows.join(F.broadcast(groups.filter(F.col(size) > large).select(*keys)), keys, "left_anti")
