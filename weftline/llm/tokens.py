@@ -89,6 +89,7 @@ class PieceTokenizer:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         #: Whether case and white space make no difference; the ids of a line feed between words.
         self.folds = self._whole(" Ab") == self._whole("ab")
@@ -102,10 +103,15 @@ class PieceTokenizer:
         key = stem.lower() if self.folds else space + stem
         got = self.stems.get(key)
         if got is None:
-            text = key if key.isascii() and key[0] != " " else "".join([_LETTERS[b] for b in key.encode()])
-            got = array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
+            got = self.old_stems.get(key)
+            if got is None:
+                if key.isascii():  # letters stand for themselves, a space before them for its byte's letter
+                    text = key if key[0] != " " else _LETTERS[32] + stem
+                else:
+                    text = "".join([_LETTERS[b] for b in key.encode()])
+                got = array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
             if len(self.stems) >= self.keep:
-                self.stems.clear()
+                self.stems, self.old_stems = {}, self.stems
             self.stems[key] = got
         return got
 
@@ -125,7 +131,9 @@ class PieceTokenizer:
         """The ids of a word that follows a space."""
         got = self.old.get(word)
         if got is None:
-            if "\n" in word and "\n\n\n" not in word and word[-2:] != "\n\n" and not re.search(rf"[{_WHITE}]", word.replace("\n", "")):
+            if word.isalpha() and word.isascii():
+                got = self._stem(word, " ")
+            elif "\n" in word and "\n\n\n" not in word and word[-2:] != "\n\n" and not re.search(rf"[{_WHITE}]", word.replace("\n", "")):
                 first, *lines = word.split("\n")
                 got = self._part(first, " ") + b"".join([self.line + self._part(x) for x in lines])
             else:
