@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, quality, token_files, url_filter
+from . import exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, quality, sharding, token_files, url_filter
 from .shared import ship, table
 from .tokens import vocabulary
 
@@ -57,9 +57,17 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, relax=1.0)
 
 
+#: 40 shards, and one more.
+TREE = sharding.balanced(40)
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), TREE, sharding.grown(TREE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing, op10_nearest_neighbours)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing, op10_nearest_neighbours, op11_sharding)
 }
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,4 +93,12 @@ t AS (SELECT source, source_size, CASE WHEN m IS NULL OR level <= m THEN cap ELS
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 u AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, q.target - q.whole * q.source_size AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY code) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN upto < rest OR (upto - size < rest AND (rest - (upto - size)) * 2 > size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u""",
+    # CRC-32 by a table of its 256 steps, byte by byte.
+    "op11_sharding": f"""WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+r AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32, CAST(doc_id AS VARCHAR) AS key FROM b, tab),
+{sharding.placement_sql(TREE, "r", "p")},
+{sharding.placement_sql(sharding.grown(TREE), "r", "g")}
+SELECT r.doc_id, r.size, r.text_crc32, 'key' AS law, CAST(p.shard AS INT) AS shard, row_number() OVER (PARTITION BY p.shard ORDER BY r.doc_id) - 1 AS slot, CAST(g.shard AS INT) AS grown_shard FROM r JOIN p USING (doc_id) JOIN g USING (doc_id)""",
 }

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -79,6 +79,28 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, mos
     return rows.join(known, keys).unionByName(others.join(groups.filter(F.col(size) <= large), keys))
 
 
+def numbered(rows: DataFrame, within: list[str], order: list[Column | str], name: str, folder: str) -> DataFrame:
+    """rows, a stored table, with a gapless number from 0 within each group of ``within`` (no nulls there), by ``order``.
+
+    Rows are sorted over tasks by ranges, written, and numbered by their places in the files, so no task needs a whole
+    group: a window would. Equal rows are dealt over tasks as well; what they share in ``order`` is numbered in any order.
+    Numbers of rows by file and group, of which there are no more than files and groups together, are added up.
+    """
+    spark = rows.sparkSession
+    salt, part, at, first, n, before = (f"\x00{name} {x}" for x in ("salt", "part", "at", "first", "n", "before"))
+    keys = [*within, *order]
+    placed = rows.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *keys, salt)
+    placed = placed.sortWithinPartitions(*keys, salt).drop(salt).withColumn(part, F.spark_partition_id())
+    path = f"{folder}/{name}"
+    placed.write.mode("overwrite").option("maxRecordsPerFile", 0).parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).select("*", F.col("_metadata.row_index").alias(at))
+    runs = stored.groupBy(*within, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    runs = runs.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = materialise(runs.select(*within, part, (F.col(before) - F.col(first)).alias(before)), f"{name} runs", folder)
+    small = runs.count() <= SMALL_ROWS
+    return stored.join(F.broadcast(runs) if small else runs, [*within, part]).withColumn(name, F.col(at) + F.col(before)).drop(part, at, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
