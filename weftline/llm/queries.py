@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, quality, sharding, token_files, url_filter
+from . import divergence, exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, packing, phrases, quality, sharding, token_files, url_filter
 from .shared import ship, table
 from .tokens import vocabulary
 
@@ -65,9 +65,17 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), TREE, sharding.grown(TREE))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=100, longest=5, percent=100, top=2000)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), least=10, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing, op10_nearest_neighbours, op11_sharding)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_url_filters, op4_license_scans, op5_language_id, op6_quality_classifier, op7_exact_dedup, op8_token_files, op9_mixing, op10_nearest_neighbours, op11_sharding, op12_phrase_mining, op13_source_divergence)
 }
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,4 +109,27 @@ r AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(
 {sharding.placement_sql(TREE, "r", "p")},
 {sharding.placement_sql(sharding.grown(TREE), "r", "g")}
 SELECT r.doc_id, r.size, r.text_crc32, 'key' AS law, CAST(p.shard AS INT) AS shard, row_number() OVER (PARTITION BY p.shard ORDER BY r.doc_id) - 1 AS slot, CAST(g.shard AS INT) AS grown_shard FROM r JOIN p USING (doc_id) JOIN g USING (doc_id)""",
+    "op12_phrase_mining": f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWERED} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.k, f.phrase, f.a, j, x.a AS l, y.a AS r, CAST(1000::HUGEINT * f.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score, t.n
+ FROM f JOIN range(1, 5) q(j) ON j < f.k JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1:j], ' ') JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[j + 1:], ' ') JOIN t ON t.lang = f.lang WHERE f.k >= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS best FROM c),
+o AS (SELECT * FROM b WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM f z WHERE z.lang = b.lang AND z.k > b.k AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * z.a >= 100 * b.a)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000""",
+    "op13_source_divergence": f"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT row, lang, source, unnest(w) AS term FROM d), c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS df FROM e GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY 1, 2 HAVING sum(df) >= 10), v AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM k GROUP BY 1),
+g AS (SELECT lang, source FROM d GROUP BY 1, 2),
+x AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS n_all FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT x.*, CAST(1 + 1000000000 * (n + 2)::HUGEINT // (n_all + 2 * v) AS HUGEINT) AS p, CAST(1 + 1000000000 * (total + 2)::HUGEINT // (n_lang + 2 * v) AS HUGEINT) AS q FROM x JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }

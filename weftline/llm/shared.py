@@ -187,6 +187,24 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
+def tokenised(body: np.ndarray, heads: np.ndarray, inside: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Runs of bytes that are ``inside``, none across a head: where they start and end, and what they are, lower-cased.
+
+    inside and lower are by byte; runs are cut at ASCII bytes, so each is a string. heads: where texts begin.
+    """
+    within = inside[body]
+    head = np.zeros(len(body) + 1, bool)
+    head[heads] = True
+    before, after = np.concatenate(([False], within[:-1])), np.concatenate((within[1:], [False]))
+    starts = np.flatnonzero(within & (~before | head[:-1]))
+    ends = np.flatnonzero(within & (~after | head[1:])) + 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    data = lower[body[within]]
+    runs = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return starts, ends, runs.dictionary_encode()
+
+
 def shingle_sets(words: np.ndarray, n: int) -> np.ndarray:
     """Ascending distinct hashes of the n-word shingles of one text; with fewer words, of the whole sequence as one."""
     if len(words) == 0:
