@@ -93,3 +93,17 @@ VERTICALS = {
 ALIASES = {"大气合成器": ["Omnisphere"], "血清": ["Serum"], "血清合成器": ["Serum"], "康泰克": ["Kontakt"], "水果": ["FL Studio"], "酷贝斯": ["Cubase"], "臭氧": ["iZotope Ozone"]}
 # --- fixed values: parts of paths that aren't content
 SKIP_PATHS = ["/tag/", "/tags/", "/category/", "/page/", "/login", "/register", "/search", "/user/", "/about", "/contact", "/feed"]
+# --- fixed values: parts of paths that a probe of a site doesn't take for results
+NO_RESULT_PATHS = """/static/ /assets/ /css/ /js/ /img/ /images/ /uploads/ /templates/ /fonts/ /media/
+/wp-content/ /wp-includes/ /wp-json /wp-admin /wp-login /xmlrpc /comments /category/ /tag/ /author/ /page/ /feed /rss /sitemap
+/about /contact /privacy /terms /dmca /disclaimer /login /register/ /logout /search /user/ /member/ /cart /checkout /my-account /faq /help
+/plugin/ /plugins/ /template/ /themes/ /engine/""".split()
+# --- fixed values: URLs that sites search under, after their base; and words that a site of each kind should find
+SEARCH_PATTERNS = """/?s={q} /search?q={q} /search?keyword={q} /search?wd={q} /search?word={q} /search/?q={q} /search/{q} /so/{q} /index.php?search={q} /?keyword={q}
+/search.php?mod=forum&srchtxt={q} /search.php?keyword={q} /e/search/?searchget=1&tbname=news&keyboard={q}
+/index.php?do=search&subaction=search&story={q} /?do=search&subaction=search&story={q}
+/vodsearch/-------------.html?wd={q} /index.php/vod/search.html?wd={q} /index.php/vod/search/wd/{q}.html /vodsearch.html?wd={q} /search.php?searchword={q}
+/search.php?q={q} /find?q={q} /search?query={q} /?search={q} /search/{q}.html /search/{q}/""".split()
+PROBE_TERMS = {"zh": "微信 电影 教程".split(), "en": "download windows audio".split()}
+# --- fixed values: extensions of documents that are resources themselves
+DOCUMENTS = "pdf epub mobi azw3 djvu fb2 cbz cbr torrent".split()

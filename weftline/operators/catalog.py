@@ -1,4 +1,4 @@
-"""Channels and sites: statistics, how deep to read, routing, probing."""
+"""Channels and sites: statistics, how deep to read, routing."""
 
 from __future__ import annotations
 
@@ -29,13 +29,6 @@ def route(sites: DataFrame, verticals: Sequence[str], most: int, disabled: DataF
     return able.orderBy(F.desc(fits.cast("int")), F.desc("yield"), "name").limit(most)
 
 
-def probe(pages: DataFrame) -> DataFrame:
-    """pages (domain, template, real_links, noise_links, yield) -> per domain the best template and whether it is good enough."""
-    good = (F.col("real_links") - F.col("noise_links") >= 3) & (F.col("real_links") >= 3) & (F.col("yield") > 0)
-    best = pages.withColumn("ok", good).groupBy("domain").agg(F.max_by(F.struct("template", "real_links", "yield", "ok"), F.struct(F.col("ok"), "real_links", "template")).alias("b"))
-    return best.select("domain", "b.*")
-
-
 def top_pages(rows: DataFrame, group: str, most: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
