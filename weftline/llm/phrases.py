@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SMALL_ROWS, materialise, numbered, scratch_dir, slices, text_bytes, tokenised
+from .shared import LOWER, SMALL_ROWS, discard, materialise, numbered, scratch_dir, slices, text_bytes, tokenised
 
 #: Bytes that end a piece, and those that end a word only.
 ENDS = np.zeros(256, bool)
@@ -147,7 +147,7 @@ class Miner:
     def __init__(self, docs: DataFrame, least: int, chunk: int = CHUNK, most_names: int = BROADCAST_NAMES):
         self.spark, self.least, self.most_names, self.folder = docs.sparkSession, least, most_names, scratch_dir(docs.sparkSession)
         rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        self.chunks, self.kind = materialise(rows.mapInArrow(_chunked(chunk), CHUNKS), "chunks0", self.folder), "int32"
+        self.chunks, self.kind = materialise(rows.mapInArrow(_chunked(chunk), CHUNKS), "chunks0", self.folder, "zstd"), "int32"
         asked = self.chunks.select("chunk", F.posexplode("vocabulary").alias("j", "w")).select("chunk", "j", "w.*")
         self.totals = materialise(asked.groupBy("lang").agg(F.sum("n").alias("n")), "totals", self.folder)
         self.level, self.width = 0, 0
@@ -176,7 +176,8 @@ class Miner:
         else:
             found = asked.select("chunk", "j", *keys).join(names.drop("f"), keys).groupBy("chunk").agg(F.collect_list(F.struct("j", "id")).alias("names"))
             answer, chunks = _answered, self.chunks.join(found, "chunk")
-        self.chunks = materialise(chunks.mapInArrow(partial(_renamed, self.kind, to, answer, words), "chunk string, ids binary"), f"chunks{self.level}", self.folder)
+        self.chunks = materialise(chunks.mapInArrow(partial(_renamed, self.kind, to, answer, words), "chunk string, ids binary"), f"chunks{self.level}", self.folder, "zstd")
+        discard(self.spark, f"{self.folder}/chunks{self.level - 1}")  # nothing is made of these any more
         self.kind, self.width = to, self.n + 1
         return names
 
@@ -218,7 +219,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     """
     totals, levels = phrases(docs, least, longest, **options)
     kept = []
-    for k, rows in enumerate(levels[1:], 2):
+    for k, rows in enumerate(levels[1:] or [levels[0].limit(0)], 2):
         if k < len(levels):
             above = levels[k].select(F.col("l").alias("id"), "f").unionByName(levels[k].select(F.col("r").alias("id"), "f"))
             rows = rows.join(above.groupBy("id").agg(F.max("f").alias("above")), "id", "left")

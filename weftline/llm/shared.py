@@ -49,14 +49,20 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
 
 
-def materialise(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, folder: str | None = None, compression: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{folder or scratch_dir(spark)}/{tag}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**({"compression": compression} if compression else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing is made of any more, to bound what lies there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Groups that ``hot_join`` broadcasts at most because they are large, and rows of small tables that are broadcast whole.
 HOT_GROUPS, SMALL_ROWS = 20_000, 100_000
 
