@@ -87,3 +87,91 @@ def test_search(spark, tmp_path, asked, subjects, expected):
     assert [r.doc_id for r in got] == expected
     plan = index.postings("沙丘")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "沙丘" in plan
+
+
+def test_units_are_candidates():
+    """A lone character beside other tokens isn't asked for; what no unit proves is told."""
+    assert unit_of("哆啦a梦") == Unit(("哆啦", "a"), every=True) and unit_of("全dlc") == Unit(("dlc",), every=True) and unit_of("a书b书") == Unit(("a", "b"), every=True)
+    assert [unit_of(t).proof for t in ("沙丘", "哆啦a梦", "书", "serum", "4k", "沙丘2")] == [True, False, False, False, False, False]
+    assert unit_of("c#") == Unit(("c",)) and unit_of("100%") == Unit(("100",))
+
+
+def whole(spark, tmp_path, rows, **options):
+    """An index that keeps texts: id -> (text, day, whether it has links)."""
+    docs = spark.createDataFrame([(i, t, d, has) for i, (t, d, has) in rows.items()], "doc_id long, text string, day int, has boolean")
+    return Index.build(docs, tokens(), f"file://{tmp_path}/whole", 2, text=F.col("text"), at=F.timestamp_seconds(F.col("day") * 86_400), linked=F.col("has"))
+
+
+def ids(found):
+    return [r.doc_id for r in found.collect()]
+
+
+def test_isolated_characters(spark, tmp_path):
+    """A character that pairs with what follows: the term is found, and texts that only have its other tokens are not."""
+    texts = {1: "哆啦a梦全集", 2: "完全dlc", 3: "哆啦 a 类", 4: "dlc 合集", 5: "哆啦a·梦", 6: "全 dlc", 7: "电子书 合集", 8: "书法 字帖", 9: "好书"}
+    index = whole(spark, tmp_path, {i: (t, i, True) for i, t in texts.items()})
+    assert {r.doc_id for r in index.matches(unit_of("哆啦a梦")).collect()} == {1, 3, 5}
+    assert set(ids(index.search(["哆啦a梦"], ["哆啦a梦"]))) == {1, 5} and set(ids(index.search(["全dlc"], ["全dlc"]))) == {2, 6}
+    assert set(ids(index.search(["书"], ["书"]))) == {7, 8}  # at the end of a run a lone character isn't found
+    assert set(ids(index.search(["哆啦a梦", "合集"], ["哆啦a梦", "合集"]))) == {1, 5, 4, 7}
+
+
+def test_time_and_links(spark, tmp_path):
+    """Within a tier the newer of equals first; links only if asked; candidates that fail are passed over, however many."""
+    rows = {1: ("沙丘", 3, True), 2: ("沙丘", 9, True), 4: ("沙丘 预言", 5, True), 5: ("沙丘", 9, False), 6: ("沙丘", None, True)}
+    rows |= {100 + k: ("serumx", 1, True) for k in range(300)} | {500: ("serum 2", 1, True), 501: ("my serum", 1, True)}
+    index = whole(spark, tmp_path, rows)
+    assert ids(index.search(["沙丘"], ["沙丘"], linked=True)) == [2, 1, 6, 4] and ids(index.search(["沙丘"], ["沙丘"])) == [5, 2, 1, 6, 4]
+    assert set(ids(index.search(["serum"], ["serum"], limit=2))) == {500, 501}
+    assert ids(index.search(["沙丘"], ["沙丘"], limit=2)) == [5, 2] and index.search(["x"], ["x"]).count() == 0 and index.search(["!"], []).count() == 0
+
+
+@pytest.mark.parametrize("checked", [1, 60, 100_000])
+def test_checked_by_rank(spark, tmp_path, monkeypatch, checked):
+    """The same rows, whether all candidates meet their texts, windows of them, or the first window suffices."""
+    rng = random.Random(9)
+    words = ["沙丘", "三体", "全dlc", "完全dlc", "dlc", "全集", "4k"]
+    rows = {k: (" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))), rng.randrange(5), True) for k in range(400)}
+    index = whole(spark, tmp_path, rows)
+    monkeypatch.setattr(keptindex, "CHECKED", 10**6)
+    every = [tuple(r) for r in index.search(["沙丘", "全dlc", "4k"], ["沙丘", "全dlc"], limit=1000).collect()]
+    has = lambda i, t: t in rows[i][0].replace(" ", "")
+    assert {(i, t) for i, t, *_ in every} == {(i, 3 if not (has(i, "沙丘") and has(i, "全dlc")) else 1 if "4k" in rows[i][0].split() else 2) for i in rows if has(i, "沙丘") or has(i, "全dlc")}
+    monkeypatch.setattr(keptindex, "CHECKED", checked)
+    for limit in (5, 40, 150):
+        assert [tuple(r) for r in index.search(["沙丘", "全dlc", "4k"], ["沙丘", "全dlc"], limit=limit).collect()] == every[:limit]
+
+
+def scanned(df):
+    """Rows that a plan's scans have read."""
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_small_upserts(spark, tmp_path, monkeypatch):
+    """What an upsert looks up of the index is a few pages; segments of a size are merged; an old reader goes on; a writer that
+    died leaves nothing."""
+    monkeypatch.setattr(keptindex, "SHELF_ROWS", 4_000)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), (F.col("id") % 10).cast("string")).alias("text"))
+    index = Index.build(docs, tokens(), f"file://{tmp_path}/e", 2)
+    with keptindex._by_name(spark):
+        few = index._named([5, 17, 39_999]).select("doc_id")
+        assert sorted(ids(few)) == [5, 17, 39_999] and scanned(few) <= 3 * 600
+    old = Index(spark, index.path)
+    for k in range(9):
+        index.upsert(frame(spark, {k: "new", 1_000_000 + k: "new w"}), tokens())
+    assert index.segments <= 1 + 2 * keptindex.FAN and index.n == 40_009 and index.df([Unit(("new",)), Unit(("w",))]) == [18, 40_000 - 9 + 9]
+    assert old.df([Unit(("new",)), Unit(("w",))]) == [0, 40_000] and Index(spark, index.path).n == 40_009
+    seg = index.version + 1
+    index._write(frame(spark, {7: "dead writer"}), tokens(), seg, 1, None, None, None)
+    again = Index(spark, index.path)
+    assert again.n == 40_009 and again.df([Unit(("dead",))]) == [0]
+    again.upsert(frame(spark, {8: "after"}), tokens(), spark.createDataFrame([(0,)], "doc_id long"))
+    assert again.n == 40_008 and again.df([Unit(("dead",)), Unit(("after",)), Unit(("new",))]) == [0, 1, 16]
+
+
+def test_texts_are_asked_for(spark, tmp_path):
+    index = Index.build(frame(spark, {1: "serum"}), tokens(), f"file://{tmp_path}/f", 1)
+    with pytest.raises(ValueError):
+        index.search(["serum"], ["serum"])

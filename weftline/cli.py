@@ -78,12 +78,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "index":
         folded = lambda: read(a.documents).select("doc_id", T.folded(F.col("text")).alias("text"))
         if a.action == "build":
-            index = keptindex.Index.build(folded(), T.mixed_tokens(F.col("text")), a.path)
+            index = keptindex.Index.build(folded(), T.mixed_tokens(F.col("text")), a.path, text=F.col("text"))
         else:
             index = keptindex.Index(spark, a.path)
         if a.action == "search":
             asked = query.analyse(a.text)
-            index.search(asked.terms, asked.required, folded(), a.n).show(a.n, False)
+            index.search(asked.terms, asked.required, limit=a.n).show(a.n, False)
         elif a.action == "compact":
             index.compact(a.to)
         else:

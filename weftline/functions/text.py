@@ -27,8 +27,9 @@ def _fold(column: pd.Series) -> pd.Series:
 
 
 def folded(text: Column) -> Column:
-    """``fold`` as a column. Printable ASCII, which most text is, stays in the JVM."""
-    return F.when(text.rlike(r"^[\x20-\x7E]*$"), F.lower(F.trim(text))).otherwise(_fold(text))
+    """``fold`` as a column. Printable ASCII, which most text is, stays in the JVM: Python gets null in its place."""
+    plain = text.rlike(r"^[\x20-\x7E]*$")
+    return F.when(plain, F.lower(F.trim(text))).otherwise(_fold(F.when(~plain, text)))
 
 
 #: Links and parameters of links: they say nothing of what a resource is.

@@ -109,13 +109,10 @@ def lexical(shown: DataFrame, keyword: str, k: int) -> DataFrame:
 
         return every
 
-    def dull(t: Column) -> Column:
-        return F.length(F.regexp_replace(t, r"[\s\d\p{Punct}]+", "")) == 0
-
     anchored = F.lit(False)
     for required in asked:
         anchored = anchored | F.exists(names, has(required))
-    exempt = F.coalesce(F.array_contains("kinds", "api"), F.lit(False)) | F.exists(names, dull)
+    exempt = F.coalesce(F.array_contains("kinds", "api"), F.lit(False)) | F.exists(names, lambda t: ~ranking.informative(t))
     rows = shown.withColumn("exempt", exempt).withColumn("absent", ~F.col("exempt") & ~anchored).withColumn("poor", ~F.col("exempt") & (F.col("relevance") < POOR))
     top = F.col("pos") <= k
     by = rows.groupBy("query").agg(

@@ -1,16 +1,25 @@
-"""A kept inverted index: postings by term with positions, written once and kept up by segments; a query reads its terms only.
+"""A kept inverted index: postings by term with positions, a forward index by document, segments and delete marks.
 
 A segment's postings are sorted by (term, doc_id) over files that each hold a range of terms, so a filter on terms, or on
-a prefix, skips files, row groups and pages by their bounds, and a term of very many documents is spread over files. An
-upsert adds a segment; older rows of its documents are listed as superseded and left out when read, until ``compact``
-writes one segment again. Numbers of documents by term are kept beside the postings, as differences by segment.
+a prefix, skips files, row groups and pages by their bounds; a term of very many documents is spread over files. Its
+forward rows (a document's terms, its text, time and whether it has links) lie on shelves by a hash of the id, sorted by
+id, so what a few documents held is found by reading their pages alone.
+
+An upsert adds a segment and marks the older rows of its documents as gone; it reads the forward rows of these documents
+and nothing else of the index. Numbers of documents by term are kept as differences by segment. ``merge`` writes several
+segments as one, ``tidy`` does so wherever there are ``FAN`` of a size. What is in force is said by the newest version of
+the manifest, which is written last: a writer that dies leaves nothing that is read, a reader goes on with what it opened.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Sequence
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +27,58 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .textindex import bm25_part
 
-#: Superseded rows that a query broadcasts at most; more are joined by a shuffle.
+#: Marks, or ids of candidates, that a query broadcasts at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Query units at most, and candidates beyond which recency takes the place of relevance.
+#: Query units at most, and candidates beyond which recency takes the place of relevance, if that is asked for.
 MOST_UNITS, RANK_CANDIDATES = 6, 20_000
 #: Letters that a Latin word needs to be searched as a prefix.
 PREFIX_LETTERS = 4
+#: Documents of a shelf, segments of a size that are merged, ids that are looked up by name, and candidates that are held
+#: against their texts by rank before all of them are.
+SHELF_ROWS, FAN, LOOKED_UP, CHECKED = 200_000, 4, 1_000, 4_000
+IN_THRESHOLD = "spark.sql.parquet.pushdown.inFilterThreshold"
+#: What the parts of an index hold, folders included.
+SCHEMAS = {
+    "postings": "term string, doc_id long, tf int, dl int, at timestamp, linked boolean, positions array<int>, seg int",
+    "forward": "doc_id long, dl int, at timestamp, linked boolean, text string, tokens array<string>, seg int, shelf int",
+    "vocabulary": "term string, df long, cf long, seg int",
+    "gone": "doc_id long, old int, seg int",
+    "manifest": "seg int, rows long, shelves int, live long, tokens long, texts boolean, version int",
+}
+
+
+class Segment(NamedTuple):
+    """rows and shelves of its forward index; what it adds to the documents in force and their tokens; whether it has texts."""
+
+    rows: int
+    shelves: int
+    live: int
+    tokens: int
+    texts: bool
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a query asks for: tokens one after another, or any token that begins with the one that is given."""
+    """What a query asks for: tokens one after another, any token that begins with the one given (``prefix``), or all of
+    the tokens anywhere (``every``). proof: whether a text that has the unit has the term, so that nothing is left to check."""
 
     tokens: tuple[str, ...]
     prefix: bool = False
+    every: bool = False
+    proof: bool = field(default=False, compare=False)
 
 
 def unit_of(term: str) -> Unit:
-    """A folded term as a unit: CJK as its pairs one after another, a lone character and a Latin word of four letters or
-    more as a prefix, else the word itself."""
+    """A folded term as a unit that no text with the term lacks, but for those that hold a lone character only at the end
+    of a run: CJK as its pairs one after another; a lone character, and a Latin word of four letters or more, as a prefix,
+    else the word itself. A lone character beside other tokens pairs with what follows it in the text, whatever that is, so
+    only the other tokens are asked for."""
     found = T.mixed_token_list(term)
-    lone = len(found) == 1 and (len(found[0]) == 1 and not found[0].isascii() or found[0].isascii() and found[0].isalpha() and len(found[0]) >= PREFIX_LETTERS)
-    return Unit(tuple(found), lone)
+    whole = [t for t in found if len(t) > 1 or t.isascii()]
+    if whole and len(whole) < len(found):
+        return Unit(tuple(dict.fromkeys(whole)), every=True)
+    lone = len(found) == 1 and (not whole or found[0].isascii() and found[0].isalpha() and len(found[0]) >= PREFIX_LETTERS)
+    return Unit(tuple(found), lone, proof=exact_term(term))
 
 
 def units_of(terms: Sequence[str]) -> list[Unit]:
@@ -55,80 +94,164 @@ def exact_term(term: str) -> bool:
 
 
 class Index:
-    """The index in a folder that driver and executors share. tokens: the array of tokens of a row of documents."""
+    """The index in a folder that driver and executors share. tokens: the array of tokens of a row of documents; text: its
+    folded text, at: its time, linked: whether it has links; these are kept where they are given."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._open()
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    # --- what is in force --------------------------------------------------------------------------
+
+    def _read(self, name: str, seg: int | None = None) -> DataFrame:
+        schema = SCHEMAS[name]
+        if seg is None:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema.replace(", seg int", "")).parquet(f"{self.path}/{name}/seg={seg}")
 
     def _open(self) -> None:
-        self.all_postings, self.vocabulary_rows, self.documents = self._read("postings"), self._read("vocabulary"), self._read("documents")
-        self.segments, self.n, tokens = self.documents.agg(F.max("seg") + 1, F.sum("live"), F.sum("tokens")).first()
+        found = self._read("manifest").collect()  # a row for each segment of each version
+        self.version = max(r["version"] for r in found)
+        self.sizes = {r["seg"]: Segment(*(r[f] for f in Segment._fields)) for r in found if r["version"] == self.version}
+        self.n, tokens = sum(s.live for s in self.sizes.values()), sum(s.tokens for s in self.sizes.values())
         self.avgdl = tokens / self.n if self.n else 0.0
-        self.superseded = self._read("superseded")
-        self.stale = self.superseded.count() if self.segments > 1 else 0
+        own = F.col("seg").isin(sorted(self.sizes))
+        self.all_postings, self.vocabulary_rows, self.forward = (self._read(n).filter(own) for n in ("postings", "vocabulary", "forward"))
+        self.marks = self._read("gone").filter(own & F.col("old").isin(sorted(self.sizes)))
+        self.stale = self.marks.count() if len(self.sizes) > 1 else 0
+
+    @property
+    def segments(self) -> int:
+        return len(self.sizes)
+
+    def _commit(self, sizes: dict[int, Segment], version: int) -> Index:
+        rows = self.spark.createDataFrame([(seg, *s) for seg, s in sizes.items()], SCHEMAS["manifest"].replace(", version int", ""))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+        self._open()
+        return self
+
+    @property
+    def has_texts(self) -> bool:
+        return all(s.texts for s in self.sizes.values())
+
+    # --- writing -----------------------------------------------------------------------------------
 
     @classmethod
-    def build(cls, docs: DataFrame, tokens: Column, path: str, files: int | None = None) -> Index:
+    def build(cls, docs: DataFrame, tokens: Column, path: str, files: int | None = None, text: Column | None = None, at: Column | None = None, linked: Column | None = None) -> Index:
         """docs (doc_id, ...) -> an index of those that have tokens. Null ids are left out; of rows that repeat an id, one
         must have been chosen before."""
-        spark = docs.sparkSession
-        files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        cls._write(docs, tokens, path, 0, files)
-        nothing = spark.createDataFrame([], "doc_id long, seg int")
-        nothing.write.mode("overwrite").parquet(f"{path}/superseded")
-        return cls(spark, path)
-
-    @staticmethod
-    def _write(docs: DataFrame, tokens: Column, path: str, seg: int, files: int) -> None:
-        rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+        self = object.__new__(cls)
+        self.spark, self.path = docs.sparkSession, path
+        files = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        size = self._write(docs, tokens, 0, files, text, at, linked)
+        self._put("gone", self.spark.createDataFrame([], "doc_id long, old int"), 0)
+        return self._commit({0: size}, 0)
+
+    def _put(self, name: str, rows: DataFrame, seg: int, mode: str = "overwrite") -> None:
+        rows.write.mode(mode).parquet(f"{self.path}/{name}/seg={seg}")
+
+    def _shelve(self, rows: DataFrame, seg: int, shelves: int) -> None:
+        placed = rows.withColumn("shelf", _shelf(F.col("doc_id"), shelves)).repartition(shelves, "shelf").sortWithinPartitions("shelf", "doc_id")
+        placed.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", 500).partitionBy("shelf").parquet(f"{self.path}/forward/seg={seg}")
+
+    def _post(self, rows: DataFrame, seg: int, files: int) -> None:
+        placed = rows.select("term", "doc_id", "tf", "dl", "at", "linked", "positions").repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        placed.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/postings/seg={seg}")
+
+    def _words(self, words: DataFrame, seg: int, files: int) -> None:
+        self._put("vocabulary", words.repartitionByRange(max(1, files // 4), "term").sortWithinPartitions("term"), seg)
+
+    def _size(self, seg: int, shelves: int, texts: bool) -> Segment:
+        n, tokens = self._read("forward", seg).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return Segment(n, shelves, n, tokens, texts)
+
+    def _write(self, docs: DataFrame, tokens: Column, seg: int, files: int, text: Column | None, at: Column | None, linked: Column | None) -> Segment:
+        """The forward rows and, from them, the postings and the vocabulary of a segment: texts are tokenised once."""
+        shelves, texts = max(1, math.ceil(docs.count() / SHELF_ROWS)), text is not None
+        text, at, linked = (F.lit(None).cast(kind) if c is None else c.cast(kind) for c, kind in ((text, "string"), (at, "timestamp"), (F.lit(True) if linked is None else linked, "boolean")))
+        rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("at"), F.coalesce(linked, F.lit(False)).alias("linked"), text.alias("text"), tokens.alias("tokens"))
+        self._shelve(rows.filter(F.size("tokens") > 0).select("doc_id", F.size("tokens").alias("dl"), "at", "linked", "text", "tokens"), seg, shelves)
         # Dealt by document first, so that counting a document's terms needs no other shuffle.
-        spread = rows.repartition("doc_id").select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-        posted = spread.groupBy("doc_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        placed = posted.select("term", "doc_id", "tf", "dl", "positions").repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        placed.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings/seg={seg}")
-        stored = docs.sparkSession.read.parquet(f"{path}/postings/seg={seg}")
-        words = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        words.repartitionByRange(max(1, files // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary/seg={seg}")
-        counts = stored.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-        counts.agg(F.count(F.lit(1)).alias("live"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).write.mode("overwrite").parquet(f"{path}/documents/seg={seg}")
+        stored = self._read("forward", seg).select("doc_id", "dl", "at", "linked", "tokens").repartition("doc_id")
+        spread = stored.select("doc_id", "dl", "at", "linked", F.posexplode("tokens").alias("pos", "term"))
+        posted = spread.groupBy("doc_id", "term").agg(*(F.first(c).alias(c) for c in ("dl", "at", "linked")), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        self._post(posted, seg, files)
+        self._words(self._read("postings", seg).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), seg, files)
+        return self._size(seg, shelves, texts)
+
+    def looked_up(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """The live forward rows of ids (doc_id, distinct), with seg. Of few ids, by name: of their shelves, only pages that may have them are read."""
+        few = [r["doc_id"] for r in ids.limit(LOOKED_UP + 1).collect()]
+        if len(few) <= LOOKED_UP:
+            return self._live(self._named(few).select("doc_id", "seg", *columns))
+        small = ids.count() <= BROADCAST_ROWS
+        return self._live(self.forward.select("doc_id", "seg", *columns)).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+    def _named(self, ids: Sequence[int]) -> DataFrame:
+        """Forward rows of a bounded list of ids."""
+        shelf = lambda i, n: zlib.crc32(str(i).encode()) % n  # noqa: E731  as _shelf has it
+        near = [(F.col("seg") == seg) & F.col("shelf").isin(sorted({shelf(i, s.shelves) for i in ids})) for seg, s in self.sizes.items()]
+        return self.forward.filter(reduce(lambda a, b: a | b, near) & F.col("doc_id").isin(list(ids)))
 
     def _live(self, rows: DataFrame) -> DataFrame:
         if not self.stale:
             return rows
-        gone = F.broadcast(self.superseded) if self.stale <= BROADCAST_ROWS else self.superseded
-        return rows.join(gone, ["doc_id", "seg"], "left_anti")
+        marks = self.marks.select("doc_id", F.col("old").alias("seg"))
+        return rows.join(F.broadcast(marks) if self.stale <= BROADCAST_ROWS else marks, ["doc_id", "seg"], "left_anti")
 
-    def upsert(self, docs: DataFrame, tokens: Column, removed: DataFrame | None = None, files: int = 1) -> Index:
-        """A new segment with docs, whose older rows it supersedes, as well as those of ``removed`` (doc_id)."""
-        seg = self.segments
+    def upsert(self, docs: DataFrame, tokens: Column, removed: DataFrame | None = None, files: int = 1, text: Column | None = None, at: Column | None = None, linked: Column | None = None, tidy: bool = True) -> Index:
+        """A new segment with docs, in place of older rows of the same ids and of those ``removed`` (doc_id)."""
+        seg = self.version + 1  # versions are never used twice, so neither are segments
         ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-        ids = (ids if removed is None else ids.unionByName(removed.select(F.col("doc_id").cast("long").alias("doc_id")))).distinct()
-        old = self._live(self.all_postings).join(ids, "doc_id", "left_semi").select("doc_id", "seg", "term", "tf", "dl")
-        kept = f"{self.path}/changes/seg={seg}"
-        old.write.mode("overwrite").parquet(kept)
-        old = self.spark.read.schema(old.schema).parquet(kept)
-        self._write(docs, tokens, self.path, seg, files)
-        less = old.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("cf"))
-        less.write.mode("append").parquet(f"{self.path}/vocabulary/seg={seg}")
-        pairs = old.select("doc_id", "seg", "dl").distinct()
-        pairs.agg((-F.count(F.lit(1))).alias("live"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("tokens")).write.mode("append").parquet(f"{self.path}/documents/seg={seg}")
-        pairs.select("doc_id", "seg").write.mode("append").parquet(f"{self.path}/superseded")
-        self._open()
-        return self
+        ids = (ids if removed is None else ids.unionByName(removed.select(F.col("doc_id").cast("long").alias("doc_id")))).filter("doc_id is not null").distinct()
+        with _by_name(self.spark):
+            self._put("changes", self.looked_up(ids, "dl", "tokens").withColumnRenamed("seg", "old"), seg)
+        old = self.spark.read.schema("doc_id long, old int, dl int, tokens array<string>").parquet(f"{self.path}/changes/seg={seg}")
+        size = self._write(docs, tokens, seg, files, text, at, linked)
+        less = old.select("doc_id", F.explode("tokens").alias("term")).groupBy("term").agg((-F.countDistinct("doc_id")).alias("df"), (-F.count(F.lit(1))).alias("cf"))
+        self._put("vocabulary", less, seg, "append")
+        self._put("gone", old.select("doc_id", "old"), seg)
+        live, lost = old.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        self._commit(self.sizes | {seg: size._replace(live=size.live - live, tokens=size.tokens - lost)}, seg)
+        return self.tidy(files) if tidy else self
+
+    def merge(self, segs: Sequence[int], files: int = 1) -> Index:
+        """Several segments as one, without what is gone; their files stay for readers that opened them."""
+        seg, mine, some = self.version + 1, F.col("seg").isin(list(segs)), [self.sizes[s] for s in segs]
+        shelves = max(1, math.ceil(sum(s.rows for s in some) / SHELF_ROWS))
+        self._shelve(self._live(self.forward.filter(mine)).drop("seg", "shelf"), seg, shelves)
+        self._post(self._live(self.all_postings.filter(mine)), seg, files)
+        words = self.vocabulary_rows.filter(mine).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        self._words(words.filter("df <> 0 or cf <> 0"), seg, files)
+        # Marks on rows that were merged have done their work; those on others go on.
+        self._put("gone", self.marks.filter(mine & ~F.col("old").isin(list(segs))).select("doc_id", "old"), seg)
+        size = self._size(seg, shelves, all(s.texts for s in some))._replace(live=sum(s.live for s in some), tokens=sum(s.tokens for s in some))
+        return self._commit({s: x for s, x in self.sizes.items() if s not in segs} | {seg: size}, seg)
+
+    def tidy(self, files: int = 1) -> Index:
+        """Merge while there are FAN segments of a size, powers of FAN apart: a row is written again once for each size."""
+        while True:
+            by: dict[int, list[int]] = {}
+            for seg, s in self.sizes.items():
+                by.setdefault(int(math.log(max(s.rows, 1), FAN)), []).append(seg)
+            some = next((sorted(g) for _, g in sorted(by.items()) if len(g) >= FAN), None)
+            if some is None:
+                return self
+            self.merge(some, files)
 
     def compact(self, path: str, files: int | None = None) -> Index:
         """The same index as one segment, in another folder."""
+        other = object.__new__(Index)
+        other.spark, other.path = self.spark, path
         files = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self._live(self.all_postings).select("term", "doc_id", "tf", "dl", "positions")
-        rows.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings/seg=0")
-        self.vocabulary().repartitionByRange(max(1, files // 4), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary/seg=0")
-        self.documents.agg(F.sum("live").alias("live"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{path}/documents/seg=0")
-        self.spark.createDataFrame([], "doc_id long, seg int").write.mode("overwrite").parquet(f"{path}/superseded")
-        return Index(self.spark, path)
+        shelves = max(1, math.ceil(self.n / SHELF_ROWS))
+        other._shelve(self._live(self.forward).drop("seg", "shelf"), 0, shelves)
+        other._post(self._live(self.all_postings), 0, files)
+        other._words(self.vocabulary(), 0, files)
+        other._put("gone", self.spark.createDataFrame([], "doc_id long, old int"), 0)
+        return other._commit({0: other._size(0, shelves, self.has_texts)}, 0)
+
+    # --- reading -----------------------------------------------------------------------------------
 
     def vocabulary(self) -> DataFrame:
         """term, df, cf."""
@@ -137,50 +260,61 @@ class Index:
         return self.vocabulary_rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
 
     def postings(self, *terms: str) -> DataFrame:
-        """term, doc_id, tf, dl, positions of these terms; of all without any."""
+        """term, doc_id, tf, dl, at, linked, positions of these terms; of all without any."""
         rows = self.all_postings.filter(F.col("term").isin(list(terms))) if terms else self.all_postings
         return self._live(rows).drop("seg")
 
     def matches(self, unit: Unit) -> DataFrame:
-        """doc_id, tf, dl of the documents that have a unit."""
-        first = unit.tokens[0]
+        """doc_id, tf, dl, at, linked of the documents that have a unit."""
+        first, also = unit.tokens[0], [F.first(c).alias(c) for c in ("dl", "at", "linked")]
         if unit.prefix:
-            return self._live(self.all_postings.filter(F.col("term").startswith(first))).groupBy("doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+            return self._live(self.all_postings.filter(F.col("term").startswith(first))).groupBy("doc_id").agg(F.sum("tf").cast("int").alias("tf"), *also)
         if len(unit.tokens) == 1:
-            return self.postings(first).select("doc_id", "tf", "dl")
-        # Where all tokens stand, each moved back by its place: the places that all share are the phrase's.
+            return self.postings(first).select("doc_id", "tf", "dl", "at", "linked")
         names = list(dict.fromkeys(unit.tokens))
+        if unit.every:
+            return self.postings(*names).groupBy("doc_id").agg(F.min("tf").alias("tf"), *also, F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(names)).drop("n")
+        # Where all tokens stand, each moved back by its place: the places that all share are the phrase's.
         at = [F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, t in enumerate(names)]
-        by = self.postings(*names).groupBy("doc_id").agg(F.first("dl").alias("dl"), *at).filter(" and ".join(f"p{k} is not null" for k in range(len(names))))
+        by = self.postings(*names).groupBy("doc_id").agg(*also, *at).filter(" and ".join(f"p{k} is not null" for k in range(len(names))))
         back = lambda places, i: F.transform(places, lambda p: p - F.lit(i))
         moved = [back(f"p{names.index(t)}", i) for i, t in enumerate(unit.tokens)]
-        return by.withColumn("tf", F.size(reduce(F.array_intersect, moved))).filter("tf > 0").select("doc_id", "tf", "dl")
+        return by.withColumn("tf", F.size(reduce(F.array_intersect, moved))).filter("tf > 0").select("doc_id", "tf", "dl", "at", "linked")
 
     def df(self, units: Sequence[Unit]) -> list[int]:
         """How many documents have each unit: of single tokens as it is kept, of others counted."""
-        single = {u.tokens[0] for u in units if not u.prefix and len(u.tokens) == 1}
+        single = {u.tokens[0] for u in units if _single(u)}
         parts = [self.vocabulary_rows.filter(F.col("term").isin(sorted(single))).groupBy("term").agg(F.sum("df").alias("df"))] if single else []
-        parts += [self.matches(u).agg(F.lit(f" {k}").alias("term"), F.count(F.lit(1)).alias("df")) for k, u in enumerate(units) if u.prefix or len(u.tokens) > 1]
+        parts += [self.matches(u).agg(F.lit(f" {k}").alias("term"), F.count(F.lit(1)).alias("df")) for k, u in enumerate(units) if not _single(u)]
         found = {r["term"]: r["df"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}  # a row for each unit
-        return [found.get(u.tokens[0] if not u.prefix and len(u.tokens) == 1 else f" {k}", 0) for k, u in enumerate(units)]
+        return [found.get(u.tokens[0] if _single(u) else f" {k}", 0) for k, u in enumerate(units)]
 
-    def scored(self, units: Sequence[Unit], dfs: Sequence[int] | None = None) -> DataFrame:
-        """doc_id, score (BM25), has (which of the units, an array of booleans) of the documents with any unit."""
-        units = list(dict.fromkeys(units))
-        dfs = self.df(units) if dfs is None else dfs
-        simple = [k for k, u in enumerate(units) if not u.prefix and len(u.tokens) == 1]
+    def counted(self, units: Sequence[Unit]) -> DataFrame:
+        """doc_id, dl, at, linked, t0, t1, ... (how often it has each unit, null: not) of the documents with any of these units."""
+        simple = [k for k, u in enumerate(units) if _single(u)]
         parts = []
         if simple:
             place = F.coalesce(*(F.when(F.col("term") == units[k].tokens[0], F.lit(k)) for k in simple))
-            parts.append(self.postings(*(units[k].tokens[0] for k in simple)).select("doc_id", place.alias("unit"), "tf", "dl"))
-        parts += [self.matches(u).select("doc_id", F.lit(k).alias("unit"), "tf", "dl") for k, u in enumerate(units) if k not in simple]
-        weight = F.element_at(F.array(*(F.lit(float(x)) for x in dfs)), F.col("unit") + 1)
-        part = bm25_part(F.col("tf"), F.col("dl"), F.lit(float(self.n)), weight, F.lit(float(self.avgdl)))
-        by_unit = [F.max(F.when(F.col("unit") == k, part)).alias(f"s{k}") for k in range(len(units))]
-        by = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(*by_unit)
+            parts.append(self.postings(*(units[k].tokens[0] for k in simple)).select("doc_id", place.alias("unit"), "tf", "dl", "at", "linked"))
+        parts += [self.matches(u).select("doc_id", F.lit(k).alias("unit"), "tf", "dl", "at", "linked") for k, u in enumerate(units) if k not in simple]
+        by_unit = [F.max(F.when(F.col("unit") == k, F.col("tf"))).alias(f"t{k}") for k in range(len(units))]
+        return reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("dl", "at", "linked")), *by_unit)
+
+    def scored(self, units: Sequence[Unit], dfs: Sequence[int] | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """doc_id, score (BM25), has (which of the units, an array of booleans), at of the documents with any unit. rows: as
+        ``counted`` gives them."""
+        units = list(dict.fromkeys(units))
+        dfs = self.df(units) if dfs is None else dfs
         # Added in the order of the units, so reruns agree to the last digit.
-        score = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(len(units))))
-        return by.select("doc_id", score.alias("score"), F.array(*(F.col(f"s{k}").isNotNull() for k in range(len(units)))).alias("has"))
+        parts = (F.coalesce(bm25_part(F.col(f"t{k}"), F.col("dl"), F.lit(float(self.n)), F.lit(float(x)), F.lit(float(self.avgdl))), F.lit(0.0)) for k, x in enumerate(dfs))
+        has = F.array(*(F.col(f"t{k}").isNotNull() for k in range(len(units))))
+        return (self.counted(units) if rows is None else rows).select("doc_id", reduce(lambda a, b: a + b, parts).alias("score"), has.alias("has"), "at")
+
+    def _tiers(self, rows: DataFrame, units: Sequence[Unit], terms: Sequence[Unit], subjects: Sequence[Unit]) -> DataFrame:
+        at = lambda some: [F.get("has", F.lit(units.index(u))) for u in some]
+        every, alike = reduce(lambda a, b: a & b, at(terms)), reduce(lambda a, b: a & b, at(subjects))
+        some = reduce(lambda a, b: a | b, at(subjects))
+        return rows.withColumn("tier", F.when(every & alike, 1).when(alike, 2).when(some, 3)).filter("tier is not null")
 
     def tiered(self, terms: Sequence[Unit], subjects: Sequence[Unit]) -> DataFrame:
         """doc_id, tier, score: 1 for all terms, 2 for all subjects, 3 for any; what has no subject is left out.
@@ -188,31 +322,96 @@ class Index:
         One pass over the postings of these terms, which is less than a job for each tier.
         """
         units = list(dict.fromkeys([*terms, *subjects]))
-        at = lambda some: [F.get("has", F.lit(units.index(u))) for u in some]
-        every, alike = reduce(lambda a, b: a & b, at(terms)), reduce(lambda a, b: a & b, at(subjects))
-        some = reduce(lambda a, b: a | b, at(subjects))
-        tier = F.when(every, 1).when(alike, 2).when(some, 3)
-        return self.scored(units).select("doc_id", tier.alias("tier"), "score").filter("tier is not null")
-
-    def search(self, terms: Sequence[str], subjects: Sequence[str], texts: DataFrame, limit: int, rank: str = "auto") -> DataFrame:
-        """doc_id, tier, score of a query's best documents, held against their texts (doc_id, text: folded) where the index
-        is no proof. rank: by ``bm25``, by ``recency`` (doc_id), or by recency only where a tier may have very many (``auto``)."""
-        units, wanted = units_of(terms), units_of(subjects or terms)
-        if not units:
-            return self.spark.createDataFrame([], "doc_id long, tier int, score double")
-        found = self.tiered(units, [u for u in wanted if u in units] or units)
-        if not all(map(exact_term, subjects or terms)):
-            found = recheck(found, texts, subjects or terms)
-        many = rank == "recency" or rank == "auto" and max(self.df(units)) > RANK_CANDIDATES
-        order = [F.col("tier"), F.desc("doc_id")] if many else [F.col("tier"), F.desc(F.round("score", 9)), F.desc("doc_id")]
-        return found.orderBy(*order).limit(limit)
-
-
-def recheck(found: DataFrame, texts: DataFrame, subjects: Sequence[str]) -> DataFrame:
-    """found (doc_id, tier, score) as the texts themselves have it: tiers of all subjects only if each stands in the text, the
-    others if any does. Plain searches come first; only candidates' texts are looked at."""
-    plain = [F.contains("text", F.lit(s)) if s.isascii() else F.lit(True) for s in subjects]
-    has = [p & F.col("text").rlike(T.term_regex(s)) for p, s in zip(plain, subjects)]
+        return self._tiers(self.scored(units), units, terms, subjects).select("doc_id", "tier", "score")
+
+    def search(self, terms: Sequence[str], subjects: Sequence[str], texts: DataFrame | None = None, limit: int = 20, rank: str = "bm25", linked: bool = False) -> DataFrame:
+        """doc_id, tier, score, at of a query's best documents: by tier, BM25, time (newest first) and doc_id. linked: of those
+        with links only, scored among all.
+
+        Where a unit proves no match, documents are held against their texts, which are looked up by rank until there are
+        ``limit`` that pass: few are read, and none is passed over, as all are looked at if these don't suffice. texts
+        (doc_id, text: folded): for an index that keeps none. rank: by ``bm25``, by ``recency``, or by recency only where
+        there are very many (``auto``).
+        """
+        asked = list(subjects or terms)[:MOST_UNITS]
+        units, wanted = list(dict.fromkeys(units_of(terms))), units_of(asked)
+        if not units or not wanted:
+            return self.spark.createDataFrame([], "doc_id long, tier int, score double, at timestamp")
+        every = list(dict.fromkeys([*units, *wanted]))
+        rows = self.counted(every).persist()  # read several times
+        if texts is None and not self.has_texts and not all(map(exact_term, asked)):
+            raise ValueError("an index without texts needs them to check what it finds")
+        try:
+            dfs = list(rows.agg(*(F.count(f"t{k}") for k in range(len(every)))).first())
+            found = self._tiers(self.scored(every, dfs, rows.filter("linked") if linked else rows), every, units, wanted)
+            many = rank == "recency" or rank == "auto" and max(dfs) > RANK_CANDIDATES
+            order = [F.col("tier"), *([] if many else [F.desc(F.round("score", 9))]), F.desc_nulls_last("at"), F.desc("doc_id")]
+            proved = [F.get("has", F.lit(every.index(unit_of(s)))) for s in asked if exact_term(s)]
+            unproved = [s for s in asked if not exact_term(s)]
+            anyway = reduce(lambda a, b: a | b, proved, F.lit(False))
+            found = found.select("doc_id", "tier", "score", "at", anyway.alias("anyway"))
+            kept = found.orderBy(*order).limit(limit).collect() if not unproved else None
+            kept = self._checked(found, unproved, order, limit) if kept is None and texts is None else kept
+            if kept is None:
+                held = self.forward.select("doc_id", "seg", "text") if texts is None else texts.select("doc_id", "text")
+                held = self._live(held).drop("seg") if texts is None else held
+                kept = recheck(found, held, unproved).orderBy(*order).limit(limit).collect()
+        finally:
+            rows.unpersist()
+        out = self.spark.createDataFrame([(r["doc_id"], r["tier"], r["score"], r["at"]) for r in kept], "doc_id long, tier int, score double, at timestamp")
+        return out.orderBy(*order)
+
+    def _checked(self, found: DataFrame, unproved: Sequence[str], order: Sequence[Column], limit: int) -> list | None:
+        """The first ``limit`` rows that hold, of candidates looked up by rank in growing numbers; null if CHECKED don't suffice."""
+        n = max(50, 2 * limit)
+        while n <= CHECKED:
+            top = found.orderBy(*order).limit(n).persist()
+            try:
+                ranked = top.orderBy(*order).collect()  # n rows at most
+                held = self._live(self._named([r["doc_id"] for r in ranked]).select("doc_id", "seg", "text")).drop("seg")
+                # The last of them too, as it was ranked, to tell how far the ranking is settled: what isn't looked at comes after it.
+                last = self.spark.createDataFrame([tuple(ranked[-1])], top.schema).withColumn("mark", F.lit(True)) if ranked else None
+                rows = recheck(top, held, unproved).withColumn("mark", F.lit(False))
+                with _by_name(self.spark):
+                    kept = (rows if last is None else rows.unionByName(last.drop("anyway"))).orderBy(*order, "mark").limit(limit + 1).collect()
+            finally:
+                top.unpersist()
+            marked = next((k for k, r in enumerate(kept) if r["mark"]), limit + 1)
+            if len(ranked) < n:
+                return [r for r in kept if not r["mark"]][:limit]
+            if marked >= limit:
+                return kept[:limit]
+            n *= 4
+        return None
+
+
+def recheck(found: DataFrame, texts: DataFrame, unproved: Sequence[str]) -> DataFrame:
+    """found (doc_id, tier, score, at, anyway: has a subject that needs no proof) as texts (doc_id, text) have the terms that no
+    unit proves: of the first tiers if each stands in the text, of the last if any does, or a proved one."""
+    plain = [F.contains("text", F.lit(s)) if s.isascii() else F.lit(True) for s in unproved]
+    has = [p & F.col("text").rlike(T.term_regex(s)) for p, s in zip(plain, unproved)]
     every, some = reduce(lambda a, b: a & b, has), reduce(lambda a, b: a | b, has)
-    joined = found.join(texts.select("doc_id", "text"), "doc_id")
-    return joined.withColumn("tier", F.when(every, F.col("tier")).when(some, 3)).filter("tier is not null").select("doc_id", "tier", "score")
+    sure = F.col("anyway") & (F.col("tier") == 3)
+    told = F.when(every & (F.col("tier") < 3), F.col("tier")).when(some | F.col("anyway"), 3)
+    columns = ["doc_id", "tier", "score", "at"]
+    joined = found.filter(~sure).join(texts.select("doc_id", "text"), "doc_id").withColumn("tier", told).filter("tier is not null")
+    return joined.select(*columns).unionByName(found.filter(sure).select(*columns))
+
+
+def _single(u: Unit) -> bool:
+    return not u.prefix and len(u.tokens) == 1
+
+
+def _shelf(doc_id: Column, shelves: int) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(shelves)).cast("int")
+
+
+@contextmanager
+def _by_name(spark: SparkSession):
+    """Filters on up to LOOKED_UP ids are pushed to the pages one by one, not as a range."""
+    before = spark.conf.get(IN_THRESHOLD)
+    spark.conf.set(IN_THRESHOLD, str(CHECKED))
+    try:
+        yield
+    finally:
+        spark.conf.set(IN_THRESHOLD, before)

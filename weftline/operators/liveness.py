@@ -94,12 +94,14 @@ def decide_with_code(responses: DataFrame) -> DataFrame:
 def budgeted(rows: DataFrame, budget: int = X.BUDGET, early_share: float = X.EARLY_SHARE) -> DataFrame:
     """Which unchecked rows would be checked: the early ones (high relevance) may take a share of the budget, the rest what is left.
 
-    Two top-k's rather than a global window: the budget bounds what is ranked in one task.
+    A budget of 0 or less is none: all are checked. Two top-k's rather than a global window: the budget bounds what is ranked in one task.
     """
-    early_n = int(budget * early_share) if budget > 0 else 0
+    if budget <= 0:
+        return rows.withColumn("phase", F.when(F.col("relevance") >= X.HIGH, "early").otherwise("late"))
+    early_n = int(budget * early_share)
     first = [F.desc("relevance"), F.desc("score"), F.col("first_seq")]
     early = rows.filter(F.col("relevance") >= X.HIGH).orderBy(*first).limit(early_n).select("key", F.lit("early").alias("phase"))
-    late = rows.join(early, "key", "left_anti").orderBy(*first).limit(max(0, budget)).select("key", "relevance", "score", "first_seq")
+    late = rows.join(early, "key", "left_anti").orderBy(*first).limit(budget).select("key", "relevance", "score", "first_seq")
     left = late.crossJoin(early.agg(F.count(F.lit(1)).alias("used")))  # one row
     place = F.row_number().over(Window.orderBy(*first))  # over the budget's rows at most
     late = left.withColumn("n", place).filter(F.col("n") + F.col("used") <= budget).select("key", F.lit("late").alias("phase"))

@@ -119,6 +119,29 @@ def budget_phases(spark, sf_dir):
     return liveness.budgeted(scored(spark, sf_dir), 50, 0.75).select("key", "phase")
 
 
+@R.add(f"WITH {SCORED} SELECT key, CASE WHEN relevance >= 0.85 THEN 'early' ELSE 'late' END AS phase FROM scored")
+def budget_unlimited(spark, sf_dir):
+    """A budget of 0 is none: everything is checked."""
+    return liveness.budgeted(scored(spark, sf_dir), 0).select("key", "phase")
+
+
+#: Titles, whether they name something, and whether that is what is asked for.
+NAMED = [
+    ("百度网盘 下载", False, False), ("夸克 资源 合集 2024", False, False), ("三体 全集", True, True), ("黑夏 下载", True, False),
+    ("下载三体", True, True), ("download", False, False), ("Dune Part Two", True, False), ("4K 1080p 破解版", False, False),
+]
+
+
+@R.add(f"""WITH t(k, title, named, asked) AS (VALUES {', '.join(f"({k}, '{t}', {n}, {a})" for k, (t, n, a) in enumerate(NAMED))}),
+h AS (SELECT doc_id // 2 AS key, t.* FROM documents JOIN t ON (doc_id + doc_id // 7) % 8 = k)
+SELECT key, bool_or(named) AND NOT bool_or(asked) AND bool_or(named AND NOT regexp_matches(title, '^[ -~]*$')) AS irrelevant FROM h GROUP BY 1""")
+def generic_titles(spark, sf_dir):
+    """Titles of common words only say nothing of what a resource is: they don't make it irrelevant, nor do foreign ones."""
+    title = F.get(F.array(*(F.lit(t) for t, _, _ in NAMED)), ((F.col("doc_id") + F.floor(F.col("doc_id") / 7)) % 8).cast("int"))
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 2).alias("key")).agg(F.collect_set(title).alias("titles"))  # of eight at most
+    return rows.select("key", ranking.irrelevant(F.col("titles"), ["三体 下载"]).alias("irrelevant"))
+
+
 LAST = f"cache AS ({views.STATES}), last AS (SELECT cache_key, arg_max(status, event_id) AS status, arg_max(checked_at, event_id) AS checked_at, max(event_id) AS event_id FROM cache GROUP BY 1)"
 
 

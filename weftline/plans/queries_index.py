@@ -9,7 +9,7 @@ from .. import fixed as X
 from ..functions import text
 from ..operators import evaluation, keptindex, textindex
 from ..operators.keptindex import Unit
-from ..session import scratch, ship, table
+from ..session import scratch, ship, state, table
 from . import views
 from .registry import Registry
 
@@ -35,12 +35,16 @@ _KEPT: dict[tuple, keptindex.Index] = {}
 
 
 def kept(spark, sf_dir, kind="words"):
-    """The kept index of a folder's documents, built on first use and used from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    """The kept index of a folder's documents, built on first use and used from then on, as long as the table stays as it is."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _KEPT:
-        rows = docs(spark, sf_dir)
-        made = tokens() if kind == "words" else text.mixed_tokens(mixed(F.col("text")))
-        _KEPT[key] = keptindex.Index.build(rows, made, scratch(spark, f"index-{kind}"))
+        rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+        if kind == "words":
+            _KEPT[key] = keptindex.Index.build(rows, tokens(), scratch(spark, "index-words"))
+        else:
+            folded = text.folded(mixed(F.col("text")))
+            at = F.timestamp_seconds(F.col("doc_id") % 7 * 86_400)
+            _KEPT[key] = keptindex.Index.build(rows.select("doc_id", "source", folded.alias("text")), text.mixed_tokens(F.col("text")), scratch(spark, "index-mixed"), text=F.col("text"), at=at, linked=F.col("doc_id") % 3 != 0)
     return _KEPT[key]
 
 
@@ -119,7 +123,8 @@ def boolean_two_of_three(spark, sf_dir):
 
 # Texts of mixed script: letters become CJK characters, which are indexed as overlapping pairs.
 CJK_CLASS = "㐀-鿿"
-JOINED = f"lower(translate(lower(text), '{LATIN}', '{CJK}'))"
+FOLDED = f"replace(lower(translate(lower(text), '{LATIN}', '{CJK}')), 'ß', 'ss')"
+JOINED = FOLDED
 for _ in range(2):  # separators between CJK characters go; twice, as what is joined may be a single character
     JOINED = f"regexp_replace({JOINED}, '([{CJK_CLASS}])[^a-z0-9{CJK_CLASS}]+([{CJK_CLASS}])', '\\1\\2', 'g')"
 MIXED = f"""runs AS (SELECT doc_id, regexp_extract_all({JOINED}, '[a-z0-9]+|[{CJK_CLASS}]+') AS r FROM documents),
@@ -168,11 +173,49 @@ def cjk_without_latin(spark, sf_dir):
     return found.filter(F.get("has", F.lit(0)) & ~F.get("has", F.lit(1))).select("doc_id")
 
 
-@R.add()
+#: A term with a character that pairs with whatever comes before it in a text: only its other token is asked of the index.
+LONE = "说thth"
+GAP = "[" + X.SEPARATORS.replace("'", "''") + "]*"
+HELD = f"""{MIXED}, p AS (SELECT doc_id, regexp_matches({FOLDED}, '{GAP.join(LONE)}') AS lone FROM documents),
+x AS (SELECT mt.doc_id, lone, len(t) AS dl, {PHRASE_TF} AS a, len(list_filter(t, lambda x: x = 'thth')) AS b, len(list_filter(t, lambda x: x = '小说')) AS c, mt.doc_id % 7 AS day FROM mt JOIN p ON p.doc_id = mt.doc_id WHERE len(t) > 0),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f"count(*) FILTER ({u} > 0) AS d{u}" for u in "abc")} FROM x)"""
+PART = {u: f"CASE WHEN {u} > 0 THEN greatest(ln((n - d{u} + 0.5) / (d{u} + 0.5)), 1e-6) * {u} * 2.2 / ({u} + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END" for u in "abc"}
+WHOLE = f"""{HELD}, s AS (SELECT doc_id, day, {' + '.join(PART.values())} AS score, CASE WHEN a > 0 AND b > 0 AND c > 0 AND lone THEN 1 WHEN a > 0 AND b > 0 AND lone THEN 2 WHEN a > 0 OR (b > 0 AND lone) THEN 3 END AS tier FROM x, st)"""
+
+
+def found_by(index, **options):
+    return index.search([TRIPLE, LONE, "小说"], [TRIPLE, LONE], **options).select("doc_id", "tier", F.round("score", 6).alias("score"))
+
+
+@R.add(f"WITH {WHOLE} SELECT doc_id, tier, round(score, 6) AS score FROM s WHERE tier IS NOT NULL ORDER BY tier, round(score, 9) DESC, day DESC, doc_id DESC LIMIT 20")
 def indexed_search(spark, sf_dir):
-    """A whole search by the kept index, held against the texts, of a query with a common word."""
-    texts = docs(spark, sf_dir).select("doc_id", text.folded(mixed(F.col("text"))).alias("text"))
-    return kept(spark, sf_dir, "mixed").search([TRIPLE, "小说", "thth"], [TRIPLE, "小说"], texts, 20)
+    """A whole search by the kept index: a phrase that needs no proof, a term that is held against candidates' texts, and one
+    more; by tier, BM25, time and id."""
+    ship(spark)
+    return found_by(kept(spark, sf_dir, "mixed"))
+
+
+@R.add(f"WITH {WHOLE} SELECT doc_id, tier, round(score, 6) AS score FROM s WHERE tier IS NOT NULL AND doc_id % 3 <> 0 ORDER BY tier, round(score, 9) DESC, day DESC, doc_id DESC LIMIT 200")
+def linked_search(spark, sf_dir):
+    """The same over documents with links only."""
+    ship(spark)
+    return found_by(kept(spark, sf_dir, "mixed"), limit=200, linked=True)
+
+
+@R.add(f"WITH {HELD} SELECT doc_id, CAST(b AS INT) AS tf, lone AS has_term FROM x WHERE b > 0")
+def isolated_candidates(spark, sf_dir):
+    """Candidates of a term with a lone character, and which of them have it."""
+    ship(spark)
+    index = kept(spark, sf_dir, "mixed")
+    texts = index.forward.select("doc_id", F.col("text").rlike(text.term_regex(LONE)).alias("has_term"))
+    return index.matches(keptindex.unit_of(LONE)).join(texts, "doc_id").select("doc_id", "tf", "has_term")
+
+
+@R.add(f"WITH {HELD}, s AS (SELECT doc_id, day, {PART['b']} AS score FROM x, st WHERE b > 0 AND lone) SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, day DESC, doc_id DESC LIMIT 100")
+def isolated_search(spark, sf_dir):
+    """A search for nothing but a term that no unit proves: texts decide, as many as it takes."""
+    ship(spark)
+    return kept(spark, sf_dir, "mixed").search([LONE], [LONE], limit=100).select("doc_id", F.round("score", 6).alias("score"))
 
 
 VERT = "SELECT doc_id, " + ", ".join(f"round({' + '.join(f'''CASE WHEN contains(lower(text), '{w}') THEN {1 + len(w) / 10} ELSE 0 END''' for w in sorted(set(X.VERTICALS[v])))}, 4) AS s{k}" for k, v in enumerate(("game", "academic", "design"))) + " FROM documents"

@@ -38,3 +38,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = base or "file://" + os.path.join(tempfile.gettempdir(), "weftline-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """What tells whether a table has changed: when its folder did, its bytes and its files."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = system.getContentSummary(where)
+    return system.getFileStatus(where).getModificationTime(), held.getLength(), held.getFileCount()
