@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ class Index:
 
     def _write(self, docs: DataFrame, tokens: Column, seg: int, files: int, text: Column | None, at: Column | None, linked: Column | None) -> Segment:
         """The forward rows and, from them, the postings and the vocabulary of a segment: texts are tokenised once."""
-        shelves, texts = max(1, math.ceil(docs.count() / SHELF_ROWS)), text is not None
+        shelves, texts = max(files, math.ceil(docs.count() / SHELF_ROWS)), text is not None
         text, at, linked = (F.lit(None).cast(kind) if c is None else c.cast(kind) for c, kind in ((text, "string"), (at, "timestamp"), (F.lit(True) if linked is None else linked, "boolean")))
         rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("at"), F.coalesce(linked, F.lit(False)).alias("linked"), text.alias("text"), tokens.alias("tokens"))
         self._shelve(rows.filter(F.size("tokens") > 0).select("doc_id", F.size("tokens").alias("dl"), "at", "linked", "text", "tokens"), seg, shelves)
@@ -190,8 +191,9 @@ class Index:
     def _named(self, ids: Sequence[int]) -> DataFrame:
         """Forward rows of a bounded list of ids."""
         shelf = lambda i, n: zlib.crc32(str(i).encode()) % n  # noqa: E731  as _shelf has it
-        near = [(F.col("seg") == seg) & F.col("shelf").isin(sorted({shelf(i, s.shelves) for i in ids})) for seg, s in self.sizes.items()]
-        return self.forward.filter(reduce(lambda a, b: a | b, near) & F.col("doc_id").isin(list(ids)))
+        near = [(F.col("seg") == seg) & F.col("shelf").isin(sorted({shelf(i, s.shelves) for i in ids}) if s.shelves > 1 else [0]) for seg, s in self.sizes.items()]
+        own = f"doc_id in ({', '.join(map(str, ids))})" if ids else "false"
+        return self.forward.filter(reduce(lambda a, b: a | b, near) & F.expr(own))
 
     def _live(self, rows: DataFrame) -> DataFrame:
         if not self.stale:
@@ -345,57 +347,66 @@ class Index:
             dfs = list(rows.agg(*(F.count(f"t{k}") for k in range(len(every)))).first())
             found = self._tiers(self.scored(every, dfs, rows.filter("linked") if linked else rows), every, units, wanted)
             many = rank == "recency" or rank == "auto" and max(dfs) > RANK_CANDIDATES
-            order = [F.col("tier"), *([] if many else [F.desc(F.round("score", 9))]), F.desc_nulls_last("at"), F.desc("doc_id")]
             proved = [F.get("has", F.lit(every.index(unit_of(s)))) for s in asked if exact_term(s)]
             unproved = [s for s in asked if not exact_term(s)]
-            anyway = reduce(lambda a, b: a | b, proved, F.lit(False))
-            found = found.select("doc_id", "tier", "score", "at", anyway.alias("anyway"))
-            kept = found.orderBy(*order).limit(limit).collect() if not unproved else None
-            kept = self._checked(found, unproved, order, limit) if kept is None and texts is None else kept
+            # What candidates are ranked by: place is the score as it counts, 0 where time takes its place.
+            place = F.lit(0.0) if many else F.round("score", 9)
+            found = found.select("doc_id", "tier", "score", "at", place.alias("place"), F.unix_micros("at").alias("time"), reduce(lambda a, b: a | b, proved, F.lit(False)).alias("anyway"))
+            kept = None
+            if not unproved:
+                kept = found.orderBy(*_order()).limit(limit).collect()
+            elif texts is None:
+                kept = self._checked(found, unproved, limit)
             if kept is None:
-                held = self.forward.select("doc_id", "seg", "text") if texts is None else texts.select("doc_id", "text")
-                held = self._live(held).drop("seg") if texts is None else held
-                kept = recheck(found, held, unproved).orderBy(*order).limit(limit).collect()
+                held = self._live(self.forward.select("doc_id", "seg", "text")) if texts is None else texts
+                kept = recheck(found, held, unproved).orderBy(*_order()).limit(limit).collect()
         finally:
             rows.unpersist()
-        out = self.spark.createDataFrame([(r["doc_id"], r["tier"], r["score"], r["at"]) for r in kept], "doc_id long, tier int, score double, at timestamp")
-        return out.orderBy(*order)
+        schema = pa.schema([("doc_id", pa.int64()), ("tier", pa.int32()), ("score", pa.float64()), ("at", pa.timestamp("us", "UTC"))])
+        return self.spark.createDataFrame(pa.Table.from_pylist([{"doc_id": r["doc_id"], "tier": r["tier"], "score": r["score"], "at": r["time"]} for r in kept], schema))
 
-    def _checked(self, found: DataFrame, unproved: Sequence[str], order: Sequence[Column], limit: int) -> list | None:
+    def _checked(self, found: DataFrame, unproved: Sequence[str], limit: int) -> list[dict] | None:
         """The first ``limit`` rows that hold, of candidates looked up by rank in growing numbers; null if CHECKED don't suffice."""
-        n = max(50, 2 * limit)
+        n = max(200, 10 * limit)
         while n <= CHECKED:
-            top = found.orderBy(*order).limit(n).persist()
-            try:
-                ranked = top.orderBy(*order).collect()  # n rows at most
-                held = self._live(self._named([r["doc_id"] for r in ranked]).select("doc_id", "seg", "text")).drop("seg")
-                # The last of them too, as it was ranked, to tell how far the ranking is settled: what isn't looked at comes after it.
-                last = self.spark.createDataFrame([tuple(ranked[-1])], top.schema).withColumn("mark", F.lit(True)) if ranked else None
-                rows = recheck(top, held, unproved).withColumn("mark", F.lit(False))
-                with _by_name(self.spark):
-                    kept = (rows if last is None else rows.unionByName(last.drop("anyway"))).orderBy(*order, "mark").limit(limit + 1).collect()
-            finally:
-                top.unpersist()
-            marked = next((k for k, r in enumerate(kept) if r["mark"]), limit + 1)
-            if len(ranked) < n:
-                return [r for r in kept if not r["mark"]][:limit]
-            if marked >= limit:
-                return kept[:limit]
+            ranked = [r.asDict() for r in found.orderBy(*_order()).limit(n).collect()]  # n rows at most
+            asked = [r["doc_id"] for r in ranked if r["tier"] < 3 or not r["anyway"]]
+            with _by_name(self.spark):
+                told = {r["doc_id"]: r for r in _flags(self._live(self._named(asked).select("doc_id", "seg", "text")), unproved).collect()} if asked else {}
+            kept = []
+            for r in ranked:
+                has = told.get(r["doc_id"])
+                tier = r["tier"] if r["tier"] == 3 and r["anyway"] or has and has["every"] and r["tier"] < 3 else 3 if has and (has["some"] or r["anyway"]) else None
+                if tier:
+                    kept.append(r | {"tier": tier})
+            key = lambda r: (r["tier"], -r["place"], r["time"] is None, -(r["time"] or 0), -r["doc_id"])  # noqa: E731  as _order has it
+            kept = sorted(kept, key=key)[:limit]
+            # What wasn't looked at comes after all that was, as it was ranked.
+            if len(ranked) < n or len(kept) == limit and key(kept[-1]) <= key(ranked[-1]):
+                return kept
             n *= 4
         return None
 
 
-def recheck(found: DataFrame, texts: DataFrame, unproved: Sequence[str]) -> DataFrame:
-    """found (doc_id, tier, score, at, anyway: has a subject that needs no proof) as texts (doc_id, text) have the terms that no
-    unit proves: of the first tiers if each stands in the text, of the last if any does, or a proved one."""
+def _order() -> list[Column]:
+    """The order of results."""
+    return [F.col("tier"), F.desc("place"), F.desc_nulls_last("time"), F.desc("doc_id")]
+
+
+def _flags(texts: DataFrame, unproved: Sequence[str]) -> DataFrame:
+    """texts (doc_id, text) -> doc_id, every, some: whether all, or any, of the terms stand in the text."""
     plain = [F.contains("text", F.lit(s)) if s.isascii() else F.lit(True) for s in unproved]
     has = [p & F.col("text").rlike(T.term_regex(s)) for p, s in zip(plain, unproved)]
-    every, some = reduce(lambda a, b: a & b, has), reduce(lambda a, b: a | b, has)
+    return texts.select("doc_id", reduce(lambda a, b: a & b, has).alias("every"), reduce(lambda a, b: a | b, has).alias("some"))
+
+
+def recheck(found: DataFrame, texts: DataFrame, unproved: Sequence[str]) -> DataFrame:
+    """found (doc_id, tier, anyway: has a subject that needs no proof) as texts (doc_id, text) have the terms that no unit
+    proves: of the first tiers if each stands in the text, of the last if any does, or a proved one."""
     sure = F.col("anyway") & (F.col("tier") == 3)
-    told = F.when(every & (F.col("tier") < 3), F.col("tier")).when(some | F.col("anyway"), 3)
-    columns = ["doc_id", "tier", "score", "at"]
-    joined = found.filter(~sure).join(texts.select("doc_id", "text"), "doc_id").withColumn("tier", told).filter("tier is not null")
-    return joined.select(*columns).unionByName(found.filter(sure).select(*columns))
+    told = F.when(F.col("every") & (F.col("tier") < 3), F.col("tier")).when(F.col("some") | F.col("anyway"), 3)
+    joined = found.filter(~sure).join(_flags(texts, unproved), "doc_id").withColumn("tier", told).filter("tier is not null")
+    return joined.select(*found.columns).unionByName(found.filter(sure))
 
 
 def _single(u: Unit) -> bool:
