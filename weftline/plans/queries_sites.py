@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 from ..functions import html
 from ..operators import probing
-from ..session import ship, table
+from ..session import scratch, ship, table
+from ..sources import channels
 from . import views
 from .queries_web import SHAPE
 from .registry import Registry
@@ -87,3 +88,41 @@ def probe_requests(spark, sf_dir):
     host = F.concat(F.when(F.col("page_id") % 3 == 0, "a.cn").otherwise("a."), F.regexp_extract("url", "://([^/?#]+)", 1))
     homes = table(spark, sf_dir, "pages").groupBy(host.alias("domain")).agg(F.max(F.when(F.col("page_id") % 4 == 0, F.expr(FORM))).alias("html"))
     return probing.requests(homes)
+
+
+#: Documents as messages on captured pages of a few channels, some pages captured a second time with the page before.
+POSTS = """SELECT concat('c', CAST(doc_id % 5 AS VARCHAR(20))) AS channel, doc_id + 1 AS msg_id, CAST(floor(doc_id / 100) AS BIGINT) AS page,
+ concat('<div data-post="c', CAST(doc_id % 5 AS VARCHAR(20)), '/', CAST(doc_id + 1 AS VARCHAR(20)), '"><div class="message_text">', replace(replace(text, '&', '&amp;'), '<', '&lt;'), ' https://pan.quark.cn/s/k', CAST(doc_id AS VARCHAR(20)), '</div>',
+ '<time datetime="2024-01-01T00:00:00+00:00"></time></div>') AS block FROM documents"""
+
+
+@R.add("""SELECT 'c' || CAST(doc_id % 5 AS VARCHAR) AS channel, doc_id + 1 AS msg_id, 'https://pan.quark.cn/s/k' || CAST(doc_id AS VARCHAR) AS url, CASE WHEN doc_id % 500 < 300 THEN 'first' ELSE 'second' END AS run FROM documents
+ WHERE doc_id % 500 < 300 OR doc_id > coalesce((SELECT max(doc_id) FROM documents o WHERE o.doc_id % 500 < 300 AND o.doc_id % 5 = documents.doc_id % 5), -1)""")
+def channel_stream(spark, sf_dir):
+    """Channel pages as a stream in two runs from one checkpoint: the second brings what came since the first, and nothing again.
+
+    Pages older than a channel's mark are not gone back to; ``crawled`` reads them all.
+    """
+    ship(spark)
+    folder = scratch(spark, "channels")
+    posts = views.view(spark, sf_dir, POSTS, "documents")
+    pages = posts.groupBy("channel", "page").agg(F.array_join(F.sort_array(F.collect_list("block")), "").alias("html"))  # twenty messages a page
+    spark.dataSource.register(channels.channel_source(channels.StoredPages, "weftline_channels"))
+    first = F.col("page") % 5 < 3
+    for run, some in (("first", first), ("second", ~first)):
+        channels.store_pages(pages.filter(some), f"{folder}/pages")
+        stream = spark.readStream.format("weftline_channels").option("path", f"{folder}/pages").load().withColumn("run", F.lit(run))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select("channel", "msg_id", F.get("links", F.size("links") - 1)["url"].alias("url"), "run")
+
+
+@R.add("SELECT 'c' || CAST(doc_id % 5 AS VARCHAR) AS channel, max(doc_id) + 1 AS newest, min(doc_id) + 1 AS oldest, count(*) AS n FROM documents GROUP BY 1")
+def crawled(spark, sf_dir):
+    """The batch twin: all messages of the same pages, and each channel's marks."""
+    ship(spark)
+    folder = scratch(spark, "channels")
+    posts = views.view(spark, sf_dir, POSTS, "documents")
+    channels.store_pages(posts.groupBy("channel", "page").agg(F.array_join(F.sort_array(F.collect_list("block")), "").alias("html")), f"{folder}/pages")
+    spark.dataSource.register(channels.channel_source(channels.StoredPages, "weftline_channels"))
+    return channels.marks(spark.read.format("weftline_channels").option("path", f"{folder}/pages").load())
