@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--strict", action="store_true")
     s.add_argument("-n", type=int, default=20)
     s.add_argument("--csv")
+    s.add_argument("--json", action="store_true", help="the results with what became of all others")
     v = sub.add_parser("verify", help="links and codes of a text file, and the lines without any")
     v.add_argument("file")
     q = sub.add_parser("query", help="run a registered query")
@@ -63,7 +65,11 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     read = spark.read.parquet
     if a.command == "search":
-        found = search.search(read(a.hits), a.text, read(a.cache) if a.cache else None, types=a.type, strict=a.strict, limit=a.n)
+        asked = {"cache": read(a.cache) if a.cache else None, "types": a.type, "strict": a.strict}
+        if a.json:
+            print(json.dumps(search.outcome(read(a.hits), a.text, a.n, **asked).as_dict(), ensure_ascii=False, default=str))
+            return 0
+        found = search.search(read(a.hits), a.text, limit=a.n, **asked)
         if a.csv:
             sinks.write_csv(sinks.export_rows(found), a.csv)
         found.show(a.n, False)

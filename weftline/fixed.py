@@ -107,3 +107,6 @@ SEARCH_PATTERNS = """/?s={q} /search?q={q} /search?keyword={q} /search?wd={q} /s
 PROBE_TERMS = {"zh": "微信 电影 教程".split(), "en": "download windows audio".split()}
 # --- fixed values: extensions of documents that are resources themselves
 DOCUMENTS = "pdf epub mobi azw3 djvu fb2 cbz cbr torrent".split()
+# --- fixed values: parts of URLs that a site search doesn't follow
+NOT_FOLLOWED = """/category/ /tag/ /author/ /page/ /about /contact /dmca /feed /rss /wp-content /wp-login /wp-json /wp-admin /wp-includes /comments /privacy /terms
+/disclaimer /software/win/ /software/mac/ /samples/ /presets/ /?s= /cart /checkout /my-account""".split()

@@ -165,7 +165,8 @@ def mixed_script_tokens(spark, sf_dir):
 BOTH = "regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z+#])') AND regexp_matches(t, '(^|[^a-z0-9])of($|[^a-z+#])')"
 
 
-@R.add(f"""WITH {queries_core.RESOLVED}, titled AS (SELECT key, title, min(seq) AS s, trim(lower(title)) AS t FROM keyed WHERE title <> '' GROUP BY key, title),
+#: A search for "the of" in SQL: sc has the resources that titles don't make irrelevant, with status and score.
+SEARCHED = f"""{queries_core.RESOLVED}, titled AS (SELECT key, title, min(seq) AS s, trim(lower(title)) AS t FROM keyed WHERE title <> '' GROUP BY key, title),
 told AS (SELECT key, bool_or({BOTH}) AS answers, bool_or(length(regexp_replace(t, '[\\s\\d[:punct:]]+', '', 'g')) > 0) AS known FROM titled GROUP BY 1),
 rated AS (SELECT *, CAST(regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z+#])') AS INT) + CAST(regexp_matches(t, '(^|[^a-z0-9])of($|[^a-z+#])') AS INT) AS m FROM titled),
 rel AS (SELECT *, CAST({queries_core.REL} AS DOUBLE) AS r FROM rated), top AS (SELECT key, max(r) AS relevance, first(title ORDER BY r DESC, length(title) DESC, s) AS best FROM rel GROUP BY 1),
@@ -176,7 +177,10 @@ st AS (SELECT res.key, res.pwd, coalesce(best, res.title) AS title, from_primary
  FROM res JOIN fused USING (key) JOIN kw USING (key) LEFT JOIN top USING (key) LEFT JOIN told USING (key) LEFT JOIN live ON live.key = res.key AND res.pwd IS NULL WHERE coalesce(answers, false) OR NOT coalesce(known, false)),
 us AS (SELECT *, status = 'alive' OR (status = 'need_pwd' AND pwd IS NOT NULL AND verified) AS usable FROM st),
 sc AS (SELECT *, round(relevance * relevance * kw * (1 + least(0.35, (ns - 1) * 0.12)) * (1 + least(0.30, rrf)) * CASE WHEN pwd IS NOT NULL AND usable THEN 1.1 ELSE 1 END
- * CASE WHEN NOT from_primary AND relevance < 0.85 THEN 0.5 ELSE 1 END * CASE status WHEN 'alive' THEN 1.0 WHEN 'need_pwd' THEN 0.8 WHEN 'wrong_pwd' THEN 0.5 WHEN 'unchecked' THEN 0.6 WHEN 'unknown' THEN 0.3 WHEN 'dead' THEN 0.02 ELSE 0.5 END, 6) AS score FROM us)
+ * CASE WHEN NOT from_primary AND relevance < 0.85 THEN 0.5 ELSE 1 END * CASE status WHEN 'alive' THEN 1.0 WHEN 'need_pwd' THEN 0.8 WHEN 'wrong_pwd' THEN 0.5 WHEN 'unchecked' THEN 0.6 WHEN 'unknown' THEN 0.3 WHEN 'dead' THEN 0.02 ELSE 0.5 END, 6) AS score FROM us)"""
+
+
+@R.add(f"""WITH {SEARCHED}
 SELECT key, title, status, relevance, score, hit_count, first_seq FROM sc WHERE status NOT IN ('dead', 'not_found') ORDER BY CASE WHEN relevance >= 0.85 THEN 0 WHEN relevance >= 0.45 THEN 1 ELSE 2 END,
  CASE WHEN status = 'alive' THEN 0 WHEN status IN ('need_pwd', 'wrong_pwd') THEN 1 ELSE 2 END, score DESC, CAST(NOT usable AS INT), first_seq LIMIT 50""")
 def search_end_to_end(spark, sf_dir):
@@ -185,6 +189,27 @@ def search_end_to_end(spark, sf_dir):
     return found.select("key", "title", "status", "relevance", "score", "hit_count", "first_seq")
 
 
+COUNTED = {"alive": "alive", "need_pwd": "need_pwd", "wrong_pwd": "wrong_pwd", "dead": "dead", "unknown": "unknown", "unchecked": "unchecked"}
+
+
+@R.add(f"""WITH {SEARCHED}, n AS (SELECT count(*) AS raw  FROM ({views.HITS})), r AS (SELECT count(*) AS n FROM res)
+SELECT n.raw AS raw_hits, r.n AS dedup_count, r.n - (SELECT count(*) FROM sc) AS irrelevant_pruned, count(*) FILTER (status IN ('dead', 'not_found')) AS pruned, count(*) FILTER (status NOT IN ('dead', 'not_found')) AS kept,
+ {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in COUNTED)} FROM sc, n, r GROUP BY n.raw, r.n""")
+def search_outcome(spark, sf_dir):
+    """What became of all hits of a search, counted by the job that finds its best rows."""
+    o = search.outcome(views.hits(spark, sf_dir), "the of", cache=views.cache(spark, sf_dir), now=now(), limit=20)
+    row = {**{k: o.counts[k] for k in ("raw_hits", "dedup_count", "irrelevant_pruned", "kept")}, "pruned": o.pruned, **{k: o.by("status").get(v, 0) for k, v in COUNTED.items()}}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
+
+
+@R.add(f"""WITH h AS ({views.MIXED_HITS}), k AS (SELECT DISTINCT CASE seq % 6 WHEN 0 THEN 'baidu' WHEN 1 THEN 'quark' WHEN 2 THEN 'magnet' WHEN 3 THEN 'aliyun' ELSE '123' END AS kind,
+ CASE seq % 6 WHEN 0 THEN seq % 90 WHEN 1 THEN seq % 80 WHEN 2 THEN seq % 70 WHEN 3 THEN seq % 60 ELSE seq % 50 END AS id FROM h WHERE NOT contains(source, 'src1') AND seq % 6 <> 4) SELECT kind, count(*) AS n, (SELECT count(*) FROM h WHERE contains(source, 'src1')) AS adult_pruned FROM k GROUP BY 1""")
+def outcome_types(spark, sf_dir):
+    """Resources of a search by provider (links to none are no resources), and hits of sources that were left out, from the same job."""
+    o = search.outcome(views.mixed_hits(spark, sf_dir).filter("source is not null"), "the of", drop_sources=["src1"], limit=5)
+    return spark.createDataFrame([(k, n, o.counts["adult_pruned"]) for k, n in o.by("type").items()], "kind string, n long, adult_pruned long")
+
+
 #: Captured answers of six endpoints, made from events.
 ANSWERS = """SELECT concat('k', CAST(event_id AS VARCHAR(20))) AS key, CASE WHEN event_id % 2 = 0 THEN 'abcd' END AS pwd,
  CASE event_id % 7 WHEN 0 THEN 'baidu_liveness' WHEN 1 THEN 'baidu_code' WHEN 2 THEN 'quark' WHEN 3 THEN 'aliyun' WHEN 4 THEN '115' WHEN 5 THEN 'tianyi' ELSE 'other' END AS endpoint,

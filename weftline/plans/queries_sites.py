@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions import html
-from ..operators import probing
+from ..operators import probing, quota
 from ..session import scratch, ship, table
 from ..sources import channels
 from . import views
@@ -90,6 +90,34 @@ def probe_requests(spark, sf_dir):
     return probing.requests(homes)
 
 
+#: Hosts as sites of a catalogue, searched under the page that has the smallest number of theirs.
+CATALOGUE = """SELECT domain AS name, concat('https://', domain, '/?s={q}') AS search, concat('https://', domain, '/(?:post|read|book)/[a-z0-9_-]+') AS result_re, CASE WHEN n % 4 = 1 THEN 'music' WHEN n % 4 = 3 THEN 'general' ELSE 'ebook' END AS vertical,
+ n % 10 <> 7 AS verified, n % 6 AS yield, n FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS domain, min(page_id) AS n FROM pages GROUP BY 1) x"""
+WORDS = ["th", "er"]
+QUOTA, CHUNK, SITES = 2, 2, 25
+
+
+@R.add(f"""WITH s AS ({SEARCHES}), c AS ({CATALOGUE}), r AS (SELECT *, row_number() OVER (ORDER BY vertical = 'ebook' DESC, yield DESC, name) - 1 AS site_place FROM c WHERE verified AND vertical IN ('ebook', 'general') QUALIFY site_place < {SITES}),
+p AS (SELECT r.name AS site, r.site_place, s.place, regexp_extract_all(html, '(?i)' || result_re, 0) AS a, regexp_extract_all(html, '(?i)/(?:post|read|book)/[a-z0-9_-]+', 0) AS b FROM r JOIN s ON s.domain = r.name AND s.place = r.n WHERE http_status = 200),
+u AS (SELECT site, site_place, unnest(list_concat(a, list_transform(b, lambda x: 'https://' || site || x))) AS url, generate_subscripts(list_concat(a, b), 1) AS pos FROM p),
+d AS (SELECT site, site_place, url, min(pos) AS pos FROM u WHERE NOT ({' OR '.join(f"contains(lower(url), '{x}')" for x in X.NOT_FOLLOWED)}) GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {' OR '.join(f"contains(lower(url), '{w}')" for w in WORDS)} DESC, pos) - 1 AS page FROM d QUALIFY page < {2 * QUOTA}),
+pg AS (SELECT url, arg_max(place, html) AS place, arg_max(w, html) AS w FROM (SELECT 'https://' || domain || w AS url, place, w, {OFFER} AS html FROM (SELECT domain, place, unnest(list_distinct(regexp_extract_all(html, '{probing.LINKED}', 1))) AS w FROM s)) WHERE place % 13 <> 12 GROUP BY 1),
+k AS (SELECT t.*, pg.place AS offer, coalesce({' OR '.join(f"contains(lower(pg.w), '{w}')" for w in WORDS)}, false) AS ok FROM t LEFT JOIN pg ON pg.url = t.url),
+q AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY site ORDER BY page // {CHUNK} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {QUOTA} AS seen FROM k),
+h AS (SELECT site, site_place, page, unnest(list_filter([CASE WHEN offer % 2 = 0 THEN 'https://pan.baidu.com/s/1a' END, CASE WHEN offer % 3 = 2 THEN 'magnet:?xt=urn:btih:0123456789abcdef0123456789abcdef01234567' END, CASE WHEN offer % 3 <> 0 THEN 'https://pan.quark.cn/s/k' || CAST(offer AS VARCHAR) END], lambda x: x IS NOT NULL)) AS url FROM q WHERE seen AND ok)
+SELECT url, arg_min(site, (site_place, page)) AS site, arg_min(page, (site_place, page)) AS page FROM h GROUP BY 1""")
+def site_hits(spark, sf_dir):
+    """Routed sites, their search pages, detail pages up to a quota of relevant ones, and the links of these."""
+    ship(spark)
+    sites = views.view(spark, sf_dir, CATALOGUE, "pages").withColumn("verticals", F.array("vertical")).withColumn("domain", F.col("name"))
+    chosen = quota.routed(sites, ["ebook"], SITES)
+    searches = views.view(spark, sf_dir, SEARCHES, "pages").join(sites.select(F.col("name").alias("domain"), F.col("n").alias("place")), ["domain", "place"])
+    asked = searches.select(F.concat(F.lit("https://"), "domain", F.lit(f"/?s={'%20'.join(WORDS)}")).alias("url"), "http_status", F.regexp_replace("html", "https?://pan[^\"]*", "").alias("html"))
+    hits, _ = quota.site_search(chosen, asked, details(spark, sf_dir), " ".join(WORDS), QUOTA, CHUNK)
+    return hits.select("url", "site", "page")
+
+
 #: Documents as messages on captured pages of a few channels, some pages captured a second time with the page before.
 POSTS = """SELECT concat('c', CAST(doc_id % 5 AS VARCHAR(20))) AS channel, doc_id + 1 AS msg_id, CAST(floor(doc_id / 100) AS BIGINT) AS page,
  concat('<div data-post="c', CAST(doc_id % 5 AS VARCHAR(20)), '/', CAST(doc_id + 1 AS VARCHAR(20)), '"><div class="message_text">', replace(replace(text, '&', '&amp;'), '<', '&lt;'), ' https://pan.quark.cn/s/k', CAST(doc_id AS VARCHAR(20)), '</div>',

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
+from .. import fixed as X
 from ..functions import links
 from ..functions import text as T
 from ..operators import liveness, ranking, resolve
@@ -30,30 +33,100 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def search(hits: DataFrame, text: str, cache: DataFrame | None = None, now: Column | None = None, types: Sequence[str] = (), strict: bool = False, drop_sources: Sequence[str] = (), limit: int | None = None, prune: bool = True) -> DataFrame:
+class Watch:
+    """Counts taken of rows on their way through a plan, by the job that runs it and no other: known once it has run."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def __call__(self, name: str, rows: DataFrame, **counts: Column) -> DataFrame:
+        self.seen[name] = Observation()
+        return rows.observe(self.seen[name], *(c.alias(n) for n, c in counts.items()))
+
+    def counts(self) -> dict[str, int]:
+        return {n: x or 0 for o in self.seen.values() for n, x in o.get.items()}
+
+
+def _unwatched(name: str, rows: DataFrame, **counts: Column) -> DataFrame:
+    return rows
+
+
+def search(
+    hits: DataFrame, text: str, cache: DataFrame | None = None, now: Column | None = None, types: Sequence[str] = (), strict: bool = False, drop_sources: Sequence[str] = (), limit: int | None = None, prune: bool = True, watch: Callable[..., DataFrame] = _unwatched
+) -> DataFrame:
     """Group, rate, annotate, filter, tier and take: a row per resource, best first.
 
     One shuffle by key groups the hits; the cache is joined on that key; ``limit`` makes the sort a top-k.
     """
     now = F.current_timestamp() if now is None else now
+    adult = F.lit(False)
     for marker in drop_sources:
-        hits = hits.filter(~F.contains(F.lower("source"), F.lit(marker)))
+        adult = adult | F.contains(F.lower("source"), F.lit(marker))
+    hits = watch("hits", hits, raw_hits=F.count(F.lit(1)), adult_pruned=F.count_if(adult)).filter(~adult)
     queries = [q for q, relaxed in Q.plan(text) if not relaxed]
     rows = resolve.resolve(hits)
+    kinds = [*dict.fromkeys([*X.PRIORITY, *(k for _, k in X.PROVIDERS), "other"])]
+    rows = watch("resources", rows, dedup_count=F.count(F.lit(1)), **{f"type:{k}": F.count_if(F.col("pan_type") == k) for k in kinds})
     if types:
         rows = rows.filter(F.col("pan_type").isin(list(types)))
-    rows = rows.filter(~ranking.irrelevant(F.col("titles"), queries))
+    rows = rows.withColumn("irrelevant", ranking.irrelevant(F.col("titles"), queries))
+    rows = watch("relevance", rows, irrelevant_pruned=F.count_if("irrelevant")).filter(~F.col("irrelevant")).drop("irrelevant")
     rows = liveness.annotate(rows, cache, now) if cache is not None else rows.withColumn("status", F.lit("unchecked")).withColumn("pwd_verified", F.lit(False))
+    rows = watch("statuses", rows, **{f"status:{s[0]}": F.count_if(F.col("status") == s[0]) for s in X.STATUSES})
     rows = rows.withColumn("best", ranking.relevance(F.col("titles"), queries)).withColumn("relevance", F.col("best.relevance"))
     rows = rows.withColumn("title", F.coalesce(F.nullif(F.col("best.title"), F.lit("")), F.col("title")))
     rows = ranking.score(rows, now)
     if prune:
         rows = liveness.prune(rows, strict)
-    rows = rows.orderBy(*ranking.order())
+    alive = F.col("status").isin([s[0] for s in X.STATUSES if s[4]])
+    rows = watch("kept", rows, kept=F.count(F.lit(1)), alive=F.count_if(alive)).orderBy(*ranking.order())
     rows = rows.limit(limit) if limit else rows
     return rows.select("key", "pan_type", "url", "pwd", "title", "status", "relevance", "rrf", "score", "hit_count", "sources", "kinds", "first_seq")
 
 
+@dataclass
+class Outcome:
+    """A search's best rows and what became of all others: counts, by provider and by status too, and seconds."""
+
+    text: str
+    rows: list[Row]
+    counts: dict[str, int]
+    seconds: dict[str, float]
+    queries: list[str]
+
+    @property
+    def pruned(self) -> int:
+        """Rows that were left out for their status."""
+        return sum(self.by("status").values()) - self.counts["kept"]
+
+    @property
+    def slowest(self) -> str:
+        """The phase that took longest; none if nothing was timed."""
+        return max((k for k in self.seconds if k != "total"), key=self.seconds.get, default="")
+
+    def by(self, what: str) -> dict[str, int]:
+        """Counts by ``type`` or ``status`` of what there was."""
+        return {k.partition(":")[2]: n for k, n in self.counts.items() if k.startswith(f"{what}:") and n}
+
+    def as_dict(self) -> dict:
+        plain = {k: n for k, n in self.counts.items() if ":" not in k}
+        return {
+            "keyword": self.text, "queries": self.queries, **plain, "pruned": self.pruned, "types": self.by("type"), "statuses": self.by("status"),
+            "seconds": self.seconds, "slowest": self.slowest, "results": [r.asDict(recursive=True) for r in self.rows],
+        }
+
+
+def outcome(hits: DataFrame, text: str, limit: int = 20, **options) -> Outcome:
+    """``search``, run: its first ``limit`` rows with the counts of all, from one job."""
+    began, watch = time.monotonic(), Watch()
+    found = search(hits, text, limit=limit, watch=watch, **options)
+    planned = time.monotonic()
+    rows = found.collect()
+    ended = time.monotonic()
+    seconds = {"plan": planned - began, "run": ended - planned, "total": ended - began}
+    return Outcome(text, rows, watch.counts(), {k: round(v, 3) for k, v in seconds.items()}, [q for q, _ in Q.plan(text)])
+
+
 def type_counts(resources: DataFrame) -> DataFrame:
     return resources.groupBy("pan_type").agg(F.count(F.lit(1)).alias("n"))
 
