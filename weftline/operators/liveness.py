@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 
 
+#: Rules of answers that are broadcast at most.
+RULE_ROWS = 10_000
+
+
 def status_table(spark) -> DataFrame:
     return spark.createDataFrame(X.STATUSES, "status string, weight double, tier int, bucket string, is_alive boolean, is_dead boolean")
 
@@ -47,38 +51,57 @@ def annotate(resources: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("title", title).withColumn("status", F.coalesce("status", F.lit("unchecked"))).withColumn("pwd_verified", F.coalesce("pwd_verified", F.lit(False))).drop("title_hint")
 
 
-def mapped(value: Column, table: dict[str, str], default: str | None = "unknown") -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, value), F.lit(default))
-
-
-def contained(value: Column, table: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for text, status in reversed(table.items()):
-        out = F.when(F.contains(value, F.lit(text)), status).otherwise(out)
-    return out
-
-
-def decide(responses: DataFrame, now: Column, direct: str = "alive") -> DataFrame:
-    """responses (key, pwd, endpoint, http_status, body) -> with status, by each endpoint's table of answers. Direct links
-    have nothing to ask: ``direct`` says what they are, alive in a search and unsupported in a batch."""
-    body, http = F.col("body"), F.col("http_status").cast("string")
-    errno, code = F.get_json_object(body, "$.errno"), F.get_json_object(body, "$.code")
-    state = F.get_json_object(body, "$.state")
-    gone = F.try_to_timestamp(F.get_json_object(body, "$.expiration")) < now
-    xml = F.nullif(F.regexp_extract(body, r"<code>([^<]*)</code>", 1), F.lit(""))
-    quark = F.coalesce(F.when(http == "404", "not_found"), mapped(code, X.QUARK_CODE, None), F.when(F.get_json_object(body, "$.status") == "200", "alive"), F.lit("unknown"))
-    aliyun = F.coalesce(mapped(code, X.ALIYUN_CODE, None), contained(code, X.ALIYUN_CONTAINS), F.when(http == "404", "not_found"), F.when(http != "200", "unknown"), F.when(gone, "dead"), F.lit("alive"))
-    p115 = F.coalesce(mapped(errno, X.P115_CODE, None), F.when(state == "false", "not_found"), F.when(state == "true", "alive"), F.lit("unknown"))
-    tianyi = F.coalesce(F.when(F.contains(body, F.lit("<shareVO>")), "alive"), mapped(xml, X.TIANYI_XML, None), F.when(http == "400", "not_found"), F.lit("unknown"))
-    status = (
-        F.when(F.col("endpoint") == "baidu_liveness", mapped(errno, X.BAIDU_LIVENESS))
-        .when(F.col("endpoint") == "baidu_code", mapped(errno, X.BAIDU_CODE))
-        .when(F.col("endpoint") == "quark", quark).when(F.col("endpoint") == "aliyun", aliyun).when(F.col("endpoint") == "115", p115).when(F.col("endpoint") == "tianyi", tianyi)
-        .when(F.col("endpoint") == "direct", direct)
-        .otherwise("unsupported")
-    )
-    return responses.withColumn("status", status)
+#: Rules of answers: endpoint, place (the first that holds counts), field (a JSON path, ``http``, ``body``, or a tag of XML),
+#: test, value, status.
+RULES = "endpoint string, place int, field string, test string, value string, status string"
+
+
+def default_rules(direct: str = "alive") -> list[tuple]:
+    """The rules of the known endpoints. Direct links have nothing to ask: ``direct`` says what they are."""
+    exact = lambda field, codes: [(field, "is", code, status) for code, status in codes.items()]
+    otherwise = [("body", "any", None, "unknown")]
+    by = {
+        "baidu_liveness": exact("$.errno", X.BAIDU_LIVENESS) + otherwise,
+        "baidu_code": exact("$.errno", X.BAIDU_CODE) + otherwise,
+        "quark": [("http", "is", "404", "not_found"), *exact("$.code", X.QUARK_CODE), ("$.status", "is", "200", "alive"), *otherwise],
+        "aliyun": [
+            *exact("$.code", X.ALIYUN_CODE), *(("$.code", "has", text, status) for text, status in X.ALIYUN_CONTAINS.items()),
+            ("http", "is", "404", "not_found"), ("http", "not", "200", "unknown"), ("$.expiration", "past", None, "dead"), ("body", "any", None, "alive"),
+        ],
+        "115": [*exact("$.errno", X.P115_CODE), ("$.state", "is", "false", "not_found"), ("$.state", "is", "true", "alive"), *otherwise],
+        "tianyi": [("body", "has", "<shareVO>", "alive"), *exact("code", X.TIANYI_XML), ("http", "is", "400", "not_found"), *otherwise],
+        "direct": [("body", "any", None, direct)],
+    }
+    return [(endpoint, place, *rule) for endpoint, rules in by.items() for place, rule in enumerate(rules)]
+
+
+def decide(responses: DataFrame, now: Column, direct: str = "alive", rules: DataFrame | None = None) -> DataFrame:
+    """responses (key, pwd, endpoint, http_status, body) -> with status: that of the first rule of its endpoint that holds.
+
+    Tests: ``is``, ``not`` (of what is there), ``has`` (contains), ``past`` (a time before now), ``any``. An endpoint without
+    rules is unsupported, an answer that none fits unknown. Rules come to the answers as one list for each endpoint, so
+    answers are neither shuffled nor multiplied. A provider is added by rows: rules, of RULES, in place of the default ones.
+    """
+    spark = responses.sparkSession
+    table = spark.createDataFrame(default_rules(direct), RULES) if rules is None else rules
+    by = table.groupBy("endpoint").agg(F.sort_array(F.collect_list(F.struct("place", "field", "test", "value", "status"))).alias("rules"))
+    by = F.broadcast(by) if rules is None or rules.count() <= RULE_ROWS else by
+
+    def holds(rule: Column) -> Column:
+        field, value = rule["field"], rule["value"]
+        tag = F.concat(F.lit("<"), field, F.lit(">([^<]*)</"), field, F.lit(">"))
+        found = (
+            F.when(field.startswith("$"), F.call_function("get_json_object", F.col("body"), field)).when(field == "http", F.col("http_status").cast("string")).when(field == "body", F.col("body"))
+            .otherwise(F.nullif(F.call_function("regexp_extract", F.col("body"), tag, F.lit(1)), F.lit("")))
+        )
+        test = rule["test"]
+        told = F.when(test == "any", True).when(test == "is", found == value).when(test == "has", F.contains(found, value)).when(test == "not", found != value).when(test == "past", F.try_to_timestamp(found) < now)
+        return F.coalesce(told, F.lit(False))
+
+    columns = responses.columns
+    asked = responses.join(by, "endpoint", "left")
+    status = F.when(F.col("rules").isNull(), "unsupported").otherwise(F.coalesce(F.get(F.filter("rules", holds), F.lit(0))["status"], F.lit("unknown")))
+    return asked.select(*columns, status.alias("status"))
 
 
 def decide_with_code(responses: DataFrame) -> DataFrame:

@@ -234,6 +234,21 @@ def response_decisions(spark, sf_dir):
     return liveness.decide(views.view(spark, sf_dir, ANSWERS, "events"), now()).select("key", "status")
 
 
+#: Answers with dates of expiry, and of a provider that is told of by rows alone.
+EXPIRING = """SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN 'aliyun' ELSE 'newpan' END AS endpoint, CASE WHEN event_id % 11 = 0 THEN 500 ELSE 200 END AS http_status,
+ CASE WHEN event_id % 2 = 0 THEN concat('{"expiration":"', CASE event_id % 3 WHEN 0 THEN concat('2024-', lpad(CAST(1 + event_id % 12 AS VARCHAR(20)), 2, '0'), '-10T00:00:00Z') WHEN 1 THEN '' ELSE 'soon' END, '"}')
+ ELSE concat('{"data":{"state":"', CASE event_id % 5 WHEN 1 THEN 'ok' WHEN 2 THEN 'code needed' WHEN 3 THEN 'gone' ELSE 'odd' END, '","until":"2024-', lpad(CAST(1 + event_id % 12 AS VARCHAR(20)), 2, '0'), '-10"}}') END AS body FROM events"""
+NEWPAN = [("$.data.state", "is", "gone", "not_found"), ("$.data.state", "has", "needed", "need_pwd"), ("$.data.until", "past", None, "dead"), ("$.data.state", "is", "ok", "alive")]
+
+
+@R.add("""SELECT event_id AS key, CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 11 = 0 THEN 'unknown' WHEN event_id % 3 = 0 AND event_id % 12 = 0 THEN 'dead' ELSE 'alive' END
+ ELSE CASE event_id % 5 WHEN 3 THEN 'not_found' WHEN 2 THEN 'need_pwd' ELSE CASE WHEN event_id % 12 = 0 THEN 'dead' WHEN event_id % 5 = 1 THEN 'alive' ELSE 'unknown' END END END AS status FROM events""")
+def expiring_shares(spark, sf_dir):
+    """Dates of expiry, and a provider that is added as rows of the table of rules."""
+    rules = [*liveness.default_rules(), *(("newpan", k, *r) for k, r in enumerate(NEWPAN))]
+    return liveness.decide(views.view(spark, sf_dir, EXPIRING, "events"), now(), rules=spark.createDataFrame(rules, liveness.RULES)).select("key", "status")
+
+
 @R.add("""SELECT doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'https://pan.quark.cn/s/b' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'https://pan.baidu.com/share/init?surl=T' || CAST(doc_id AS VARCHAR) || '&pwd=12ab' END AS url,
  CASE doc_id % 3 WHEN 0 THEN '12xy' WHEN 1 THEN '12ab' END AS pwd FROM documents WHERE doc_id % 3 <> 2 OR trim(text) <> ''""")
 def batch_lines(spark, sf_dir):

@@ -8,7 +8,7 @@ from .. import fixed as X
 from ..functions import html
 from ..operators import probing, quota
 from ..session import scratch, ship, table
-from ..sources import channels
+from ..sources import channels, configured
 from . import views
 from .queries_web import SHAPE
 from .registry import Registry
@@ -154,3 +154,26 @@ def crawled(spark, sf_dir):
     channels.store_pages(posts.groupBy("channel", "page").agg(F.array_join(F.sort_array(F.collect_list("block")), "").alias("html")), f"{folder}/pages")
     spark.dataSource.register(channels.channel_source(channels.StoredPages, "weftline_channels"))
     return channels.marks(spark.read.format("weftline_channels").option("path", f"{folder}/pages").load())
+
+
+#: Events as answers of four interfaces, each with two items.
+BODIES = """SELECT CASE event_id % 4 WHEN 0 THEN 'paths' WHEN 1 THEN 'template' WHEN 2 THEN 'feed' ELSE 'page' END AS source, event_id AS seq,
+ CASE event_id % 4 WHEN 0 THEN concat('{"data":{"items":[{"links":[{"u":""},{"u":"https://a.org/', id, '"}],"names":["","', event_type, '"]},{"links":[{"u":"ftp://', id, '"}]}]}}')
+ WHEN 1 THEN concat('[{"id":"', id, ' x","user":{"n":', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR(20)) END, '},"t":{"en":"', event_type, '"}},{"id":"only"}]')
+ WHEN 2 THEN concat('<feed><entry><id>https://c.org/', id, '</id><title>', event_type, ' &amp; more</title></entry><entry><title>none</title></entry></feed>')
+ ELSE concat('<p><a href="/e/', id, '"> ', event_type, ' </a><a href="/e/', id, '">again</a><a href="https://d.org/e/0">all</a>') END AS body FROM (SELECT event_id, user_id, event_type, CAST(event_id AS VARCHAR(20)) AS id FROM events) x"""
+INTERFACES = [
+    ("paths", "json", "data.items", "links.u", "names", None, None, None), ("template", "json", "$", None, "t.en", "https://b.org/{id}/{user.n}", None, None),
+    ("feed", "xml", "entry", "id", "title", None, None, None), ("page", "html", None, None, None, None, r'<a href="([^"]+)">[^<]*</a>', "https://d.org"),
+]
+
+
+@R.add("""SELECT event_id AS seq, 'https://a.org/' || CAST(event_id AS VARCHAR) AS url, event_type AS title FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 'https://b.org/' || CAST(event_id AS VARCHAR) || '%20x/' || CAST(user_id AS VARCHAR), event_type FROM events WHERE event_id % 4 = 1 AND event_id % 3 <> 0 AND user_id IS NOT NULL
+UNION ALL SELECT event_id, 'https://c.org/' || CAST(event_id AS VARCHAR), event_type || ' & more' FROM events WHERE event_id % 4 = 2
+UNION ALL SELECT event_id, unnest(['https://d.org/e/' || CAST(event_id AS VARCHAR), 'https://d.org/e/0']), unnest([event_type, 'all']) FROM events WHERE event_id % 4 = 3""")
+def api_by_configuration(spark, sf_dir):
+    """JSON by paths and by a template, XML and HTML, read by rows of a configuration in one plan."""
+    ship(spark)
+    config = spark.createDataFrame(INTERFACES, configured.CONFIG)
+    return configured.read(views.view(spark, sf_dir, BODIES, "events"), config).select("seq", "url", "title")
