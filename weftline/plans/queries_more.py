@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import links, text
 from ..operators import catalog, liveness, tables
-from ..session import ship, table
-from ..streaming import windows
+from ..session import scratch, ship, table
+from ..streaming import validity, windows
 from . import queries_core, search, views
 from .registry import Registry
 
@@ -260,3 +260,34 @@ def batch_lines(spark, sf_dir):
     hits, rejects = search.batch_text(rows)
     none = F.lit(None).cast("string")
     return hits.select("line", "url", "pwd").unionByName(rejects.select("line", none.alias("url"), none.alias("pwd")))
+
+
+#: Events as states of users, and how long each holds; after the last come the stretches that the watermark has passed.
+HOLDS = {"view": 3_600, "click": 86_400, "error": 600, "purchase": 0}
+LATE_HOURS = 24
+STATE = "SELECT CAST(user_id AS VARCHAR(20)) AS key, event_type AS status, date_trunc('MILLISECOND', ts) AS seen, event_id AS seq FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL"
+TTL = f"CASE status {' '.join(f"WHEN '{k}' THEN {v}" for k, v in HOLDS.items())} ELSE 0 END"
+STRETCHES = f"""WITH s AS ({STATE}), w AS (SELECT max(seen) - INTERVAL {LATE_HOURS} HOUR AS mark FROM s),
+n AS (SELECT s.*, lead(seen) OVER (PARTITION BY key ORDER BY seen, seq) AS later, CASE WHEN {TTL} > 0 THEN seen + to_seconds({TTL}) END AS ends, mark FROM s, w WHERE seen <= mark)
+SELECT key, status, seen AS since, CASE WHEN later IS NOT NULL AND (ends IS NULL OR ends >= later) THEN later ELSE ends END AS until, CASE WHEN later IS NOT NULL AND (ends IS NULL OR ends >= later) THEN 'checked' ELSE 'expired' END AS ended_by
+FROM n WHERE (later IS NOT NULL AND (ends IS NULL OR ends >= later)) OR ends <= mark"""
+
+
+@R.add(STRETCHES)
+def validity_stream(spark, sf_dir):
+    """How long states held, by a stream with timers of event time."""
+    ship(spark)
+    folder = scratch(spark, "validity")
+    events = windows.source(spark, f"{sf_dir}/events.parquet").filter("user_id is not null and ts is not null")
+    rows = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("status"), F.date_trunc("MILLISECOND", "ts").alias("at"), F.col("event_id").alias("seq"))
+    validity.run(spark, rows, f"{folder}/out", f"{folder}/checkpoint", f"{LATE_HOURS} hours", HOLDS)
+    return spark.read.schema(validity.OUT).parquet(f"{folder}/out")
+
+
+@R.add(STRETCHES)
+def validity_stretches(spark, sf_dir):
+    """The batch twin."""
+    rows = views.view(spark, sf_dir, STATE, "events").withColumnRenamed("seen", "at")
+    mark = rows.agg(F.max("at").alias("mark")).select((F.col("mark") - F.expr(f"INTERVAL {LATE_HOURS} HOUR")).alias("mark"))
+    rows = rows.crossJoin(F.broadcast(mark))  # one row
+    return validity.stretches(rows, F.col("mark"), HOLDS)

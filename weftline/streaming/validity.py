@@ -51,7 +51,7 @@ class Held(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()  # all that it has passed, whichever timer comes first
         rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[2]))
         held = tuple(self.held.get()) if self.held.exists() else None
         out = []

@@ -25,11 +25,16 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return by.drop("w")
 
 
-def read(spark: SparkSession, path: str, late: str) -> DataFrame:
-    """The files of a Parquet table as a stream of events with a watermark."""
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a Parquet table as a stream."""
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(path.rpartition("/")[0], pathGlobFilter=path.rpartition("/")[2]) if path.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+def read(spark: SparkSession, path: str, late: str) -> DataFrame:
+    """The same with a watermark."""
+    return source(spark, path).withWatermark("ts", late)
 
 
 def run_tumbling(spark: SparkSession, path: str, length: str, late: str = "1 day") -> DataFrame:
