@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import evaluation, liveness, ranking
+from weftline.operators import evaluation, liveness, ranking, resolve
 from weftline.plans import query
 
 
@@ -39,3 +39,17 @@ def test_budget_of_nothing_is_no_limit(spark):
     phases = {r.key: r.phase for r in liveness.budgeted(rows, 0).collect()}
     assert len(phases) == 25 and set(phases.values()) == {"early", "late"} and phases["k24"] == "early"
     assert sum(r.phase != "unchecked" for r in liveness.budgeted(rows, 10).collect()) == 10
+
+
+def test_hot_key(spark):
+    """Half of all hits are of one key, with a hundred thousand titles and a hundred sources: as the plain sums have it, in one pass."""
+    n = 100_000
+    hits = spark.range(2 * n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("s"), (F.col("id") % 100).cast("string")).alias("source"), F.lit("tg").alias("kind"),
+        F.concat(F.lit("https://pan.quark.cn/s/k"), F.when(F.col("id") < n, 0).otherwise(F.col("id")).cast("string")).alias("url"), F.lit(None).cast("string").alias("pwd"),
+        F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), *(F.lit(None).cast(t).alias(c) for c, t in {"size": "string", "shared_at": "timestamp", "origin": "string"}.items()),
+        F.lit(False).alias("relaxed"), F.lit("q").alias("query"), (F.col("id") % 1000).cast("int").alias("rank"),
+    )
+    found = resolve.resolve(hits).select("key", "rrf", F.size("titles").alias("n"), F.size("sources").alias("s"), "hit_count").filter("hit_count > 1").collect()
+    assert [(r.n, r.s, r.hit_count) for r in found] == [(n, 100, n)]
+    assert abs(found[0].rrf - sum(1 / (60 + k) for k in range(100))) < 1e-9

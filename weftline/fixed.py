@@ -55,6 +55,16 @@ LINK_TAIL = "。，、；;!！?？'\""
 #: A magnet link, whose parameters go on to a character at which it ends.
 MAGNET = r"magnet:\?xt=urn:btih:[A-Za-z0-9]{32,40}(?:&[^\s\"'<>()（）【】「」『』《》，,、。；;\]\[]+)*"
 
+# --- fixed values: characters that don't stand before a bare link, and those cut from the ends of the title before one
+NOT_BEFORE_BARE = r"\w.@/-"
+TITLE_ENDS = " \t\n:：-—|｜·,，、"
+
+# --- fixed values: words before a link that don't say what it leads to: of codes, in either script; of providers and invitations; Latin ones
+CODE_WORDS, CODE_WORDS_LATIN = "提取码 密码 访问码".split(), "pwd code".split()
+FILLER_WORDS = """百度网盘 百度云 百度 夸克网盘 夸克 阿里云盘 阿里 迅雷云盘 迅雷 天翼云盘 天翼 移动云盘 123云盘 123网盘 115网盘 uc网盘
+磁力链接 磁力 网盘 云盘 链接 地址 下载 提取码 密码 访问码 分享 资源 备用 点击 打开 复制""".split()
+FILLER_WORDS_LATIN = "uc pikpak pwd code link download".split()
+
 # --- fixed values: words of queries
 QUALIFIERS = """4k 8k 2160p 1080p 720p hd hdr hdr10 dv 杜比 dolby atmos 全景声 高码 高码率 remux 原盘 蓝光 bluray webrip webdl bdrip hdtv
 中字 中文字幕 字幕 国语 粤语 双语 简中 繁中 内嵌 全集 完整版 完结 未删减 导演剪辑版 加长版 高清 超清 无损 hires hi-res 母带 原抓 整轨 分轨

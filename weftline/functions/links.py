@@ -21,7 +21,7 @@ from .. import fixed as X
 LINK = re.compile(rf"https?://[^{X.LINK_STOP}]+")
 MAGNET = re.compile(X.MAGNET, re.I)
 _HOSTS = "|".join(re.escape(h) for h, _ in X.PROVIDERS if not h.endswith("."))
-BARE = re.compile(rf"(?<![\w.@/-])(?:{_HOSTS})/[^{X.LINK_STOP}]+", re.I)
+BARE = re.compile(rf"(?<![{X.NOT_BEFORE_BARE}])(?:{_HOSTS})/[^{X.LINK_STOP}]+", re.I)
 #: Everything of interest in a text, found in one pass: links of three kinds, codes of two.
 TOKEN = re.compile(rf"(?P<link>{LINK.pattern})|(?P<magnet>(?i:{X.MAGNET}))|(?P<bare>(?i:{BARE.pattern}))|(?i:{X.CODE})(?!://)|{X.BARE_CODE}")
 #: A code in the query of a URL, which LINK leaves out.
@@ -61,9 +61,11 @@ def nearest_codes(links: list[tuple[int, int]], codes: list[int], window: int =
         pairs += [(at - ends[k], c, k) for k in range(bisect_left(ends, at - window), bisect_right(ends, at))]
         pairs += [(starts[k] - at + left, c, k) for k in range(bisect_right(starts, at), bisect_right(starts, at + window - left))]
     given: dict[int, int] = {}
+    used: set[int] = set()
     for _, c, k in sorted(pairs):
-        if k not in given and c not in given.values():
+        if k not in given and c not in used:
             given[k] = c
+            used.add(c)
     return given
 
 
@@ -125,7 +127,7 @@ def titles_before(text: str | None, urls: list[str]) -> list[str | None]:
     out = []
     for url in urls:
         before = bisect_left(starts, at[url]) if url in at else None
-        out.append(None if before is None else text[ends[before - 1] if before else 0 : at[url]].strip(" \t\n:：-—|｜·,，、") or None)
+        out.append(None if before is None else text[ends[before - 1] if before else 0 : at[url]].strip(X.TITLE_ENDS) or None)
     return out
 
 

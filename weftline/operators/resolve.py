@@ -56,12 +56,14 @@ def resolve(hits: DataFrame) -> DataFrame:
     by = classes.groupBy("key").agg(
         F.min_by("first", "seq").alias("first"), F.min_by("coded", "code_seq").alias("coded"), F.max_by(t, F.when(t.isNotNull(), F.struct(F.length(t), -F.col("seq")))).alias("title"),
         F.min_by("size", "size_seq").alias("size"), F.min("shared_at").alias("shared_at"), F.bool_or(primary).alias("from_primary"),
-        F.sum("n").alias("hit_count"), F.min("seq").alias("first_seq"), F.array_sort(F.collect_list(row)).alias("rows"),
+        F.sum("n").alias("hit_count"), F.min("seq").alias("first_seq"), F.sort_array(F.collect_list(row)).alias("rows"),
     )
     listed = lambda name: F.array_distinct(F.array_compact(F.transform("rows", lambda r: r[name])))
-    of = F.array_distinct(F.transform("rows", lambda r: r["of"]))
-    best = F.transform(of, lambda s: F.array_max(F.transform(F.filter("rows", lambda r: r["of"].eqNullSafe(s)), lambda r: r["best"])))
-    fused = F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+    # The best of each source: the first of its run once rows are in order of source and best. Linear in the rows.
+    ordered = F.sort_array(F.transform("rows", lambda r: F.struct(r["of"].alias("of"), (-r["best"]).alias("worse"))))
+    run_ends = lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~x["of"].eqNullSafe(F.get(all_, i - 1)["of"]))
+    best = F.get(F.transform(F.array(ordered), run_ends), F.lit(0))
+    fused = F.aggregate(best, F.lit(0.0), lambda a, x: a - x["worse"])
     return by.select(
         "key", F.col("first.pan_type").alias("pan_type"), F.coalesce("coded.url", "first.url").alias("url"), F.col("first.surl").alias("surl"), F.col("coded.code").alias("pwd"),
         "title", "size", "shared_at", "from_primary", "hit_count", "first_seq", fused.alias("rrf"),
