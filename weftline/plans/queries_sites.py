@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed as X
-from ..functions import html
+from ..functions import html, tables
 from ..operators import probing, quota
 from ..session import scratch, ship, table
 from ..sources import channels, configured
@@ -177,3 +177,25 @@ def api_by_configuration(spark, sf_dir):
     ship(spark)
     config = spark.createDataFrame(INTERFACES, configured.CONFIG)
     return configured.read(views.view(spark, sf_dir, BODIES, "events"), config).select("seq", "url", "title")
+
+
+#: Notes with a link and a code, a lone link, or none.
+NOTES = """SELECT doc_id AS line, CASE doc_id % 3 WHEN 0 THEN concat('https://pan.quark.cn/s/b', CAST(doc_id AS VARCHAR(20)), ' 提取码 12xy')
+ WHEN 1 THEN concat('https://pan.baidu.com/share/init?surl=T', CAST(doc_id AS VARCHAR(20)), '&pwd=12ab') ELSE text END AS note FROM documents"""
+
+
+@R.add("""SELECT doc_id AS line, CASE doc_id % 3 WHEN 0 THEN 'https://pan.quark.cn/s/b' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'https://pan.baidu.com/share/init?surl=T' || CAST(doc_id AS VARCHAR) || '&pwd=12ab' ELSE '' END AS url,
+ CASE doc_id % 3 WHEN 0 THEN '12xy' WHEN 1 THEN '12ab' ELSE '' END AS pwd, doc_id % 3 = 2 AS reject FROM documents WHERE doc_id % 3 <> 2 OR trim(text) <> ''""")
+def lateral_links(spark, sf_dir):
+    """Links of notes, and notes without any, by a table function in SQL."""
+    ship(spark)
+    tables.register(spark)
+    notes = views.view(spark, sf_dir, NOTES, "documents")
+    return spark.sql("SELECT line, coalesce(l.url, '') AS url, coalesce(l.pwd, '') AS pwd, l.url IS NULL AS reject FROM {notes}, LATERAL pasted_rows(note) l", notes=notes)
+
+
+@R.add("""SELECT page_id, regexp_matches(lower(html), '(^|[^a-z0-9])article($|[^a-z+#])') AND regexp_matches(lower(html), '(^|[^a-z0-9])thorea($|[^a-z+#])') AS asked FROM pages""")
+def match_in_sql(spark, sf_dir):
+    """A query's predicate, called in SQL."""
+    tables.register_match(spark, "asked_for", "thorea article")
+    return spark.sql("SELECT page_id, asked_for(html) AS asked FROM {pages}", pages=table(spark, sf_dir, "pages"))
