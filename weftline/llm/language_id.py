@@ -12,17 +12,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import crc_of_id, slices, text_bytes
 
 GRAM = 4
-#: Slots of the table (a power of two), and look-ups per n-gram.
-SLOT_BITS, HASHES = 18, (0x9E3779B1, 0x85EBCA6B)
-#: Bounds of the fit: labelled texts of a language, and n-grams of its filter.
-TEXTS, GRAMS = 2_000, 12_000
+#: Look-ups per n-gram, and the part of a language's slots that are set at most: their product over the look-ups is the rate of false positives.
+HASHES, FILL = (0x9E3779B1, 0x85EBCA6B), 0.125
+#: Bound of the fit: labelled texts of a language.
+TEXTS = 2_000
 #: A language contains an n-gram that it has at least this part as often as the language that has it most.
 SHARE = 0.25
 UNDETERMINED = "und"
@@ -69,20 +69,21 @@ def _count(batches):
 
 
 class Model:
-    """langs; table: (slots, bytes of masks of 8 languages); false: each language's false positive rate."""
+    """langs; bits: of the number of slots, a power of two, as many as the largest filter needs; table: (slots, bytes of masks
+    of 8 languages); false: each language's false positive rate."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray]):
         self.langs, words = langs, max(1, -(-len(langs) // 8))
-        self.table = np.zeros((1 << SLOT_BITS, words), np.uint8)
+        self.bits = max(10, int(np.ceil(np.log2(max(1, *(len(HASHES) * len(g) / FILL for g in grams), 1)))))
+        self.table = np.zeros((1 << self.bits, words), np.uint8)
         self.false = np.zeros(len(langs))
         for k, g in enumerate(grams):
             for slots in self.slots(g.astype(np.uint32)):
                 self.table[slots, k // 8] |= np.uint8(1 << k % 8)
             self.false[k] = ((self.table[:, k // 8] >> k % 8) & 1).mean() ** len(HASHES)
 
-    @staticmethod
-    def slots(grams: np.ndarray) -> list[np.ndarray]:
-        return [(grams * np.uint32(h)) >> np.uint32(32 - SLOT_BITS) for h in HASHES]
+    def slots(self, grams: np.ndarray) -> list[np.ndarray]:
+        return [(grams * np.uint32(h)) >> np.uint32(32 - self.bits) for h in HASHES]
 
     def shares(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language, the part of its n-grams that the language contains, corrected; and the number of n-grams."""
@@ -104,11 +105,11 @@ class Model:
         return np.clip((part - self.false) / (1 - self.false), 0, 1), n
 
 
-def train(docs: DataFrame, texts: int = TEXTS, most: int = GRAMS) -> Model:
-    """Fit on at most about ``texts`` labelled texts of each language, chosen by a hash of the id; rows with null text or lang are left out.
+def train(docs: DataFrame, texts: int = TEXTS) -> Model:
+    """Fit on at most about ``texts`` labelled texts of each language, chosen by a hash of the id, of the text where the id is
+    null; rows with null text or lang are left out.
 
-    most: n-grams of a language's filter at most, the likelier first. It bounds the filters' size and so their false
-    positives; what is scored is every n-gram of a text.
+    A filter has all n-grams of its language's texts that are likely enough there; the number of slots follows from theirs.
     """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -116,17 +117,16 @@ def train(docs: DataFrame, texts: int = TEXTS, most: int = GRAMS) -> Model:
         return Model([], [])
     # A part of each language's rows, by hash; whole texts.
     limit = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int(min(1.0, texts / n) * 1_000_000))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit[F.col("lang")]).select("lang", "text")
+    code = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    sample = rows.filter(F.pmod(code, F.lit(1_000_000)) < limit[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
     own = rates.join(best, "gram").filter((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= 2))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))  # the sample's grams, bounded by its texts
-    top = own.withColumn("place", place).filter(F.col("place") <= most).groupBy("lang").agg(F.collect_list("gram").alias("g"))
-    filters = {r["lang"]: np.array(r["g"], np.int64) for r in top.collect()}
-    langs = sorted(totals)
-    return Model(langs, [filters.get(x, np.zeros(0, np.int64)) for x in langs])
+    top = own.select("lang", "gram").toArrow()  # the sample's grams, bounded by its texts
+    langs, of, grams = sorted(totals), np.array(top.column("lang").to_pylist(), object), top.column("gram").to_numpy()
+    return Model(langs, [np.sort(grams[of == x]) for x in langs])
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), na
 
     Ties go to the first language by name. Whole texts of any length; an empty table gives an empty result. The score is the likelier language's part of the corrected popcounts, between 0 and 1, times how much of the text it contains.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 bytes for each 8 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a byte a slot for each 8 languages
 
     def run(batches):
         m = shared.value

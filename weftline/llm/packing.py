@@ -95,6 +95,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n
 
 
+#: Bits of a sequence's number: its place in its task, the task, and above both the round; full pieces have a bit above all rounds.
+PLACE_BITS, TASK_BITS, FULL = 28, 20, 1 << 62
+
+
+def sequence_base(round_: int, task: int) -> int:
+    if task >> TASK_BITS or round_ >= FULL >> (PLACE_BITS + TASK_BITS):
+        raise ValueError(f"round {round_}, task {task}: more than sequences are numbered for")
+    return (round_ << (PLACE_BITS + TASK_BITS)) + (task << PLACE_BITS)
+
+
 def _pack_task(capacity: int, round_: int, last: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)  # TASK_ROWS at most, but for chance
@@ -112,8 +122,7 @@ def _pack_task(capacity: int, round_: int, last: bool):
         else:  # the bins that waste most, enough of them to hold the gap many times over
             open_ = np.zeros(n, bool)
             open_[np.argsort(fill, kind="stable")[: max(1, min(n, 16 * gap))]] = True
-        base = (round_ << 56) + (TaskContext.get().partitionId() << 32)
-        yield rows.assign(sequence_id=base + bins, offset=offsets, gap=gap, open=open_[bins])
+        yield rows.assign(sequence_id=sequence_base(round_, TaskContext.get().partitionId()) + bins, offset=offsets, gap=gap, open=open_[bins])
 
     return run
 
@@ -129,7 +138,7 @@ def pack(rows: DataFrame, capacity: int = 2048, task_rows: int = TASK_ROWS) -> D
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = materialise(rows.select(*names), "pieces", folder)
     zero = F.lit(0).cast("long")
-    out = rows.filter(F.col("length") == capacity).select(*names, (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), zero.alias("offset"), zero.alias("gap"))
+    out = rows.filter(F.col("length") == capacity).select(*names, (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"), zero.alias("offset"), zero.alias("gap"))
     todo, round_, before = rows.filter(F.col("length") < capacity), 0, None
     while True:
         n = todo.count()
