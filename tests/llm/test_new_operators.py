@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import divergence, phrases, sharding
+from weftline.llm import divergence, language_id, packing, phrases, sharding
 from weftline.llm.shared import materialise, numbered, scratch_dir
 
 # --- sharding
@@ -200,3 +200,24 @@ def test_first_of(spark, monkeypatch):
         got = sorted((r.g, r["rank"], r.v, r.item) for r in divergence.first_of(stored, ["g"], "v", "item", k, f"{folder}/{k}").collect())
         want = [(g, n, v, i) for g in ("big", "one", "small") for n, (v, i) in enumerate(sorted(((v, i) for x, v, i in rows if x == g), key=lambda r: (-r[0], r[1].encode()))[:k], 1)]
         assert got == want
+
+
+# --- numbers and filters
+
+
+def test_sequence_numbers():
+    """Rounds, tasks and full pieces never share a number."""
+    last = packing.sequence_base(0, (1 << packing.TASK_BITS) - 1) + (1 << packing.PLACE_BITS) - 1
+    assert last < packing.sequence_base(1, 0) and packing.sequence_base(10_000, 1_000_000) + (1 << packing.PLACE_BITS) < packing.FULL
+    for round_, task in ((1 << 14, 0), (0, 1 << 20)):
+        with pytest.raises(ValueError):
+            packing.sequence_base(round_, task)
+
+
+def test_filters_keep_all(spark):
+    """Every n-gram that is likely enough, however many; slots grow with them."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)) for _ in range(3)]
+    rows = [(k, t, "x") for k, t in enumerate([*texts, *texts])] + [(None, "some other words", "y")] * 2
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["x", "y"] and model.bits >= 20 and 0.05 < model.false[0] ** 0.5 <= language_id.FILL and model.false[1] < 1e-6
