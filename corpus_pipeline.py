@@ -40,6 +40,13 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return safe.unionByName(asked.join(gone.hint("merge"), asked["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti"))
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat (doc_id, text) the one whose other columns are the smallest as JSON, so that reruns agree."""
+    others = F.to_json(F.struct(F.lit(0), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.groupBy(F.col("doc_id").alias(TOLD), sha.alias(SCORE)).agg(F.min_by(F.struct(*docs.columns), others).alias("row")).select("row.*")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter in any language, null and empty texts among it: no language can be told. Of the rest,
     rows without a lang get the language that is told."""
@@ -57,7 +64,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = _without(docs, lost.filter(other).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
     if lost.filter(~other).isEmpty():
         return left
-    return left.dropDuplicates(["doc_id", "text"])  # rows that repeat both
+    return _one_of_each(left)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = _without(docs, lost.select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha")))
     if keys.filter("times > 1").isEmpty():
         return left
-    return left.dropDuplicates(["doc_id", "text"])  # rows that repeat both
+    return _one_of_each(left)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
