@@ -98,11 +98,6 @@ def test_plans(spark, tmp_path):
         federation.types_of("odd", ["baidu"])
     (tmp_path / "c.yaml").write_text("sources:\n  - name: a\n    enabled: true\n")
     assert federation.config(spark, f"file://{tmp_path}/c.yaml") == {"sources": [{"name": "a", "enabled": True}]}
-    kept = federation.Kept(300, 2)
-    for k in range(3):
-        kept.put((k,), k, now=k)
-    kept.put((9,), 9, now=3, empty=True, degraded=True)
-    assert [kept.get((k,), 10) for k in (0, 1, 2, 9)] == [None, 1, 2, None] and kept.get((2,), 302) is None
 
 
 def test_pages(spark):

@@ -19,6 +19,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--strict", action="store_true")
     s.add_argument("-n", type=int, default=20)
     s.add_argument("--csv")
+    s.add_argument("--keep", help="a folder in which results are kept for --seconds")
+    s.add_argument("--seconds", type=float, default=300)
     s.add_argument("--json", action="store_true", help="the results with what became of all others")
     v = sub.add_parser("verify", help="links and codes of a text file, and the lines without any")
     v.add_argument("file")
@@ -56,9 +58,9 @@ def main(argv: list[str] | None = None) -> int:
     from . import catalogue
     from .functions import html
     from .functions import text as T
-    from .operators import catalog, keptindex, liveness, maintain
+    from .operators import catalog, keptindex, liveness, maintain, snapshots
     from .plans import query, search
-    from .session import session, ship
+    from .session import session, ship, state
     from .sources import sinks
 
     spark = session()
@@ -67,7 +69,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "search":
         asked = {"cache": read(a.cache) if a.cache else None, "types": a.type, "strict": a.strict}
         if a.json:
-            print(json.dumps(search.outcome(read(a.hits), a.text, a.n, **asked).as_dict(), ensure_ascii=False, default=str))
+            if a.keep:
+                data = [(p, state(spark, p)) for p in (a.hits, a.cache) if p]
+                told, was = search.kept_search(snapshots.Snapshots(spark, a.keep, a.seconds), read(a.hits), a.text, a.n, data, **asked)
+                told["from_cache"] = was
+            else:
+                told = search.outcome(read(a.hits), a.text, a.n, **asked).as_dict()
+            print(json.dumps(told, ensure_ascii=False, default=str))
             return 0
         found = search.search(read(a.hits), a.text, limit=a.n, **asked)
         if a.csv:

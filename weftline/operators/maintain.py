@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,7 +66,7 @@ class Files:
     """Small control files in a folder that any Hadoop file system holds: state, reports and the lock of runs."""
 
     def __init__(self, spark: SparkSession, folder: str, clock: Callable[[], float] = time.time):
-        self.jvm, self.clock = spark.sparkContext._jvm, clock
+        self.jvm, self.gateway, self.clock = spark.sparkContext._jvm, spark.sparkContext._gateway, clock
         self.folder = self.jvm.org.apache.hadoop.fs.Path(folder)
         self.fs = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.folder)
@@ -101,6 +102,18 @@ class Files:
             stream.close()
         return True
 
+    def swap(self, name: str, value: dict) -> None:
+        """Replace a file in one step: readers see the old one or the new one, and the old one stays if this run ends before."""
+        aside = f"{name}.{uuid.uuid4().hex}"
+        self.write(aside, value)
+        whole = lambda x: self.fs.makeQualified(self._at(x))
+        overwrite = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(whole(aside), whole(name), overwrite)
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
     def acquire(self, name: str = "lock.json") -> bool:
         """Takes the lock, unless another run holds it; one that was left behind long ago is taken over."""
         mine = {"started_at": self.clock()}

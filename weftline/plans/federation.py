@@ -151,22 +151,3 @@ def engine_jobs(engines: DataFrame, templates: DataFrame, asked: str) -> DataFra
     """engines (engine, url) by templates (template): every page of results to be asked for. Both are a few rows."""
     every = engines.crossJoin(templates)
     return every.select("engine", "template", urls.expand_template(F.col("url"), F.replace(F.col("template"), F.lit("{kw}"), F.lit(asked))).alias("url"))
-
-
-class Kept:
-    """Results of searches that are kept for a while, the oldest given up first; a search that failed without results isn't kept."""
-
-    def __init__(self, seconds: float = 300, most: int = 64):
-        self.seconds, self.most, self.rows = seconds, most, {}
-
-    def get(self, key: tuple, now: float):
-        at, value = self.rows.get(key, (None, None))
-        return value if at is not None and now - at < self.seconds else None
-
-    def put(self, key: tuple, value, now: float, empty: bool = False, degraded: bool = False) -> None:
-        if empty and degraded:
-            return
-        self.rows.pop(key, None)
-        self.rows[key] = (now, value)
-        while len(self.rows) > self.most:
-            self.rows.pop(next(iter(self.rows)))

@@ -13,6 +13,7 @@ from .. import fixed as X
 from ..functions import links
 from ..functions import text as T
 from ..operators import liveness, ranking, resolve
+from ..operators.snapshots import Snapshots
 from . import query as Q
 
 #: Characters of a title at most.
@@ -84,6 +85,28 @@ def search(
     return rows.select("key", "pan_type", "url", "pwd", "title", "status", "relevance", "rrf", "score", "hit_count", "sources", "kinds", "first_seq")
 
 
+#: What ``search`` gives.
+FOUND = "key string, pan_type string, url string, pwd string, title string, status string, relevance double, rrf double, score double, hit_count long, sources array<string>, kinds array<string>, first_seq long"
+
+
+def kept_search(store: Snapshots, hits: DataFrame, text: str, limit: int = 20, data: object = None, degraded: bool = False, **options) -> tuple[dict, bool]:
+    """``outcome`` as a dictionary, out of a store of snapshots if it is there, and whether it was.
+
+    data: what tells the hits and the cache apart from other ones, such as ``session.state`` of their folders. Tables among
+    the options aren't part of what was asked, all others are.
+    """
+    flags = {k: v for k, v in options.items() if not isinstance(v, (DataFrame, Column))}
+
+    def make() -> tuple[DataFrame, dict]:
+        told = outcome(hits, text, limit, **options).as_dict()
+        found = [(k, *r.values()) for k, r in enumerate(told.pop("results"))]  # ``limit`` rows, with their places
+        return hits.sparkSession.createDataFrame(found, f"place int, {FOUND}").coalesce(1), told
+
+    kept, was = store.ask(text, make, degraded, limit=limit, data=data, **flags)
+    rows = kept.rows.orderBy("place").drop("place").collect()
+    return kept.about | {"results": [r.asDict(recursive=True) for r in rows]}, was
+
+
 @dataclass
 class Outcome:
     """A search's best rows and what became of all others: counts, by provider and by status too, and seconds."""
