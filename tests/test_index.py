@@ -175,3 +175,26 @@ def test_texts_are_asked_for(spark, tmp_path):
     index = Index.build(frame(spark, {1: "serum"}), tokens(), f"file://{tmp_path}/f", 1)
     with pytest.raises(ValueError):
         index.search(["serum"], ["serum"])
+
+
+@pytest.mark.parametrize("size", [7, 65_536])
+def test_top_by_bounds(spark, tmp_path, monkeypatch, size):
+    """The best by bounds are the best of all, through upserts; and few blocks are read where few can hold them."""
+    monkeypatch.setattr(keptindex, "BLOCK", size)
+    monkeypatch.setattr(keptindex, "FIRST_BLOCKS", 2)
+    rng = random.Random(size)
+    rows = {k: (" ".join(rng.choice(["common", "common", "rare", "x", "y", "z"]) for _ in range(rng.randrange(1, 12))), rng.randrange(300), True) for k in range(300)}
+    index = whole(spark, tmp_path, rows)
+    index.upsert(frame(spark, {k: "common common rare" for k in (5, 50)}), tokens(), spark.createDataFrame([(7,)], "doc_id long"))
+    for terms in (["common"], ["rare", "common", "x"]):
+        every = index.scored([Unit((t,)) for t in terms]).select("doc_id", F.round("score", 9).alias("s"), "at").collect()
+        for limit in (3, 1000):
+            want = sorted(every, key=lambda r: (-r.s, r.at is None, -(r.at.timestamp() if r.at else 0), -r.doc_id))[:limit]
+            assert ids(index.top(terms, limit)) == [r.doc_id for r in want]
+            want = sorted(every, key=lambda r: (r.at is None, -(r.at.timestamp() if r.at else 0), -r.doc_id))[:limit]
+            assert ids(index.top(terms, limit, newest=True)) == [r.doc_id for r in want]
+    assert ids(index.top(["nothing"], 3)) == []
+    if size == 7:
+        for options in ({"newest": True}, {}):
+            index.top(["rare"], 3, **options)
+            assert index.blocks_read[0] < index.blocks_read[1]

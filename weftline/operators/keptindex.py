@@ -37,11 +37,14 @@ PREFIX_LETTERS = 4
 #: Documents of a shelf, segments of a size that are merged, ids that are looked up by name, and candidates that are held
 #: against their texts by rank before all of them are.
 SHELF_ROWS, FAN, LOOKED_UP, CHECKED = 200_000, 4, 1_000, 4_000
+#: Postings of a block, blocks that a threshold is taken from, and blocks that are told apart by name in a filter.
+BLOCK, FIRST_BLOCKS, NAMED_BLOCKS = 65_536, 8, 1_000
 IN_THRESHOLD = "spark.sql.parquet.pushdown.inFilterThreshold"
 #: What the parts of an index hold, folders included.
 SCHEMAS = {
     "postings": "term string, doc_id long, tf int, dl int, at timestamp, linked boolean, positions array<int>, seg int",
     "forward": "doc_id long, dl int, at timestamp, linked boolean, text string, tokens array<string>, seg int, shelf int",
+    "blocks": "term string, lo long, hi long, n long, tf int, dl int, newest timestamp, seg int",
     "vocabulary": "term string, df long, cf long, seg int",
     "gone": "doc_id long, old int, seg int",
     "manifest": "seg int, rows long, shelves int, live long, tokens long, texts boolean, version int",
@@ -118,6 +121,7 @@ class Index:
         self.avgdl = tokens / self.n if self.n else 0.0
         own = F.col("seg").isin(sorted(self.sizes))
         self.all_postings, self.vocabulary_rows, self.forward = (self._read(n).filter(own) for n in ("postings", "vocabulary", "forward"))
+        self.all_blocks = self._read("blocks").filter(own)
         self.marks = self._read("gone").filter(own & F.col("old").isin(sorted(self.sizes)))
         self.stale = self.marks.count() if len(self.sizes) > 1 else 0
 
@@ -157,7 +161,12 @@ class Index:
 
     def _post(self, rows: DataFrame, seg: int, files: int) -> None:
         placed = rows.select("term", "doc_id", "tf", "dl", "at", "linked", "positions").repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        placed.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/postings/seg={seg}")
+        placed.write.mode("overwrite").option("parquet.block.size", 16 << 20).option("maxRecordsPerFile", 0).parquet(f"{self.path}/postings/seg={seg}")
+        # Of every run of a term's postings in a file: its documents, and what bounds their scores and times.
+        run = F.floor(F.col("_metadata.row_index") / BLOCK)
+        blocks = self._read("postings", seg).groupBy("term", F.col("_metadata.file_name").alias("file"), run.alias("run"))
+        blocks = blocks.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.max("at").alias("newest"))
+        self._put("blocks", blocks.drop("file", "run").repartitionByRange(max(1, files // 4), "term").sortWithinPartitions("term"), seg)
 
     def _words(self, words: DataFrame, seg: int, files: int) -> None:
         self._put("vocabulary", words.repartitionByRange(max(1, files // 4), "term").sortWithinPartitions("term"), seg)
@@ -326,6 +335,51 @@ class Index:
         units = list(dict.fromkeys([*terms, *subjects]))
         return self._tiers(self.scored(units), units, terms, subjects).select("doc_id", "tier", "score")
 
+    def top(self, terms: Sequence[str], limit: int, newest: bool = False) -> DataFrame:
+        """doc_id, score, at of the best documents with any of the terms, by BM25, time and id; newest: by time and id alone.
+
+        Blocks are read by what bounds them. The most promising give a threshold, the limit-th of their documents; of the
+        others, only those are read that can hold as good a document, given the most that all other terms can add; terms that
+        can't reach the threshold together don't make candidates. What is left out can't be among the results.
+        """
+        names, n, avgdl = list(dict.fromkeys(terms)), F.lit(float(self.n)), F.lit(float(self.avgdl))
+        dfs = dict(zip(names, self.df([Unit((t,)) for t in names])))
+        weight = F.element_at(F.create_map(*(F.lit(x) for t in names for x in (t, float(dfs[t])))), F.col("term"))
+        part = lambda tf, dl: F.coalesce(F.unix_micros("newest" if tf == "block" else "at").cast("double"), F.lit(-1.0)) if newest else bm25_part(F.col("tf"), F.col("dl"), n, weight, avgdl)
+        blocks = self.all_blocks.filter(F.col("term").isin(names)).withColumn("bound", part("block", None)).persist()
+        rows = self._live(self.all_postings.filter(F.col("term").isin(names)))
+
+        def scored(ranges: list[tuple[int, int, int]]) -> list[dict]:
+            some = rows if len(ranges) > NAMED_BLOCKS else rows.filter(reduce(lambda a, b: a | b, [(F.col("seg") == s) & F.col("doc_id").between(lo, hi) for s, lo, hi in ranges]))
+            by = some.groupBy("doc_id").agg(F.first("at").alias("at"), *(F.max(F.when(F.col("term") == t, part("row", None))).alias(f"s{k}") for k, t in enumerate(names)))
+            added = F.greatest(*(F.col(f"s{k}") for k in range(len(names))), F.lit(-1.0)) if newest else reduce(lambda a, b: a + b, (F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(len(names))))
+            order = [F.desc("place"), F.desc_nulls_last("time"), F.desc("doc_id")]
+            found = by.select("doc_id", added.alias("score"), F.round(added, 9).alias("place"), F.unix_micros("at").alias("time")).orderBy(*order).limit(limit)
+            return [r.asDict() for r in found.collect()]
+
+        try:
+            tops = {r["term"]: r["top"] for r in blocks.groupBy("term").agg(F.max("bound").alias("top")).collect()}
+            self.blocks_read = [0, blocks.count()]
+            most = F.lit(0.0) if newest else F.lit(float(sum(tops.values()))) - F.element_at(F.create_map(*(F.lit(x) for t, v in tops.items() for x in (t, float(v)))), F.col("term")) if tops else F.lit(0.0)
+            able = blocks.withColumn("able", F.col("bound") + most)
+            first = able.orderBy(F.desc("able"), "term", "seg", "lo").limit(FIRST_BLOCKS).collect()
+            best = scored([(b["seg"], b["lo"], b["hi"]) for b in first]) if first else []
+            least = best[-1]["score"] - 1e-6 if len(best) == limit else float("-inf")
+            # Terms that together stay under the threshold: a document with these alone is none.
+            weak, total = [], 0.0
+            for t in sorted(tops, key=tops.get) if not newest else ():
+                total += tops[t]
+                if total < least:
+                    weak.append(t)
+            more = able.filter((F.col("able") >= least) & ~F.col("term").isin(weak)) if weak else able.filter(F.col("able") >= least)
+            chosen = more.select("seg", "lo", "hi").limit(NAMED_BLOCKS + 1).collect()
+            self.blocks_read[0] = len(chosen) if len(chosen) <= NAMED_BLOCKS else self.blocks_read[1]
+            kept = scored([(b["seg"], b["lo"], b["hi"]) for b in chosen]) if chosen else []
+        finally:
+            blocks.unpersist()
+        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("at", pa.timestamp("us", "UTC"))])
+        return self.spark.createDataFrame(pa.Table.from_pylist([{"doc_id": r["doc_id"], "score": r["score"], "at": r["time"]} for r in kept], schema))
+
     def search(self, terms: Sequence[str], subjects: Sequence[str], texts: DataFrame | None = None, limit: int = 20, rank: str = "bm25", linked: bool = False) -> DataFrame:
         """doc_id, tier, score, at of a query's best documents: by tier, BM25, time (newest first) and doc_id. linked: of those
         with links only, scored among all.

@@ -84,6 +84,12 @@ def bm25_topk(spark, sf_dir):
     return scores.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+@R.add(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id DESC LIMIT 50")
+def bounded_topk(spark, sf_dir):
+    """The best documents by blocks of postings, of which only those are read that can hold one."""
+    return kept(spark, sf_dir).top(TERMS, 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @R.add(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the ')")
 def phrase_match(spark, sf_dir):
     return kept(spark, sf_dir).matches(Unit(("of", "the"))).select("doc_id")
@@ -137,6 +143,13 @@ def mixed_vocabulary(spark, sf_dir):
     return kept(spark, sf_dir, "mixed").vocabulary()
 
 
+@R.add(f"WITH {MIXED} SELECT doc_id FROM mt WHERE list_contains(t, '小说') OR list_contains(t, '三体') ORDER BY doc_id % 7 DESC, doc_id DESC LIMIT 40")
+def newest_first(spark, sf_dir):
+    """The newest documents with any of two terms, by the newest times of blocks."""
+    ship(spark)
+    return kept(spark, sf_dir, "mixed").top(["小说", "三体"], 40, newest=True).select("doc_id")
+
+
 #: A term of three CJK characters, as its two pairs one after another.
 TRIPLE = "三体三"
 PHRASE_TF = "len(list_filter(range(1, len(t)), lambda i: t[i] = '三体' AND t[i + 1] = '体三'))"
