@@ -23,7 +23,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--seconds", type=float, default=300)
     s.add_argument("--json", action="store_true", help="the results with what became of all others")
     v = sub.add_parser("verify", help="links and codes of a text file, and the lines without any")
-    v.add_argument("file")
+    v.add_argument("file", help="or a link: exit code 1 for none of a known provider, 2 for one that can't be checked")
+    v.add_argument("--cache", help="known states, for a link")
     q = sub.add_parser("query", help="run a registered query")
     q.add_argument("name")
     q.add_argument("folder")
@@ -34,8 +35,8 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--text", default="")
     i.add_argument("--to", help="the folder of the compacted index")
     i.add_argument("-n", type=int, default=20)
-    t = sub.add_parser("sites", help="sites of a table: listed, routed, or the search forms of captured pages")
-    t.add_argument("action", choices=["list", "route", "forms"])
+    t = sub.add_parser("sites", help="sites of a table: listed, routed, their search forms, health, or a probe of captured pages (folders homes, searches, details)")
+    t.add_argument("action", choices=["list", "route", "forms", "health", "probe"])
     t.add_argument("table")
     t.add_argument("--text", default="")
     c = sub.add_parser("channels", help="statistics of messages by channel, or new channels by vertical")
@@ -56,9 +57,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
 
     from . import catalogue
-    from .functions import html
+    from .functions import html, links
     from .functions import text as T
-    from .operators import catalog, keptindex, liveness, maintain, snapshots
+    from .operators import catalog, collect, keptindex, liveness, maintain, probing, snapshots
     from .plans import query, search
     from .session import session, ship, state
     from .sources import sinks
@@ -81,6 +82,17 @@ def main(argv: list[str] | None = None) -> int:
         if a.csv:
             sinks.write_csv(sinks.export_rows(found), a.csv)
         found.show(a.n, False)
+    elif a.command == "verify" and a.file.startswith(("http://", "https://", "magnet:")):
+        kind, found = links.provider_of(a.file), links.find_or_single(a.file)
+        if not found:
+            print("no link of a known provider")
+            return 1
+        if not collect.checkable(kind):
+            print(f"{kind}: can't be checked")
+            return 2
+        known = read(a.cache).filter(F.col("cache_key").endswith(found[0]["url"].split("://", 1)[-1].split("?")[0])) if a.cache else None
+        row = None if known is None else liveness.latest(known, ["cache_key"], "checked_at").first()
+        print(f"{row['status'] if row else 'unchecked'}  {kind}  {found[0]['url']}")
     elif a.command == "verify":
         lines = spark.read.text(a.file).select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
         hits, rejects = search.batch_text(lines)
@@ -103,7 +115,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(f"{index.n} documents, {index.avgdl:.1f} tokens each, {index.segments} segments, {index.vocabulary().count()} terms")
     elif a.command == "sites":
-        rows = read(a.table)
+        rows = read(a.table) if a.action != "probe" else probing.probe(*(read(f"{a.table}/{t}") for t in ("homes", "searches", "details")))
+        if a.action == "health":
+            rows = liveness.failures(rows).groupBy("domain").agg(F.max_by("fails", F.struct("run_at", "event_id")).alias("fails"), F.max("run_at").alias("last_run"))
         if a.action == "route":
             rows = catalog.route(rows, query.verticals(a.text), 12)
         elif a.action == "forms":

@@ -120,3 +120,10 @@ DOCUMENTS = "pdf epub mobi azw3 djvu fb2 cbz cbr torrent".split()
 # --- fixed values: parts of URLs that a site search doesn't follow
 NOT_FOLLOWED = """/category/ /tag/ /author/ /page/ /about /contact /dmca /feed /rss /wp-content /wp-login /wp-json /wp-admin /wp-includes /comments /privacy /terms
 /disclaimer /software/win/ /software/mac/ /samples/ /presets/ /?s= /cart /checkout /my-account""".split()
+# --- fixed values: hosts that aren't pages worth reading (engines, CDNs, counters), those of them that are, and endings of static files
+NOISE_HOSTS = """google. gstatic.com googleapis.com googlesyndication bing.com bing.net brave.com search.brave so.com 360.cn 360.com 360kan.com qhimg.com qhmsg.com
+www.baidu.com baidustatic.com bdstatic.com hao123.com duckduckgo.com mojeek.com startpage.com yandex. yimg.com w3.org schema.org cloudflare.com cloudflareinsights
+facebook.com twitter.com x.com youtube.com doubleclick.net wikipedia.org creativecommons.org mozilla.org apple.com alicdn.com aliyun.com gtimg.com qq.com sina.com.cn
+googletagmanager.com google-analytics.com cnzz.com umeng.com""".split()
+CONTENT_HOSTS = ["mp.weixin.qq.com"]
+STATIC_ENDINGS = ".css .js .mjs .json .png .jpg .jpeg .gif .svg .ico .woff .woff2 .ttf .mp4 .webp .xml .txt".split()

@@ -160,3 +160,19 @@ def is_filler(segment: Column) -> Column:
     """Whether a title segment holds only codes, provider words and signs."""
     left = F.regexp_replace(F.regexp_replace(evidence(folded(segment)), FILLER, " "), r"[^\p{L}]+", "")
     return F.length(left) < 2
+
+
+def verticals(text: Column, most: int = 3) -> Column:
+    """The verticals that a text speaks of, the likeliest first: each keyword that it contains counts 1 and a tenth for each of
+    its characters; ties go by name."""
+
+    def scored(low: Column) -> Column:
+        scores = []
+        for name, words in X.VERTICALS.items():
+            total = F.lit(0.0)
+            for w in sorted(set(words)):
+                total = total + F.when(F.contains(low, F.lit(w)), 1 + len(w) / 10).otherwise(0.0)
+            scores.append(F.struct((-F.round(total, 4)).alias("worse"), F.lit(name).alias("name")))
+        return F.transform(F.slice(F.sort_array(F.filter(F.array(*scores), lambda s: s["worse"] < 0)), 1, most), lambda s: s["name"])
+
+    return F.get(F.transform(F.array(F.lower(text)), scored), F.lit(0))

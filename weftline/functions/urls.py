@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import PROVIDERS, SHARE_PROVIDERS
+from ..fixed import CONTENT_HOSTS, NOISE_HOSTS, PROVIDERS, SHARE_PROVIDERS, STATIC_ENDINGS
 
 #: scheme, authority, path, query, fragment; never fails, whatever the text.
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -183,3 +183,12 @@ def is_noise(name: Column, hosts: list[str], but: list[str] = []) -> Column:
         anywhere = h.endswith(".") or "." not in h
         out = out | (F.contains(name, F.lit(h)) if anywhere else (name == h) | name.endswith("." + h))
     return out & ~name.isin(but) if but else out
+
+
+def worth_reading(url: Column) -> Column:
+    """Whether a result of a search engine may be a page of contents: no engine, CDN or counter, no static file, no home page,
+    and no share itself."""
+    own, place = host(url), F.lower(path(url))
+    content = F.exists(F.array(*map(F.lit, CONTENT_HOSTS)), lambda h: (own == h) | own.endswith(F.concat(F.lit("."), h)))
+    static = F.exists(F.array(*map(F.lit, STATIC_ENDINGS)), lambda e: place.endswith(e))
+    return (own != "") & scheme(url).isin("http", "https") & (content | ~is_noise(own, NOISE_HOSTS)) & ~static & ~F.contains(own, F.lit("pan.baidu.com")) & (F.regexp_replace(place, "/", "") != "")

@@ -133,9 +133,17 @@ def known_status(status: Column) -> Column:
     return F.when(status.isin([s[0] for s in X.STATUSES]), status).otherwise("unknown")
 
 
+#: Providers whose links can be asked for their state.
+CHECKED = ("baidu", "quark", "aliyun", "115", "tianyi", "direct")
+
+
 def can_check(kind: Column) -> Column:
     """Whether links of a provider can be asked for their state."""
-    return kind.isin("baidu", "quark", "aliyun", "115", "tianyi", "direct")
+    return kind.isin(*CHECKED)
+
+
+def checkable(kind: str) -> bool:
+    return kind in CHECKED
 
 
 def alive_only(rows: DataFrame) -> DataFrame:

@@ -243,6 +243,16 @@ def classify_vertical(spark, sf_dir):
     return rows.select("doc_id", best.alias("vertical"), F.greatest("game", "academic", "design").alias("score"))
 
 
+EVERY = ", ".join(f"struct_pack(worse := -round({' + '.join(f"CASE WHEN contains(t, '{w}') THEN {1 + len(w) / 10} ELSE 0 END" for w in sorted(set(words)))}, 4), name := '{v}')" for v, words in X.VERTICALS.items())
+
+
+@R.add(f"WITH d AS (SELECT doc_id, lower(text) || CASE doc_id % 6 WHEN 0 THEN ' 电影 4k' WHEN 1 THEN ' vst 教程' WHEN 2 THEN ' 漫画 小说' ELSE '' END AS t FROM documents) SELECT doc_id, array_to_string(list_transform(list_sort(list_filter([{EVERY}], lambda s: s.worse < 0))[1:3], lambda s: s.name), ' ') AS verticals FROM d")
+def verticals_top3(spark, sf_dir):
+    """The verticals of a text, out of all."""
+    more = F.when(F.col("doc_id") % 6 == 0, " 电影 4k").when(F.col("doc_id") % 6 == 1, " vst 教程").when(F.col("doc_id") % 6 == 2, " 漫画 小说").otherwise("")
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.verticals(F.concat("text", more)), " ").alias("verticals"))
+
+
 JUDGED = "judged AS (SELECT d.source AS query, d.doc_id, CAST(quality + CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS grade, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS pos FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)"
 
 

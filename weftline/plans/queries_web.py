@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 from ..functions import html, text, urls
 from ..session import ship, table
+from . import views
 from .registry import Registry
 
 R = Registry()
@@ -144,3 +145,16 @@ def excerpt(spark, sf_dir):
 def csv_guard(spark, sf_dir):
     cell = F.concat(F.when(F.col("doc_id") % 5 == 0, "=x").otherwise("x"), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", text.csv_safe(cell).alias("safe"), text.csv_plain(text.csv_safe(cell)).alias("back"))
+
+
+#: Result pages: a page's own address, others of its host, and what isn't worth reading.
+RESULTS = """SELECT page_id, own, concat('<a href="', url, '">https://www.google.com/x https://box.com/a https://x.com/b https://cdn.', own, '/a.CSS https://', own, '/1 https://', own, '/2 https://', own, '/3 https://mp.weixin.qq.com/s/1 https://pan.baidu.com/s/1 https://', own, '。') AS html
+ FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS own FROM pages) x"""
+
+
+@R.add("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^?,;!]*', 0) AS u, regexp_extract(url, '://([^/?#]+)', 1) AS own, regexp_extract(regexp_extract(url, '^[^?,;!]*', 0), '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT page_id, CASE WHEN replace(path, '/', '') <> '' AND regexp_matches(u, '^https?://') THEN [u] ELSE [] END AS first, own FROM p)
+SELECT page_id, array_to_string(list_concat(list_concat(first, ['https://box.com/a', 'https://' || own || '/1']), CASE WHEN len(first) = 0 THEN ['https://' || own || '/2', 'https://mp.weixin.qq.com/s/1'] ELSE ['https://mp.weixin.qq.com/s/1'] END), ' ') AS links FROM c""")
+def pages_worth_reading(spark, sf_dir):
+    """Pages of a results page that are worth reading, two of a host."""
+    return views.view(spark, sf_dir, RESULTS, "pages").select("page_id", F.array_join(html.candidate_pages(F.col("html")), " ").alias("links"))
