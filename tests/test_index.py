@@ -194,7 +194,13 @@ def test_top_by_bounds(spark, tmp_path, monkeypatch, size):
             want = sorted(every, key=lambda r: (r.at is None, -(r.at.timestamp() if r.at else 0), -r.doc_id))[:limit]
             assert ids(index.top(terms, limit, newest=True)) == [r.doc_id for r in want]
     assert ids(index.top(["nothing"], 3)) == []
-    if size == 7:
-        for options in ({"newest": True}, {}):
-            index.top(["rare"], 3, **options)
-            assert index.blocks_read[0] < index.blocks_read[1]
+
+
+def test_blocks_that_are_not_read(spark, tmp_path, monkeypatch):
+    """Where time or impact follows the ids, most blocks can't hold one of the best."""
+    monkeypatch.setattr(keptindex, "BLOCK", 10)
+    monkeypatch.setattr(keptindex, "FIRST_BLOCKS", 2)
+    rows = {k: ("rare rare rare" if k < 15 else "rare a b c d e f g h i", k, True) for k in range(200)}
+    index = whole(spark, tmp_path, rows)
+    assert ids(index.top(["rare"], 3, newest=True)) == [199, 198, 197] and index.blocks_read[0] <= 3 < index.blocks_read[1]
+    assert ids(index.top(["rare"], 3)) == [14, 13, 12] and index.blocks_read[0] <= 3 < index.blocks_read[1]

@@ -364,7 +364,7 @@ class Index:
             able = blocks.withColumn("able", F.col("bound") + most)
             first = able.orderBy(F.desc("able"), "term", "seg", "lo").limit(FIRST_BLOCKS).collect()
             best = scored([(b["seg"], b["lo"], b["hi"]) for b in first]) if first else []
-            least = best[-1]["score"] - 1e-6 if len(best) == limit else float("-inf")
+            least = best[-1]["score"] - (1.0 if newest else 2e-9) if len(best) == limit else float("-inf")
             # Terms that together stay under the threshold: a document with these alone is none.
             weak, total = [], 0.0
             for t in sorted(tops, key=tops.get) if not newest else ():
