@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, scratch_dir
+from .shared import give_back, materialise, scratch_dir
 from .tokens import piece_tokenizer
 
-#: Rows that one task packs.
-TASK_ROWS = 100_000
+#: Rows that one task packs, and pieces of text that the tokenizer's caches keep: packing may follow stages that hold memory.
+TASK_ROWS, KEPT_PIECES = 100_000, 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +34,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = piece_tokenizer(vocabulary), np.array([end_id], np.uint32)
+        give_back()
+        tokenizer, end = piece_tokenizer(vocabulary, KEPT_PIECES), np.array([end_id], np.uint32)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some, rows = batch.slice(i, 256), []

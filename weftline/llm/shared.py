@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +65,17 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Let a Python worker give back what earlier stages left in its allocators: workers serve one stage after another, and
+    what they hold counts with the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 #: Groups that ``hot_join`` broadcasts at most because they are large, and rows of small tables that are broadcast whole.
 HOT_GROUPS, SMALL_ROWS = 20_000, 100_000
 

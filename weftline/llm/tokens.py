@@ -170,11 +170,11 @@ class PieceTokenizer:
         return out
 
 
-def piece_tokenizer(path: str) -> PieceTokenizer:
-    """One for each vocabulary and Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceTokenizer(path)
-    return _OPEN[path]
+def piece_tokenizer(path: str, keep: int = 400_000) -> PieceTokenizer:
+    """One for each vocabulary and size of cache in a Python worker."""
+    if (path, keep) not in _OPEN:
+        _OPEN[path, keep] = PieceTokenizer(path, keep)
+    return _OPEN[path, keep]
 
 
 def vocabulary(name: str) -> str:
