@@ -15,7 +15,7 @@ HEADLINE = [
     "bm25_topk", "tiered_recall", "phrase_match", "prefix_match", "like_fallback", "resolve_hits", "rrf_fusion", "score_resources", "resolve_rank",
     "latest_wins_upsert", "stale_queue", "verify_summary", "health_consecutive_fails", "path_shapes_topk", "local_links", "html_text", "ndcg_at_10", "chao2",
     "tumbling_windows", "session_windows", "semi_join", "correlated_count", "mixed_search", "indexed_search", "search_end_to_end", "source_report",
-    "bounded_topk", "search_outcome", "site_probe", "response_decisions", "api_by_configuration", "lateral_links", "validity_stretches",
+    "bounded_topk", "search_outcome", "site_probe", "response_decisions", "lateral_links", "validity_stretches",
 ]
 
 
