@@ -204,3 +204,22 @@ def test_blocks_that_are_not_read(spark, tmp_path, monkeypatch):
     index = whole(spark, tmp_path, rows)
     assert ids(index.top(["rare"], 3, newest=True)) == [199, 198, 197] and index.blocks_read[0] <= 3 < index.blocks_read[1]
     assert ids(index.top(["rare"], 3)) == [14, 13, 12] and index.blocks_read[0] <= 3 < index.blocks_read[1]
+
+
+def test_many_ids_by_name(spark, tmp_path, monkeypatch):
+    """Thousands of candidates are looked up by name: the filter that is pushed down must not be as deep as their number."""
+    rows = {k: f"三体 x{k}" for k in range(4000)}
+    index = Index.build(frame(spark, rows), tokens(), f"file://{tmp_path}/many", files=2, text=F.col("text"))
+    monkeypatch.setattr(keptindex, "LOOKED_UP", 5000)
+    with keptindex._by_name(spark):
+        found = index.looked_up(spark.range(0, 4000, 1).withColumnRenamed("id", "doc_id"), "text").collect()
+    assert {r.doc_id: r.text for r in found} == rows
+
+
+def test_build_without_groups(spark, tmp_path):
+    """A document's places are made in its row: the plan of the postings shuffles nothing, and no sort gives way to a spill."""
+    rows = {k: "三体 the x the " + "y " * k for k in range(40)}
+    index = Index.build(frame(spark, rows), tokens(), f"file://{tmp_path}/rows", files=2)
+    made = index.forward.select("doc_id", "dl", "at", "linked", "tokens").mapInArrow(keptindex._posted, "term string, doc_id long, tf int, dl int, at timestamp, linked boolean, positions array<int>")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.doc_id): list(r.positions) for r in made.collect()} == {(t, k): [i for i, x in enumerate(f) if x == t] for k, f in ((k, T.mixed_token_list(t)) for k, t in rows.items()) for t in f}
