@@ -101,3 +101,21 @@ def test_another_source(spark):
     spark.dataSource.register(channel_source(Flaky, "weftline_flaky"))
     rows = spark.read.format("weftline_flaky").option("marks", '{"x": 93}').load()
     assert sorted(r.msg_id for r in rows.select("msg_id", F.size("links").alias("n")).collect()) == [94, 95]
+
+
+def test_stretches_and_row_groups(spark, tmp_path, monkeypatch):
+    """A long channel is read by several tasks, each message once, as one task reads it; a page's row group is read about once."""
+    monkeypatch.setattr(channels, "RUN_BYTES", 1 << 10)
+    path, told = f"file://{tmp_path}/pages", []
+    for start in (1, 11):  # two captures, which overlap
+        stored(spark, path, [("a", range(k, k + 20)) for k in range(start, 8000, 40)])
+    stream = channels.ChannelStream(channels.StoredPages, {"path": path})
+    parts = stream.partitions({}, stream.latestOffset())
+    assert len(parts) > 2
+    whole = list(read_back(channels.StoredPages({"path": path}), Stretch("a", 0, parts[-1].upto)))
+    assert sorted(m for p in parts for m in stream.read(p)) == sorted(whole) and len({m[1] for m in whole}) == len(whole)
+    pager = channels.StoredPages({"path": path})
+    bounds = pager._bounds
+    monkeypatch.setattr(pager, "_bounds", lambda *a: told.append(a) or bounds(*a))
+    list(read_back(pager, Stretch("a", 0, parts[-1].upto)))
+    assert len(told) == 1  # footers once, not for every page

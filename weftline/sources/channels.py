@@ -39,9 +39,22 @@ class Pager(ABC):
         """The newest page of which all messages are older than ``before``, cut there if need be; null or one that doesn't go
         back any further if there is none."""
 
+    def cuts(self, channel: str, after: int, upto: int) -> list[int]:
+        """Messages, ascending, between which and what follows a stretch may be cut for several tasks; none if that isn't known."""
+        return []
+
 
 class StoredPages(Pager):
-    """Pages that ``store_pages`` has written (option path): a folder for each channel, its files in order of messages."""
+    """Pages that ``store_pages`` has written (option path): folders of channels, whose row groups are runs of pages in order
+    of messages. Footers tell which row group has a page; those read last are held, so a page is read about once."""
+
+    #: Row groups that are held: captures of several times overlap.
+    HELD = 4
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.groups: dict[str, list[tuple]] = {}
+        self.held: dict[tuple, tuple] = {}
 
     def _dataset(self):
         import pyarrow.dataset as ds
@@ -50,37 +63,71 @@ class StoredPages(Pager):
         system, path = fs.FileSystem.from_uri(self.options["path"]) if "://" in self.options["path"] else (fs.LocalFileSystem(), self.options["path"])
         return ds.dataset(path, filesystem=system, format="parquet", partitioning=ds.partitioning(flavor="hive"), exclude_invalid_files=False)
 
-    def newest(self) -> dict[str, int]:
-        """From the bounds in the files' footers: no page is read."""
+    def _bounds(self, channel: str | None = None) -> dict[str, list[tuple]]:
+        """By channel: (highest message, lowest, file, row group), the highest first, from the files' footers: no page is read."""
         import pyarrow.dataset as ds
 
-        out: dict[str, int] = {}
+        out: dict[str, list[tuple]] = {}
         for fragment in self._dataset().get_fragments():
-            channel = str(ds.get_partition_keys(fragment.partition_expression)["channel"])
-            column = fragment.metadata.schema.names.index("high")
-            for k in range(fragment.metadata.num_row_groups):
-                bounds = fragment.metadata.row_group(k).column(column).statistics
-                out[channel] = max(out.get(channel, 0), bounds.max)
-        return out
+            own = str(ds.get_partition_keys(fragment.partition_expression)["channel"])
+            if channel in (None, own):
+                names = fragment.metadata.schema.names
+                for k in range(fragment.metadata.num_row_groups):
+                    group = fragment.metadata.row_group(k)
+                    low, high = (group.column(names.index(c)).statistics for c in ("low", "high"))
+                    out.setdefault(own, []).append((high.max, low.min, fragment.path, k))
+        return {c: sorted(g, reverse=True) for c, g in out.items()}
+
+    def newest(self) -> dict[str, int]:
+        return {c: g[0][0] for c, g in self._bounds().items()}
+
+    def cuts(self, channel: str, after: int, upto: int) -> list[int]:
+        if channel not in self.groups:
+            self.groups = self._bounds()  # on the driver: all channels are asked for
+        return sorted({high for high, *_ in self.groups.get(channel, ()) if after < high < upto})
+
+    def _group(self, file: str, k: int) -> tuple:
+        """The lows, highs and pages of a row group."""
+        import pyarrow.parquet as pq
+
+        if (file, k) not in self.held:
+            while len(self.held) >= self.HELD:
+                self.held.pop(next(iter(self.held)))
+            rows = pq.ParquetFile(file, filesystem=self._dataset().filesystem).read_row_group(k, columns=["low", "high", "html"])
+            self.held[file, k] = (rows["low"].to_numpy(), rows["high"].to_numpy(), rows["html"])
+        self.held[file, k] = self.held.pop((file, k))  # the one used last is the last to go
+        return self.held[file, k]
 
     def page(self, channel: str, before: int) -> str | None:
-        import pyarrow.compute as pc
+        import numpy as np
 
-        rows = self._dataset()
-        mine = (pc.field("channel") == channel) & (pc.field("low") < before)
-        ends = rows.to_table(columns=["low", "high"], filter=mine)
-        if not len(ends):
-            return None
+        if channel not in self.groups:
+            self.groups[channel] = self._bounds(channel).get(channel, [])
         # Of pages that reach below, the one that reaches highest; captures overlap where they were made at several times.
-        high, low = max(zip(ends.column("high").to_pylist(), ends.column("low").to_pylist()))
-        return rows.to_table(columns=["html"], filter=mine & (pc.field("high") == high) & (pc.field("low") == low)).column("html")[0].as_py()
+        best = None
+        for most, least, file, k in self.groups[channel]:
+            if best and most < best[0]:
+                break
+            if least < before:
+                lows, highs, pages = self._group(file, k)
+                able = np.flatnonzero(lows < before)
+                at = able[np.lexsort((lows[able], highs[able]))[-1]]
+                if best is None or (highs[at], lows[at]) > best[:2]:
+                    best = highs[at], lows[at], pages[int(at)]
+        return best and best[2].as_py()
+
+
+#: Bytes of pages in a row group, which is what a task reads at least.
+RUN_BYTES = 8 << 20
 
 
 def store_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
-    """pages (channel, html) -> a store that StoredPages reads. Pages without messages are left out."""
+    """pages (channel, html) -> a store that StoredPages reads. Pages without messages are left out. A channel's pages are dealt
+    over tasks by ranges of messages."""
     ids = F.transform(F.regexp_extract_all("html", F.lit(POST), F.lit(1)), lambda x: x.cast("long"))
     rows = pages.select("channel", "html", F.array_min(ids).alias("low"), F.array_max(ids).alias("high")).filter("low is not null")
-    rows.repartition("channel").sortWithinPartitions("channel", "high").write.mode(mode).partitionBy("channel").parquet(path)
+    placed = rows.repartitionByRange("channel", "high").sortWithinPartitions("channel", "high")
+    placed.write.mode(mode).option("parquet.block.size", RUN_BYTES).partitionBy("channel").parquet(path)
 
 
 @dataclass
@@ -138,7 +185,14 @@ class ChannelStream(DataSourceStreamReader):
         return self.pager(self.options_).newest()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Stretch(c, int(start.get(c, 0)), int(n)) for c, n in sorted(end.items()) if n > start.get(c, 0)]
+        """Channels cut where their pager allows it; a page across a cut is read on both sides, for the messages of each."""
+        pager, out = self.pager(self.options_), []
+        for c, n in sorted(end.items()):
+            low = int(start.get(c, 0))
+            if n > low:
+                points = [low, *pager.cuts(c, low, int(n)), int(n)]
+                out += [Stretch(c, a, b) for a, b in zip(points, points[1:])]
+        return out
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         return read_back(self.pager(self.options_), partition)
@@ -148,7 +202,7 @@ class ChannelStream(DataSourceStreamReader):
 
 
 class ChannelTable(DataSourceReader):
-    """All messages that there are, a task for each channel."""
+    """All messages that there are, a task for each stretch of a channel."""
 
     def __init__(self, pager: type[Pager], options: dict[str, str]):
         self.stream = ChannelStream(pager, options)
