@@ -221,3 +221,41 @@ def test_filters_keep_all(spark):
     rows = [(k, t, "x") for k, t in enumerate([*texts, *texts])] + [(None, "some other words", "y")] * 2
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["x", "y"] and model.bits >= 20 and 0.05 < model.false[0] ** 0.5 <= language_id.FILL and model.false[1] < 1e-6
+
+
+def test_answers_of_a_chunk_at_a_time(spark, monkeypatch):
+    """Names that come by a join are not gathered in lists by an aggregation, which would hold those of many chunks; and files
+    of chunks are small."""
+    from weftline.llm import phrases, shared
+
+    plans, files = [], []
+
+    def watched(df, tag, *rest):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        files.append((tag, rest))
+        return shared.materialise(df, tag, *rest)
+
+    monkeypatch.setattr(phrases, "materialise", watched)
+    docs = spark.createDataFrame([("en", "a b c d. " * 30)] * 40, "lang string, text string")
+    got = {tuple(r) for r in phrases.collocations(docs, least=5, chunk=600, most_names=0).collect()}
+    assert got == {tuple(r) for r in phrases.collocations(docs, least=5).collect()} and got
+    assert not any("collect_list" in plan for tag, plan in plans if tag.startswith("chunks"))
+    assert all(rest[-1] == phrases.FILE_CHUNKS for tag, rest in files if tag.startswith("chunks"))
+
+
+def test_scratch_of_a_join_goes(spark, tmp_path):
+    """Of the join's tables only those stay that its result is made of, and nothing that was shuffled."""
+    from weftline.llm import ngram_join
+
+    folder = str(tmp_path / "scratch")
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, words + f" x{k % 7}") for k in range(60)] + [(k, f"q{k} r{k} s{k} t{k}") for k in range(100, 140)], "doc_id long, text string")
+    before = ngram_join.scratch_dir
+    try:
+        ngram_join.scratch_dir = lambda _: folder
+        got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    finally:
+        ngram_join.scratch_dir = before
+    assert got == {(k, 0) for k in range(60)} | {(k, k) for k in range(100, 140)}
+    left = {p.name for p in (tmp_path / "scratch").iterdir()}
+    assert not left & {"prints", "shared", "grams0", "grams1", "grams2", "sets", "met", "full"}

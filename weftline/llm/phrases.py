@@ -33,6 +33,9 @@ WORD[[0x20, 0x09]] = False
 #: Bytes of text in a chunk (more only where no piece ends), names that are broadcast at most, and bytes of words among them.
 CHUNK, BROADCAST_NAMES, BROADCAST_BYTES = 4 << 20, 2_000_000, 48 << 20
 CHUNKS = "chunk string, ids binary, vocabulary array<struct<lang:string,word:string,n:bigint>>"
+#: Chunks of a file, which a task may decode at once.
+FILE_CHUNKS = 4
+RENAMED = pa.schema([("chunk", pa.string()), ("ids", pa.binary())])
 
 
 def _words(body: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -132,13 +135,16 @@ def _known_pairs(sent, row: pa.RecordBatch, left: np.ndarray, right: np.ndarray)
     return np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at + 1, 0)
 
 
-def _answered(row: pa.RecordBatch, left: np.ndarray | None, _right) -> np.ndarray:
-    """Ids as a join has brought them, by the place of what was asked for."""
-    out = np.zeros(len(row.column("vocabulary").flatten()) if left is None else len(left), np.int64)
-    found = row.column("names").flatten()
-    if len(found):
-        out[pc.struct_field(found, "j").to_numpy(zero_copy_only=False)] = pc.struct_field(found, "id").to_numpy(zero_copy_only=False)
-    return out
+def _answered(kind: str, to: str, words: bool, found: pa.Table, chunk: pa.Table) -> pa.Table:
+    """A chunk renamed by the answers that a join has brought (j: the place of what was asked for, id)."""
+
+    def names(row: pa.RecordBatch, left: np.ndarray | None, _right) -> np.ndarray:
+        out = np.zeros(len(row.column("vocabulary").flatten()) if left is None else len(left), np.int64)
+        out[found["j"].to_numpy()] = found["id"].to_numpy()
+        return out
+
+    rows = chunk.to_batches() if found.num_rows else []  # without a name nothing is left of a chunk
+    return pa.Table.from_batches(_renamed(kind, to, names, words, iter(rows)), RENAMED)
 
 
 class Miner:
@@ -147,7 +153,7 @@ class Miner:
     def __init__(self, docs: DataFrame, least: int, chunk: int = CHUNK, most_names: int = BROADCAST_NAMES):
         self.spark, self.least, self.most_names, self.folder = docs.sparkSession, least, most_names, scratch_dir(docs.sparkSession)
         rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        self.chunks, self.kind = materialise(rows.mapInArrow(_chunked(chunk), CHUNKS), "chunks0", self.folder, "zstd"), "int32"
+        self.chunks, self.kind = materialise(rows.mapInArrow(_chunked(chunk), CHUNKS), "chunks0", self.folder, "zstd", FILE_CHUNKS), "int32"
         asked = self.chunks.select("chunk", F.posexplode("vocabulary").alias("j", "w")).select("chunk", "j", "w.*")
         self.totals = materialise(asked.groupBy("lang").agg(F.sum("n").alias("n")), "totals", self.folder)
         self.level, self.width = 0, 0
@@ -172,11 +178,12 @@ class Miner:
                 sent = {x: (known.filter(pc.equal(langs, x)).column("word").combine_chunks(), pc.index(langs, x).as_py()) for x in pc.unique(langs).to_pylist()}
             else:
                 sent = (self.width, known.column("l").to_numpy() * self.width + known.column("r").to_numpy())
-            answer, chunks = partial(_known_words if words else _known_pairs, self.spark.sparkContext.broadcast(sent)), self.chunks
-        else:
-            found = asked.select("chunk", "j", *keys).join(names.drop("f"), keys).groupBy("chunk").agg(F.collect_list(F.struct("j", "id")).alias("names"))
-            answer, chunks = _answered, self.chunks.join(found, "chunk")
-        self.chunks = materialise(chunks.mapInArrow(partial(_renamed, self.kind, to, answer, words), "chunk string, ids binary"), f"chunks{self.level}", self.folder, "zstd")
+            answer = partial(_known_words if words else _known_pairs, self.spark.sparkContext.broadcast(sent))
+            chunks = self.chunks.mapInArrow(partial(_renamed, self.kind, to, answer, words), "chunk string, ids binary")
+        else:  # a task has one chunk's answers at a time: lists of them, made by an aggregation, would be those of many
+            found = asked.select(F.col("chunk").alias("of"), "j", *keys).join(names.drop("f"), keys).select("of", "j", "id")
+            chunks = found.groupBy("of").cogroup(self.chunks.groupBy("chunk")).applyInArrow(partial(_answered, self.kind, to, words), "chunk string, ids binary")
+        self.chunks = materialise(chunks, f"chunks{self.level}", self.folder, "zstd", FILE_CHUNKS)
         discard(self.spark, f"{self.folder}/chunks{self.level - 1}")  # nothing is made of these any more
         self.kind, self.width = to, self.n + 1
         return names
