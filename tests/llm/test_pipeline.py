@@ -24,3 +24,14 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_registered(n):
     assert sum(q.startswith(f"op{n}_") for q in entry.queries()) == 1 and "pipeline" in entry.queries()
+
+
+def test_workers_keep_nothing_of_other_stages():
+    """A tokenizer's caches go when a worker serves another stage, and stay where it is asked for again."""
+    from weftline.llm import ngram_join, shared, tokens
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    one = tokens.piece_tokenizer(path, 10)
+    shared.give_back(tokens.OPEN)
+    assert tokens.piece_tokenizer(path, 10) is one
+    assert list(ngram_join._prints(5, 80)(iter([]))) == [] and not tokens.OPEN

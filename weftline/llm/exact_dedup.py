@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hot_join, materialise, scratch_dir, slices, text_bytes
+from .shared import give_back, hot_join, materialise, scratch_dir, slices, text_bytes
 
 #: Two primes under 2^31, and the base of the polynomial.
 PRIMES = (2147483647, 2147483629)
@@ -71,6 +71,7 @@ def combine(left: int, right: int, right_shift: int, prime: int) -> int:
 
 def _hashed(primes: tuple[int, int]):
     def run(batches):
+        give_back()
         for batch in batches:
             body, offsets = text_bytes(batch.column("text"))
             parts = []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import crc_of_id, slices, text_bytes
+from .shared import crc_of_id, give_back, slices, text_bytes
 
 GRAM = 4
 #: Look-ups per n-gram, and the part of a language's slots that are set at most: their product over the look-ups is the rate of false positives.
@@ -137,6 +137,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), na
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a byte a slot for each 8 languages
 
     def run(batches):
+        give_back()
         m = shared.value
         for batch in batches:
             body, offsets = text_bytes(batch.column("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import give_back, materialise, scratch_dir
-from .tokens import piece_tokenizer
+from .tokens import OPEN, piece_tokenizer
 
 #: Rows that one task packs, and pieces of text that the tokenizer's caches keep: packing may follow stages that hold memory.
 TASK_ROWS, KEPT_PIECES = 100_000, 150_000
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(OPEN)
         tokenizer, end = piece_tokenizer(vocabulary, KEPT_PIECES), np.array([end_id], np.uint32)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -14,7 +14,10 @@ from array import array
 
 import numpy as np
 
-_OPEN: dict[str, PieceTokenizer] = {}
+from .shared import KEPT_IN_WORKER
+
+OPEN: dict[tuple[str, int], PieceTokenizer] = {}
+KEPT_IN_WORKER.append(OPEN)
 #: White space in any library's sense.
 _WHITE = r"\s\x1c-\x1f\x85\u180e\u200b\ufeff"
 #: White space other than the space and the line feed.
@@ -172,9 +175,9 @@ class PieceTokenizer:
 
 def piece_tokenizer(path: str, keep: int = 400_000) -> PieceTokenizer:
     """One for each vocabulary and size of cache in a Python worker."""
-    if (path, keep) not in _OPEN:
-        _OPEN[path, keep] = PieceTokenizer(path, keep)
-    return _OPEN[path, keep]
+    if (path, keep) not in OPEN:
+        OPEN[path, keep] = PieceTokenizer(path, keep)
+    return OPEN[path, keep]
 
 
 def vocabulary(name: str) -> str:
