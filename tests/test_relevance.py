@@ -1,6 +1,7 @@
 """What titles say of a resource, and the budget of checks."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import evaluation, liveness, ranking, resolve
@@ -53,3 +54,15 @@ def test_hot_key(spark):
     found = resolve.resolve(hits).select("key", "rrf", F.size("titles").alias("n"), F.size("sources").alias("s"), "hit_count").filter("hit_count > 1").collect()
     assert [(r.n, r.s, r.hit_count) for r in found] == [(n, 100, n)]
     assert abs(found[0].rrf - sum(1 / (60 + k) for k in range(100))) < 1e-9
+
+
+def test_titles_are_not_shuffled(spark):
+    """Placed by an order, results are told as with their places given, and no exchange holds a title."""
+    n = spark.range(60).select((F.col("id") % 3).alias("query"), "id", (F.col("id") % 7).alias("url"), (F.col("id") % 5).alias("key"), ((F.col("id") % 10) / 10).alias("relevance"), F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(F.lit("the word "), F.when(F.col("id") % 2 == 0, "of").otherwise("x"))).alias("title"), F.array(F.when(F.col("id") % 4 == 2, "api").otherwise("tg")).alias("kinds"))
+    n = n.withColumn("titles", F.array("title"))
+    placed = n.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("id"))))
+    ordered = evaluation.lexical(n, "the of", 3, [F.desc("id")])
+    assert sorted(ordered.collect()) == sorted(evaluation.lexical(placed, "the of", 3).select(*ordered.columns).collect())
+    shown = ordered._jdf.queryExecution().optimizedPlan().toString()
+    below = shown[shown.index("Window") :].split("\n")[1]
+    assert "Project [query" in below and " AS anchored#" in below and " AS untitled#" in below and "titles#" not in below.split(" AS anchored#")[1]

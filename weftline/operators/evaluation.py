@@ -91,14 +91,16 @@ def source_group(adapter: Column, kind: Column) -> Column:
     )
 
 
-def lexical(shown: DataFrame, keyword: str, k: int) -> DataFrame:
+def lexical(shown: DataFrame, keyword: str, k: int, order: Sequence[Column | str] | None = None) -> DataFrame:
     """shown (query, pos from 1, url, key, title, titles, kinds, relevance), the results of queries that ask for ``keyword``
     -> per query how many lack its subject, are poor, have no title, or repeat.
 
-    Links of interfaces, and resources whose titles say nothing, are exempt from what is said of subjects.
+    Links of interfaces, and resources whose titles say nothing, are exempt from what is said of subjects. order: what
+    places results within a query, where shown has no pos. Titles are looked at where they are and never shuffled.
     """
     asked = [Q.analyse(q).required for q in (keyword, *Q.aliases(keyword))]
-    names = F.transform(F.concat(F.array("title"), F.coalesce("titles", F.array().cast("array<string>"))), lambda t: T.evidence(F.lower(F.coalesce(t, F.lit("")))))
+    every_title = F.array_distinct(F.concat(F.array("title"), F.coalesce("titles", F.array().cast("array<string>"))))
+    names = F.transform(every_title, lambda t: T.evidence(F.lower(F.coalesce(t, F.lit("")))))
 
     def has(required: Sequence[str]) -> Callable[[Column], Column]:
         def every(t: Column) -> Column:
@@ -109,16 +111,27 @@ def lexical(shown: DataFrame, keyword: str, k: int) -> DataFrame:
 
         return every
 
-    anchored = F.lit(False)
-    for required in asked:
-        anchored = anchored | F.exists(names, has(required))
-    exempt = F.coalesce(F.array_contains("kinds", "api"), F.lit(False)) | F.exists(names, lambda t: ~ranking.informative(t))
-    rows = shown.withColumn("exempt", exempt).withColumn("absent", ~F.col("exempt") & ~anchored).withColumn("poor", ~F.col("exempt") & (F.col("relevance") < POOR))
+    def told(prepared: Column) -> Column:
+        anchored = F.lit(False)
+        for required in asked:
+            anchored = anchored | F.exists(prepared, has(required))
+        # Null for what is exempt.
+        return F.when(~F.exists(prepared, lambda t: ~ranking.informative(t)), anchored)
+
+    # Titles are prepared once, and those of interfaces not at all.
+    api = F.coalesce(F.array_contains("kinds", "api"), F.lit(False))
+    anchored = F.when(~api, F.get(F.transform(F.array(names), told), F.lit(0)))
+    untitled = F.trim(F.coalesce("title", F.lit(""))) == ""
+    some = shown.select(*(c for c in shown.columns if c not in ("title", "titles", "kinds")), anchored.alias("anchored"), untitled.alias("untitled"))
+    if order is not None:
+        some = some.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+    exempt = F.col("anchored").isNull()
+    rows = some.withColumn("exempt", exempt).withColumn("absent", ~exempt & ~F.col("anchored")).withColumn("poor", ~exempt & (F.col("relevance") < POOR))
     top = F.col("pos") <= k
     by = rows.groupBy("query").agg(
         F.count(F.lit(1)).alias("shown"), F.count_if("absent").alias("absent_all"), F.count_if("poor").alias("low_all"),
         F.count_if(top & F.col("absent")).alias("absent_top"), F.count_if(top & F.col("poor")).alias("low_top"), F.count_if(top & ~F.col("exempt")).alias("evaluated_top"), F.count_if(top & F.col("exempt")).alias("exempt_top"),
-        F.count_if(top & ~F.col("exempt") & (F.trim(F.coalesce("title", F.lit(""))) == "")).alias("untitled_top"),
+        F.count_if(top & ~F.col("exempt") & F.col("untitled")).alias("untitled_top"),
         F.countDistinct("url").alias("urls"), F.countDistinct("key").alias("keys"),
     )
     ratio = F.when(F.col("evaluated_top") > 0, F.round(F.col("absent_top") / F.col("evaluated_top"), 3)).otherwise(0.0)

@@ -180,10 +180,9 @@ l AS (SELECT *, CASE WHEN evaluated_top > 0 THEN round(absent_top / evaluated_to
 
 def _lexical(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("query", F.col("doc_id") % 200)
-    pos = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc_id"))
     kinds = F.array(F.when(F.col("doc_id") % 4 == 2, "api").otherwise("tg"))
-    shown = d.select("query", pos.alias("pos"), (F.col("n_chars") % 7).alias("url"), (F.col("doc_id") % 11).alias("key"), F.col("text").alias("title"), F.array("text").alias("titles"), kinds.alias("kinds"), ((F.col("doc_id") % 10) / 10).alias("relevance"))
-    return evaluation.lexical(shown, "the of", 3)
+    shown = d.select("query", "n_chars", "doc_id", (F.col("n_chars") % 7).alias("url"), (F.col("doc_id") % 11).alias("key"), F.col("text").alias("title"), F.array("text").alias("titles"), kinds.alias("kinds"), ((F.col("doc_id") % 10) / 10).alias("relevance"))
+    return evaluation.lexical(shown, "the of", 3, [F.desc("n_chars"), "doc_id"])
 
 
 @R.add(f"WITH {LEX} SELECT * FROM l")
