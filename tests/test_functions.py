@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import session
 from weftline.functions import html, links, text, urls
 from weftline.operators import liveness, ranking, resolve, tables
 from weftline.plans import query, search
@@ -159,3 +160,23 @@ def test_titles_with_references_cut_off(spark):
     from weftline.functions import html
 
     assert [r.t for r in pages.select(html.title(F.col("html")).alias("t")).collect()] == ["a &&amp", "x 'A … &notit; &lt", "&nosuch;"]
+
+
+def test_batches_of_pages_are_bounded(spark):
+    """Python workers get a few megabytes of pages at once, however many rows these are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        session.ship(spark)
+        assert int(spark.conf.get(name)) == session.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_verticals_of_mixed_texts(spark):
+    """Keywords without ASCII are looked for between its runs: none is found across one, and those of both kinds as they are."""
+    rows = spark.createDataFrame([("AE 模板 x",), ("电a影",), ("the 电影",), ("hi-res 音 乐",), ("论文 x",), (None,)], "t string")
+    found = rows.select(text.verticals(F.col("t")).alias("v"))
+    assert [r.v for r in found.collect()] == [["design"], [], ["movie"], ["music"], ["academic"], found.collect()[-1].v]
+    assert "regexp_replace" in found._jdf.queryExecution().optimizedPlan().toString()
