@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weftline.streaming import validity
@@ -62,3 +63,53 @@ def test_health_of_mirrors(spark):
     rows = spark.createDataFrame([("m", "failed", at(0), 1), ("m", "ok", at(30), 2), ("m", "failed", at(50), 3), ("n", "failed", at(0), 4)], SCHEMA)
     got = read(validity.stretches(rows, F.lit(at(1000)), {"failed": 120}))
     assert [r for r in got if r[1] == "failed"] == [("m", "failed", at(0), at(30), "checked"), ("m", "failed", at(50), at(170), "expired"), ("n", "failed", at(0), at(120), "expired")]
+
+
+class Kept:
+    """A state of a key, and how often it was asked."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, set()
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows += rows
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def update(self, row):
+        self.rows = row
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_one_timer_for_all_that_waits():
+    """A key's rows cost a call for all of them, not one for each; what the watermark hasn't passed waits for its own."""
+    held = validity.Held(TTL)
+    held.handle, held.held, held.waiting = handle, _, waiting = Kept(), Kept(), Kept()
+    rows = pd.DataFrame({"status": ["alive"] * 100, "at": [1000 * k for k in range(100, 0, -1)], "seq": range(100)})
+    assert list(held.handleInputRows(("a",), iter([rows]), None)) == []
+    assert (waiting.calls, handle.calls, handle.timers) == (1, 1, {1000})
+    handle.now = 50_000
+    told = pd.concat(held.handleExpiredTimer(("a",), handle, None))
+    assert len(told) == 49 and 51_000 in handle.timers and len(waiting.rows) == 50
+    handle.now = 1_000_000
+    assert len(pd.concat(held.handleExpiredTimer(("a",), handle, None))) == 51 and not waiting.rows
