@@ -223,3 +223,42 @@ def test_build_without_groups(spark, tmp_path):
     made = index.forward.select("doc_id", "dl", "at", "linked", "tokens").mapInArrow(keptindex._posted, "term string, doc_id long, tf int, dl int, at timestamp, linked boolean, positions array<int>")
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert {(r.term, r.doc_id): list(r.positions) for r in made.collect()} == {(t, k): [i for i, x in enumerate(f) if x == t] for k, f in ((k, T.mixed_token_list(t)) for k, t in rows.items()) for t in f}
+
+
+def shuffled(spark, work):
+    """Rows that stages write to shuffles while work runs."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = stages()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_postings_are_not_shuffled(spark, tmp_path):
+    """Of a build, documents and terms are shuffled, not postings; each document's lie in one file, whose blocks say which."""
+    rng = random.Random(11)
+    rows = {k: " ".join(rng.sample([f"w{i}" for i in range(150)], 100)) for k in range(600)}
+    docs, built = frame(spark, rows), []
+    assert shuffled(spark, lambda: built.append(Index.build(docs, tokens(), f"file://{tmp_path}/local", 3))) < 600 * 100 / 4
+    index = built[0]
+    files = index.all_postings.select("doc_id", F.col("_metadata.file_name").alias("file"))
+    assert files.select("file").distinct().count() == 3 and files.distinct().count() == 600
+    parts = {p: g for p, g in ((r.part, r.ids) for r in index.all_postings.withColumn("part", keptindex._part()).groupBy("part").agg(F.collect_set("doc_id").alias("ids")).collect())}
+    for b in index.all_blocks.filter("term < 'w2'").collect():
+        own = [i for i in sorted(parts[b.part]) if b.term in rows[i].split()]
+        assert (b.lo, b.hi, b.n, b.cf, b.tf, b.dl) == (own[0], own[-1], len(own), len(own), 1, 100)
+    some = index.all_postings.filter("term = 'w7'").withColumn("part", keptindex._part()).filter(keptindex._among([(0, 1, 0, 300), (0, 1, 200, 400)]))
+    assert sorted(ids(some.select("doc_id"))) == [i for i in sorted(parts[1]) if i <= 400 and "w7" in rows[i].split()]
+
+
+def test_blocks_of_older_indexes(spark):
+    """Without the number of a file, as older indexes have it, ranges alone choose; ranges that meet are one."""
+    rows = spark.createDataFrame([(0, k % 2, k) for k in range(20)] + [(1, 0, 3)], "seg int, part int, doc_id long")
+    pick = lambda *blocks: sorted((r.seg, r.doc_id) for r in rows.filter(keptindex._among(blocks)).collect())
+    assert pick((0, None, 2, 5), (0, None, 4, 7)) == [(0, k) for k in range(2, 8)]
+    assert pick((0, 1, 2, 5), (0, 0, 8, 9), (1, 0, 0, 9)) == [(0, 3), (0, 5), (0, 8), (1, 3)]
