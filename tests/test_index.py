@@ -262,3 +262,27 @@ def test_blocks_of_older_indexes(spark):
     pick = lambda *blocks: sorted((r.seg, r.doc_id) for r in rows.filter(keptindex._among(blocks)).collect())
     assert pick((0, None, 2, 5), (0, None, 4, 7)) == [(0, k) for k in range(2, 8)]
     assert pick((0, 1, 2, 5), (0, 0, 8, 9), (1, 0, 0, 9)) == [(0, 3), (0, 5), (0, 8), (1, 3)]
+
+
+def test_shelves_by_bytes(spark, tmp_path, monkeypatch):
+    """A shelf is bounded by its bytes, and what is written of it is sorted once, before texts become tokens."""
+    rows = texts(random.Random(11), 200) | {900: "", 901: "?!"}
+    monkeypatch.setattr(keptindex, "SHELF_BYTES", 2_000)
+    ordered = []
+    shelve = Index._shelve
+
+    def spied(self, docs, seg, shelves, made=lambda rows: rows):
+        plan = made(docs.withColumn("shelf", F.lit(0)).sortWithinPartitions("shelf", "doc_id"))
+        plan.write.mode("overwrite").partitionBy("shelf").parquet(str(tmp_path / "spied"))
+        ordered.append("Generate" in plan._jdf.queryExecution().optimizedPlan().toString())
+        shelve(self, docs, seg, shelves, made)
+
+    monkeypatch.setattr(Index, "_shelve", spied)
+    index = Index.build(frame(spark, rows), tokens(), str(tmp_path / "index"), files=1)
+    assert ordered == [False] and index.sizes[0].shelves == -(-sum(len(t.encode()) + 1 for t in rows.values()) // 2_000) > 1
+    check(index, rows)
+    assert {r.doc_id for r in index.forward.select("doc_id").collect()} == {i for i, t in rows.items() if T.mixed_token_list(t)}
+    monkeypatch.setattr(keptindex, "FILE_TOKENS", 200)
+    whole = index.compact(str(tmp_path / "compact"))
+    assert whole.sizes[0].shelves > 1
+    check(whole, rows)
