@@ -259,3 +259,19 @@ def test_scratch_of_a_join_goes(spark, tmp_path):
     assert got == {(k, 0) for k in range(60)} | {(k, k) for k in range(100, 140)}
     left = {p.name for p in (tmp_path / "scratch").iterdir()}
     assert not left & {"prints", "shared", "grams0", "grams1", "grams2", "sets", "met", "full"}
+
+
+def test_chunk_files(spark, monkeypatch):
+    """Eight chunks share a file: a local disk pays for each file with processes."""
+    seen = {}
+
+    def watched(df, tag, folder=None, compression=None, file_rows=0):
+        out = materialise(df.coalesce(1) if tag.startswith("chunks") else df, tag, folder, compression, file_rows)
+        if tag.startswith("chunks"):
+            seen[tag] = (out.count(), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(phrases, "materialise", watched)
+    docs = spark.createDataFrame([("en", "a b c d e " * 100) for _ in range(40)], "lang string, text string")
+    phrases.collocations(docs, least=5, chunk=600).count()
+    assert seen["chunks0"][0] > 16 and all(files == -(-chunks // 8) for chunks, files in seen.values())

@@ -33,8 +33,9 @@ WORD[[0x20, 0x09]] = False
 #: Bytes of text in a chunk (more only where no piece ends), names that are broadcast at most, and bytes of words among them.
 CHUNK, BROADCAST_NAMES, BROADCAST_BYTES = 4 << 20, 2_000_000, 48 << 20
 CHUNKS = "chunk string, ids binary, vocabulary array<struct<lang:string,word:string,n:bigint>>"
-#: Chunks of a file, which a task may decode at once.
-FILE_CHUNKS = 4
+#: Chunks of a file, which a task may decode at once. On a local disk, Hadoop starts several processes for each file, which for
+#: a moment count with all of an executor's memory, so files shouldn't be many.
+FILE_CHUNKS = 8
 RENAMED = pa.schema([("chunk", pa.string()), ("ids", pa.binary())])
 
 
